@@ -2,9 +2,9 @@
 
 The mix takes each document at a rate r in [0, limit]. Among all rates that give each source its target
 words, and the matching share of its documents, the ones nearest to taking every document once (least relative
-entropy) are r = min(limit, exp(a + b * size / mean size)) with a pair (a, b) for each source: document rates
-tilted exponentially. The pairs solve the convex dual, found by Newton steps; each step is one
-distributed aggregation. Documents of one source and size share a rate, so all steps run on the table of (source, size)
+entropy of what is taken and what is left of the limit) are r = limit * e / (limit - 1 + e) with
+e = exp(a + b * size / mean size) and a pair (a, b) for each source: document rates tilted exponentially. The pairs
+solve the smooth convex dual, found by Newton steps; each step is one distributed aggregation. Documents of one source and size share a rate, so all steps run on the table of (source, size)
 counts, which is far smaller than the documents and evens out hot sources and groups of copies.
 
 Rates become whole copies on the same table: sizes are visited from large to small and each gets the number of
@@ -20,7 +20,7 @@ gives an empty mix.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartograph.llm.expr import n_words
@@ -57,6 +57,12 @@ def targets(cells: DataFrame, total_share: float = 1.5, limit: float = 2.0, weig
     return t.select("src", "source_size", target.alias("target"))
 
 
+def tilted(eta: Column, limit: float) -> Column:
+    """The rate in (0, limit) at the exponent eta; 1 at 0."""
+    e = F.exp(F.least(eta, F.lit(50.0)))
+    return limit * e / (limit - 1 + e)
+
+
 def newton(cells: DataFrame, wanted: DataFrame, limit: float = 2.0, steps: int = 25, tolerance: float = 1e-9) -> DataFrame:
     """src, mean, a, b: the dual solution for each source; sources that are taken whole have a null pair."""
     stats = cells.groupBy("src").agg(F.sum("n").alias("docs"), F.sum(F.col("n") * F.col("size")).alias("words"))
@@ -72,8 +78,8 @@ def newton(cells: DataFrame, wanted: DataFrame, limit: float = 2.0, steps: int =
     for _ in range(steps):
         at = cells.join(dual.select(F.col("src").alias("s2"), "mean", "a", "b", "free"), F.col("src").eqNullSafe(F.col("s2")))
         x = F.col("size") / F.col("mean")
-        raw = F.exp(F.least(F.col("a") + F.col("b") * x, F.lit(50.0)))
-        rate, slope = F.least(raw, F.lit(limit)), F.when(raw < limit, raw).otherwise(0.0)
+        rate = tilted(F.col("a") + F.col("b") * x, limit)
+        slope = rate * (1 - rate / limit)
         sums = at.where("free").groupBy(F.col("s2")).agg(
             F.sum(F.col("n") * rate).alias("g0"), F.sum(F.col("n") * rate * x).alias("g1"), F.sum(F.col("n") * slope).alias("h00"),
             F.sum(F.col("n") * slope * x).alias("h01"), F.sum(F.col("n") * slope * x * x).alias("h11"),
@@ -104,8 +110,8 @@ def newton(cells: DataFrame, wanted: DataFrame, limit: float = 2.0, steps: int =
 def copies(cells: DataFrame, dual: DataFrame, limit: float = 2.0) -> DataFrame:
     """src, size, n, k: whole copies of each cell, 0 <= k <= limit * n."""
     at = cells.join(dual.select(F.col("src").alias("s2"), "mean", "a", "b", "free", "share"), F.col("src").eqNullSafe(F.col("s2"))).drop("s2")
-    tilted = F.least(F.lit(limit), F.exp(F.least(F.col("a") + F.col("b") * F.col("size") / F.col("mean"), F.lit(50.0))))
-    rate = F.when(F.col("size") == 0, 1.0).when(F.col("free"), tilted).when(F.col("share") > 0, F.lit(limit)).otherwise(0.0)
+    free = tilted(F.col("a") + F.col("b") * F.col("size") / F.col("mean"), limit)
+    rate = F.when(F.col("size") == 0, 1.0).when(F.col("free"), free).when(F.col("share") > 0, F.lit(limit)).otherwise(0.0)
     falling = F.sort_array(F.collect_list(F.struct("size", "n", rate.alias("rate"))), asc=False)
     start = F.struct(F.lit(0.0).alias("short"), F.array().cast("array<bigint>").alias("ks"))
 
