@@ -51,6 +51,8 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     return [F.col(doc_id).alias("_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_tx")]
 
 
-def same_row(left: DataFrame, right: DataFrame) -> Column:
-    """Null-safe equality of row keys."""
-    return left["_id"].eqNullSafe(right["_id"]) & (left["_tx"] == right["_tx"])
+def attach(rows: DataFrame, found: DataFrame, how: str = "left", hint: str | None = None) -> DataFrame:
+    """Joins what was found for row keys to the rows, null ids included; the found side may be hinted."""
+    right = found.withColumnsRenamed({"_id": "_rid", "_tx": "_rtx"})
+    right = right.hint(hint) if hint else right
+    return rows.join(right, F.col("_id").eqNullSafe(F.col("_rid")) & (F.col("_tx") == F.col("_rtx")), how).drop("_rid", "_rtx")

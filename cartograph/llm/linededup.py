@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartograph.llm.expr import ascii_lower, let, lines, row_key, same_row
+from cartograph.llm.expr import ascii_lower, attach, let, lines, row_key
 from cartograph.runtime import spool
 
 KEY = ["h1", "h2"]
@@ -136,12 +136,10 @@ def dedup_lines(docs: DataFrame, text: str = "text", min_chars: int = 20, min_do
     A text that loses nothing is returned as it is, null included.
     """
     table, keys = frequent_lines(docs, text, min_chars, min_docs, batches)
-    gone = dropped_lines(table, keys).hint("shuffle_hash")
-    keyed = docs.select("*", *row_key(text=text))
-    joined = keyed.join(gone, same_row(keyed, gone), "left").drop(gone["_id"]).drop(gone["_tx"])
+    joined = attach(docs.select("*", *row_key(text=text)), dropped_lines(table, keys), hint="shuffle_hash")
     n = F.size(F.col("gone"))
     return joined.select(
-        *[keyed[f"`{c}`"] for c in docs.columns],
+        *[F.col(f"`{c}`") for c in docs.columns],
         F.size(lines(F.col(text))).cast("long").alias("n_lines"),
         F.when(F.col("gone").isNull(), 0).otherwise(n).cast("long").alias("n_dropped"),
         F.when(F.col("gone").isNull(), F.col(text)).otherwise(without(F.col(text), F.col("gone"))).alias("kept_text"),

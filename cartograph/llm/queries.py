@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartograph.llm import linededup, mixing, quality
+from cartograph.llm import chunks, licenses, linededup, mixing, quality, simhash, tokens
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,16 +20,37 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir).select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_labels(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.quality(documents(spark, sf_dir).select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lost_lines", "lost_chars")
 
 
+def op9_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chunks.dedup_substrings(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_shared", "shared_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "with_doc")
+
+
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", sha256(F.col("kept_text")).alias("kept_sha256"))
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op6_quality": op6_quality, "op10_lines": op10_lines}
+QUERIES = {
+    "op1_mixing": op1_mixing, "op3_simhash": op3_simhash, "op4_tokens": op4_tokens, "op5_licenses": op5_licenses,
+    "op6_quality": op6_quality, "op9_chunks": op9_chunks, "op10_lines": op10_lines,
+}
 
 ORACLES: dict[str, str] = {}
