@@ -22,7 +22,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def words(text: Column) -> Column:
     """The words of a text; null and blank texts have none."""
-    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
+    inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\f\r"))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, SPACE))
 
 
 def n_words(text: Column) -> Column:
@@ -35,8 +36,9 @@ def lines(text: Column) -> Column:
 
 
 def ascii_lower(text: Column) -> Column:
-    """Lower-cases A-Z only."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    """Lower-cases A-Z only; translate() is slow and needed for texts with other letters only."""
+    exact = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(exact)
 
 
 def count_chars(text: Column, chars: str) -> Column:

@@ -29,7 +29,7 @@ HEAVY = 1000  # at most so many keys are broadcast
 
 
 def line_key(line: Column) -> Column:
-    return ascii_lower(F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""))
+    return ascii_lower(F.btrim(line, F.lit(" \t\n\x0b\f\r")))
 
 
 def line_table(docs: DataFrame, text: str, min_chars: int) -> DataFrame:
