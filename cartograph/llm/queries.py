@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartograph.llm import chunks, licenses, linededup, mixing, quality, simhash, tokens
+from cartograph.llm import chunks, decontaminate, licenses, linededup, mixing, quality, simhash, tokens
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lost_lines", "lost_chars")
 
 
+def op7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.leaks(documents(spark, sf_dir).select("doc_id", "text"), benchmark)
+
+
 def op9_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chunks.dedup_substrings(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_shared", "shared_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "with_doc")
@@ -50,7 +55,7 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing, "op3_simhash": op3_simhash, "op4_tokens": op4_tokens, "op5_licenses": op5_licenses,
-    "op6_quality": op6_quality, "op9_chunks": op9_chunks, "op10_lines": op10_lines,
+    "op6_quality": op6_quality, "op7_leaks": op7_leaks, "op9_chunks": op9_chunks, "op10_lines": op10_lines,
 }
 
 ORACLES: dict[str, str] = {}
