@@ -109,7 +109,7 @@ def chunk_table(docs: DataFrame, text: str = "text", least: int = 32) -> DataFra
             )
 
     rows = docs.select(*row_key(text=text), F.col(text).cast("binary"))
-    return rows.mapInArrow(run, f"_id {kind}, _tx long, start int, size int, d1 long, d2 long")
+    return rows.mapInArrow(run, f"_id {kind}, _tx int, start int, size int, d1 long, d2 long")
 
 
 def repeated_chunks(chunks: DataFrame) -> DataFrame:

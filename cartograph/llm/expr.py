@@ -50,7 +50,7 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
 
     The second column tells apart repeated ids with unlike texts.
     """
-    return [F.col(doc_id).alias("_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_tx")]
+    return [F.col(doc_id).alias("_id"), F.shiftright(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), 32).cast("int").alias("_tx")]
 
 
 def attach(rows: DataFrame, found: DataFrame, how: str = "left", hint: str | None = None) -> DataFrame:

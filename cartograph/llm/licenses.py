@@ -112,7 +112,7 @@ def scan(docs: DataFrame, text: str = "text", templates: dict[str, list[str]] =
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(x, y) for x, y in zip(found, kinds, strict=True)]], ["_id", "_tx", "n_words", "n_base", "first_word", "last_word", "base", "grams"])
 
     rows = docs.select(*row_key(text=text), F.col(text).cast("binary"))
-    return rows.mapInArrow(run, f"_id {kind}, _tx long, n_words long, n_base long, first_word long, last_word long, base array<string>, grams array<struct<pos:int,gram:string>>")
+    return rows.mapInArrow(run, f"_id {kind}, _tx int, n_words long, n_base long, first_word long, last_word long, base array<string>, grams array<struct<pos:int,gram:string>>")
 
 
 def spans(scanned: DataFrame, templates: DataFrame, least: float = 0.8) -> DataFrame:

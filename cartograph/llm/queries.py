@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartograph.llm import chunks, decontaminate, licenses, linededup, mixing, quality, simhash, tokens
+from cartograph.llm import chunks, decontaminate, licenses, linededup, mixing, quality, simhash, suffix, tokens
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir).select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix.dedup_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -54,7 +59,7 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_mixing": op1_mixing, "op3_simhash": op3_simhash, "op4_tokens": op4_tokens, "op5_licenses": op5_licenses,
+    "op1_mixing": op1_mixing, "op2_repeats": op2_repeats, "op3_simhash": op3_simhash, "op4_tokens": op4_tokens, "op5_licenses": op5_licenses,
     "op6_quality": op6_quality, "op7_leaks": op7_leaks, "op9_chunks": op9_chunks, "op10_lines": op10_lines,
 }
 
