@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartograph.llm import chunks, decontaminate, licenses, linededup, mixing, quality, simhash, suffix, tokens
+from cartograph.llm import chunks, decontaminate, licenses, linededup, mixing, pii, quality, simhash, suffix, tokens
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +48,11 @@ def op7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(documents(spark, sf_dir).select("doc_id", "text"), benchmark)
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", sha256(F.col("base")).alias("base_sha256"), "spans")
+
+
 def op9_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chunks.dedup_substrings(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_shared", "shared_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "with_doc")
@@ -60,7 +65,7 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing, "op2_repeats": op2_repeats, "op3_simhash": op3_simhash, "op4_tokens": op4_tokens, "op5_licenses": op5_licenses,
-    "op6_quality": op6_quality, "op7_leaks": op7_leaks, "op9_chunks": op9_chunks, "op10_lines": op10_lines,
+    "op6_quality": op6_quality, "op7_leaks": op7_leaks, "op8_pii": op8_pii, "op9_chunks": op9_chunks, "op10_lines": op10_lines,
 }
 
 ORACLES: dict[str, str] = {}
