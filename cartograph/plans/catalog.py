@@ -1,6 +1,316 @@
-"""Registry of the engine's queries and their SQL counterparts."""
+"""Registry of the engine's queries over the driver's tables, and the same questions in DuckDB SQL.
+
+Each query runs one operator on the code-graph view of the tables (sources/dataset.py). The SQL shares only the projection of
+the tables; the operator itself is written anew.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cartograph.config import Capability, Config, Layer, Rule
+from cartograph.operators import arch, compare, cycles, direct, entry, impact, metrics, report, similar
+from cartograph.plans import kernels
+from cartograph.sources.dataset import NOW, Graph, load, oracle_prefix
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+CONFIG = Config(
+    layers=[Layer("economy", "src/economy*/**"), Layer("promo", "src/promo*/**"), Layer("standard", "src/standard*/**"), Layer("rest", "src/**")],
+    rules=[Rule("economy", ["promo", "standard"], None), Rule("promo", ["economy"], "promo stays apart from economy"), Rule("rest", ["standard"], None)],
+    entry_points=[], test_patterns=["src/**/brand_1*/**"], test_excludes=["**/*.ts"],
+)
+LAYER_CASE = "CASE WHEN {p} LIKE 'src/economy%/%' THEN 'economy' WHEN {p} LIKE 'src/promo%/%' THEN 'promo' WHEN {p} LIKE 'src/standard%/%' THEN 'standard' WHEN {p} LIKE 'src/%' THEN 'rest' END"
+TEST_SQL = "path LIKE 'src/%/brand#_1%/%' ESCAPE '#' AND path NOT LIKE '%.ts'"
+CAPABILITY = Capability("net", pattern="src/*/brand_2?/part_*0.rs", expected_callers=["src/economy*/**"])
+
+
+def query(name: str, sql: str | None = None, which: str = "g2", churn: bool = False):
+    """Registers a function of a Graph as a query, and its SQL after the shared WITH clause."""
+
+    def add(f: Callable[[Graph], DataFrame]):
+        QUERIES[name] = lambda spark, sf_dir: f(load(spark, sf_dir, which))
+        if sql is not None:
+            ORACLES[name] = oracle_prefix(which, churn) + sql
+        return f
+
+    return add
+
+
+def hub(g: Graph, column: str = "src") -> str:
+    """The file with most edges at one end, the least of equals."""
+    row = g.file_edges.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).first()
+    return row[0] if row else ""
+
+
+def busy_symbol(g: Graph, column: str = "dst") -> tuple[str, str]:
+    p = f"{column}_path"
+    row = g.symbol_edges.groupBy(p, column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column, p).first()
+    return (row[0], row[1]) if row else ("", "")
+
+
+HUB = ", hub AS (SELECT {c} AS p FROM edges GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1)"
+BUSY = ", busy AS (SELECT {c}_path AS p, {c} AS q FROM calls GROUP BY {c}_path, {c} ORDER BY count(*) DESC, {c}, {c}_path LIMIT 1)"
+SRC_HUB, DST_HUB, CALLEE, CALLER = HUB.format(c="src"), HUB.format(c="dst"), BUSY.format(c="dst"), BUSY.format(c="src")
+IMPORTS_OF = "imports i ON i.path = e.src AND i.resolved_path = e.dst"
+RANK = "CASE certainty WHEN 'exact' THEN 0 WHEN 'resolved' THEN 1 WHEN 'heuristic' THEN 2 ELSE 3 END"
+NAME_OF_RANK = "CASE {r} WHEN 0 THEN 'exact' WHEN 1 THEN 'resolved' WHEN 2 THEN 'heuristic' ELSE 'dynamic' END"
+ENTRY = ", imp AS (SELECT * FROM edges WHERE kind = 'import'), entries AS (SELECT path FROM files WHERE path IN (SELECT src FROM imp) AND path NOT IN (SELECT dst FROM imp))"
+# Least distance from each seed, by levels up to a bound that no shortest path of the graphs exceeds.
+CONE = ", cone(seed, node, d, r) AS (SELECT path, path, 0, 0 FROM {seeds} UNION SELECT c.seed, e.dst, c.d + 1, greatest(c.r, {rank}) FROM cone c JOIN {edges} e ON e.src = c.node WHERE c.d < {depth}), best AS (SELECT seed, node, min(d) AS d FROM cone GROUP BY 1, 2), label AS (SELECT c.seed, c.node, c.d, min(c.r) AS r FROM cone c JOIN best b ON b.seed = c.seed AND b.node = c.node AND b.d = c.d GROUP BY 1, 2, 3)"
+
+
+@query("deps", SRC_HUB + f" SELECT e.dst AS path, e.kind AS edge_kind, e.certainty, i.raw_text AS import_text, i.start_line AS line FROM edges e LEFT JOIN {IMPORTS_OF} WHERE e.src = (SELECT p FROM hub)")
+def _deps(g: Graph) -> DataFrame:
+    return direct.deps(g.file_edges, g.imports, hub(g))
+
+
+@query("deps_reverse", DST_HUB + f" SELECT e.src AS path, e.kind AS edge_kind, e.certainty, i.raw_text AS import_text, i.start_line AS line FROM edges e LEFT JOIN {IMPORTS_OF} WHERE e.dst = (SELECT p FROM hub)")
+def _deps_reverse(g: Graph) -> DataFrame:
+    return direct.deps(g.file_edges, g.imports, hub(g, "dst"), reverse=True)
+
+
+def _walk(start: str, a: str, b: str, depth: int) -> str:
+    return f", w(node, d) AS (SELECT p, 0 FROM {start} UNION SELECT e.{b}, w.d + 1 FROM w JOIN edges e ON e.{a} = w.node WHERE w.d < {depth}), lv AS (SELECT node, min(d) AS d FROM w GROUP BY 1)"
+
+
+@query("deps_transitive", SRC_HUB + _walk("hub", "src", "dst", 6) + " SELECT node AS path, d AS distance FROM lv WHERE d > 0")
+def _deps_transitive(g: Graph) -> DataFrame:
+    return direct.deps_transitive(g.file_edges, hub(g), 6).select("path", "distance")
+
+
+@query("deps_reverse_transitive", DST_HUB + _walk("hub", "dst", "src", 5) + " SELECT node AS path, d AS distance FROM lv WHERE d > 0")
+def _deps_reverse_transitive(g: Graph) -> DataFrame:
+    return direct.deps_transitive(g.file_edges, hub(g, "dst"), 5, reverse=True).select("path", "distance")
+
+
+@query("file_edges", " SELECT src, dst, kind, certainty FROM edges", "g3")
+def _file_edges(g: Graph) -> DataFrame:
+    return g.file_edges
+
+
+@query("symbols", " SELECT path, name, qualname, kind, visibility, exported, start_line FROM symbols WHERE exported AND kind = 'function'")
+def _symbols(g: Graph) -> DataFrame:
+    return direct.symbols_of(g.symbols, None, True, "function")
+
+
+@query("surface", " SELECT path, name, qualname, kind, visibility, start_line AS line FROM symbols WHERE exported")
+def _surface(g: Graph) -> DataFrame:
+    return direct.surface(g.symbols)
+
+
+@query("callers", CALLEE + " SELECT src_path AS path, src AS qualname, certainty, call_line, 1 AS distance FROM calls JOIN busy ON dst_path = p AND dst = q")
+def _callers(g: Graph) -> DataFrame:
+    return direct.calls(g.symbol_edges, *busy_symbol(g), reverse=True).drop("reason")
+
+
+@query("calls", CALLER + " SELECT dst_path AS path, dst AS qualname, certainty, call_line, 1 AS distance FROM calls JOIN busy ON src_path = p AND src = q")
+def _calls(g: Graph) -> DataFrame:
+    return direct.calls(g.symbol_edges, *busy_symbol(g, "src")).drop("reason")
+
+
+CALL_WALK = ", w(p, q, d) AS (SELECT p, q, 0 FROM busy UNION SELECT c.{b}_path, c.{b}, w.d + 1 FROM w JOIN calls c ON c.{a}_path = w.p AND c.{a} = w.q WHERE w.d < {depth}), lv AS (SELECT p, q, min(d) AS d FROM w GROUP BY 1, 2)"
+CALL_EMIT = " SELECT c.{b}_path AS path, c.{b} AS qualname, c.certainty, lv.d + 1 AS distance FROM lv JOIN calls c ON c.{a}_path = lv.p AND c.{a} = lv.q"
+
+
+@query("callers_transitive", CALLEE + CALL_WALK.format(a="dst", b="src", depth=7) + CALL_EMIT.format(a="dst", b="src"))
+def _callers_transitive(g: Graph) -> DataFrame:
+    return impact.call_traversal(g.symbol_edges, *busy_symbol(g), True, 8).select("path", "qualname", "certainty", "distance")
+
+
+@query("calls_transitive", CALLER + CALL_WALK.format(a="src", b="dst", depth=7) + CALL_EMIT.format(a="src", b="dst"))
+def _calls_transitive(g: Graph) -> DataFrame:
+    return impact.call_traversal(g.symbol_edges, *busy_symbol(g, "src"), False, 8).select("path", "qualname", "certainty", "distance")
+
+
+IMPORTERS = ", wf(node, d) AS (SELECT {start} UNION SELECT e.src, wf.d + 1 FROM wf JOIN edges e ON e.dst = wf.node AND e.kind = 'import' WHERE wf.d < 7), lf AS (SELECT node, min(d) AS d FROM wf GROUP BY 1), inc AS (SELECT e.src AS path, e.certainty, lf.d + 1 AS distance FROM lf JOIN edges e ON e.dst = lf.node AND e.kind = 'import')"
+CALL_INC = ", cc AS (" + CALL_EMIT.format(a="dst", b="src").strip() + ")"
+
+
+@query("impact", CALLEE + CALL_WALK.format(a="dst", b="src", depth=7) + CALL_INC + IMPORTERS.format(start="p, 0 FROM busy") + " SELECT 'symbol' AS kind, path, qualname, min(certainty) AS certainty, distance FROM cc GROUP BY ALL UNION ALL SELECT 'file', path, NULL, min(certainty), distance FROM inc GROUP BY ALL")
+def _impact(g: Graph) -> DataFrame:
+    return impact.impact(g.symbols, g.symbol_edges, g.file_edges, busy_symbol(g)[1]).select("kind", "path", "qualname", "certainty", "distance")
+
+
+@query("impact_summary", DST_HUB + IMPORTERS.format(start="p, 0 FROM hub") + ", n AS (SELECT count(*) AS total, count(*) FILTER (certainty = 'exact') AS exact, count(*) FILTER (certainty = 'resolved') AS resolved, count(*) FILTER (certainty = 'heuristic') AS heuristic, count(*) FILTER (certainty = 'dynamic') AS dynamic FROM inc) SELECT *, CASE WHEN total = 0 THEN 'low' WHEN dynamic > 0 THEN 'high' WHEN heuristic > 0 THEN 'medium' ELSE 'low' END AS risk FROM n")
+def _impact_summary(g: Graph) -> DataFrame:
+    return impact.impact_summary(impact.impact(g.symbols, g.symbol_edges, g.file_edges, hub(g, "dst")))
+
+
+@query("explain", DST_HUB + IMPORTERS.format(start="p, 0 FROM hub") + " SELECT path, 'import' AS edge_kind, min(certainty) AS certainty, distance FROM inc GROUP BY ALL UNION SELECT dst, kind, certainty, 1 FROM edges WHERE src = (SELECT p FROM hub) AND (dst, kind) NOT IN (SELECT (path, 'import') FROM inc WHERE distance = 1)")
+def _explain(g: Graph) -> DataFrame:
+    return impact.explain(g.symbols, g.symbol_edges, g.file_edges, hub(g, "dst")).select("path", "edge_kind", "certainty", "distance")
+
+
+WHY_END = " , ends AS (SELECT node FROM (SELECT node, min(d) AS d FROM wi GROUP BY 1) WHERE d = (SELECT max(d) FROM (SELECT node, min(d) AS d FROM wi GROUP BY 1)) ORDER BY node LIMIT 1)"
+WHY_WALK = ", wi(node, d) AS (SELECT p, 0 FROM hub UNION SELECT e.dst, wi.d + 1 FROM wi JOIN edges e ON e.src = wi.node AND e.kind = 'import' WHERE wi.d < 8)"
+
+
+@query("why_length", SRC_HUB + WHY_WALK + WHY_END + " SELECT (SELECT p FROM hub) AS first, (SELECT node FROM ends) AS last, min(d) AS hops FROM wi WHERE node = (SELECT node FROM ends)")
+def _why(g: Graph) -> DataFrame:
+    start = hub(g)
+    e = g.file_edges.where("kind = 'import'").select("src", "dst")
+    far = kernels.bfs_tree(e, start, 8).orderBy(F.desc("distance"), "node").first()
+    path = impact.why(g.symbols, g.symbol_edges, g.file_edges, start, far["node"] if far else start)
+    return path.agg(F.min_by("path", "step").alias("first"), F.max_by("path", "step").alias("last"), F.max("step").alias("hops"))
+
+
+@query("diff", ", changed AS (SELECT path FROM files WHERE path LIKE '%part_%7.rs' AND path LIKE 'src/e%'), r(c, n) AS (SELECT c.path, e.src FROM changed c JOIN edges e ON e.dst = c.path UNION SELECT r.c, e.src FROM r JOIN edges e ON e.dst = r.n) SELECT n AS path, array_to_string(list_sort(list(c)), ',') AS changed_roots FROM r WHERE n <> c GROUP BY n")
+def _diff(g: Graph) -> DataFrame:
+    changed = g.files.where("path like '%part_%7.rs' and path like 'src/e%'").select("path")
+    return impact.diff(g.file_edges, changed)[1].select("path", F.array_join("changed_roots", ",").alias("changed_roots"))
+
+
+@query("doctor", " SELECT 'files' AS metric, count(*) AS value, CASE WHEN count(*) = 0 THEN 'fail' ELSE 'ok' END AS status FROM files UNION ALL SELECT 'imports', count(*), 'ok' FROM imports UNION ALL SELECT 'unresolved', count(*), CASE WHEN count(*) > 0 THEN 'warn' ELSE 'ok' END FROM imports WHERE resolved_path IS NULL AND import_path_kind <> 'external' UNION ALL SELECT 'symbols', count(*), 'ok' FROM symbols UNION ALL SELECT 'call_edges', count(*), 'ok' FROM calls UNION ALL SELECT 'parse_ok', count(*), 'ok' FROM files WHERE parse_status = 'ok' UNION ALL SELECT 'parse_partial', count(*), CASE WHEN count(*) > 0 THEN 'warn' ELSE 'ok' END FROM files WHERE parse_status = 'partial' UNION ALL SELECT 'parse_error', count(*), CASE WHEN count(*) > 0 THEN 'fail' ELSE 'ok' END FROM files WHERE parse_status = 'error'")
+def _doctor(g: Graph) -> DataFrame:
+    return direct.doctor(g.files, g.imports, g.symbols, g.symbol_edges)
+
+
+@query("tree", SRC_HUB + ", pairs AS (SELECT DISTINCT src, dst FROM edges), t(trail, node, depth, cyc) AS (SELECT [p], p, 0, false FROM hub UNION ALL SELECT list_append(t.trail, e.dst), e.dst, t.depth + 1, list_contains(t.trail, e.dst) FROM t JOIN pairs e ON e.src = t.node WHERE NOT t.cyc AND t.depth < 4) SELECT array_to_string(trail, ' > ') AS node_id, node AS path, depth, depth = 4 AND NOT cyc AS truncated, cyc AS cycle FROM t")
+def _tree(g: Graph) -> DataFrame:
+    return direct.tree(g.file_edges, hub(g), 4).drop("parent_id")
+
+
+LAYERED = ", lay AS (SELECT src AS from_file, dst AS to_file, " + LAYER_CASE.format(p="src") + " AS from_layer, " + LAYER_CASE.format(p="dst") + " AS to_layer FROM edges)"
+VIOLATION = LAYERED + ", rule(f, t, m) AS (VALUES ('economy', 'promo', 'economy may not import promo'), ('economy', 'standard', 'economy may not import standard'), ('promo', 'economy', 'promo stays apart from economy'), ('rest', 'standard', 'rest may not import standard'))"
+
+
+@query("arch_check", VIOLATION + " SELECT from_file, to_file, from_layer, to_layer, m AS message FROM lay JOIN rule ON f = from_layer AND t = to_layer", "g3")
+def _arch_check(g: Graph) -> DataFrame:
+    return arch.arch_check(g.file_edges, CONFIG)
+
+
+@query("arch_layers", LAYERED + " SELECT from_layer, to_layer, count(*) AS edges FROM lay WHERE from_layer IS NOT NULL AND to_layer IS NOT NULL GROUP BY ALL", "g3")
+def _arch_layers(g: Graph) -> DataFrame:
+    return arch.layered(g.file_edges, CONFIG).groupBy("from_layer", "to_layer").agg(F.count("*").alias("edges"))
+
+
+@query("entry_list", ENTRY + " SELECT path AS file, 'zero_in_degree' AS detection FROM entries")
+def _entry_list(g: Graph) -> DataFrame:
+    return entry.entry_list(g.files, g.file_edges)
+
+
+@query("entry_cone", ENTRY + ", seeds AS (SELECT src AS path FROM imp WHERE src IN (SELECT path FROM entries) GROUP BY src ORDER BY count(*) DESC, src LIMIT 1)" + CONE.format(seeds="seeds", edges="imp", rank=RANK, depth=40) + f" SELECT node AS file, d AS distance, {NAME_OF_RANK.format(r='r')} AS certainty FROM label")
+def _entry_cone(g: Graph) -> DataFrame:
+    e = entry.import_edges(g.file_edges).join(entry.entry_list(g.files, g.file_edges).select(F.col("file").alias("src")), "src", "left_semi")
+    row = e.groupBy("src").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "src").first()
+    return entry.entry_cone(g.file_edges, row[0] if row else "")
+
+
+@query("entry_reaches", ENTRY + ", hub AS (SELECT dst AS p FROM edges GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1), seeds AS (SELECT p AS path FROM hub), back AS (SELECT dst AS src, src AS dst, certainty FROM imp)" + CONE.format(seeds="seeds", edges="back", rank=RANK, depth=40) + f" SELECT node AS file, d AS distance, {NAME_OF_RANK.format(r='r')} AS certainty FROM label WHERE node IN (SELECT path FROM entries)")
+def _entry_reaches(g: Graph) -> DataFrame:
+    return entry.entry_reaches(g.files, g.file_edges, hub(g, "dst"))
+
+
+@query("entry_unreachable", ENTRY + f", s(n) AS (SELECT path FROM entries UNION SELECT e.dst FROM s JOIN imp e ON e.src = s.n), x AS (SELECT path, count(*) AS n FROM symbols WHERE exported GROUP BY path) SELECT f.path AS file, CASE WHEN mtime <= {NOW} THEN CAST(floor(({NOW} - mtime) / 86400.0) AS BIGINT) END AS last_modified_days_ago, coalesce(x.n, 0) AS exported_symbols, CASE WHEN language = 'rust' THEN 'resolved' ELSE 'heuristic' END AS certainty FROM files f LEFT JOIN x ON x.path = f.path WHERE f.path NOT IN (SELECT n FROM s)")
+def _entry_unreachable(g: Graph) -> DataFrame:
+    return entry.unreachable(g.files, g.file_edges, g.symbols, NOW)
+
+
+@query("audit", ENTRY + ", seeds AS (SELECT path FROM files WHERE path LIKE 'src/%/brand#_2_/part#_%0.rs' ESCAPE '#'), back AS (SELECT dst AS src, src AS dst FROM imp), a(node, d) AS (SELECT path, 0 FROM seeds UNION SELECT b.dst, a.d + 1 FROM a JOIN back b ON b.src = a.node WHERE a.d < 40) SELECT node AS entry_point, min(d) AS distance, node LIKE 'src/economy%/%' AS expected FROM a WHERE node IN (SELECT path FROM entries) GROUP BY node")
+def _audit(g: Graph) -> DataFrame:
+    return entry.audit(g.files, g.file_edges, g.symbols, CAPABILITY).drop("certainty")
+
+
+COVER = f", tests AS (SELECT path FROM files WHERE {TEST_SQL})" + CONE.format(seeds="tests", edges="edges", rank="0", depth=40)
+
+
+@query("test_map", COVER + " SELECT seed AS test, node AS path, d AS distance FROM best WHERE node NOT IN (SELECT path FROM tests)", "g1")
+def _test_map(g: Graph) -> DataFrame:
+    return entry.coverage(g.files, g.file_edges, CONFIG.test_patterns, CONFIG.test_excludes)
+
+
+@query("test_uncovered", COVER + " SELECT path, mtime FROM files WHERE path NOT IN (SELECT node FROM best) AND path NOT IN (SELECT path FROM tests)", "g1")
+def _test_uncovered(g: Graph) -> DataFrame:
+    covered = entry.coverage(g.files, g.file_edges, CONFIG.test_patterns, CONFIG.test_excludes)
+    return entry.uncovered(g.files, covered, CONFIG.test_patterns, CONFIG.test_excludes)
+
+
+SCC = ", imp AS (SELECT DISTINCT src, dst FROM edges WHERE kind = 'import'), r(a, b) AS (SELECT src, dst FROM imp UNION SELECT r.a, e.dst FROM r JOIN imp e ON e.src = r.b), m AS (SELECT x.a AS node, min(y.b) AS comp FROM r x JOIN r y ON y.a = x.a JOIN r z ON z.a = y.b AND z.b = x.a WHERE x.a = x.b GROUP BY x.a)"
+
+
+@query("cycles", SCC + ", c AS (SELECT comp, count(*) AS size FROM m GROUP BY comp), i AS (SELECT x.comp, count(*) AS n FROM imp JOIN m x ON x.node = src JOIN m y ON y.node = dst AND y.comp = x.comp GROUP BY 1), o AS (SELECT y.comp, count(DISTINCT src) AS n FROM imp JOIN m y ON y.node = dst LEFT JOIN m x ON x.node = src WHERE x.comp IS NULL OR x.comp <> y.comp GROUP BY 1) SELECT c.comp AS first_file, c.size, i.n AS edge_count, coalesce(o.n, 0) AS external_dependents, CASE WHEN size >= 4 OR coalesce(o.n, 0) >= 3 THEN 'high' WHEN size >= 3 OR coalesce(o.n, 0) >= 1 THEN 'medium' ELSE 'low' END AS severity FROM c JOIN i ON i.comp = c.comp LEFT JOIN o ON o.comp = c.comp", "g3")
+def _cycles(g: Graph) -> DataFrame:
+    return cycles.cycles(g.file_edges).drop("files")
+
+
+FANS = ", imp AS (SELECT DISTINCT src, dst FROM edges WHERE kind = 'import'), fan AS (SELECT f.path, f.language, (SELECT count(*) FROM imp WHERE dst = f.path) AS fan_in, (SELECT count(*) FROM imp WHERE src = f.path) AS fan_out FROM files f)"
+
+
+@query("stability", FANS + ", x AS (SELECT path, fan_in, fan_out, CASE WHEN fan_in + fan_out = 0 THEN 0.0 ELSE CAST(fan_out AS DOUBLE) / (fan_in + fan_out) END AS instability FROM fan) SELECT path, fan_in, fan_out, round(CAST(instability AS DOUBLE), 6) AS instability, CASE WHEN fan_in = 0 AND fan_out = 0 THEN 'isolated' WHEN instability > 0.5 AND fan_in > 10 THEN 'unstable_and_central' WHEN instability < 0.2 AND fan_in > 5 THEN 'stable_abstraction' WHEN fan_in = 0 AND instability >= 0.95 THEN 'healthy_leaf' WHEN instability BETWEEN 0.35 AND 0.65 THEN 'balanced' ELSE 'stable' END AS category, fan_in > 10 AND instability > 0.5 AS flagged FROM x", "g3")
+def _stability(g: Graph) -> DataFrame:
+    return metrics.stability(g.file_edges, g.files).withColumn("instability", F.round("instability", 6))
+
+
+@query("risk", f", pairs AS (SELECT DISTINCT src, dst FROM edges), r(a, b) AS (SELECT src, dst FROM pairs UNION SELECT r.a, e.dst FROM r JOIN pairs e ON e.src = r.b), t AS (SELECT b AS path, count(*) AS n FROM r GROUP BY b), i AS (SELECT dst AS path, count(*) AS n FROM pairs GROUP BY dst), c AS (SELECT path, count(DISTINCT commit_sha) AS n FROM churn WHERE committed_at >= {NOW} - 90 * 86400 GROUP BY path), x AS (SELECT f.path, coalesce(i.n, 0) AS direct_dependents, coalesce(t.n, 0) AS transitive_dependents, coalesce(c.n, 0) AS churn_commits FROM files f LEFT JOIN i ON i.path = f.path LEFT JOIN t ON t.path = f.path LEFT JOIN c ON c.path = f.path), y AS (SELECT *, CASE WHEN (SELECT max(churn_commits) FROM x) > 0 THEN log2(transitive_dependents + 1) * log2(churn_commits + 1) ELSE log2(direct_dependents + 1) END AS s FROM x) SELECT path, direct_dependents, transitive_dependents, churn_commits, round(s, 6) AS score, CAST(CASE WHEN (SELECT max(s) FROM y) > 0 THEN round(100 * s / (SELECT max(s) FROM y)) ELSE 0 END AS BIGINT) AS normalized_score FROM y", churn=True)
+def _risk(g: Graph) -> DataFrame:
+    return metrics.risk(g.file_edges, g.files, g.churn, NOW).withColumn("score", F.round("score", 6))
+
+
+def most_changed(g: Graph) -> str:
+    row = metrics.in_window(g.churn, 365, NOW).groupBy("path").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "path").first()
+    return row[0] if row else ""
+
+
+@query("cochange", f", c AS (SELECT DISTINCT path, commit_sha FROM churn WHERE committed_at >= {NOW} - 365 * 86400), t AS (SELECT path AS p FROM c GROUP BY path ORDER BY count(*) DESC, path LIMIT 1), own AS (SELECT commit_sha FROM c WHERE path = (SELECT p FROM t)), s AS (SELECT path, count(*) AS n FROM c WHERE commit_sha IN (SELECT commit_sha FROM own) AND path <> (SELECT p FROM t) GROUP BY path), a AS (SELECT path, count(*) AS n FROM c GROUP BY path) SELECT s.path, s.n AS shared_commits, (SELECT count(*) FROM own) AS target_commits, a.n AS candidate_commits, round(s.n / (SELECT count(*) FROM own)::DOUBLE, 6) AS score, CAST(round(100 * s.n / (SELECT max(n) FROM s)::DOUBLE) AS BIGINT) AS normalized_score FROM s JOIN a ON a.path = s.path", churn=True)
+def _cochange(g: Graph) -> DataFrame:
+    return metrics.cochange(g.churn, most_changed(g), NOW, 365).withColumn("score", F.round("score", 6))
+
+
+@query("unused", " SELECT path, name, qualname, kind, visibility, start_line AS line, CAST(0 AS BIGINT) AS inbound_references FROM symbols s WHERE exported AND NOT EXISTS (SELECT 1 FROM calls c WHERE c.dst_path = s.path AND c.dst = s.qualname)")
+def _unused(g: Graph) -> DataFrame:
+    return metrics.unused(g.symbols, g.symbol_edges)
+
+
+@query("mirror", FANS + SRC_HUB + ", si AS (SELECT path, list(DISTINCT coalesce(resolved_path, raw_text)) AS v FROM (SELECT path, CASE WHEN import_path_kind = 'external' THEN coalesce(resolved_path, 'std') ELSE resolved_path END AS resolved_path, raw_text FROM imports) GROUP BY path), sk AS (SELECT path, list(DISTINCT replace(kind, '_', '')) AS k, count(*) AS n FROM symbols WHERE exported GROUP BY path), sig AS (SELECT f.*, coalesce(v, []) AS v, coalesce(k, []) AS k, coalesce(n, 0) AS n FROM fan f LEFT JOIN si ON si.path = f.path LEFT JOIN sk ON sk.path = f.path), t AS (SELECT * FROM sig WHERE path = (SELECT p FROM hub)), s AS (SELECT c.path, 0.45 * CASE WHEN len(c.v) + len(t.v) = 0 THEN 1.0 ELSE len(list_intersect(c.v, t.v))::DOUBLE / len(list_distinct(list_concat(c.v, t.v))) END + 0.25 * CASE WHEN len(c.k) + len(t.k) = 0 THEN 1.0 ELSE len(list_intersect(c.k, t.k))::DOUBLE / len(list_distinct(list_concat(c.k, t.k))) END + 0.15 * (1 - least(abs(c.fan_in - t.fan_in) + abs(c.fan_out - t.fan_out), 10) / 10.0::DOUBLE) + 0.15 * (1 - least(abs(c.n - t.n), 6) / 6.0::DOUBLE) AS score FROM sig c, t WHERE c.path <> t.path AND c.language = t.language) SELECT path, round(score, 6) AS score FROM s")
+def _mirror(g: Graph) -> DataFrame:
+    i = g.imports.withColumn("external_pkg", F.when(F.col("import_path_kind") == "external", "std"))
+    return similar.mirror(g.files, i, g.symbols, g.file_edges, hub(g)).select("path", F.round("score", 6).alias("score"))
+
+
+@query("caller_profiles", ", busyfile AS (SELECT dst_path AS p FROM calls GROUP BY dst_path ORDER BY count(*) DESC, dst_path LIMIT 1) SELECT s.qualname, s.kind, s.start_line AS line, coalesce((SELECT array_to_string(list_sort(list(DISTINCT src_path)), ',') FROM calls c WHERE c.dst_path = s.path AND c.dst = s.qualname), '') AS callers FROM symbols s WHERE s.path = (SELECT p FROM busyfile)")
+def _caller_profiles(g: Graph) -> DataFrame:
+    row = g.symbol_edges.groupBy("dst_path").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dst_path").first()
+    return similar.caller_profiles(g.symbols, g.symbol_edges, row[0] if row else "").select("qualname", "kind", "line", F.array_join("callers", ",").alias("callers"))
+
+
+# Two states to compare: the dense graph without some edges and symbols, and with all of them.
+BEFORE = ", before AS (SELECT src, dst, kind, CASE WHEN (s + d) % 13 = 0 THEN 'dynamic' ELSE certainty END AS certainty FROM edges WHERE (s * 3 + d) % 7 <> 0), after AS (SELECT src, dst, kind, certainty FROM edges WHERE (s + d * 5) % 11 <> 0)"
+
+
+def two_states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    g = load(spark, sf_dir, "g3")
+    key = lambda c: F.regexp_extract(c, r"part_(\d+)\.", 1).cast("long")
+    e = g.file_edges.withColumn("s", key("src")).withColumn("d", key("dst"))
+    before = e.where("(s * 3 + d) % 7 <> 0").withColumn("certainty", F.when((F.col("s") + F.col("d")) % 13 == 0, "dynamic").otherwise(F.col("certainty")))
+    return before.drop("s", "d"), e.where("(s + d * 5) % 11 <> 0").drop("s", "d")
+
+
+QUERIES["edge_diff"] = lambda spark, d: compare.edge_diff(*two_states(spark, d))
+ORACLES["edge_diff"] = oracle_prefix("g3") + BEFORE + " (SELECT *, 'added' AS change FROM (SELECT * FROM after EXCEPT SELECT * FROM before)) UNION ALL (SELECT *, 'removed' AS change FROM (SELECT * FROM before EXCEPT SELECT * FROM after))"
+QUERIES["centrality_delta"] = lambda spark, d: compare.centrality_delta(*two_states(spark, d))
+ORACLES["centrality_delta"] = oracle_prefix("g3") + BEFORE + ", b AS (SELECT dst, count(*) AS n FROM before WHERE kind = 'import' GROUP BY dst), a AS (SELECT dst, count(*) AS n FROM after WHERE kind = 'import' GROUP BY dst) SELECT a.dst AS path, coalesce(b.n, 0) AS before_fan_in, a.n AS after_fan_in, a.n - coalesce(b.n, 0) AS delta FROM a LEFT JOIN b ON b.dst = a.dst WHERE a.n > coalesce(b.n, 0)"
+QUERIES["violation_diff"] = lambda spark, d: compare.added(*[arch.arch_check(x, CONFIG) for x in two_states(spark, d)], ["from_file", "to_file", "message"])
+ORACLES["violation_diff"] = oracle_prefix("g3") + BEFORE + VIOLATION.replace("FROM edges)", "FROM before)") + ", lay2 AS (SELECT src AS from_file, dst AS to_file, " + LAYER_CASE.format(p="src") + " AS from_layer, " + LAYER_CASE.format(p="dst") + " AS to_layer FROM after) SELECT from_file, to_file, m AS message FROM lay2 JOIN rule ON f = from_layer AND t = to_layer EXCEPT SELECT from_file, to_file, m FROM lay JOIN rule ON f = from_layer AND t = to_layer"
+
+
+@query("surface_diff", ", b AS (SELECT kind || ':' || name AS identity, max((path, qualname, visibility, start_line)) AS x FROM symbols WHERE exported AND start_line % 7 <> 0 GROUP BY 1), a AS (SELECT kind || ':' || name AS identity, max((path, qualname, visibility, CASE WHEN start_line % 5 = 0 THEN start_line + 1 ELSE start_line END)) AS x FROM symbols WHERE exported AND start_line % 9 <> 0 GROUP BY 1) SELECT coalesce(a.identity, b.identity) AS identity, CASE WHEN b.identity IS NULL THEN 'added' WHEN a.identity IS NULL THEN 'removed' ELSE 'modified' END AS change FROM b FULL JOIN a ON a.identity = b.identity WHERE b.identity IS NULL OR a.identity IS NULL OR a.x <> b.x")
+def _surface_diff(g: Graph) -> DataFrame:
+    after = g.symbols.where("start_line % 9 <> 0").withColumn("start_line", F.when(F.col("start_line") % 5 == 0, F.col("start_line") + 1).otherwise(F.col("start_line")))
+    return compare.surface_diff(g.symbols.where("start_line % 7 <> 0"), after).select("identity", "change")
+
+
+@query("closure", ", r(a, b) AS (SELECT src, dst FROM edges UNION SELECT r.a, e.dst FROM r JOIN edges e ON e.src = r.b) SELECT a AS src, b AS dst FROM r")
+def _closure(g: Graph) -> DataFrame:
+    return kernels.closure(g.file_edges)
+
+
+@query("report", VIOLATION + ENTRY.replace(", imp AS (SELECT *", ", imp0 AS (SELECT *").replace("FROM imp)", "FROM imp0)") + SCC + ", s(n) AS (SELECT path FROM entries UNION SELECT e.dst FROM s JOIN imp e ON e.src = s.n), k AS (SELECT (SELECT count(*) FROM files) AS total_files, (SELECT count(*) FROM symbols) AS total_symbols, (SELECT count(*) FROM imports) AS total_imports, (SELECT count(*) FROM imports WHERE resolved_path IS NULL) AS unresolved_imports, (SELECT count(*) FROM files WHERE parse_status = 'error') AS parse_errors, (SELECT count(*) FROM lay JOIN rule ON f = from_layer AND t = to_layer) AS layer_violations, (SELECT count(DISTINCT comp) FROM m) AS cycles, (SELECT count(*) FROM files WHERE path NOT IN (SELECT n FROM s)) AS unreachable_files, (SELECT count(*) FROM symbols s WHERE exported AND NOT EXISTS (SELECT 1 FROM calls c WHERE c.dst_path = s.path AND c.dst = s.qualname)) AS unused_exports) SELECT *, round(100.0 * unresolved_imports / total_imports, 6)::DOUBLE AS imports_unresolved_pct, greatest(0.0, least(100.0, 100 - 12 * parse_errors - 8 * layer_violations - 8 * cycles - 2 * unreachable_files - unused_exports - 0.5 * (100.0 * unresolved_imports / total_imports)))::DOUBLE AS health_score FROM k")
+def _report(g: Graph) -> DataFrame:
+    row = report.report(g, CONFIG, NOW)
+    names = ["total_files", "total_symbols", "total_imports", "unresolved_imports", "parse_errors", "layer_violations", "cycles", "unreachable_files", "unused_exports"]
+    return row.select(*names, F.round("imports_unresolved_pct", 6).alias("imports_unresolved_pct"), "health_score")
