@@ -12,10 +12,11 @@ GATE_METRICS = (
 )
 
 # Usual test file patterns, and folder names that stand for a layer.
-TEST_PATTERNS = ["**/*.test.*", "**/*.spec.*", "**/tests/**", "**/__tests__/**", "**/*_test.*"]
+TEST_PATTERNS = ["**/*.test.*", "**/*.spec.*", "tests/**", "**/test_*.rs", "**/__tests__/**"]
+TEST_EXCLUDES = ["**/__mocks__/**"]
 LAYER_NAMES = {
-    "models": ["models", "model", "entities", "domain"], "services": ["services", "service"],
-    "routes": ["routes", "controllers", "handlers", "api"], "utils": ["utils", "util", "helpers", "shared", "lib"],
+    "routes": ["routes", "controllers", "views"], "middleware": ["middleware"], "services": ["services", "use-cases"],
+    "models": ["models", "entities", "domain"], "utils": ["utils", "helpers", "lib"], "config": ["config"],
 }
 
 
@@ -64,7 +65,7 @@ class Config:
     capabilities: list[Capability] = field(default_factory=list)
     gates: list[Gate] = field(default_factory=list)
     test_patterns: list[str] = field(default_factory=lambda: list(TEST_PATTERNS))
-    test_excludes: list[str] = field(default_factory=list)
+    test_excludes: list[str] = field(default_factory=lambda: list(TEST_EXCLUDES))
 
     def validate(self) -> Config:
         names = [x.name for x in self.layers]
@@ -96,7 +97,7 @@ def parse_config(text: str) -> Config:
         entry_points=[x["pattern"] for x in d.get("entry_point", [])],
         capabilities=[Capability(x["name"], x.get("pattern"), x.get("symbols", []), x.get("expected_callers", [])) for x in d.get("capability", [])],
         gates=[Gate(**x) for x in d.get("gate", [])],
-        test_patterns=tests.get("patterns", list(TEST_PATTERNS)), test_excludes=tests.get("exclude_patterns", []),
+        test_patterns=tests.get("patterns", list(TEST_PATTERNS)), test_excludes=tests.get("exclude_patterns", list(TEST_EXCLUDES)),
     ).validate()
 
 
