@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from cartograph.runtime import spool
 
@@ -102,17 +103,34 @@ def bfs_tree(edges: DataFrame, start: str, max_depth: int | None = None) -> Data
     return _union(done).where("distance > 0")
 
 
+def spread(values: DataFrame, edges: DataFrame, hops: int = 6) -> DataFrame:
+    """node, value: the least value among the nodes that reach each node, its own included.
+
+    ``hops`` joins are planned at once, so a fixed point takes a sixth of the tables that single levels would.
+    """
+    values = spool(values)
+    while True:
+        new = values
+        for _ in range(hops):
+            sent = new.join(edges, new["node"] == edges["src"]).select(F.col("dst").alias("node"), "value")
+            new = new.unionByName(sent).groupBy("node").agg(F.min("value").alias("value"))
+        new = spool(new)
+        same = new.withColumnRenamed("value", "v2").join(values, "node").where("v2 < value").isEmpty()
+        values = new
+        if same:
+            return values
+
+
 def scc(edges: DataFrame) -> DataFrame:
     """node, component: strongly connected components by colouring; components of one node are left out.
 
     Nodes without predecessors or successors are trimmed first. Then every node takes the least name that reaches it; the nodes of
     a colour that reach its root backwards are a component and leave the graph.
     """
-    from pyspark.sql.types import StringType, StructField, StructType
-
     spark = edges.sparkSession
     kind = edges.schema["src"].dataType
-    out: list[DataFrame] = [spark.createDataFrame([], StructType([StructField("node", kind or StringType()), StructField("component", kind or StringType())]))]
+    names = StructType([StructField("node", kind), StructField("component", kind)])
+    out: list[DataFrame] = [spark.createDataFrame([], names)]
     rest = spool(edges.select("src", "dst").where("src <> dst").distinct())
     n = rest.count()
     while n:
@@ -126,23 +144,12 @@ def scc(edges: DataFrame) -> DataFrame:
         if not n:
             break
         nodes = rest.select(F.col("src").alias("node")).distinct()
-        colour = spool(nodes.withColumn("colour", F.col("node")))
-        while True:
-            new = colour
-            for _ in range(4):  # hops planned at once
-                sent = new.join(rest, new["node"] == rest["src"]).select(F.col("dst").alias("node"), "colour")
-                new = new.unionByName(sent).groupBy("node").agg(F.min("colour").alias("colour"))
-            new = spool(new)
-            changed = new.withColumnRenamed("colour", "c2").join(colour, "node").where("c2 < colour")
-            stop = changed.isEmpty()
-            colour = new
-            if stop:
-                break
+        colour = spread(nodes.withColumn("value", F.col("node")), rest).withColumnRenamed("value", "colour")
         a, b = colour.select(F.col("node").alias("src"), F.col("colour").alias("ca")), colour.select(F.col("node").alias("dst"), F.col("colour").alias("cb"))
         inner = rest.join(a, "src").join(b, "dst").where("ca = cb")
-        back = inner.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        roots = colour.where("node = colour").select(F.col("colour").alias("seed"), "node")
-        found = spool(bfs(back, roots).select("node", F.col("seed").alias("component")))
+        back = spool(inner.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        marked = spread(colour.select("node", (F.col("node") != F.col("colour")).cast("int").alias("value")), back)
+        found = spool(marked.where("value = 0").join(colour, "node").select("node", F.col("colour").alias("component")))
         big = found.join(found.groupBy("component").agg(F.count("*").alias("size")).where("size > 1"), "component").select("node", "component")
         out.append(big)
         gone = found.select(F.col("node").alias("src"))
