@@ -1,0 +1,372 @@
+"""Every operator against a plain computation on small tables with nulls, blanks, long texts, ties and repeated rows."""
+
+import hashlib
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from cartograph.llm import chunks, decontaminate, licenses, linededup, mixing, neardup, pii, quality, simhash, suffix, tokens
+from cartograph.llm.components import components
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def prose(rng, n):
+    parts = ["the", "er", "on", "an", "ré", "he", "in", "ed", "nd", "ha", "at", "en", "ou", "ß"]
+    return " ".join("".join(rng.choice(parts) for _ in range(rng.randrange(1, 4))) for _ in range(n))
+
+
+def make_rows():
+    rng = random.Random(5)
+    base, shared = prose(rng, 120), prose(rng, 60)
+    rows = [(0, None), (1, ""), (2, " \n\t "), (3, "One."), (4, base), (5, base), (6, base.upper()), (7, prose(rng, 30) + "\n" + shared + "\n" + prose(rng, 20))]
+    rows += [(8, prose(rng, 40) + " " + shared + " " + prose(rng, 15)), (9, shared), (9, shared), (None, base), (None, None)]
+    words = base.split(" ")
+    for i in range(4):
+        w = list(words)
+        w[10 + 25 * i] = "changed"
+        rows.append((20 + i, " ".join(w)))
+    line = "This line of twenty and more characters is common."
+    rows += [(30 + i, f"{line}\n{prose(rng, 25)}\n  {line.upper()} \nshort\n{prose(rng, 12)}") for i in range(4)]
+    rows += [(40, "again and again we say it all the time " * 9), (41, "x" * 700), (42, prose(rng, 3000)), (43, "a | b | c | d\n" * 8 + prose(rng, 25)), (44, "*** $$$ ### " * 20)]
+    rows += [(45 + i, prose(rng, 10 + 7 * i)) for i in range(12)]
+    return rows
+
+
+ROWS = make_rows()
+SOURCES = ["s0", "s1", None]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, SOURCES[k % 3], f"x{k}", k) for k, (i, t) in enumerate(ROWS)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, n_words string, pos int").repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.limit(0)
+
+
+def table(df, *names):
+    """Rows as tuples, each as often as it occurs."""
+    return Counter(tuple(r[n] for n in names) for r in df.collect())
+
+
+def test_quality(docs, empty):
+    got = table(quality.quality(docs.select("doc_id", "text")), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    want = Counter()
+    for i, t in ROWS:
+        w = WORD.findall(t or "")
+        c = Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+        hit = {j for k in range(len(w) - 7) if c[tuple(w[k : k + 8])] > 1 for j in range(k, k + 8)}
+        full = [x for x in (t or "").split("\n") if WORD.search(x)]
+        want[i, len(w), sum(map(len, w)), sum(ch in "#*$%&|<>" for ch in t or ""), len(full) - len(set(full)), len(hit), len(w) < 20 or 100 * len(hit) > 30 * len(w)] += 1
+    assert got == want
+    kept = {r["doc_id"] for r in quality.quality(docs.select("doc_id", "text")).where("kept").collect()}
+    assert {4, 5, 7, 8, 42} <= kept and not kept & {0, 1, 40, 43, 44, 6}
+    assert quality.clean(docs).columns == docs.columns and quality.clean(empty).count() == 0
+
+
+def test_lines(docs, empty, spark):
+    got = table(linededup.dedup_lines(docs.select("doc_id", "text")).withColumn("k", F.coalesce("kept_text", F.lit(""))), "doc_id", "n_lines", "n_dropped", "k")
+    key = lambda x: x.strip(" \t\n\x0b\f\r").translate(LOWER)
+    rank = lambda i: -1 if i is None else i
+    holders = defaultdict(set)
+    for i, t in ROWS:
+        for x in (t or "").split("\n"):
+            holders[key(x)].add(rank(i))
+    want = Counter()
+    for i, t in ROWS:
+        lines = (t or "").split("\n")
+        keep = [x for x in lines if len(key(x)) < 20 or len(holders[key(x)]) < 3 or max(holders[key(x)]) == rank(i)]
+        want[i, len(lines), len(lines) - len(keep), "\n".join(keep)] += 1
+    assert got == want
+    assert linededup.clean(docs).columns == docs.columns and linededup.dedup_lines(empty).count() == 0
+    # More batches than a level holds, so that runs are compacted.
+    many = table(linededup.dedup_lines(docs.select("doc_id", "text"), batches=7).withColumn("k", F.coalesce("kept_text", F.lit(""))), "doc_id", "n_lines", "n_dropped", "k")
+    assert many == want
+
+
+def test_mix(docs, empty):
+    out = mixing.mix(docs).collect()
+    assert len(out) == len(ROWS)
+    size = lambda t: len(WORD.findall(t or ""))
+    total = Counter()
+    for k, (_, t) in enumerate(ROWS):
+        total[SOURCES[k % 3]] += size(t)
+    target = {s: 1.5 * sum(total.values()) * w / 6 for s, w in zip(["s0", "s1", None], (3, 1, 2), strict=True)}
+    while over := [s for s in target if target[s] > 2 * total[s] + 1e-9]:
+        spare = sum(target[s] - 2 * total[s] for s in over)
+        for s in over:
+            target[s] = 2 * total[s]
+        free = {s: w for s, w in zip(["s0", "s1", None], (3, 1, 2), strict=True) if target[s] < 2 * total[s] - 1e-9}
+        if not free:
+            break
+        for s, w in free.items():
+            target[s] += spare * w / sum(free.values())
+    taken = Counter()
+    for r in out:
+        assert r["source_size"] == total[r["source"]] and r["target"] == pytest.approx(target[r["source"]]) and 0 <= r["copies"] <= 2 and r["taken"] == r["copies"] * r["size"]
+        taken[r["source"]] += r["taken"]
+    assert all(abs(taken[s] - target[s]) <= 0.05 * target[s] + 5 for s in target)
+    again = Counter((r["doc_id"], r["size"], r["taken"]) for r in mixing.mix(docs).collect())
+    assert again == Counter((r["doc_id"], r["size"], r["taken"]) for r in out)
+    assert mixing.mix(empty).count() == 0
+
+
+def plain_fingerprint(t):
+    w = WORD.findall((t or "").translate(LOWER))
+    h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 3]).encode(), 42) for i in range(max(1, len(w) - 2))] if w else []
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_simhash(docs, empty):
+    fps = [plain_fingerprint(t) for _, t in ROWS]
+    root = list(range(len(ROWS)))
+    find = lambda x: x if root[x] == x else find(root[x])
+    for a in range(len(ROWS)):
+        for b in range(a):
+            if bin(fps[a] ^ fps[b]).count("1") <= 2:
+                root[find(a)] = find(b)
+    least = defaultdict(list)
+    for k, (i, _) in enumerate(ROWS):
+        least[find(k)] += [i] if i is not None else []
+    want = Counter((i, fps[k], min(least[find(k)], default=None)) for k, (i, _) in enumerate(ROWS))
+    got = Counter((r["doc_id"], r["fp"] % 2**64, r["component_id"]) for r in simhash.near_duplicates(docs).collect())
+    assert got == want
+    assert simhash.near_duplicates(empty).count() == 0
+
+
+def test_vantage_point_forest_links_what_brute_force_links():
+    rng = np.random.default_rng(2)
+    seeds = rng.integers(0, 2**63, 300).astype(np.uint64)
+    flips = np.uint64(1) << rng.integers(0, 64, (300, 6)).astype(np.uint64)
+    points = np.unique(np.concatenate([seeds, seeds ^ flips[:, 0], seeds ^ flips[:, 0] ^ flips[:, 1] ^ flips[:, 2], *[np.bitwise_xor.reduce(flips[:, :k], axis=1) for k in (4, 5)]]))
+
+    def parts(edges):
+        root = {int(p): int(p) for p in points}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in edges:
+            root[find(int(a))] = find(int(b))
+        groups = defaultdict(set)
+        for p in root:
+            groups[find(p)].add(p)
+        return {frozenset(g) for g in groups.values()}
+
+    brute = [(a, b) for i, a in enumerate(points) for b in points[np.flatnonzero(np.bitwise_count(points[:i] ^ a) <= 2)]]
+    assert parts(simhash.forest(points, 2, leaf=40)) == parts(brute)
+    nodes = simhash.grow(points, 60, 2)
+    shard, placed = simhash.route(points, nodes, 2)
+    assert parts([e for s in np.unique(shard) for e in simhash.forest(np.unique(placed[shard == s]), 2)]) == parts(brute)
+
+
+def test_components(spark):
+    rng = random.Random(4)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(20)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in root if find(x) != x}
+
+
+def test_tokens(docs, empty):
+    tokenizers, vocab = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
+    lib = tokenizers.Tokenizer.from_file(vocab.path("byte_bpe_50k.json"))
+    count = lambda t: len(lib.encode(t, add_special_tokens=False).ids)
+    got = table(tokens.count_tokens(docs, limit=100), "doc_id", "n_bytes", "n_tokens", "over_limit")
+    assert got == Counter((i, len((t or "").encode()), count(t or ""), count(t or "") > 100) for i, t in ROWS)
+    assert tokens.count_tokens(empty).count() == 0
+    c = tokens.counter("byte_bpe_50k.json")
+    rng = random.Random(6)
+    alphabet = "ab'sletrd <|>\n\t\x85\xa0 éß12½中文😀ࢢ\U0001e6c0-!?."
+    for _ in range(400):
+        s = "".join(rng.choice([rng.choice(alphabet), "<|endoftext|>", "'re"]) if rng.random() < 0.2 else rng.choice(alphabet) for _ in range(rng.randrange(30)))
+        assert c.count(s) == count(s), s
+    s = "it's a test  of   they're 'red!' <|endoftext|> done\n\n one  two"
+    p = tokens.PrefixCounts(c, s)
+    assert all(p.within(len(s[:k].encode())) == count(s[:k]) for k in range(len(s) + 1))
+    assert count(s[: p.longest(7)]) <= 7
+    stored = tokens.prefix_table(docs.where("doc_id = 4")).first()
+    assert stored["ends"][-1] == len(ROWS[4][1].encode()) and stored["counts"][-1] == count(ROWS[4][1])
+
+
+def test_licenses(spark, docs, empty):
+    notice = licenses.TEMPLATES["mit"][0]
+    broken = notice.replace("free of charge, ", "").replace("modify, merge", "change, merge")
+    rows = [(1, "Under the MIT License! and under the mit  license; Apache License, Version 2.0"), (2, prose(random.Random(1), 50) + " " + notice + " end"), (3, broken), (4, " ".join(notice.split()[:12])), (5, "cc by nc 4.0"), (6, None), (7, "")]
+    got = {r["doc_id"]: r for r in licenses.license_labels(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[1]["n_base"], got[1]["first_word"], got[1]["last_word"], got[1]["base_labels"]) == (3, 0, 9, "apache-2,mit")
+    assert (got[2]["labels"], got[2]["base_labels"], got[2]["score"]) == ("mit", "", 1.0)
+    assert got[3]["labels"] == "mit" and 0.8 <= got[3]["score"] < 1
+    assert got[4]["labels"] == "" and got[5]["labels"] == "cc-by-nc" and got[6]["n_words"] == got[7]["n_words"] == 0 and got[6]["first_word"] is None
+    plain = licenses.license_labels(docs)
+    assert plain.where("labels <> ''").count() == 0 and plain.count() == len(ROWS) and licenses.license_labels(empty).count() == 0
+
+
+def test_repeats(docs, empty, monkeypatch):
+    data = [(t or "").encode() for _, t in ROWS]
+    seen = Counter(t[s : s + 200] for t in data for s in range(len(t) - 199))
+    want = Counter()
+    for (i, _), t in zip(ROWS, data, strict=True):
+        gone = np.zeros(len(t), bool)
+        for s in range(len(t) - 199):
+            if seen[t[s : s + 200]] > 1:
+                gone[s : s + 200] = True
+        kept = np.frombuffer(t, np.uint8)[~gone].tobytes()
+        want[i, len(t), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), hashlib.sha256(kept).hexdigest()] += 1
+    names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert table(suffix.dedup_repeats(docs), *names) == want
+    monkeypatch.setattr(suffix, "HOT", 1)  # every anchor is counted window by window
+    assert table(suffix.dedup_repeats(docs), *names) == want
+    assert suffix.dedup_repeats(empty).count() == 0
+
+
+def test_suffix_mergesort_orders_suffixes():
+    rng = random.Random(3)
+    texts = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(40, 400))) for _ in range(50)]
+    left = np.array([rng.randrange(0, min(suffix.REACH, len(t) - 32)) for t in texts])
+    bodies = [t[: int(a) + suffix.LENGTH] for t, a in zip(texts, left, strict=True)]
+    c = suffix.Contexts(left.astype(np.int64), bodies)
+    order = c.mergesort().tolist()
+    key = lambda i: (bodies[i][left[i] :], i)
+    assert order == sorted(range(len(bodies)), key=key)
+
+
+def test_leaks(spark, docs, empty):
+    rng = random.Random(8)
+    items = [(k, prose(rng, 30)) for k in range(6)] + [(6, "four words stand here"), (7, None), (8, "")]
+    words = items[2][1].split()
+    words[3] = "other"
+    near, far = " ".join(words), " ".join(words[:12])
+    rows = [(1, prose(rng, 50) + " " + items[0][1].upper() + ". " + prose(rng, 9)), (2, near), (3, far), (4, "so four words, stand here now"), (5, prose(rng, 200)), (6, None), (7, ""), (1, items[1][1])]
+    d = spark.createDataFrame([(*r, f"c{r[0]}") for r in rows], "doc_id long, text string, item_id string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = table(decontaminate.leaks(d, bench), "doc_id", "item_id")
+    index = decontaminate.Index([x for x in items if x[1]], 0.8)
+
+    def brute(text):
+        w, out = licenses.split_words((text or "").encode()), set()
+        for k, (i, t) in enumerate([x for x in items if x[1]]):
+            mine = licenses.split_words(t.encode())
+            n = min(len(mine), len(w))
+            for s in range(len(w) - n + 1):
+                ids = np.array([index.vocab.get(x, -1) for x in w[s : s + n]])
+                keys = decontaminate.shingle_keys(ids, min(decontaminate.WIDTH, len(mine)))
+                if len(keys) and index.similarity(Counter(keys.tolist()), k) >= 0.8 and (len(mine) >= 5 or n == len(mine)):
+                    out.add(i)
+        return out
+
+    assert got == Counter((i, k) for i, t in rows for k in brute(t))
+    assert (1, 0) in got and (4, 6) in got and not any(i in (3, 5) for i, _ in got)
+    kept = decontaminate.clean(d, bench)
+    assert kept.columns == d.columns and Counter(r["doc_id"] for r in kept.collect()) == Counter(i for i, t in rows if not brute(t))
+    assert decontaminate.leaks(docs, bench.limit(0)).count() == 0 and decontaminate.clean(empty.select("doc_id", "text"), bench).count() == 0
+
+
+def plain_spans(t):
+    out = []
+    for k, p in enumerate((r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")):
+        for m in re.finditer(p, t):
+            d = re.sub("[^0-9]", "", m.group())
+            ok = [True, all(int(x) <= 255 for x in m.group().split(".")) if k == 1 else True, 13 <= len(d) <= 19 and pii.luhn(d), 9 <= len(d) <= 15][k]
+            out += [(k, m.start(), m.end())] if ok else []
+    return out
+
+
+def test_personal_data(spark, empty):
+    rng = random.Random(9)
+    for _ in range(3000):
+        s = "".join(rng.choice("ab.@-+ 019(é%") for _ in range(rng.randrange(30)))
+        assert pii.base_spans(s) == plain_spans(s), s
+    text = "é Call +1 (988) 555-2485 or (312) 555-0147 today. Mail a.b@c.de, 10.0.0.255, 4532015112830366, or 123-45-6789.\n" + prose(rng, 40)
+    rows = [(1, text), (2, prose(rng, 80)), (3, None), (4, ""), (5, "x" * 5000 + " 1.2.3.4 " + "9" * 500)]
+    got = {r["doc_id"]: r for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[1]["n_email"], got[1]["n_ip"], got[1]["n_card"], got[1]["n_phone"]) == (1, 1, 1, 1)
+    base = got[1]["base"].split(",")
+    assert set(base) <= set(got[1]["spans"].split(",")) and f"ssn:{text.index('123-45')}:{text.index('123-45') + 11}" in got[1]["spans"]
+    assert got[2]["spans"] == got[3]["spans"] == got[4]["spans"] == "" and got[5]["base"] == "ip:5001:5008"
+    assert pii.find_pii(empty).count() == 0
+
+
+def test_tagger_on_held_out_examples():
+    x, y = pii.examples(300, 99)
+    p = pii.train().decode(x)
+    assert (p == y)[y > 0].mean() > 0.9 and (p == y)[y == 0].mean() > 0.99
+    small = pii.Tagger(3)
+    small.p = {k: v.astype(np.float64) for k, v in small.p.items()}
+    _, grad = small.gradients(x[:3], y[:3])
+    for k in ("xf", "hb", "out", "move", "start"):
+        at = tuple(np.array(small.p[k].shape) // 3)
+        change = []
+        for step in (1e-4, -2e-4):
+            small.p[k][at] += step
+            change.append(small.gradients(x[:3], y[:3])[0])
+        small.p[k][at] += 1e-4
+        assert (change[0] - change[1]) / 2e-4 * pii.WINDOW == pytest.approx(grad[k][at], rel=0.05, abs=1e-3)
+
+
+def test_chunks(docs, empty):
+    out = {(r["doc_id"], r["n_bytes"]): r for r in chunks.dedup_substrings(docs).collect()}
+    for (i, n), r in out.items():
+        assert len(r["kept"]) == n - r["n_removed"], i
+    base = len(ROWS[4][1].encode())
+    assert out[5, base]["n_removed"] > 0.7 * base and out[5, base]["with_doc"] is None or out[5, base]["n_removed"] > 0.7 * base
+    assert out[8, len(ROWS[8][1].encode())]["n_shared"] > 0 and out[42, len(ROWS[42][1].encode())]["n_removed"] == 0
+    assert chunks.dedup_substrings(empty).count() == 0
+    text = ROWS[42][1].encode()
+    a, b = chunks.cuts(text), chunks.cuts(b"inserted at the start " + text)
+    assert len(set(a.tolist()) & set((b - 22).tolist())) > 0.9 * len(a)
+    assert a[0] == 0 and a[-1] == len(text) and np.diff(a).max() <= chunks.MAX + 3
+    assert b"".join(text[x:y] for x, y in zip(a, a[1:], strict=False)) == text
+
+
+def test_near_duplicate_stage(docs, empty):
+    kept = neardup.clean(docs)
+    assert kept.columns == docs.columns and neardup.clean(empty).count() == 0
+    sets = []
+    for _, t in ROWS:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    root = list(range(len(ROWS)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(ROWS)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                root[find(a)] = find(b)
+    groups = defaultdict(list)
+    for k, (i, _) in enumerate(ROWS):
+        groups[find(k)].append(-1 if i is None else i)
+    assert Counter(-1 if r["doc_id"] is None else r["doc_id"] for r in kept.collect()) == Counter(min(g) for g in groups.values())
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    n = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+    assert 0 < out.count() < n and {"doc_id", "taken"} <= set(out.columns)
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["quality rules", "line dedup", "SimHash near-dedup", "benchmark decontamination", "source mix"]
