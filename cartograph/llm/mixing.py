@@ -27,7 +27,7 @@ from cartograph.llm.expr import n_words
 from cartograph.runtime import spool
 
 WEIGHTS = (3.0, 1.0, 2.0)
-SALT_ROWS = 4096
+SALT_ROWS = 256
 
 
 def cell_table(docs: DataFrame, text: str, source: str) -> tuple[DataFrame, DataFrame]:

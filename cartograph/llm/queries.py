@@ -68,4 +68,27 @@ QUERIES = {
     "op6_quality": op6_quality, "op7_leaks": op7_leaks, "op8_pii": op8_pii, "op9_chunks": op9_chunks, "op10_lines": op10_lines,
 }
 
-ORACLES: dict[str, str] = {}
+BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+SYMBOL_COUNT = "length(regexp_replace({x}, '[^#*$%&|<>]', '', 'g'))"
+
+ORACLES: dict[str, str] = {
+    "op10_lines": f"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+k AS (SELECT *, translate(trim(line, {BLANKS}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+f AS (SELECT key, max(doc_id) AS owner FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+m AS (SELECT k.*, f.key IS NOT NULL AND f.owner <> k.doc_id AS gone FROM k LEFT JOIN f ON f.key = k.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id""",
+    "op6_quality": f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d)),
+r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS c FROM g) WHERE c > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM r, range(0, 8) x(j) GROUP BY doc_id),
+l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
+full_lines AS (SELECT doc_id, line, length(line) AS n, length(regexp_replace(line, '[^A-Z]', '', 'g')) AS up, length(regexp_replace(line, '[^a-z]', '', 'g')) AS low FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+judged AS (SELECT *, {SYMBOL_COUNT.format(x="line")} > 0.1 * n OR length(regexp_replace(line, '[^|»›•]', '', 'g')) >= 3 OR (up + low >= 20 AND up > 0.7 * (up + low))
+  OR regexp_matches(lower(line), '{"|".join(quality.BOILERPLATE)}') OR (n > 400 AND NOT regexp_matches(line, '[.!?:;。！？]')) AS bad FROM full_lines),
+lost AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dup, count(*) FILTER (bad) AS n, coalesce(sum(length(regexp_replace(line, '[\\x20\\x09-\\x0D]', '', 'g'))) FILTER (bad), 0) AS c FROM judged GROUP BY doc_id),
+m AS (SELECT d.doc_id, len(w) AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars, {SYMBOL_COUNT.format(x="t")} AS n_symbols, coalesce(dup, 0) AS n_dup_lines,
+  coalesce(rep.n, 0) AS n_repeat_words, coalesce(lost.n, 0) AS n_lost_lines, CAST(coalesce(lost.c, 0) AS BIGINT) AS lost_chars FROM d LEFT JOIN rep ON rep.doc_id = d.doc_id LEFT JOIN lost ON lost.doc_id = d.doc_id)
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND lost_chars <= 0.3 * word_chars AS kept FROM m""",
+}

@@ -157,7 +157,9 @@ def links(points: DataFrame, radius: int = 2, sample: int = SAMPLE, shard: int =
     spark = points.sparkSession
     n = points.count()
     drawn = points.orderBy(F.xxhash64("fp"), "fp").limit(sample).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
-    nodes = spark.sparkContext.broadcast(grow(drawn, max(16, shard * len(drawn) // max(n, 1)), radius))
+    tree = grow(drawn, max(16, shard * len(drawn) // max(n, 1)), radius)
+    leaves = sum(mu < 0 for _, mu, _, _ in tree)
+    nodes = spark.sparkContext.broadcast(tree)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -168,7 +170,8 @@ def links(points: DataFrame, radius: int = 2, sample: int = SAMPLE, shard: int =
         p = np.unique(pdf["fp"].to_numpy(np.int64).view(np.uint64))
         return pd.DataFrame(forest(p, radius).view(np.int64), columns=["a", "b"])
 
-    placed = points.select("fp").mapInArrow(place, "shard int, fp long")
+    # A shard is few bytes and much work: one task each, which adaptive execution would merge by size otherwise.
+    placed = points.select("fp").mapInArrow(place, "shard int, fp long").repartition(leaves, "shard")
     return placed.groupBy("shard").applyInPandas(search, "a long, b long").where("a <> b").distinct()
 
 
