@@ -27,7 +27,7 @@ def run(g: Graph, config: Config, args: argparse.Namespace, now: int) -> tuple[o
     """(result, exit code) of one command."""
     c, t = args.command, args.target
     frames = {
-        "deps": lambda: direct.deps_transitive(g.file_edges, t, args.depth, args.reverse).orderBy("place") if args.transitive else direct.deps(g.file_edges, g.imports, t, args.reverse).orderBy("path"),
+        "deps": lambda: direct.deps_transitive(g.file_edges, t, args.depth, args.reverse).orderBy("distance", "place") if args.transitive else direct.deps(g.file_edges, g.imports, t, args.reverse).orderBy("path"),
         "symbols": lambda: direct.symbols_of(g.symbols, t).orderBy("start_line", "name"),
         "surface": lambda: direct.surface(g.symbols, t).orderBy("line", "qualname"),
         "impact": lambda: impact.impact(g.symbols, g.symbol_edges, g.file_edges, t, args.change_type, args.depth).orderBy("distance", "path", "qualname"),

@@ -18,7 +18,7 @@ def deps(file_edges: DataFrame, imports: DataFrame, path: str, reverse: bool = F
 
 
 def deps_transitive(file_edges: DataFrame, path: str, depth: int | None = None, reverse: bool = False) -> DataFrame:
-    """path, parent, distance, place: each reached file once, in breadth-first order (place)."""
+    """path, parent, distance, place: each reached file once; (distance, place) is the breadth-first order."""
     e = file_edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if reverse else file_edges.select("src", "dst")
     return bfs_tree(e, path, depth).where(F.col("node") != path).select(F.col("node").alias("path"), "parent", "distance", "place")
 

@@ -13,6 +13,7 @@ from cartograph.operators.compare import surface_diff
 from cartograph.operators.cycles import cycles
 from cartograph.operators.entry import unreachable
 from cartograph.operators.metrics import stability, unused
+from cartograph.plans.kernels import reach
 from cartograph.sources.dataset import Graph
 
 METRICS = (
@@ -48,6 +49,51 @@ def report(graph: Graph, config: Config, now: int, baseline_symbols: DataFrame |
     return row.withColumn("health_score", health_score())
 
 
+def baseline(graph: Graph, config: Config) -> DataFrame:
+    """The report row of a stored state, from its graph alone.
+
+    It differs from a live report on purpose: instability counts all edges, roots need no outgoing edge, unresolved means import
+    edges that are not exact, and parse errors and removed surface are zero.
+    """
+    g = graph
+    imports = g.file_edges.where("kind = 'import'")
+    roots = g.files.join(imports.select(F.col("dst").alias("path")), "path", "left_anti").select(F.col("path").alias("node"))
+    seen = reach(imports.select("src", "dst"), roots).select(F.col("node").alias("path"))
+    every = stability(g.file_edges.withColumn("kind", F.lit("import")), g.files)
+    parts = [
+        g.files.agg(F.count("*").alias("total_files")), g.symbols.agg(F.count("*").alias("total_symbols")),
+        imports.agg(F.count("*").alias("total_imports"), F.count_if(F.col("certainty") != "exact").alias("unresolved_imports")),
+        arch_check(g.file_edges, config).agg(F.count("*").alias("layer_violations")), cycles(g.file_edges).agg(F.count("*").alias("cycles")),
+        every.agg(F.avg("instability").alias("avg_instability")), stability(g.file_edges, g.files).agg(F.max("fan_in").alias("max_file_fan_in")),
+        g.files.join(seen, "path", "left_anti").agg(F.count("*").alias("unreachable_files")), unused(g.symbols, g.symbol_edges).agg(F.count("*").alias("unused_exports")),
+    ]
+    row = parts[0]
+    for p in parts[1:]:
+        row = row.crossJoin(p)
+    zero = F.lit(0).cast("long")
+    share = F.when(F.col("total_imports") == 0, 0.0).otherwise(100 * F.col("unresolved_imports") / F.col("total_imports"))
+    row = row.withColumns({"parse_errors": zero, "public_surface_removed": zero, "imports_unresolved_pct": share})
+    return row.withColumn("imports_resolved_pct", F.when(F.col("total_imports") == 0, 0.0).otherwise(100 - F.col("imports_unresolved_pct"))).withColumn("health_score", health_score())
+
+
+def comparison(current: dict, base: dict) -> dict:
+    """What has changed since a baseline row, metric by metric."""
+    names = ("health_score", "layer_violations", "cycles", "unreachable_files", "public_surface_removed")
+    return {f"baseline_{n}": base[n] for n in names} | {f"{n}_delta": current[n] - base[n] for n in names}
+
+
+def recommendations(metrics: dict, compared: dict | None = None) -> list[str]:
+    """Advice for the metrics that are off."""
+    texts = {
+        "parse_errors": "fix the parse errors before relying on deeper analysis", "layer_violations": "remove the imports that break layer rules", "cycles": "break the dependency cycles",
+        "unreachable_files": "look at the unreachable files for dead code or missing entry points", "public_surface_removed": "look at the removed public symbols before landing the change",
+    }
+    out = [f"{metrics[k]} {k}: {t}" for k, t in texts.items() if metrics[k] > 0]
+    if compared and compared["health_score_delta"] < 0:
+        out.append(f"health score fell by {-compared['health_score_delta']:.1f} points")
+    return out or ["all metrics are within their usual bounds"]
+
+
 def health_score():
     c = F.col
     score = (

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -81,24 +81,20 @@ def emit_edges(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
 def bfs_tree(edges: DataFrame, start: str, max_depth: int | None = None) -> DataFrame:
     """node, parent, distance, place, trail: breadth-first order with ties by name; the start is left out.
 
-    place is the rank in visiting order; trail is the path from the start. A node's parent is the first visited
-    among its possible parents, as a queue would have it.
+    (distance, place) is the visiting order; trail is the path from the start. A node's parent is the first visited
+    among its possible parents, as a queue would have it. Places come from a distributed sort, so they rise but have gaps.
     """
     spark = edges.sparkSession
     edges = spool(edges.select("src", "dst").distinct())
-    level = spark.createDataFrame([(start, None, 0, 0, [start])], "node string, parent string, distance int, place long, trail array<string>")
-    done, depth, total = [spool(level)], 0, 1
-    level = done[0]
+    level = spool(spark.createDataFrame([(start, None, 0, 0, [start])], "node string, parent string, distance int, place long, trail array<string>"))
+    done, depth = [level], 0
     while max_depth is None or depth < max_depth:
         depth += 1
         step = level.join(edges, level["node"] == edges["src"]).groupBy(F.col("dst").alias("node")).agg(F.min(F.struct("place", F.col("node").alias("parent"), "trail")).alias("via"))
-        fresh = step.join(_union(done).select("node"), "node", "left_anti")
-        place = F.row_number().over(Window.orderBy("via.place", "node")) + F.lit(total - 1)
-        level = spool(fresh.select("node", F.col("via.parent").alias("parent"), F.lit(depth).alias("distance"), place.cast("long").alias("place"), F.concat(F.col("via.trail"), F.array("node")).alias("trail")))
-        n = level.count()
-        if not n:
+        fresh = step.join(_union(done).select("node"), "node", "left_anti").orderBy("via.place", "node")
+        level = spool(fresh.select("node", F.col("via.parent").alias("parent"), F.lit(depth).alias("distance"), F.monotonically_increasing_id().alias("place"), F.concat(F.col("via.trail"), F.array("node")).alias("trail")))
+        if level.isEmpty():
             break
-        total += n
         done.append(level)
     return _union(done).where("distance > 0")
 

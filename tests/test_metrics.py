@@ -6,8 +6,9 @@ import duckdb
 import pytest
 
 from cartograph.config import Config, Layer, Rule
-from cartograph.operators import arch, compare, cycles, entry, impact, metrics, similar
+from cartograph.operators import arch, compare, cycles, entry, impact, metrics, report, similar
 from cartograph.plans import catalog
+from cartograph.sources.dataset import Graph
 
 SF = "/root/testdata/sf0.001"
 
@@ -63,6 +64,22 @@ def test_differences_and_extraction(spark):
     assert [c["members"] for c in similar.split(symbols, calls, "b", 2)] == [["b::f"], ["b::g"]]
 
 
+def test_simulation_and_baseline(spark):
+    e = edges(spark, [("a", "b", "import", "exact"), ("b", "a", "import", "exact")])
+    symbols = spark.createDataFrame([("b", "f", "b::f", "function", "public", True, 1)], "path string, name string, qualname string, kind string, visibility string, exported boolean, start_line int")
+    calls = spark.createDataFrame([("a", "a::x", "b", "b::f", "exact", 3)], "src_path string, src string, dst_path string, dst string, certainty string, call_line int")
+    imports = spark.createDataFrame([("a", "use b", "b")], "path string, raw_text string, resolved_path string")
+    g = Graph(files(spark, "a", "b"), imports, e, symbols, calls, None)
+    got = compare.simulate_extract(g, Config(), ["f"], "b", "n")
+    assert got["cycles"] == (1, 1) and got["recommendation"] == "low_confidence"
+    assert rows(got["edges"], "change", "src", "dst") == [("added", "a", "n"), ("added", "b", "n")]
+    assert [compare.recommend(*x) for x in ((True, 1, 1, 0, 0, False), (False, 1, 2, 0, 0, False), (False, 1, 1, 0, 0, False))] == ["high_value", "risky", "neutral"]
+    row = report.baseline(g, Config()).first().asDict()
+    assert (row["cycles"], row["unreachable_files"], row["health_score"]) == (1, 2, 88.0)
+    assert report.comparison({**row, "health_score": 80.0}, row)["health_score_delta"] == -8.0
+    assert report.recommendations(row)[0].startswith("1 cycles")
+
+
 @pytest.mark.parametrize("name", ["deps", "impact", "arch_check", "stability", "risk", "cochange", "surface_diff", "tree"])
 def test_catalogue_against_duckdb(spark, name):
     db = duckdb.connect()
