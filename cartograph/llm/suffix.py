@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,6 +108,22 @@ def anchor_table(docs: DataFrame, text: str) -> DataFrame:
     return rows.mapInArrow(run, f"_id {kind}, _tx int, n_bytes long, sha binary, pos array<int>, h array<long>")
 
 
+def packed(docs: DataFrame, text: str) -> DataFrame:
+    """_id, _tx, t: the texts compressed, as they are shuffled up to three times."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([pack(t or b"") for t in b.column(2).to_pylist()], pa.binary())], ["_id", "_tx", "t"])
+
+    return docs.select(*row_key(text=text), F.col(text).cast("binary")).mapInArrow(run, f"_id {kind}, _tx int, t binary")
+
+
+def unpack(texts: pa.Array) -> list[bytes]:
+    return list(map(zstandard.ZstdDecompressor().decompress, texts.to_pylist()))
+
+
 def context(text: bytes, at: int) -> tuple[int, bytes]:
     """(bytes before the anchor, context)."""
     left = min(REACH, at)
@@ -123,7 +140,7 @@ def context_table(work: DataFrame, kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             row, pos, left, size, grams, digests = [], [], [], [], [], []
-            for i, (t, at) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+            for i, (t, at) in enumerate(zip(unpack(b.column(2)), b.column(3).to_pylist(), strict=True)):
                 for a in at:
                     before, body = context(t, a)
                     row.append(i)
@@ -300,8 +317,7 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Data
     each = table.select("_id", "_tx", F.explode(F.arrays_zip("pos", "h")).alias("a")).select("_id", "_tx", F.col("a.pos").alias("pos"), F.col("a.h").alias("h"))
     twice = each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     listed = each.join(twice, "h", "left_semi").groupBy("_id", "_tx").agg(F.array_sort(F.collect_set("pos")).alias("at"))
-    rows = docs.select(*row_key(text=text), F.col(text).cast("binary").alias("t"))
-    work = spool(attach(rows, listed, "inner", "shuffle_hash").select("_id", "_tx", "t", "at"))
+    work = spool(attach(packed(docs, text), listed, "inner", "shuffle_hash").select("_id", "_tx", "t", "at"))
     contexts = spool(context_table(work, kind))
 
     group = contexts.groupBy("h", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("_id", "_tx", "pos")).alias("r"))
@@ -315,7 +331,7 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Data
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             left, body, ms, grams = [], [], [], []
-            for t, at, m in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+            for t, at, m in zip(unpack(b.column(2)), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
                 for a in at:
                     x, y = context(t, a)
                     left.append(x)
@@ -351,7 +367,7 @@ def dedup_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            t, x, y = (b.column(i).to_pylist() for i in (2, 3, 4))
+            t, x, y = unpack(b.column(2)), b.column(3).to_pylist(), b.column(4).to_pylist()
             out = [(len(d), *cut(d, list(zip(p, q, strict=True)))) for d, p, q in zip(t, x, y, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array([n - len(k) for n, k, _ in out], pa.int64()), pa.array([r for *_, r in out], pa.int64()), pa.array([k for _, k, _ in out], pa.binary()), pa.array([hashlib.sha256(k).digest() for _, k, _ in out], pa.binary())],
