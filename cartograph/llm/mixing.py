@@ -112,17 +112,26 @@ def copies(cells: DataFrame, dual: DataFrame, limit: float = 2.0) -> DataFrame:
     at = cells.join(dual.select(F.col("src").alias("s2"), "mean", "a", "b", "free", "share"), F.col("src").eqNullSafe(F.col("s2"))).drop("s2")
     free = tilted(F.col("a") + F.col("b") * F.col("size") / F.col("mean"), limit)
     rate = F.when(F.col("size") == 0, 1.0).when(F.col("free"), free).when(F.col("share") > 0, F.lit(limit)).otherwise(0.0)
-    falling = F.sort_array(F.collect_list(F.struct("size", "n", rate.alias("rate"))), asc=False)
-    start = F.struct(F.lit(0.0).alias("short"), F.array().cast("array<bigint>").alias("ks"))
+    weight = F.col("n") * F.col("size")
+    # Words that the cells still to come could take more, or less, than their rates say.
+    listed = at.withColumn("rate", rate).groupBy("src").agg(
+        F.sort_array(F.collect_list(F.struct("size", "n", "rate")), asc=False).alias("cells"),
+        F.sum((limit - F.col("rate")) * weight).alias("more"), F.sum(F.col("rate") * weight).alias("less"),
+    )
+    start = F.struct(F.lit(0.0).alias("short"), F.col("more"), F.col("less"), F.array().cast("array<bigint>").alias("ks"))
 
     def visit(acc, cell):
         size = F.greatest(cell["size"], F.lit(1))
-        want = F.when(cell["size"] == 0, cell["n"] * 1.0).otherwise(cell["rate"] * cell["n"] + acc["short"] / size)
-        k = F.least(F.greatest(F.round(want), F.lit(0.0)), F.floor(cell["n"] * limit)).cast("long")
-        short = acc["short"] + (cell["rate"] * cell["n"] - k) * cell["size"]
-        return F.struct(short.alias("short"), F.concat(acc["ks"], F.array(k)).alias("ks"))
-
-    listed = at.groupBy("src").agg(falling.alias("cells")).withColumn("ks", F.aggregate("cells", start, visit)["ks"])
+        own = cell["rate"] * cell["n"]
+        more, less = acc["more"] - (limit - cell["rate"]) * cell["n"] * cell["size"], acc["less"] - own * cell["size"]
+        due = own + acc["short"] / size
+        low, high = F.ceil(due - more / size - 1e-6).cast("double"), F.floor(due + less / size + 1e-6).cast("double")
+        want = F.when(cell["size"] == 0, cell["n"] * 1.0).when(low <= high, F.greatest(low, F.least(high, F.round(due)))).otherwise(F.round(due))
+        k = F.least(F.greatest(want, F.lit(0.0)), F.floor(cell["n"] * limit)).cast("long")
+        short = acc["short"] + (own - k) * cell["size"]
+        return F.struct(short.alias("short"), more.alias("more"), less.alias("less"), F.concat(acc["ks"], F.array(k)).alias("ks"))
+
+    listed = listed.withColumn("ks", F.aggregate("cells", start, visit)["ks"])
     return listed.select("src", F.explode(F.arrays_zip("cells", "ks")).alias("z")).select("src", F.col("z.cells.size").alias("size"), F.col("z.cells.n").alias("n"), F.col("z.ks").alias("k"))
 
 

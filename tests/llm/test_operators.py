@@ -19,7 +19,8 @@ LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def prose(rng, n):
     parts = ["the", "er", "on", "an", "ré", "he", "in", "ed", "nd", "ha", "at", "en", "ou", "ß"]
-    return " ".join("".join(rng.choice(parts) for _ in range(rng.randrange(1, 4))) for _ in range(n))
+    words = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 4))) for _ in range(n)]
+    return " ".join(w + "." if i % 9 == 8 else w for i, w in enumerate(words))
 
 
 def make_rows():
@@ -115,7 +116,8 @@ def test_mix(docs, empty):
     for r in out:
         assert r["source_size"] == total[r["source"]] and r["target"] == pytest.approx(target[r["source"]]) and 0 <= r["copies"] <= 2 and r["taken"] == r["copies"] * r["size"]
         taken[r["source"]] += r["taken"]
-    assert all(abs(taken[s] - target[s]) <= 0.05 * target[s] + 5 for s in target)
+    # The null source holds one document of 3000 words: no choice of whole copies comes nearer than 4506 to 4838.5.
+    assert all(abs(taken[s] - target[s]) <= (333 if s is None else 1) for s in target)
     again = Counter((r["doc_id"], r["size"], r["taken"]) for r in mixing.mix(docs).collect())
     assert again == Counter((r["doc_id"], r["size"], r["taken"]) for r in out)
     assert mixing.mix(empty).count() == 0
@@ -329,7 +331,7 @@ def test_chunks(docs, empty):
     for (i, n), r in out.items():
         assert len(r["kept"]) == n - r["n_removed"], i
     base = len(ROWS[4][1].encode())
-    assert out[5, base]["n_removed"] > 0.7 * base and out[5, base]["with_doc"] is None or out[5, base]["n_removed"] > 0.7 * base
+    assert out[5, base]["n_removed"] > 0.7 * base
     assert out[8, len(ROWS[8][1].encode())]["n_shared"] > 0 and out[42, len(ROWS[42][1].encode())]["n_removed"] == 0
     assert chunks.dedup_substrings(empty).count() == 0
     text = ROWS[42][1].encode()
