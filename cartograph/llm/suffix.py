@@ -315,14 +315,15 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Data
     kind = docs.schema["doc_id"].dataType.simpleString()
     table = spool(anchor_table(docs, text))
     each = table.select("_id", "_tx", F.explode(F.arrays_zip("pos", "h")).alias("a")).select("_id", "_tx", F.col("a.pos").alias("pos"), F.col("a.h").alias("h"))
-    twice = each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # Written first, so that the join below has a plain exchange on either side and its hot keys can be split.
+    twice = spool(each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     listed = each.join(twice, "h", "left_semi").groupBy("_id", "_tx").agg(F.array_sort(F.collect_set("pos")).alias("at"))
     work = spool(attach(packed(docs, text), listed, "inner", "shuffle_hash").select("_id", "_tx", "t", "at"))
     contexts = spool(context_table(work, kind))
 
     group = contexts.groupBy("h", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("_id", "_tx", "pos")).alias("r"))
     group = spool(group)
-    several = group.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
+    several = spool(group.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"))
     chosen = group.join(several, "h").select(F.col("r._id").alias("_id"), F.col("r._tx").alias("_tx"), F.col("r.pos").alias("pos"), "m")
     wanted = chosen.groupBy("_id", "_tx").agg(F.array_sort(F.collect_set(F.struct("pos", "m"))).alias("want"))
     # Rows that share a key share their text: either of them shows the contexts.
