@@ -102,14 +102,15 @@ def bfs_tree(edges: DataFrame, start: str, max_depth: int | None = None) -> Data
 def spread(values: DataFrame, edges: DataFrame, hops: int = 6) -> DataFrame:
     """node, value: the least value among the nodes that reach each node, its own included.
 
-    ``hops`` joins are planned at once, so a fixed point takes a sixth of the tables that single levels would.
+    ``hops`` joins are planned at once, so a fixed point takes a sixth of the tables that single levels would. Every node
+    has an edge to itself for the time, so that a hop uses the last one's result only once.
     """
     values = spool(values)
+    edges = spool(edges.select("src", "dst").unionByName(values.select(F.col("node").alias("src"), F.col("node").alias("dst"))))
     while True:
         new = values
         for _ in range(hops):
-            sent = new.join(edges, new["node"] == edges["src"]).select(F.col("dst").alias("node"), "value")
-            new = new.unionByName(sent).groupBy("node").agg(F.min("value").alias("value"))
+            new = new.join(edges, new["node"] == edges["src"]).groupBy(F.col("dst").alias("node")).agg(F.min("value").alias("value"))
         new = spool(new)
         same = new.withColumnRenamed("value", "v2").join(values, "node").where("v2 < value").isEmpty()
         values = new
