@@ -14,8 +14,8 @@ at most SALT_ROWS documents on average, so no task ranks a hot cell. Nothing is
 reruns agree.
 
 Null texts have no words; documents of no words are taken once and add nothing. A null source is a source of
-its own, the last. Sources are few enough for one task to rank (one row a source); an empty table
-gives an empty mix.
+its own, the last. Sources are few enough for one task to rank (one row a source), and the sizes
+of a source meet in one row (one cell a distinct size, however many documents it has). An empty table gives an empty mix.
 """
 
 from __future__ import annotations
