@@ -1,18 +1,20 @@
 """Near-duplicate removal at a stated shingle similarity, on SimHash candidates.
 
 A single 64-bit fingerprint of a document can't promise a similarity of 0.8: such pairs lie about ten bits apart, where distance says
-little. So candidates come from two sources, and every one is verified by the exact Jaccard similarity of the word 5-shingle
-sets:
+little. So candidates come from three sources, and every one is verified by the exact Jaccard similarity of the word 5-shingle
+sets. The first two are cheap and merge most copies:
 
 - documents whose fingerprints lie within RADIUS bits, found with the vantage-point trees of simhash.py;
-- documents that share two segment fingerprints. A segment is cut before words whose hash is a multiple of CUT, so
-  edits move the cuts around them only; its SimHash covers the shingles that begin in it. Of each document the
-  SEGMENTS least (by hash order) segments count. At similarity 0.8 about one word in 45 differs and two thirds of all
-  segments are shared, so two of eight are missed in about one pair in 400.
-
-Texts that agree word for word are one node from the start, so groups of copies cost nothing. Groups of up to GROUP nodes are paired in full. In
-larger ones each node is paired with the least node and its NEAR neighbours by length; verified links then merge nodes and the
-groups are paired again by one node per component, until no group is too large or nothing merges.
+- documents that share two segment fingerprints, each with one centre of their group. A segment is cut before words whose hash is a
+  multiple of CUT, so edits move the cuts around them only; its SimHash covers the shingles that begin in it. Of each document the
+  SEGMENTS least (by hash order) segments count.
+
+The third misses none: all pairs of documents not yet in one component, of any length, that share a shingle of their prefixes and pass
+the bounds on lengths and places that similarity sets. A prefix is the part of the sorted shingle set in which two sets at the
+threshold must meet. Shingles are sorted by how often a sample of documents has them, so that shared passages come last; any order
+is exact. No group is capped: what a group costs are its pairs of unlike components.
+
+Texts that agree word for word are one node from the start, so groups of copies cost nothing.
 The least (doc_id) document of each component stays. Null and blank texts are copies of one another. Repeated rows are copies:
 one stays.
 """
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartograph.llm.components import components
@@ -36,7 +38,7 @@ from cartograph.runtime import spool
 
 WIDTH, RADIUS = 5, 2
 CUT, SEGMENTS = 6, 8
-GROUP, NEAR = 40, 8
+SAMPLE, COMMON = 20_000, 200_000
 BLOCK, LONGEST = 4096, 4096
 
 
@@ -101,22 +103,79 @@ def mark(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(*row_key(text=text), F.col(text).cast("binary")).mapInArrow(run, f"_id {kind}, _tx int, d1 long, d2 long, fp long, n long, segs array<long>")
 
 
-def paired(keys: DataFrame) -> tuple[DataFrame, bool]:
-    """(a, b candidate pairs of nodes, whether all groups were paired in full) for rows key, node, n."""
+def starred(keys: DataFrame) -> DataFrame:
+    """a, b: every node of a group with the group's centre, for rows key, node.
+
+    The centre is the node whose groups are largest, so that copies of one text mostly meet that text.
+    """
     size = keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    small = keys.join(size.where(F.col("m") <= GROUP), "key").groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("v"))
-    each = F.flatten(F.transform("v", lambda x, i: F.transform(F.slice("v", i + 2, GROUP), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    pairs = small.select(F.explode(each).alias("p")).select("p.a", "p.b")
-    large = spool(keys.join(size.where(F.col("m") > GROUP), "key"))
-    if large.limit(1).count() == 0:
-        return pairs, True
-    least = large.groupBy("key").agg(F.min("node").alias("a"))
-    star = large.join(least, "key").where("node <> a").select("a", F.col("node").alias("b"))
-    order = Window.partitionBy("key").orderBy("n", "node")
-    next_to = large.select("node", F.array(*[F.lead("node", i).over(order) for i in range(1, NEAR + 1)]).alias("v"))
-    beside = next_to.select(F.col("node").alias("a"), F.explode("v").alias("b")).where("b is not null and a <> b")
-    both = star.unionByName(beside)
-    return pairs.unionByName(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))), False
+    sized = spool(keys.join(size, "key"))
+    weight = sized.groupBy("node").agg(F.sum("m").alias("weight"))
+    centre = sized.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("a"))
+    star = sized.join(centre, "key").where("node <> a")
+    return star.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
+
+
+def common_shingles(docs: DataFrame, text: str, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rising hashes, counts) of the shingles most often seen in a sample of about SAMPLE documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingles(word_hashes(t or b"")[0])).view(np.int64))], ["h"])
+
+    some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(max(1, total // SAMPLE))) == 0).select(F.col(text).cast("binary"))
+    seen = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("c")).where("c > 1").orderBy(F.desc("c"), "h").limit(COMMON).toArrow()
+    h, c = (seen.column(i).to_numpy() for i in (0, 1))
+    h = h.astype(np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], c[order].astype(np.int64)
+
+
+def prefix(keys: np.ndarray, common: tuple[np.ndarray, np.ndarray], threshold: float) -> np.ndarray:
+    """The first shingles of a set, rare ones first, of which a set as similar as the threshold has at least one among its own first."""
+    m = len(keys)
+    known, counts = common
+    seen = np.zeros(m, np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        seen = np.where(known[at] == keys, counts[at], 0)
+    return keys[np.lexsort((keys, seen))[: m - int(np.ceil(threshold * m - 1e-9)) + 1]]
+
+
+def prefix_table(docs: DataFrame, text: str, common: tuple[np.ndarray, np.ndarray], threshold: float) -> DataFrame:
+    """_id, _tx, m, p: number of distinct shingles and the prefix of each document that has words."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(common)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingles(word_hashes(t or b"")[0])) for t in b.column(2).to_pylist()]
+            firsts = [prefix(x, shared.value, threshold).view(np.int64) if len(x) else x.view(np.int64) for x in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) for x in sets], pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], ["_id", "_tx", "m", "p"])
+
+    rows = docs.select(*row_key(text=text), F.col(text).cast("binary"))
+    return rows.mapInArrow(run, f"_id {kind}, _tx int, m int, p array<long>").where("m > 0")
+
+
+def unlinked(docs: DataFrame, text: str, nodes: DataFrame, total: int, threshold: float) -> DataFrame:
+    """a, b: every pair of nodes with unlike roots that may be as similar as the threshold, for rows node, root.
+
+    Sets of m and n shingles at similarity t share t / (1 + t) * (m + n), hence one in their prefixes; the first
+    that they share has so many places behind it in either set.
+    """
+    table = prefix_table(docs, text, common_shingles(docs, text, total), threshold)
+    rooted = table.select(F.struct("_id", "_tx").alias("node"), "m", "p").join(nodes, "node")
+    rows = spool(rooted.select("node", "root", "m", F.posexplode("p").alias("i", "key")).select("node", "root", "m", (F.col("m") - F.col("i")).alias("rest"), "key"))
+    mixed = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    live = spool(rows.join(mixed, "key"))
+    roots = spool(live.select("key", "root").distinct())
+    ra, rb = (roots.select("key", F.col("root").alias(f"r{x}")) for x in "ab")
+    meet = ra.join(rb, "key").where("ra < rb")
+    a, b = (live.select("key", F.col("root").alias(f"r{x}"), F.col("node").alias(x), F.col("m").alias(f"m{x}"), F.col("rest").alias(f"rest{x}")) for x in "ab")
+    share = threshold / (1 + threshold)
+    both = meet.join(a, ["key", "ra"]).join(b, ["key", "rb"]).where(F.least("resta", "restb") >= share * (F.col("ma") + F.col("mb")) - 1e-6)
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def shingle_sets(docs: DataFrame, text: str, nodes: DataFrame) -> DataFrame:
@@ -150,23 +209,18 @@ def near_groups(docs: DataFrame, text: str = "text", threshold: float = 0.8) ->
     pick = F.when(F.size("segs") == 1, F.array(F.struct(F.get("segs", 0).alias("x"), F.get("segs", 0).alias("y")))).otherwise(
         F.flatten(F.transform("segs", lambda x, i: F.transform(F.slice("segs", i + 2, SEGMENTS), lambda y: F.struct(F.least(x, y).alias("x"), F.greatest(x, y).alias("y")))))
     )
-    keys = spool(classes.select(F.explode(pick).alias("k"), "node", "n").select(F.xxhash64("k.x", "k.y").alias("key"), "node", "n"))
+    keys = spool(classes.select(F.explode(pick).alias("k"), "node").select(F.xxhash64("k.x", "k.y").alias("key"), "node"))
 
     # Nodes of one fingerprint, and of fingerprints within the radius.
     points = spool(classes.where("n > 0").groupBy("fp").agg(F.min("node").alias("lead")))
     same = classes.where("n > 0").join(points, "fp").where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
     lead_a, lead_b = (points.select(F.col("fp").alias(x), F.col("lead").alias(f"l{x}")) for x in "ab")
     near = links(points.select("fp"), RADIUS).join(lead_a, "a").join(lead_b, "b").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b"))
-    pairs, full = paired(keys)
-    found = spool(verified(docs, text, pairs.unionByName(same).unionByName(near), threshold))
+    found = spool(verified(docs, text, starred(keys).unionByName(same).unionByName(near), threshold))
+    root = components(found).withColumnRenamed("node", "r")
+    nodes = spool(classes.where("n > 0").join(root, F.col("node") == F.col("r"), "left").select("node", F.coalesce("root", "node").alias("root")))
+    found = found.unionByName(verified(docs, text, unlinked(docs, text, nodes, marks.count(), threshold), threshold))
     root = components(found)
-    seen = -1
-    while not full and (now := found.count()) > seen:
-        seen = now
-        moved = keys.join(root, keys["node"] == root["node"], "left").select("key", F.coalesce("root", keys["node"]).alias("node"), "n")
-        pairs, full = paired(moved.groupBy("key", "node").agg(F.min("n").alias("n")))
-        found = spool(found.unionByName(verified(docs, text, pairs, threshold)).distinct())
-        root = components(found)
     group = classes.join(root.withColumnRenamed("node", "r"), F.col("node") == F.col("r"), "left").select("d1", "d2", F.coalesce("root", "node").alias("keep"))
     return marks.join(group, ["d1", "d2"]).groupBy("_id", "_tx").agg(F.min("keep").alias("keep"), F.count("*").alias("copies"))
 

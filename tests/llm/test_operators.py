@@ -373,3 +373,27 @@ def test_pipeline(spark):
     n = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
     assert 0 < out.count() < n and {"doc_id", "taken"} <= set(out.columns)
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality rules", "line dedup", "SimHash near-dedup", "benchmark decontamination", "source mix"]
+
+
+def near_dups(spark, rows):
+    return {r["doc_id"] for r in neardup.clean(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+
+
+def test_near_copies_of_one_base_meet_however_many(spark):
+    rng = random.Random(11)
+    fresh = (f"w{k}" for k in range(10**6))
+    base = [next(fresh) for _ in range(300)]
+
+    def edited(i):
+        w = list(base)
+        for at in rng.sample(range(3, 297, 6), 6):
+            w[at] = next(fresh)
+        return i, " ".join(w)
+
+    # Each is at 0.8 or more to the base (30 of 296 shingles changed) and mostly below it to the others; the base is in the middle.
+    rows = [edited(i) for i in range(60)] + [(60, " ".join(base))] + [edited(i) for i in range(61, 120)]
+    # Documents dominated by one passage, and one pair among them.
+    passage = [next(fresh) for _ in range(200)]
+    rows += [(200 + i, " ".join(passage + [next(fresh) for _ in range(60)])) for i in range(90)]
+    rows += [(400, rows[150][1] + " and some more words here")]
+    assert near_dups(spark, rows) == {0} | {200 + i for i in range(90)}
