@@ -397,3 +397,12 @@ def test_near_copies_of_one_base_meet_however_many(spark):
     rows += [(200 + i, " ".join(passage + [next(fresh) for _ in range(60)])) for i in range(90)]
     rows += [(400, rows[150][1] + " and some more words here")]
     assert near_dups(spark, rows) == {0} | {200 + i for i in range(90)}
+
+
+def test_near_copies_of_short_texts_meet(spark):
+    rows = []
+    for k in range(300):
+        w = [f"w{k}x{j}" for j in range(16 + k % 12)]
+        more = (len(w) - 4) // 4  # of the shingles, so that a fifth of all at most is new
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w + [f"y{k}x{j}" for j in range(more)]))]
+    assert near_dups(spark, rows) == {2 * k for k in range(300)}
