@@ -68,12 +68,17 @@ def line_fails(line: Column, noise: float = 0.1, capitals: float = 0.7, run: int
     )
 
 
+def without_failing(text: Column) -> Column:
+    """The text without the lines that fail; blank lines stay."""
+    return F.array_join(F.filter(lines(text), lambda x: ~(x.rlike(r"[^\x20\x09-\x0D]") & line_fails(x))), "\n")
+
+
 def quality(
     docs: DataFrame, text: str = "text", min_words: int = 20, max_repeat: int = 30, max_lost: float = 0.3
 ) -> DataFrame:
-    """Adds the measures, base_failed, n_lost_lines, lost_chars and kept.
+    """Adds the measures, base_failed, n_lost_lines, lost_chars, kept and kept_text, the text without its failing lines.
 
-    max_repeat: percent of words in repeated windows. max_lost: share of the word characters that
+    All measures are those of the text as it came; a text that loses nothing is returned as it is, null included. max_repeat: percent of words in repeated windows. max_lost: share of the word characters that
     removed lines may take with them.
     """
     body = F.coalesce(F.col(text), F.lit(""))
@@ -103,10 +108,22 @@ def quality(
         .drop("_w", "_l", "_c")
         .withColumn("base_failed", failed)
         .withColumn("kept", ~F.col("base_failed") & (F.col("lost_chars") <= max_lost * F.col("word_chars")))
+        .withColumn("kept_text", F.when(F.col("n_lost_lines") == 0, F.col(text)).otherwise(without_failing(body)))
     )
 
 
 def clean(docs: DataFrame, text: str = "text", **options: float) -> DataFrame:
-    """The documents that the rules keep, with their own columns only."""
-    judged = quality(docs.select(F.struct("*").alias("_row"), F.col(text)), text, **options)
-    return judged.where("kept").select("_row.*")
+    """The documents that the rules keep without their failing lines, with their own columns only.
+
+    n_chars, where there is such a column, follows the new text.
+    """
+    judged = quality(docs.select(F.struct("*").alias("_row"), F.col(text)), text, **options).where("kept")
+    fields = []
+    for c in docs.columns:
+        value = F.col(f"_row.`{c}`")
+        if c == text:
+            value = F.col("kept_text")
+        elif c == "n_chars":
+            value = F.when(F.col("n_lost_lines") > 0, F.char_length("kept_text").cast(docs.schema[c].dataType)).otherwise(value)
+        fields.append(value.alias(c))
+    return judged.select(*fields)

@@ -406,3 +406,13 @@ def test_near_copies_of_short_texts_meet(spark):
         more = (len(w) - 4) // 4  # of the shingles, so that a fifth of all at most is new
         rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w + [f"y{k}x{j}" for j in range(more)]))]
     assert near_dups(spark, rows) == {2 * k for k in range(300)}
+
+
+def test_kept_documents_lose_their_failing_lines(spark):
+    good = prose(random.Random(12), 60)
+    text = f"Home | News | Shop | Help\n{good}\n\n*** $$$ ###\nThe last line ends here."
+    want = f"{good}\n\nThe last line ends here."
+    d = spark.createDataFrame([(1, text, len(text), "a"), (2, good, 7, "b")], "doc_id long, text string, n_chars int, n_words string")
+    assert {tuple(r) for r in quality.clean(d).collect()} == {(1, want, len(want), "a"), (2, good, 7, "b")}
+    got = {r["doc_id"]: r for r in quality.quality(d.select("doc_id", "text")).collect()}
+    assert got[1]["kept_text"] == want and got[1]["n_lost_lines"] == 2 and got[1]["text"] == text and got[2]["kept_text"] == good
