@@ -3,8 +3,9 @@
 A gear rolling hash over the last 16 bytes names cut candidates wherever its upper bits are zero; a candidate
 counts if the one before is at least MIN bytes away and a character begins there. Cuts depend on the bytes just before them
 and on nothing else, so an insertion moves the cuts around it only, and a passage is cut alike
-wherever it stands. Chunks over MAX bytes are parted at multiples of MAX from their start. Chunks of at least
-``least`` bytes are known by a 128-bit digest; all but the first occurrence (smallest doc_id, then position) are
+wherever it stands. A first or last chunk under MIN bytes is part of its neighbour. Chunks over MAX bytes are parted at
+multiples of MAX from their start, the last part taking up to MIN bytes of the one before. Every chunk of at least
+``least`` bytes, by default all, is known by a 128-bit digest, so that a copy of a text loses all its bytes; all but the first occurrence (smallest doc_id, then position) are
 removed. Counting and choosing the first use partial aggregation, so frequent chunks meet as one row per task,
 and adaptive execution splits their side of the join that marks occurrences. Texts move once.
 
@@ -68,12 +69,14 @@ def cuts(text: bytes) -> np.ndarray:
     c = c[begins[c]]
     if len(c):
         c = c[np.diff(c, prepend=-MIN) >= MIN]
+        c = c[(c >= MIN) & (n - c >= MIN)]  # a short first or last chunk is part of its neighbour
     bounds = np.concatenate([[0], c, [n]])
     long = np.flatnonzero(np.diff(bounds) > MAX)
     if len(long):
         more = []
         for i in long:
             for p in range(int(bounds[i]) + MAX, int(bounds[i + 1]), MAX):
+                p = min(p, int(bounds[i + 1]) - MIN)
                 while p < bounds[i + 1] and not begins[p]:
                     p += 1
                 more.append(p)
@@ -81,7 +84,7 @@ def cuts(text: bytes) -> np.ndarray:
     return bounds
 
 
-def chunk_table(docs: DataFrame, text: str = "text", least: int = 32) -> DataFrame:
+def chunk_table(docs: DataFrame, text: str = "text", least: int = 1) -> DataFrame:
     """_id, _tx, start, size, d1, d2 of every chunk of at least ``least`` bytes."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -132,7 +135,7 @@ def remove(text: bytes, spans: list) -> tuple[bytes, int, int]:
     return left, len(text) - len(left), runs
 
 
-def dedup_substrings(docs: DataFrame, text: str = "text", least: int = 32) -> DataFrame:
+def dedup_substrings(docs: DataFrame, text: str = "text", least: int = 1) -> DataFrame:
     """doc_id, n_bytes, n_shared, shared_bytes, n_removed, n_spans, kept (binary), with_doc.
 
     n_shared and shared_bytes: chunks that occur elsewhere, the first occurrences included.

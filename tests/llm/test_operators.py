@@ -416,3 +416,15 @@ def test_kept_documents_lose_their_failing_lines(spark):
     assert {tuple(r) for r in quality.clean(d).collect()} == {(1, want, len(want), "a"), (2, good, 7, "b")}
     got = {r["doc_id"]: r for r in quality.quality(d.select("doc_id", "text")).collect()}
     assert got[1]["kept_text"] == want and got[1]["n_lost_lines"] == 2 and got[1]["text"] == text and got[2]["kept_text"] == good
+
+
+def test_copies_lose_all_their_bytes(spark):
+    text = prose(random.Random(13), 400)
+    rows = [(1, text), (2, text), (3, "Short."), (4, "Short."), (5, "y" * 261), (6, "y" * 261), (7, "é" * 200), (8, "é" * 200)]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["kept"]) for r in chunks.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows[1::2]:
+        assert got[i] == (len(t.encode()), len(t.encode()), b"")
+    assert got[1][1] == got[3][1] == got[7][1] == 0
+    for seed in range(20):
+        b = chunks.cuts(prose(random.Random(seed), 100).encode())
+        assert np.diff(b).min() >= chunks.MIN
