@@ -4,8 +4,8 @@ A byte is removed if some LENGTH-byte string that covers it starts anywhere else
 one place is out of reach, so suffixes are first dealt to shards by content: every LENGTH-byte window has an anchor, the
 leftmost of its GRAM-byte grams with the least hash. Equal windows have equal anchors at equal offsets, so repeats meet
 where their anchor's hash does, and anchors (one in about 85 bytes) whose hash is unique are dropped at once. The context of an anchor, all
-windows that hold it, is at most 2 * LENGTH - GRAM bytes. Contexts found twice or more (128-bit digests) are repeated as a whole. Where
-an anchor has several contexts, one of each is sorted with the others of its shard:
+windows that hold it, is at most 2 * LENGTH - GRAM bytes. Copies of a context, known by a 128-bit BLAKE2 digest, are repeated as a whole and take part once. Where
+an anchor has several contexts, those are sorted with the others of its shard:
 
 - prefix polynomial hashes of the contexts make any substring's hash a subtraction;
 - the common extension of two suffixes is found by binary search on those hashes, so a comparison takes a logarithmic
@@ -14,8 +14,12 @@ an anchor has several contexts, one of each is sorted with the others of its sha
   pass over that byte, and so on to the left end of the contexts;
 - neighbours in an order with equal window hashes are repeats, and their bytes are compared before they count.
 
-An anchor with over HOT contexts is not sorted in one task: its windows' 128-bit digests are counted by Spark, with partial
-aggregation. Texts are bytes of UTF-8; null counts as empty. Repeated rows are repeats of one another. Documents with no repeat are
+No shard has over SHARD contexts: a larger one is parted by more content. Its windows begin 0 to REACH bytes before the anchor; those that begin in one half of this range
+all hold certain bytes around the anchor, and so do those of the other half. Each context goes to a shard of either half by these bytes, and so on for what is still too
+large. Where the range is one offset, the windows are the bytes themselves, and Spark groups them.
+
+Texts are bytes of UTF-8; null counts as empty. Repeated rows are repeats of one another, ties don't arise, and an empty table gives an empty table. Very long texts are hashed in
+pieces and cost time and memory in proportion to their length. Only doc_id and the text are read, so extra columns can't clash. Documents with no repeat are
 never moved after the first join; intermediate tables are in the shared folder.
 """
 
@@ -39,8 +43,7 @@ from cartograph.runtime import spool
 LENGTH, GRAM = 200, 32
 REACH = LENGTH - GRAM  # bytes that a window may begin before its anchor
 PIECE = 1 << 19
-SHARD = 4096  # contexts sorted at once
-HOT = 20_000
+SHARD = 4096  # contexts sorted at once, and in one shard at most
 ROOT = 0x9E3779B97F4A7C15 | 1
 
 
@@ -105,7 +108,7 @@ def anchor_table(docs: DataFrame, text: str) -> DataFrame:
             )
 
     rows = docs.select(*row_key(text=text), F.col(text).cast("binary"))
-    return rows.mapInArrow(run, f"_id {kind}, _tx int, n_bytes long, sha binary, pos array<int>, h array<long>")
+    return rows.mapInArrow(run, f"_id {kind}, _tx long, n_bytes long, sha binary, pos array<int>, h array<long>")
 
 
 def packed(docs: DataFrame, text: str) -> DataFrame:
@@ -117,7 +120,7 @@ def packed(docs: DataFrame, text: str) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([pack(t or b"") for t in b.column(2).to_pylist()], pa.binary())], ["_id", "_tx", "t"])
 
-    return docs.select(*row_key(text=text), F.col(text).cast("binary")).mapInArrow(run, f"_id {kind}, _tx int, t binary")
+    return docs.select(*row_key(text=text), F.col(text).cast("binary")).mapInArrow(run, f"_id {kind}, _tx long, t binary")
 
 
 def unpack(texts: pa.Array) -> list[bytes]:
@@ -157,7 +160,7 @@ def context_table(work: DataFrame, kind: str) -> DataFrame:
                 ["_id", "_tx", "pos", "left", "size", "h", "c1", "c2"],
             )
 
-    return work.mapInArrow(run, f"_id {kind}, _tx int, pos int, left int, size int, h long, c1 long, c2 long")
+    return work.mapInArrow(run, f"_id {kind}, _tx long, pos int, left int, size int, h long, c1 long, c2 long")
 
 
 def gram_hashes_at(text: bytes, at: np.ndarray) -> np.ndarray:
@@ -221,15 +224,17 @@ class Contexts:
             order, width = merged, 2 * width
         return order
 
-    def repeated(self) -> np.ndarray:
-        """[context, l]: whether the window that begins l bytes before the anchor is another context's too."""
+    def repeated(self, low: int = 0, high: int = REACH) -> np.ndarray:
+        """[context, l]: whether the window that begins l bytes before the anchor, low <= l <= high, is another context's too."""
         order = self.mergesort()
         found = np.zeros((self.n, REACH + 1), bool)
-        for before in range(REACH + 1):
+        for before in range(high + 1):
             column = REACH - before
             if before:
                 order = order[self.left[order] >= before]
                 order = order[np.argsort(self.grid[order, column], kind="stable")]
+            if before < low:
+                continue
             fits = order[self.right[order] >= LENGTH - before]
             if len(fits) < 2:
                 continue
@@ -252,49 +257,87 @@ def runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return [(-int(b), LENGTH - int(a)) for a, b in zip(first, last, strict=True)]
 
 
+SPANS = "h long, c1 long, c2 long, lo int, hi int"
+SHARD_KEY = ["low", "high", "s1", "s2"]
+
+
 def sort_shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Contexts sorted by h in, covered ranges of each out; an anchor's contexts stay together."""
+    """Contexts sorted by shard in, covered ranges of each out; a shard's contexts stay together, and whole shards of one range are sorted side by side."""
     held: list[pd.DataFrame] = []
 
     def solve(part: pd.DataFrame) -> pd.DataFrame:
         part = part.reset_index(drop=True)
-        flags = Contexts(part["left"].to_numpy(np.int64), part["body"].tolist()).repeated()
+        flags = Contexts(part["left"].to_numpy(np.int64), part["body"].tolist()).repeated(int(part["low"].iloc[0]), int(part["high"].iloc[0]))
         out = [(i, lo, hi) for i in np.flatnonzero(flags.any(axis=1)).tolist() for lo, hi in runs(flags[i])]
         i = [x[0] for x in out]
         return part.loc[i, ["h", "c1", "c2"]].assign(lo=np.array([x[1] for x in out], np.int32), hi=np.array([x[2] for x in out], np.int32))
 
+    def pieces(part: pd.DataFrame, end: bool) -> Iterator[pd.DataFrame]:
+        """Solves all shards but the last, which may go on, and the last one too at the end; holds back the rest."""
+        key = part[SHARD_KEY].to_numpy()
+        new = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+        other = set((np.flatnonzero((key[1:, :2] != key[:-1, :2]).any(axis=1)) + 1).tolist())
+        edges = [*new.tolist(), *([len(part)] if end else [])]
+        done = 0
+        for i, e in enumerate(edges):
+            if e in other or i + 1 == len(edges) or edges[i + 1] - done > SHARD:
+                yield solve(part.iloc[done:e])
+                done = e
+        held[:] = [part.iloc[done:]] if done < len(part) else []
+
     for b in batches:
-        if not len(b):
-            continue
-        held.append(b)
+        if len(b):
+            held.append(b)
         if sum(map(len, held)) >= SHARD:
-            part = pd.concat(held, ignore_index=True)
-            edges = np.flatnonzero(part["h"].to_numpy()[1:] != part["h"].to_numpy()[:-1]) + 1
-            done = 0
-            for e in edges.tolist():
-                if e - done >= SHARD or e == edges[-1]:
-                    yield solve(part.iloc[done:e])
-                    done = e
-            held = [part.iloc[done:]]
-    if held and len(part := pd.concat(held, ignore_index=True)):
-        yield solve(part)
-
-
-def count_windows(bodies: DataFrame) -> DataFrame:
-    """Covered ranges for anchors with very many contexts: windows' digests are counted by Spark."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for h, c1, c2, left, body in zip(b["h"], b["c1"], b["c2"], b["left"], b["body"], strict=True):
-                for s in range(len(body) - LENGTH + 1):
-                    rows.append((h, c1, c2, left - s, *np.frombuffer(hashlib.blake2b(body[s : s + LENGTH], digest_size=16).digest(), "<i8").tolist()))
-            yield pd.DataFrame(rows, columns=["h", "c1", "c2", "l", "w1", "w2"])
+            yield from pieces(pd.concat(held, ignore_index=True), False)
+    if held:
+        yield from pieces(pd.concat(held, ignore_index=True), True)
 
-    windows = bodies.mapInPandas(run, "h long, c1 long, c2 long, l int, w1 long, w2 long")
-    key = ["h", "l", "w1", "w2"]
-    twice = windows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    return windows.join(twice, key).select("h", "c1", "c2", (-F.col("l")).alias("lo"), (LENGTH - F.col("l")).alias("hi"))
+
+def parted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each context in the shards of both halves of its range, as far as it has windows there."""
+    for b in batches:
+        rows = []
+        for h, c1, c2, left, body, low, high in zip(*(b[c] for c in ("h", "c1", "c2", "left", "body", "low", "high")), strict=True):
+            mid = (low + high) // 2
+            for a, z in ((low, mid), (mid + 1, high)):
+                if max(a, LENGTH - (len(body) - left)) <= min(z, left):
+                    core = body[left - a : left + LENGTH - z]  # in every window that begins a to z bytes before the anchor
+                    d = hashlib.blake2b(core, digest_size=16, salt=a.to_bytes(2, "big") + z.to_bytes(2, "big")).digest()
+                    rows.append((h, c1, c2, left, body, a, z, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)))
+        yield pd.DataFrame(rows, columns=["h", "c1", "c2", "left", "body", *SHARD_KEY])
+
+
+def alike(contexts: DataFrame) -> DataFrame:
+    """Covered ranges of contexts with a range of one offset: their windows are grouped as bytes."""
+    window = F.substring(F.col("body"), F.col("left") - F.col("low") + 1, F.lit(LENGTH))
+    rows = contexts.select("h", "c1", "c2", "low", window.alias("w"))
+    twice = rows.groupBy("low", "w").agg(F.count("*").alias("n")).where("n > 1").select("low", "w")
+    return rows.join(twice, ["low", "w"]).select("h", "c1", "c2", (-F.col("low")).alias("lo"), (LENGTH - F.col("low")).alias("hi"))
+
+
+def sorted_spans(shown: DataFrame) -> DataFrame:
+    """Covered ranges of the distinct contexts h, c1, c2, left, body; m: contexts of the same anchor hash."""
+    whole = [F.lit(0).alias("low"), F.lit(REACH).alias("high"), F.col("h").alias("s1"), F.lit(0).cast("long").alias("s2")]
+    todo = shown.select("h", "c1", "c2", "left", "body", "m", *whole)
+    parts = []
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.drop("m").repartition(*SHARD_KEY).sortWithinPartitions(*SHARD_KEY).mapInPandas(sort_shards, SPANS)
+
+    while True:
+        parts.append(dealt(todo.where(F.col("m") <= SHARD)))
+        big = todo.where(F.col("m") > SHARD).drop("m")
+        if big.isEmpty():
+            break
+        parts.append(alike(big.where("low = high")))
+        halves = spool(big.where("low < high").mapInPandas(parted, "h long, c1 long, c2 long, left int, body binary, low int, high int, s1 long, s2 long"))
+        size = spool(halves.groupBy(*SHARD_KEY).agg(F.count("*").alias("m")).where("m > 1"))  # alone in its shard: no repeat
+        todo = halves.join(size, SHARD_KEY)
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return spool(out)
 
 
 def cut(text: bytes, spans: list) -> tuple[bytes, int]:
@@ -346,8 +389,7 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Data
 
     shown = spool(source.mapInArrow(bodies, "h long, c1 long, c2 long, left int, m long, body binary"))
     shown = shown.dropDuplicates(["h", "c1", "c2"]) if docs_repeat(work) else shown
-    sorted_part = shown.where(F.col("m") <= HOT).drop("m").repartition("h").sortWithinPartitions("h").mapInPandas(sort_shards, "h long, c1 long, c2 long, lo int, hi int")
-    partial = spool(sorted_part.unionByName(count_windows(shown.where(F.col("m") > HOT).drop("m"))))
+    partial = sorted_spans(shown)
     part = contexts.join(partial, ["h", "c1", "c2"]).select("_id", "_tx", (F.col("pos") + F.col("lo")).alias("start"), (F.col("pos") + F.col("hi")).alias("end"))
     whole = contexts.where(F.col("size") >= LENGTH).join(group.where("n > 1").select("h", "c1", "c2"), ["h", "c1", "c2"], "left_semi")
     whole = whole.select("_id", "_tx", (F.col("pos") - F.col("left")).alias("start"), (F.col("pos") - F.col("left") + F.col("size")).alias("end"))
@@ -375,7 +417,7 @@ def dedup_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
                 ["_id", "_tx", "n_removed", "n_spans", "kept", "new_sha"],
             )
 
-    cut_rows = joined.mapInArrow(run, f"_id {kind}, _tx int, n_removed long, n_spans long, kept binary, new_sha binary")
+    cut_rows = joined.mapInArrow(run, f"_id {kind}, _tx long, n_removed long, n_spans long, kept binary, new_sha binary")
     cut_rows = cut_rows.groupBy("_id", "_tx").agg(*[F.first(c).alias(c) for c in ("n_removed", "n_spans", "kept", "new_sha")]) if docs_repeat(work) else cut_rows
     out = attach(table.select("_id", "_tx", "n_bytes", "sha"), cut_rows)
     return out.select(
