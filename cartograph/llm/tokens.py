@@ -1,13 +1,18 @@
-"""Token counts by dynamic programming over prefixes.
+"""Token counts by dynamic programming over prefixes, stored for every prefix.
 
 A byte-pair encoding has this property: a sequence of tokens is the encoding of a string if and only if each
 neighbouring pair is what its own concatenation encodes to. So the encoding of every prefix of a word follows from
 those of shorter prefixes: its last token t is the one for which (last token before t, t) is such a pair, and the count
 is the earlier prefix's count plus one. One pass over a word gives the exact token count of each of its prefixes.
 
-Words (the pre-tokenizer's pieces) are encoded apart, so counts of a text are running sums over its words. Words repeat: each
-Python worker keeps the counts of up to CACHE words. Work is local to a row, without shuffle; a row costs time linear in its text.
-Null texts count as empty and have no tokens.
+Texts are cut into units: white space with the word, number or marks behind it. No unit's tokens depend on what stands before or behind it, so the counts of a
+text's prefixes are running sums over its units, in which the end of a prefix may fall. Units repeat: each Python worker keeps the counts of up to CACHE units.
+
+prefix_table() stores, for each text, what every byte adds to the count (one signed byte each, so the table compresses well); HOLE marks the bytes after which no
+character ends. budget() and counts_at() answer questions about totals, truncation and budgets from that table alone; nothing is encoded again.
+
+Work is local to a row, without shuffle; a row costs time and memory linear in its text. Null texts count as empty and have no tokens. Repeated rows have equal counts, and ties
+don't arise. An empty table gives an empty table. Only doc_id and the text are read, so extra columns can't clash.
 """
 
 from __future__ import annotations
@@ -23,7 +28,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE = 600_000
+from cartograph.runtime import spool
+
+CACHE = 400_000
+HOLE = -128
 # The Unicode white space characters and the pre-tokenizer's published pattern.
 SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
@@ -56,13 +64,16 @@ class Counter:
         self.vocab = {raw(t) for t in spec["model"]["vocab"] if t not in special}
         self.longest = max(map(len, self.vocab))
         self.pieces = regex.compile(PIECES)
+        # A contraction stands only where no space is before it; other white space is a piece of its own there.
+        self.units = regex.compile(rf"(?:[{SPACE}]*[{SPACE.replace(' ', '')}])?'(?:s|t|re|ve|m|ll|d)|[{SPACE}]*(?:\p{{L}}+|\p{{N}}+|[^{SPACE}\p{{L}}\p{{N}}]+)|[{SPACE}]+")
+        self.blank, self.words, self.short = regex.compile(f"[{SPACE}]*"), regex.compile(f"[^{SPACE}]"), regex.compile("'(?:s|t|re|ve|m|ll|d)")
         self.pair: dict[tuple[bytes, bytes], bool] = {}
         self.spines: dict[tuple[bytes, int], list[tuple[bytes, int]]] = {}
         self.made = {a + b: (a, b) for a, b in self.rank}
         order = self.rank
         # Spines decide pairs if each token is made by one merge, of parts made before it.
         self.simple = len(self.made) == len(order) and all(order[self.made[x]] < r for (a, b), r in order.items() for x in (a, b) if x in self.made)
-        self.total = _Totals(self)
+        self.total, self.known = _Totals(self), _Units(self)
 
     @functools.cached_property
     def library(self):
@@ -142,29 +153,82 @@ class Counter:
             return [part[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(part)]
         return self.pieces.findall(part)
 
-    def parts(self, text: str) -> list[str]:
-        """The stretches between special strings; each of these is one token."""
-        return self.special.split(text) if self.special else [text]
+    def plain(self, text: str) -> int:
+        """Tokens of a text without special strings."""
+        return sum(map(self.total.__getitem__, self.split(text)))
+
+    def unit(self, text: str) -> bytes:
+        """What each byte of a unit adds to the count, as STEP."""
+        k = self.blank.match(text).end()
+        joined = not k or text[k - 1] == " "
+        short = self.short.match(text, k) and (not k or not joined)
+        if k <= 1 and joined and not short and text.isascii():
+            c = self.prefixes(text.encode())
+            return bytes([(y - x) & 255 for x, y in zip(c, c[1:], strict=False)])
+        ends = np.cumsum([len(c.encode()) for c in text])
+        counts = np.zeros(len(text), np.int64)
+        data = text.encode()
+        lead = int(ends[k - 1]) if k else 0
+        if k:  # a prefix that ends in the white space has it as one piece
+            counts[:k] = np.array(self.prefixes(data[:lead]))[ends[:k]]
+        if k < len(text):
+            # Behind the white space its last character is a piece of its own, or a space before the word.
+            own = k - 1 if k else 0
+            at = int(ends[own - 1]) if own else 0
+            base = self.prefixes(data[:at])[-1] if at else 0
+            if not joined:
+                base += self.prefixes(data[at:lead])[-1]
+                at = lead
+            if short:  # a part of a contraction is none
+                counts[k:] = [base + self.plain(text[k : i + 1]) for i in range(k, len(text))]
+            else:
+                counts[k:] = base + np.array(self.prefixes(data[at:]))[ends[k:] - at]
+        return self.steps_of(counts, ends)
+
+    @staticmethod
+    def steps_of(counts: np.ndarray, ends: np.ndarray) -> bytes:
+        """Counts after each character, and where it ends in bytes, as a step for each byte."""
+        out = np.full(int(ends[-1]) if len(ends) else 0, HOLE, np.int8)
+        steps = np.diff(counts, prepend=0)
+        if len(steps) and (steps.min() <= HOLE or steps.max() > 127):
+            raise ValueError("a character changes the count by more than a step can hold")
+        out[ends - 1] = steps
+        return out.tobytes()
+
+    def cut(self, part: str) -> list[str]:
+        """The units of a text without special strings."""
+        if LATE.search(part) and any(unicodedata.category(c) == "Cn" for c in set(part)):
+            out, lead = [], ""
+            for piece in self.split(part):  # rare: units from the library's pieces
+                if piece.isspace() and not self.words.search(piece):
+                    lead += piece
+                else:
+                    out.append(lead + piece)
+                    lead = ""
+            return [*out, lead] if lead else out
+        return self.units.findall(part)
+
+    def steps(self, text: str) -> bytes:
+        """What each byte of a text adds to the token count of the prefix that ends there."""
+        if not self.special or not self.special.search(text):
+            return b"".join(map(self.known.__getitem__, self.cut(text)))
+        out, last, at = [], "", 0
+        for m in [*self.special.finditer(text), None]:
+            units = self.cut(text[at : m.start() if m else len(text)])
+            out += map(self.known.__getitem__, units)
+            if m is None:
+                break
+            last = units[-1] if units else ""
+            # Prefixes that end inside a special string don't have it: its first characters join the unit before them.
+            before = self.plain(last)
+            counts = np.array([*(self.plain(last + m.group()[:i]) - before for i in range(1, len(m.group()))), 1])
+            out.append(self.steps_of(counts, np.cumsum([len(c.encode()) for c in m.group()])))
+            at = m.end()
+        return b"".join(out)
 
     def count(self, text: str) -> int:
-        parts = self.parts(text)
-        return len(parts) - 1 + sum(sum(map(self.total.__getitem__, self.split(p))) for p in parts)
-
-    def table(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(byte offset, tokens up to there) at each end of a piece or special string, from (0, 0)."""
-        ends, counts, at, n = [0], [0], 0, 0
-        for k, part in enumerate(self.parts(text)):
-            if k:
-                at += len(self.special.search(text.encode()[at:].decode()).group().encode())
-                n += 1
-                ends.append(at)
-                counts.append(n)
-            for piece in self.split(part):
-                at += len(piece.encode())
-                n += self.total[piece]
-                ends.append(at)
-                counts.append(n)
-        return np.array(ends), np.array(counts)
+        s = np.frombuffer(self.steps(text), np.int8)
+        return int(s[s != HOLE].sum())
 
 
 class _Totals(dict):
@@ -181,37 +245,20 @@ class _Totals(dict):
         return n
 
 
-class PrefixCounts:
-    """Answers truncation and budget questions about one text from its stored prefix counts."""
-
-    def __init__(self, counter: Counter, text: str) -> None:
-        self.counter, self.data = counter, text.encode()
-        self.ends, self.counts = counter.table(text)
+class _Units(dict):
+    """Unit to steps, filled on demand and bounded; long units are not kept."""
 
-    def within(self, n_bytes: int) -> int:
-        """Tokens that encode the prefix of n_bytes, which ends between characters.
-
-        Prefixes that end inside a piece take the piece's own prefix counts; those whose last characters
-        could be cut differently than in the whole text (white space, contractions, special
-        strings) have that tail counted afresh from the last safe piece.
-        """
-        k = int(np.searchsorted(self.ends, n_bytes, "right")) - 1
-        start = int(self.ends[k])
-        tail = self.data[start:n_bytes]
-        piece = self.data[start : int(self.ends[k + 1])] if k + 1 < len(self.ends) else b""
-        odd = lambda b: not b or b[:1] in (b"'", b"<") or not b.decode()[-1:].isalnum()
-        if not odd(tail) and piece.decode(errors="ignore").strip().isalpha():
-            return int(self.counts[k]) + self.counter.prefixes(piece)[len(tail)]
-        while k > 0 and (odd(tail) or not self.data[int(self.ends[k]) - 1 : int(self.ends[k])].isalnum()):
-            k -= 1
-            tail = self.data[int(self.ends[k]) : n_bytes]
-            if tail[:1].isalnum() or tail.decode().lstrip()[:1].isalpha():
-                break
-        return int(self.counts[k]) + self.counter.count(tail.decode())
+    def __init__(self, counter: Counter) -> None:
+        super().__init__()
+        self.counter = counter
 
-    def longest(self, budget: int) -> int:
-        """The most bytes, up to an end of a piece, that ``budget`` tokens hold."""
-        return int(self.ends[int(np.searchsorted(self.counts, budget, "right")) - 1])
+    def __missing__(self, unit: str) -> bytes:
+        steps = self.counter.unit(unit)
+        if len(unit) <= 64:
+            if len(self) > CACHE:
+                self.clear()
+            self[unit] = steps
+        return steps
 
 
 @functools.lru_cache(2)
@@ -222,28 +269,54 @@ def counter(vocab: str) -> Counter:
     return Counter(vocab if "/" in vocab else public_tokenizers.path(vocab))
 
 
-def count_tokens(docs: DataFrame, text: str = "text", vocab: str = "byte_bpe_50k.json", limit: int = 512) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit."""
+def prefix_table(docs: DataFrame, text: str = "text", vocab: str = "byte_bpe_50k.json") -> DataFrame:
+    """doc_id, n_bytes, steps: for each byte of a text what it adds to the token count, HOLE inside of characters."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(vocab).count
+        steps = counter(vocab).steps
         for b in batches:
-            n = [count(t) if t else 0 for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+            found = [steps(t) if t else b"" for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array(found, pa.binary())], ["doc_id", "n_bytes", "steps"])
 
-    rows = docs.select("doc_id", F.col(text), F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long").alias("n_bytes"))
-    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return docs.select("doc_id", F.col(text)).mapInArrow(run, f"doc_id {kind}, n_bytes long, steps binary")
 
 
-def prefix_table(docs: DataFrame, text: str = "text", vocab: str = "byte_bpe_50k.json") -> DataFrame:
-    """doc_id, ends, counts: the stored prefix counts of every text, to look up with a search in ``ends`` or ``counts``."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def prefix_counts(steps: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of each prefix that ends a character, its tokens), the empty prefix first."""
+    s = np.frombuffer(steps, np.int8)
+    ends = np.flatnonzero(s != HOLE)
+    return np.concatenate([[0], ends + 1]), np.concatenate([[0], np.cumsum(s[ends], dtype=np.int64)])
+
+
+def counts_at(steps: bytes, sizes: list[int]) -> list[int]:
+    """Tokens of the prefixes of some numbers of bytes; inside of a character, those of the characters before it."""
+    ends, counts = prefix_counts(steps)
+    return counts[np.searchsorted(ends, sizes, "right") - 1].tolist()
+
+
+def budget(table: DataFrame, limit: int = 512) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit, cut_bytes, cut_tokens from a prefix table: the longest prefix of at most ``limit`` tokens, and its tokens."""
+    kind = table.schema["doc_id"].dataType.simpleString()
+
+    def one(steps: bytes) -> tuple[int, int, int]:
+        s = np.frombuffer(steps, np.int8)
+        total = int(s.sum(dtype=np.int64)) - HOLE * int(np.count_nonzero(s == HOLE))
+        if total <= limit:
+            return total, len(s), total
+        ends, counts = prefix_counts(steps)
+        at = int(np.flatnonzero(counts <= limit)[-1])
+        return total, int(ends[at]), int(counts[at])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = counter(vocab)
         for b in batches:
-            found = [c.table(t or "") for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in found], pa.list_(pa.int64())), pa.array([x[1] for x in found], pa.list_(pa.int64()))], ["doc_id", "ends", "counts"])
+            found = np.array([one(x) for x in b.column(2).to_pylist()], np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(np.ascontiguousarray(found[:, i])) for i in range(3)]], ["doc_id", "n_bytes", "n_tokens", "cut_bytes", "cut_tokens"])
 
-    return docs.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, ends array<long>, counts array<long>")
+    rows = table.select("doc_id", "n_bytes", "steps").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, cut_bytes long, cut_tokens long")
+    return rows.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "cut_bytes", "cut_tokens")
+
+
+def count_tokens(docs: DataFrame, text: str = "text", vocab: str = "byte_bpe_50k.json", limit: int = 512) -> DataFrame:
+    """The answers of budget() for every text; the prefix table is stored in the shared folder first."""
+    return budget(spool(prefix_table(docs, text, vocab)), limit)
