@@ -1,35 +1,41 @@
 """Line deduplication with levelled sorted runs of line hashes.
 
 Documents are taken in batches of falling doc_id. Each batch reduces its lines to one entry a
-key (owner = largest doc_id, number of documents), and the entries are merge-anti-joined with the
-runs so far: keys that no run owns enter with their owner, keys that are owned add their count only. The batch
-becomes a level-0 run, sorted by hash; FANOUT runs of a level are merged into one of the next. At the end
-the runs are merged once more and say which keys are frequent and which document keeps them.
+key (owner = largest doc_id, number of documents) and merge-joins the runs so far: a key that some run has in ``min_docs`` documents
+already is settled, as its owner lies in an earlier batch, and drops out; any other takes over the owner and the count so far. What is left becomes a
+level-0 run, and two runs of a level are compacted into one of the next. At the end the settled entries are the frequent keys, with the document
+that keeps them. Runs are tables in buckets of the key, sorted by it, and batches are grouped by it: neither joins nor compactions shuffle a run again.
 
 A key is the line without ASCII white space at both ends, A-Z lower-cased, known by 128 bits
 (two 64-bit hashes with unlike seeds) and its length. Shorter keys than ``min_chars`` are never dropped. A null
 or empty text has one empty line. Rows that share a doc_id count as one document, null being an id of
-its own that ranks below all others. Only line hashes, ids and positions are shuffled to
-find the lines; texts move once, in the join that applies the decisions. Frequent lines are counted with partial
-aggregation, and the keys that hold a thousandth of all lines or more, of which there can be at most a
-thousand, are broadcast rather than shuffled.
+its own that ranks below all others; ids may be numbers, strings, binary, dates or timestamps. Repeated rows lose the same lines; there are no ties, as owners are
+largest ids. Very long texts cost time in proportion to their length. An empty table gives an empty table. Other columns pass through; an input column with the name of a result column
+is replaced by it.
+
+Only line hashes, ids and positions are shuffled to find the lines; texts move once, in the join that applies the decisions. Frequent lines are counted with partial
+aggregation. Keys that hold a thousandth of all lines or more, of which there can be at most a thousand, meet their lines by broadcast instead of a shuffle, with the same result.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cartograph.llm.expr import ascii_lower, attach, let, lines, row_key
-from cartograph.runtime import spool
+from cartograph.llm.expr import BLANKS, ascii_lower, attach, carried, let, lines, row_key, with_text
+from cartograph.runtime import drop_spool, spool, spool_sorted
 
 KEY = ["h1", "h2"]
-FANOUT = 4
+LEAST_BATCHES, BATCH_DOCS, MOST_BATCHES = 5, 200_000_000, 64
 HEAVY = 1000  # at most so many keys are broadcast
+NEW = ["n_lines", "n_dropped", "kept_text"]
 
 
 def line_key(line: Column) -> Column:
-    return ascii_lower(F.btrim(line, F.lit(" \t\n\x0b\f\r")))
+    return ascii_lower(F.btrim(line, F.lit(BLANKS)))
 
 
 def line_table(docs: DataFrame, text: str, min_chars: int) -> DataFrame:
@@ -40,12 +46,24 @@ def line_table(docs: DataFrame, text: str, min_chars: int) -> DataFrame:
     return docs.select(*row_key(text=text), F.explode(hashed).alias("_l")).select("_id", "_tx", "_l.*")
 
 
-def batch_bounds(docs: DataFrame, batches: int) -> list[int]:
-    """The doc_ids at which batches part, rising."""
-    if batches < 2:
-        return []
-    at = docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0]
-    return sorted(set(at or []))
+def rising(doc_id: Column, kind: T.DataType) -> Column:
+    """A number that never falls as the id rises; it may stay for ids that differ late."""
+    if isinstance(kind, T.NumericType):
+        return doc_id.cast("double")
+    if isinstance(kind, (T.DateType, T.TimestampNTZType)):
+        doc_id, kind = doc_id.cast("timestamp"), T.TimestampType()
+    if isinstance(kind, (T.TimestampType, T.BooleanType)):
+        return doc_id.cast("double")
+    head = F.rpad(F.hex(F.substring(doc_id.cast("binary"), 1, 6)), 12, "0")
+    return F.conv(head, 16, 10).cast("double")
+
+
+def batch_bounds(docs: DataFrame, batches: int | None) -> list[float]:
+    """Where rising() parts the batches, rising: at least LEAST_BATCHES, and more as documents need."""
+    order = rising(F.col("doc_id"), docs.schema["doc_id"].dataType)
+    n, at = docs.agg(F.count("*"), F.percentile_approx(order, [i / 320 for i in range(1, 320)], 10000)).first()
+    batches = batches or max(LEAST_BATCHES, min(MOST_BATCHES, -(-n // BATCH_DOCS)))
+    return sorted({at[i * 320 // batches - 1] for i in range(1, batches)}) if at else []
 
 
 def reduce_lines(batch: DataFrame) -> DataFrame:
@@ -54,56 +72,62 @@ def reduce_lines(batch: DataFrame) -> DataFrame:
     return once.groupBy(*KEY).agg(F.max("_id").alias("owner"), F.count("*").alias("n"))
 
 
-def merge_runs(runs: list[DataFrame]) -> DataFrame:
-    """Adds up the counts of sorted runs; a key has one owner among them."""
-    merged = runs[0]
-    for run in runs[1:]:
-        merged = merged.unionByName(run)
-    return merged.groupBy(*KEY).agg(F.max("owner").alias("owner"), F.sum("n").alias("n"))
-
-
 class Runs:
-    """Levelled runs; level k holds fewer than FANOUT tables."""
+    """Levelled runs of h1, h2, owner, n; a level holds one table at most, of twice as many batches as the level below.
+
+    An entry counts all documents up to its batch, so of several entries for a key the one with the largest count holds.
+    """
 
-    def __init__(self) -> None:
-        self.levels: list[list[DataFrame]] = []
+    def __init__(self, min_docs: int) -> None:
+        self.levels: list[DataFrame | None] = []
+        self.min_docs = min_docs
 
     def tables(self) -> list[DataFrame]:
-        return [run for level in self.levels for run in level]
+        return [run for run in self.levels if run is not None]
 
     def add(self, batch: DataFrame) -> None:
-        """Merge-anti-joins a batch's entries with the runs and adds what is left as a run."""
-        if known := self.tables():
-            owned = known[0].where("owner is not null").select(*KEY)
-            for run in known[1:]:
-                owned = owned.unionByName(run.where("owner is not null").select(*KEY))
-            fresh = batch.join(owned, KEY, "left_anti")
-            again = batch.join(owned, KEY, "left_semi").withColumn("owner", F.lit(None).cast(batch.schema["owner"].dataType))
-            batch = fresh.unionByName(again)
-        self._put(0, spool(batch.sortWithinPartitions(*KEY)))
+        """Merge-joins a batch's entries with the runs, drops what is settled there and adds the rest as a run."""
+        known = self.tables()
+        for i, run in enumerate(known):
+            batch = batch.join(run.select(*KEY, F.col("owner").alias(f"owner{i}"), F.col("n").alias(f"n{i}")), KEY, "left")
+        before, owners = [F.col(f"n{i}") for i in range(len(known))], [F.col(f"owner{i}") for i in range(len(known))]
+        seen = F.coalesce(F.greatest(*before, F.lit(0)), F.lit(0)) if known else F.lit(0)
+        batch = batch.where(seen < self.min_docs).select(*KEY, F.greatest(*owners, "owner").alias("owner") if known else F.col("owner"), (F.col("n") + seen).alias("n"))
+        self._put(0, spool_sorted(batch, *KEY))
 
     def _put(self, level: int, run: DataFrame) -> None:
         if len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(run)
-        if len(self.levels[level]) == FANOUT:
-            merged = spool(merge_runs(self.levels[level]).sortWithinPartitions(*KEY))
-            self.levels[level] = []
-            self._put(level + 1, merged)
-
-
-def frequent_lines(docs: DataFrame, text: str = "text", min_chars: int = 20, min_docs: int = 3, batches: int = 3) -> tuple[DataFrame, DataFrame]:
+            self.levels.append(None)
+        old, self.levels[level] = self.levels[level], None
+        if old is None:
+            self.levels[level] = run
+            return
+        other = old.select(*KEY, F.col("owner").alias("owner0"), F.col("n").alias("n0"))
+        merged = spool_sorted(run.join(other, KEY, "full_outer").select(*KEY, F.greatest("owner", "owner0").alias("owner"), F.greatest("n", "n0").alias("n")), *KEY)
+        drop_spool(old)
+        drop_spool(run)
+        self._put(level + 1, merged)
+
+    def frequent(self) -> DataFrame:
+        """The settled keys; each is settled in one run, as later batches drop it."""
+        return reduce(DataFrame.unionByName, [run.where(F.col("n") >= self.min_docs) for run in self.tables()])
+
+
+def frequent_lines(docs: DataFrame, text: str = "text", min_chars: int = 20, min_docs: int = 3, batches: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(line table, keys found in at least min_docs documents with their owner)."""
-    table = line_table(docs, text, min_chars)
     bounds = batch_bounds(docs, batches)
+    order = rising(F.col("_id"), docs.schema["doc_id"].dataType)
     number = F.lit(0)
     for bound in bounds:
-        number = number + F.coalesce(F.col("_id") > bound, F.lit(False)).cast("int")
-    table = spool(table.withColumn("batch", number), "batch")
-    runs = Runs()
+        number = number + F.coalesce(order > bound, F.lit(False)).cast("int")
+    table = spool(line_table(docs, text, min_chars).withColumn("batch", number), "batch")
+    runs = Runs(min_docs)
     for i in range(len(bounds), -1, -1):
         runs.add(reduce_lines(table.where(F.col("batch") == i)))
-    return table, spool(merge_runs(runs.tables()).where(F.col("n") >= min_docs))
+    keys = spool(runs.frequent())
+    for run in runs.tables():
+        drop_spool(run)
+    return table, keys
 
 
 def dropped_lines(table: DataFrame, keys: DataFrame) -> DataFrame:
@@ -116,7 +140,7 @@ def dropped_lines(table: DataFrame, keys: DataFrame) -> DataFrame:
     heavy = F.broadcast(keys.where(F.col("n") > least).select(*KEY, "owner"))
     light = keys.where(F.col("n") <= least).select(*KEY, "owner")
     hits = entry.join(heavy, KEY).where(loses).unionByName(entry.join(light, KEY).where(loses))
-    return hits.groupBy("_id", "_tx").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
+    return hits.groupBy("_id", "_tx").agg(F.array_sort(F.collect_set("pos")).alias("__gone"))
 
 
 def without(text: Column, gone: Column) -> Column:
@@ -130,19 +154,19 @@ def without(text: Column, gone: Column) -> Column:
     return let(lines(text), cut)
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", min_chars: int = 20, min_docs: int = 3, batches: int = 3) -> DataFrame:
+def dedup_lines(docs: DataFrame, text: str = "text", min_chars: int = 20, min_docs: int = 3, batches: int | None = None) -> DataFrame:
     """Adds n_lines, n_dropped and kept_text, the text without its dropped lines.
 
     A text that loses nothing is returned as it is, null included.
     """
     table, keys = frequent_lines(docs, text, min_chars, min_docs, batches)
-    joined = attach(docs.select("*", *row_key(text=text)), dropped_lines(table, keys), hint="shuffle_hash")
-    n = F.size(F.col("gone"))
+    joined = attach(docs.select(F.struct("*").alias("__row"), *row_key(text=text)), dropped_lines(table, keys), hint="shuffle_hash")
+    own, gone = F.col(f"__row.`{text}`"), F.col("__gone")
     return joined.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        F.size(lines(F.col(text))).cast("long").alias("n_lines"),
-        F.when(F.col("gone").isNull(), 0).otherwise(n).cast("long").alias("n_dropped"),
-        F.when(F.col("gone").isNull(), F.col(text)).otherwise(without(F.col(text), F.col("gone"))).alias("kept_text"),
+        *carried(docs, NEW),
+        F.size(lines(own)).cast("long").alias("n_lines"),
+        F.when(gone.isNull(), 0).otherwise(F.size(gone)).cast("long").alias("n_dropped"),
+        F.when(gone.isNull(), own).otherwise(without(own, gone)).alias("kept_text"),
     )
 
 
@@ -152,13 +176,5 @@ def clean(docs: DataFrame, text: str = "text", **options: int) -> DataFrame:
     A document that loses all its lines stays with an empty text. n_chars, where there is
     such a column, follows the new text.
     """
-    out = dedup_lines(docs.select(F.struct("*").alias("_row"), "doc_id", text), text, **options)
-    fields = []
-    for c in docs.columns:
-        value = F.col(f"_row.`{c}`")
-        if c == text:
-            value = F.col("kept_text")
-        elif c == "n_chars":
-            value = F.when(F.col("n_dropped") > 0, F.char_length("kept_text").cast(docs.schema[c].dataType)).otherwise(value)
-        fields.append(value.alias(c))
-    return out.select(*fields)
+    out = dedup_lines(docs.select(F.struct("*").alias("__row"), "doc_id", text), text, **options)
+    return out.select(*with_text(docs, text, F.col("n_dropped") > 0, F.col("kept_text")))
