@@ -1,52 +1,51 @@
-"""Near-duplicate removal at a stated shingle similarity, on SimHash candidates.
+"""Near-duplicate removal at a stated shingle similarity, on SimHash links and an exact search for the rest.
 
 A single 64-bit fingerprint of a document can't promise a similarity of 0.8: such pairs lie about ten bits apart, where distance says
-little. So candidates come from three sources, and every one is verified by the exact Jaccard similarity of the word 5-shingle
-sets. The first two are cheap and merge most copies:
-
-- documents whose fingerprints lie within RADIUS bits, found with the vantage-point trees of simhash.py;
-- documents that share two segment fingerprints, each with one centre of their group. A segment is cut before words whose hash is a
-  multiple of CUT, so edits move the cuts around them only; its SimHash covers the shingles that begin in it. Of each document the
-  SEGMENTS least (by hash order) segments count.
-
-The third misses none: all pairs of documents not yet in one component, of any length, that share a shingle of their prefixes and pass
-the bounds on lengths and places that similarity sets. A prefix is the part of the sorted shingle set in which two sets at the
-threshold must meet. Shingles are sorted by how often a sample of documents has them, so that shared passages come last; any order
-is exact. No group is capped: what a group costs are its pairs of unlike components.
-
-Texts that agree word for word are one node from the start, so groups of copies cost nothing.
-The least (doc_id) document of each component stays. Null and blank texts are copies of one another. Repeated rows are copies:
-one stays.
+little. So documents whose fingerprints lie within RADIUS bits are linked first, with the vantage-point trees of simhash.py, and all other pairs are found by their shingles. Every link
+is verified by the exact Jaccard similarity of the word 5-shingle sets. Texts that agree word for word are one node from the start, so groups of copies cost nothing.
+
+1. Most documents have no partner. Each document shows a sample of its shingles, those with a hash below SHOWN / m of the range, m being their number, to the others; any partner has so similar an m
+   that it shows them too. Of a document with a partner 80 percent of its shingles are shared, so documents of whose sample less than 35 percent is found anywhere else are left out. With 32 shingles the
+   sample of a document with a partner falls that low less than once in 10 million; shorter documents show all.
+2. Of the others, all shingles are counted. Sets of a and b shingles at similarity t share t / (1 + t) * (a + b), so they meet in their prefixes: the first m - ceil(t * m) + 1 shingles, rarest first. Shingles
+   that no other document has come first and meet nobody; documents that hold too many have no prefix left. What remains are short lists of rare shingles, with the number of shingles behind each.
+3. Rounds of stars: each document is compared with the centre of the group of its rarest shingle, and what is verified is merged. The first round's centres are the documents with the fewest
+   shingles of their own, which in a group of edited copies is the text they stem from; later rounds draw them by hash.
+4. All pairs of unlike components that share a prefix shingle and pass the bounds on sizes and places, without a cap: per shingle, documents outside its largest component against all.
+
+Rows of the table stay in the order of their group: the least (doc_id, then text hash) document of each component stays, null ids first. Null and blank texts are copies of one another. Repeated rows are copies:
+one stays. Very long texts cost time and memory in proportion to their length; an empty table gives an empty table; all columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartograph.llm.components import components
-from cartograph.llm.decontaminate import mix, shingle_keys
+from cartograph.llm.decontaminate import shingle_keys
 from cartograph.llm.expr import attach, row_key
 from cartograph.llm.simhash import links
-from cartograph.runtime import spool
+from cartograph.runtime import drop_spool, spool
 
 WIDTH, RADIUS = 5, 2
-CUT, SEGMENTS = 6, 8
-SAMPLE, COMMON = 20_000, 200_000
-BLOCK, LONGEST = 4096, 4096
+SHOWN, SHARED = 32, 0.35
+ROUNDS = 4
+PIECE = 1 << 16  # shingles whose bits are summed at once
 
 
 def word_hashes(text: bytes) -> tuple[np.ndarray, bytes]:
     """(64-bit hash of each word, digest of the word sequence); words part at ASCII white space, A-Z lower-cased."""
     w = text.lower().split()
-    out = np.fromiter(map(xxhash.xxh64_intdigest, w), np.uint64, len(w))
-    return out, hashlib.blake2b(b" ".join(w), digest_size=16).digest()
+    return np.fromiter(map(xxhash.xxh64_intdigest, w), np.uint64, len(w)), hashlib.blake2b(b" ".join(w), digest_size=16).digest()
 
 
 def shingles(words: np.ndarray) -> np.ndarray:
@@ -54,183 +53,180 @@ def shingles(words: np.ndarray) -> np.ndarray:
     return shingle_keys(words.view(np.int64), min(WIDTH, len(words))) if len(words) else np.zeros(0, np.uint64)
 
 
-def segments(words: np.ndarray, keys: np.ndarray) -> tuple[np.uint64, np.ndarray]:
-    """(fingerprint of all shingles, the least segment fingerprints) of a document.
-
-    Bits are summed by segment, BLOCK segments at a time; stretches without a cut are parted every LONGEST shingles.
-    """
-    n = len(keys)
-    if not n:
-        return np.uint64(0), np.zeros(0, np.uint64)
-    starts = np.unique(np.concatenate([[0], np.flatnonzero(mix(words[:n]) % np.uint64(CUT) == 0)]))
-    sizes = np.diff(np.append(starts, n))
-    if sizes.max() > LONGEST:
-        starts = np.concatenate([np.arange(s, s + z, LONGEST) for s, z in zip(starts.tolist(), sizes.tolist(), strict=True)])
-        sizes = np.diff(np.append(starts, n))
-    total, found = np.zeros(64, np.int64), []
-    for i in range(0, len(starts), BLOCK):
-        at, z = starts[i : i + BLOCK], sizes[i : i + BLOCK]
-        bits = np.unpackbits(keys[at[0] : at[-1] + z[-1]].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        sums = np.add.reduceat(bits, at - at[0], axis=0, dtype=np.int32)
-        total += sums.sum(0)
-        found.append(np.packbits(2 * sums > z[:, None], axis=1, bitorder="little").view(np.uint64).ravel())
-    out = np.unique(np.concatenate(found))
-    whole = np.packbits(2 * total > n, bitorder="little").view(np.uint64)[0]
-    return whole, out[np.argsort(mix(out + np.uint64(1)), kind="stable")[:SEGMENTS]]
-
-
-def mark(docs: DataFrame, text: str) -> DataFrame:
-    """_id, _tx, d1, d2, fp, n, segs: one row a document."""
+def shingle_set(text: bytes) -> np.ndarray:
+    return np.unique(shingles(word_hashes(text)[0]))
+
+
+def fingerprint(keys: np.ndarray) -> int:
+    """SimHash of shingle hashes, as a signed long."""
+    total = np.zeros(64, np.int64)
+    for i in range(0, len(keys), PIECE):
+        total += np.unpackbits(keys[i : i + PIECE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * total > len(keys), bitorder="little").view(np.int64)[0])
+
+
+def mark(docs: DataFrame, text: str, threshold: float) -> DataFrame:
+    """_id, _tx, d1, d2 (digest), fp, m (distinct shingles), own and more: the sample of its shingles that a document asks for, and what else it shows."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            digests, fps, n, segs = [], [], [], []
+            digests, fps, sizes, own, more = [], [], [], [], []
             for t in b.column(2).to_pylist():
                 w, d = word_hashes(t or b"")
                 keys = shingles(w)
                 digests.append(d)
-                n.append(len(w))
-                fp, least = segments(w, keys)
-                fps.append(fp)
-                segs.append(least.view(np.int64))
+                fps.append(fingerprint(keys))
+                keys = np.unique(keys)
+                sizes.append(len(keys))
+                share = SHOWN / max(len(keys), 1)
+                a, z = (np.searchsorted(keys, np.uint64(min(x, 1.0) * (2**64 - 2048)), "right") if x < 1 else len(keys) for x in (share, share / threshold))
+                own.append(keys[:a].view(np.int64))
+                more.append(keys[a:z].view(np.int64))
             d = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(segs, pa.list_(pa.int64()))],
-                ["_id", "_tx", "d1", "d2", "fp", "n", "segs"],
+                [b.column(0), b.column(1), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(own, pa.list_(pa.int64())), pa.array(more, pa.list_(pa.int64()))],
+                ["_id", "_tx", "d1", "d2", "fp", "m", "own", "more"],
             )
 
-    return docs.select(*row_key(text=text), F.col(text).cast("binary")).mapInArrow(run, f"_id {kind}, _tx int, d1 long, d2 long, fp long, n long, segs array<long>")
-
+    return docs.select(*row_key(text=text), F.col(text).cast("binary")).mapInArrow(run, f"_id {kind}, _tx long, d1 long, d2 long, fp long, m int, own array<long>, more array<long>")
 
-def starred(keys: DataFrame) -> DataFrame:
-    """a, b: every node of a group with the group's centre, for rows key, node.
 
-    The centre is the node whose groups are largest, so that copies of one text mostly meet that text.
-    """
-    size = keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    sized = spool(keys.join(size, "key"))
-    weight = sized.groupBy("node").agg(F.sum("m").alias("weight"))
-    centre = sized.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("a"))
-    star = sized.join(centre, "key").where("node <> a")
-    return star.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
+def seen_elsewhere(classes: DataFrame) -> DataFrame:
+    """node: the nodes of whose sample at least the share SHARED is shown by some other node, too."""
+    own = classes.select("node", "m", F.size("own").alias("asked"), F.explode("own").alias("h"))
+    shown = own.select("h").unionByName(classes.select(F.explode("more").alias("h")))
+    twice = spool(shown.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"))
+    found = own.join(twice, "h", "left_semi").groupBy("node").agg(F.count("*").alias("n"), F.first("asked").alias("asked"))
+    return found.where(F.col("n") >= SHARED * F.col("asked")).select("node")
 
 
-def common_shingles(docs: DataFrame, text: str, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rising hashes, counts) of the shingles most often seen in a sample of about SAMPLE documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingles(word_hashes(t or b"")[0])).view(np.int64))], ["h"])
-
-    some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(max(1, total // SAMPLE))) == 0).select(F.col(text).cast("binary"))
-    seen = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("c")).where("c > 1").orderBy(F.desc("c"), "h").limit(COMMON).toArrow()
-    h, c = (seen.column(i).to_numpy() for i in (0, 1))
-    h = h.astype(np.int64).view(np.uint64)
-    order = np.argsort(h)
-    return h[order], c[order].astype(np.int64)
-
-
-def prefix(keys: np.ndarray, common: tuple[np.ndarray, np.ndarray], threshold: float) -> np.ndarray:
-    """The first shingles of a set, rare ones first, of which a set as similar as the threshold has at least one among its own first."""
-    m = len(keys)
-    known, counts = common
-    seen = np.zeros(m, np.int64)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-        seen = np.where(known[at] == keys, counts[at], 0)
-    return keys[np.lexsort((keys, seen))[: m - int(np.ceil(threshold * m - 1e-9)) + 1]]
-
-
-def prefix_table(docs: DataFrame, text: str, common: tuple[np.ndarray, np.ndarray], threshold: float) -> DataFrame:
-    """_id, _tx, m, p: number of distinct shingles and the prefix of each document that has words."""
+def packed(docs: DataFrame, text: str) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
         for b in batches:
-            sets = [np.unique(shingles(word_hashes(t or b"")[0])) for t in b.column(2).to_pylist()]
-            firsts = [prefix(x, shared.value, threshold).view(np.int64) if len(x) else x.view(np.int64) for x in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) for x in sets], pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], ["_id", "_tx", "m", "p"])
-
-    rows = docs.select(*row_key(text=text), F.col(text).cast("binary"))
-    return rows.mapInArrow(run, f"_id {kind}, _tx int, m int, p array<long>").where("m > 0")
-
-
-def unlinked(docs: DataFrame, text: str, nodes: DataFrame, total: int, threshold: float) -> DataFrame:
-    """a, b: every pair of nodes with unlike roots that may be as similar as the threshold, for rows node, root.
-
-    Sets of m and n shingles at similarity t share t / (1 + t) * (m + n), hence one in their prefixes; the first
-    that they share has so many places behind it in either set.
-    """
-    table = prefix_table(docs, text, common_shingles(docs, text, total), threshold)
-    rooted = table.select(F.struct("_id", "_tx").alias("node"), "m", "p").join(nodes, "node")
-    rows = spool(rooted.select("node", "root", "m", F.posexplode("p").alias("i", "key")).select("node", "root", "m", (F.col("m") - F.col("i")).alias("rest"), "key"))
-    mixed = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    live = spool(rows.join(mixed, "key"))
-    roots = spool(live.select("key", "root").distinct())
-    ra, rb = (roots.select("key", F.col("root").alias(f"r{x}")) for x in "ab")
-    meet = ra.join(rb, "key").where("ra < rb")
-    a, b = (live.select("key", F.col("root").alias(f"r{x}"), F.col("node").alias(x), F.col("m").alias(f"m{x}"), F.col("rest").alias(f"rest{x}")) for x in "ab")
-    share = threshold / (1 + threshold)
-    both = meet.join(a, ["key", "ra"]).join(b, ["key", "rb"]).where(F.least("resta", "restb") >= share * (F.col("ma") + F.col("mb")) - 1e-6)
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([pack(t or b"") for t in b.column(2).to_pylist()], pa.binary())], ["_id", "_tx", "t"])
 
+    return docs.select(*row_key(text=text), F.col(text).cast("binary")).mapInArrow(run, f"_id {kind}, _tx long, t binary")
 
-def shingle_sets(docs: DataFrame, text: str, nodes: DataFrame) -> DataFrame:
-    """node, s: sorted distinct shingle hashes of the documents that are asked for."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def unpack(texts: pa.Array) -> list[bytes]:
+    return list(map(zstandard.ZstdDecompressor().decompress, texts.to_pylist()))
+
+
+def prefixes(texts: DataFrame, threshold: float) -> DataFrame:
+    """key, node, m, u, rest: the prefix of each node without the u shingles that no other node has; rest: shingles of the set from this one on."""
+    kind = texts.schema["node"].dataType.simpleString()
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [np.unique(shingles(word_hashes(t or b"")[0])).view(np.int64) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.list_(pa.int64()))], ["_id", "_tx", "s"])
+            sets = [shingle_set(t).view(np.int64) for t in unpack(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(sets, pa.list_(pa.int64()))], ["node", "m", "s"])
 
-    rows = attach(docs.select(*row_key(text=text), F.col(text).cast("binary").alias("t")), nodes.select("node._id", "node._tx"), "left_semi", "shuffle_hash")
-    return rows.mapInArrow(run, f"_id {kind}, _tx int, s array<long>").select(F.struct("_id", "_tx").alias("node"), "s").dropDuplicates(["node"])
+    each = texts.select("node", "t").mapInArrow(listed, f"node {kind}, m int, s array<long>").select("node", "m", F.explode("s").alias("h"))
+    counts = spool(each.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"))
+    shared = each.join(counts, "h").groupBy("node", "m").agg(F.array_sort(F.collect_list(F.struct(F.col("c").cast("int").alias("c"), "h"))).alias("s"))
+    u = F.col("m") - F.size("s")
+    length = F.col("m") - F.ceil(threshold * F.col("m") - 1e-9) + 1 - u
+    some = shared.where(length > 0).select("node", "m", u.alias("u"), F.posexplode(F.slice("s", F.lit(1), length.cast("int"))).alias("i", "x"))
+    return some.select(F.col("x.h").alias("key"), "node", "m", "u", (F.col("m") - F.col("u") - F.col("i")).alias("rest"))
 
 
-def verified(docs: DataFrame, text: str, pairs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose shingle sets are at least as similar as the threshold."""
-    pairs = spool(pairs.distinct())
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = spool(shingle_sets(docs, text, nodes))
-    a, b = (sets.select(F.col("node").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
-    both = pairs.join(a, "a").join(b, "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(common >= threshold * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+def verified(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """The pairs a, b whose shingle sets are at least as similar as the threshold."""
+    kind = texts.schema["node"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once = functools.lru_cache(64)(shingle_set)
+        for b in batches:
+            keep = []
+            for x, y in zip(unpack(b.column(2)), unpack(b.column(3)), strict=True):
+                s, t = once(x), once(y)
+                common = len(np.intersect1d(s, t, assume_unique=True))
+                keep.append(common >= threshold * (len(s) + len(t) - common) - 1e-9)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
+    return both.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def relabelled(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """node, root after merging the components of the links found."""
+    ra, rb = (nodes.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
+    moved = components(found.join(ra, "a").join(rb, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    new = nodes.join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    out = spool(new)
+    drop_spool(nodes)
+    return out
+
+
+def alike(x: str, y: str, threshold: float):
+    """Whether sets of x and y shingles can be as similar as the threshold."""
+    return F.least(x, y) >= threshold * F.greatest(x, y) - 1e-9
+
+
+def stars(rows: DataFrame, nodes: DataFrame, number: int, threshold: float) -> DataFrame:
+    """a, b: each node of a component beside the centre's with the centre of its rarest shared group, at most one pair a node."""
+    live = rows.join(nodes, "node")
+    first = F.col("u") / F.col("m") if number == 0 else F.xxhash64("node", F.lit(number)).cast("double")
+    centre = live.groupBy("key").agg(F.min(F.struct(first.alias("f"), "node", "root", "m")).alias("z"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    met = live.join(centre.select("key", "z"), "key").where(F.col("root") != F.col("z.root")).withColumn("zm", F.col("z.m")).where(alike("m", "zm", threshold))
+    best = met.groupBy("node").agg(F.max(F.struct("rest", F.col("z.node").alias("centre"))).alias("best"))
+    return best.select(F.col("node").alias("a"), F.col("best.centre").alias("b"))
+
+
+def remaining(rows: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """a, b: all pairs of nodes of unlike components that may be as similar as the threshold."""
+    live = spool(rows.join(nodes, "node"))
+    size = live.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("largest"), F.count("*").alias("roots")).where("roots > 1")
+    live = spool(live.join(size.select("key", "largest"), "key"))
+    share = threshold / (1 + threshold)
+    a, b = (live.select("key", "largest", F.col("node").alias(x), F.col("root").alias(f"r{x}"), F.col("m").alias(f"m{x}"), F.col("rest").alias(f"s{x}")) for x in "ab")
+    may = alike("ma", "mb", threshold) & (F.least("sa", "sb") >= share * (F.col("ma") + F.col("mb")) - 1e-6) & (F.col("ra") != F.col("rb"))
+    met = a.where("ra <> largest").drop("largest").join(b.drop("largest"), "key").where(may)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_groups(docs: DataFrame, text: str = "text", threshold: float = 0.8) -> DataFrame:
     """_id, _tx, keep, copies: the row key of each document's group's least document, and how many rows share its key."""
-    marks = spool(mark(docs, text))
-    classes = spool(marks.groupBy("d1", "d2").agg(F.min(F.struct("_id", "_tx")).alias("node"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("segs").alias("segs")))
-    pick = F.when(F.size("segs") == 1, F.array(F.struct(F.get("segs", 0).alias("x"), F.get("segs", 0).alias("y")))).otherwise(
-        F.flatten(F.transform("segs", lambda x, i: F.transform(F.slice("segs", i + 2, SEGMENTS), lambda y: F.struct(F.least(x, y).alias("x"), F.greatest(x, y).alias("y")))))
-    )
-    keys = spool(classes.select(F.explode(pick).alias("k"), "node").select(F.xxhash64("k.x", "k.y").alias("key"), "node"))
+    marks = spool(mark(docs, text, threshold))
+    classes = spool(marks.groupBy("d1", "d2").agg(F.min(F.struct("_id", "_tx")).alias("node"), F.first("fp").alias("fp"), F.first("m").alias("m"), F.first("own").alias("own"), F.first("more").alias("more")))
+    full = classes.where("m > 0")
+    live = spool(seen_elsewhere(full))
+    texts = spool(attach(packed(docs, text), live.select("node._id", "node._tx"), "left_semi", "shuffle_hash").select(F.struct("_id", "_tx").alias("node"), "t").dropDuplicates(["node"]))
 
     # Nodes of one fingerprint, and of fingerprints within the radius.
-    points = spool(classes.where("n > 0").groupBy("fp").agg(F.min("node").alias("lead")))
-    same = classes.where("n > 0").join(points, "fp").where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    points = spool(full.groupBy("fp").agg(F.min("node").alias("lead")))
+    same = full.join(points, "fp").where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
     lead_a, lead_b = (points.select(F.col("fp").alias(x), F.col("lead").alias(f"l{x}")) for x in "ab")
     near = links(points.select("fp"), RADIUS).join(lead_a, "a").join(lead_b, "b").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b"))
-    found = spool(verified(docs, text, starred(keys).unionByName(same).unionByName(near), threshold))
-    root = components(found).withColumnRenamed("node", "r")
-    nodes = spool(classes.where("n > 0").join(root, F.col("node") == F.col("r"), "left").select("node", F.coalesce("root", "node").alias("root")))
-    found = found.unionByName(verified(docs, text, unlinked(docs, text, nodes, marks.count(), threshold), threshold))
-    root = components(found)
-    group = classes.join(root.withColumnRenamed("node", "r"), F.col("node") == F.col("r"), "left").select("d1", "d2", F.coalesce("root", "node").alias("keep"))
-    return marks.join(group, ["d1", "d2"]).groupBy("_id", "_tx").agg(F.min("keep").alias("keep"), F.count("*").alias("copies"))
+    found = spool(verified(texts, same.unionByName(near), threshold))
+    nodes = relabelled(spool(live.select("node", F.col("node").alias("root"))), found)
+
+    rows = spool(prefixes(texts, threshold))
+    for number in range(ROUNDS):
+        new = spool(verified(texts, stars(rows, nodes, number, threshold), threshold))
+        if new.isEmpty():
+            break
+        nodes = relabelled(nodes, new)
+    new = spool(verified(texts, spool(remaining(rows, nodes, threshold)), threshold))
+    if not new.isEmpty():
+        nodes = relabelled(nodes, new)
+    group = classes.join(nodes.withColumnRenamed("node", "r"), F.col("node") == F.col("r"), "left").select("d1", "d2", F.coalesce("root", "node").alias("keep"))
+    out = spool(marks.select("_id", "_tx", "d1", "d2").join(group, ["d1", "d2"]).groupBy("_id", "_tx").agg(F.min("keep").alias("keep"), F.count("*").alias("copies")))
+    for table in (marks, classes, texts, rows):
+        drop_spool(table)
+    return out
 
 
 def clean(docs: DataFrame, text: str = "text", threshold: float = 0.8) -> DataFrame:
     """One document of each group, all columns as they are."""
-    groups = spool(near_groups(docs, text, threshold))
+    groups = near_groups(docs, text, threshold)
     gone = groups.where(F.struct("_id", "_tx") != F.col("keep")).select("_id", "_tx")
-    rows = docs.select(F.struct("*").alias("_row"), *row_key(text=text))
+    rows = docs.select(F.struct("*").alias("__row"), *row_key(text=text))
     out = attach(rows, gone, "left_anti", "shuffle_hash")
     if groups.where("copies > 1").limit(1).count():
         out = out.dropDuplicates(["_id", "_tx"])
-    return out.select("_row.*")
+    return out.select("__row.*")
