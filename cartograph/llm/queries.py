@@ -50,7 +50,7 @@ def op7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(documents(spark, sf_dir).select("doc_id", "text"))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", sha256(F.col("base")).alias("base_sha256"), "spans")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_spans", "n_secret", sha256(F.col("base")).alias("base_sha256"), "spans")
 
 
 def op9_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,10 +85,12 @@ r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram)
 rep AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM r, range(0, 8) x(j) GROUP BY doc_id),
 l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
 full_lines AS (SELECT doc_id, line, length(line) AS n, length(regexp_replace(line, '[^A-Z]', '', 'g')) AS up, length(regexp_replace(line, '[^a-z]', '', 'g')) AS low FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
-judged AS (SELECT *, {SYMBOL_COUNT.format(x="line")} > 0.1 * n OR length(regexp_replace(line, '[^|»›•]', '', 'g')) >= 3 OR (up + low >= 20 AND up > 0.7 * (up + low))
-  OR regexp_matches(lower(line), '{"|".join(quality.BOILERPLATE)}') OR (n > 400 AND NOT regexp_matches(line, '[.!?:;。！？]')) AS bad FROM full_lines),
+t_lines AS (SELECT *, trim(line, {BLANKS}) AS t, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS nw, length(regexp_replace(line, '[^{quality.MARKS}]', '', 'g')) AS marks FROM full_lines),
+judged AS (SELECT *, 100 * {SYMBOL_COUNT.format(x="line")} > 10 * n OR length(regexp_replace(line, '[^{quality.SEPARATORS}]', '', 'g')) >= 3 OR (up + low >= 20 AND 100 * up > 70 * (up + low))
+  OR regexp_matches(lower(line), '{"|".join(quality.BOILERPLATE)}')
+  OR (NOT regexp_matches(t, '{quality.ENDS.replace("'", "''")}') AND ((nw >= 4 AND nw > 50 * marks) OR (length(t) <= 200 AND regexp_matches(lower(t), '{quality.BAR}')))) AS bad FROM t_lines),
 lost AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dup, count(*) FILTER (bad) AS n, coalesce(sum(length(regexp_replace(line, '[\\x20\\x09-\\x0D]', '', 'g'))) FILTER (bad), 0) AS c FROM judged GROUP BY doc_id),
 m AS (SELECT d.doc_id, len(w) AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars, {SYMBOL_COUNT.format(x="t")} AS n_symbols, coalesce(dup, 0) AS n_dup_lines,
   coalesce(rep.n, 0) AS n_repeat_words, coalesce(lost.n, 0) AS n_lost_lines, CAST(coalesce(lost.c, 0) AS BIGINT) AS lost_chars FROM d LEFT JOIN rep ON rep.doc_id = d.doc_id LEFT JOIN lost ON lost.doc_id = d.doc_id)
-SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND lost_chars <= 0.3 * word_chars AS kept FROM m""",
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 100 * lost_chars <= 30 * word_chars AS kept FROM m""",
 }
