@@ -1,6 +1,7 @@
 """Every operator against a plain computation on small tables with nulls, blanks, long texts, ties and repeated rows."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -73,6 +74,8 @@ def test_quality(docs, empty):
     assert got == want
     kept = {r["doc_id"] for r in quality.quality(docs.select("doc_id", "text")).where("kept").collect()}
     assert {4, 5, 7, 8, 42} <= kept and not kept & {0, 1, 40, 43, 44, 6}
+    named = docs.select("doc_id", "text", F.lit(1).alias("_w"), F.lit(2).alias("_l"), F.lit(3).alias("n_words"))
+    assert quality.quality(named).columns == ["doc_id", "text", "_w", "_l", *quality.NEW] and quality.quality(named).where("_w <> 1 or _l <> 2").count() == 0
     assert quality.clean(docs).columns == docs.columns and quality.clean(empty).count() == 0
 
 
@@ -91,9 +94,13 @@ def test_lines(docs, empty, spark):
         want[i, len(lines), len(lines) - len(keep), "\n".join(keep)] += 1
     assert got == want
     assert linededup.clean(docs).columns == docs.columns and linededup.dedup_lines(empty).count() == 0
-    # More batches than a level holds, so that runs are compacted.
-    many = table(linededup.dedup_lines(docs.select("doc_id", "text"), batches=7).withColumn("k", F.coalesce("kept_text", F.lit(""))), "doc_id", "n_lines", "n_dropped", "k")
-    assert many == want
+    one = table(linededup.dedup_lines(docs.select("doc_id", "text"), batches=1).withColumn("k", F.coalesce("kept_text", F.lit(""))), "doc_id", "n_lines", "n_dropped", "k")
+    assert one == want
+    # Ids of other types, and columns named as the operator's own.
+    named = docs.select(F.lpad(F.col("doc_id").cast("string"), 3, "0").alias("doc_id"), "text", F.lit(1).alias("_id"), F.lit(2).alias("gone"), F.lit(3).alias("n_lines"))
+    out = linededup.dedup_lines(named)
+    assert out.columns == ["doc_id", "text", "_id", "gone", "n_lines", "n_dropped", "kept_text"]
+    assert table(out.withColumn("k", F.coalesce("kept_text", F.lit(""))).withColumn("i", F.col("doc_id").cast("long")), "i", "n_lines", "n_dropped", "k") == want
 
 
 def test_mix(docs, empty):
@@ -118,10 +125,27 @@ def test_mix(docs, empty):
         assert r["source_size"] == total[r["source"]] and r["target"] == pytest.approx(target[r["source"]]) and 0 <= r["copies"] <= 2 and r["taken"] == r["copies"] * r["size"]
         taken[r["source"]] += r["taken"]
     # The null source holds one document of 3000 words: no choice of whole copies comes nearer than 4506 to 4838.5.
-    assert all(abs(taken[s] - target[s]) <= (333 if s is None else 1) for s in target)
+    assert all(abs(taken[s] - target[s]) <= (333 if s is None else 2) for s in target)
     again = Counter((r["doc_id"], r["size"], r["taken"]) for r in mixing.mix(docs).collect())
     assert again == Counter((r["doc_id"], r["size"], r["taken"]) for r in out)
     assert mixing.mix(empty).count() == 0
+    with pytest.raises(ValueError, match="sources"):
+        mixing.targets(mixing.cell_table(docs, "text", "source")[1], max_sources=2)
+
+
+def test_mix_tilts_rates_by_size_and_solves_the_dual(spark):
+    rng = random.Random(14)
+    docs = spark.createDataFrame([(k, " ".join(["w"] * rng.randrange(1, 200)), "ab"[k % 2]) for k in range(600)], "doc_id long, text string, source string")
+    _, cells = mixing.cell_table(docs, "text", "source")
+    wanted = mixing.targets(cells, 1.2, 2.0, (3.0, 1.0))
+    dual = {r["src"]: r for r in mixing.newton(cells, wanted, 2.0).collect()}
+    for s, sign in (("a", 1), ("b", -1)):
+        own = [(r["size"], r["n"]) for r in cells.where(F.col("src") == s).collect()]
+        assert dual[s]["b"] * sign > 0
+        rate = lambda z: 2 * math.exp(dual[s]["b"] * z / dual[s]["mean"]) / (1 + math.exp(dual[s]["b"] * z / dual[s]["mean"]))  # noqa: B023, E731
+        assert sum(n * z * rate(z) for z, n in own) == pytest.approx(dual[s]["target"], rel=1e-4)
+    with pytest.raises(RuntimeError, match="Newton"):
+        mixing.newton(cells, wanted, 2.0, steps=1, tolerance=1e-12)
 
 
 def plain_fingerprint(t):
@@ -200,16 +224,18 @@ def test_tokens(docs, empty):
     assert tokens.count_tokens(empty).count() == 0
     c = tokens.counter("byte_bpe_50k.json")
     rng = random.Random(6)
-    alphabet = "ab'sletrd <|>\n\t\x85\xa0 éß12½中文😀ࢢ\U0001e6c0-!?."
-    for _ in range(400):
-        s = "".join(rng.choice([rng.choice(alphabet), "<|endoftext|>", "'re"]) if rng.random() < 0.2 else rng.choice(alphabet) for _ in range(rng.randrange(30)))
-        assert c.count(s) == count(s), s
-    s = "it's a test  of   they're 'red!' <|endoftext|> done\n\n one  two"
-    p = tokens.PrefixCounts(c, s)
-    assert all(p.within(len(s[:k].encode())) == count(s[:k]) for k in range(len(s) + 1))
-    assert count(s[: p.longest(7)]) <= 7
-    stored = tokens.prefix_table(docs.where("doc_id = 4")).first()
-    assert stored["ends"][-1] == len(dict(ROWS)[4].encode()) and stored["counts"][-1] == count(dict(ROWS)[4])
+    alphabet = "ab'sletrd <|>\n\t\x85\xa0 éß12½中文😀ࢢ\U0001e6c0-!?."
+    for _ in range(300):
+        s = "".join(rng.choice([rng.choice(alphabet), "<|endoftext|>", "'re", "  the"]) if rng.random() < 0.25 else rng.choice(alphabet) for _ in range(rng.randrange(24)))
+        steps = c.steps(s)
+        assert len(steps) == len(s.encode())
+        assert tokens.counts_at(steps, [len(s[:k].encode()) for k in range(len(s) + 1)]) == [count(s[:k]) for k in range(len(s) + 1)], s
+    # Budgets from the stored table alone.
+    for r in tokens.budget(tokens.prefix_table(docs), 30).collect():
+        t = next((t for i, t in ROWS if i == r["doc_id"] and len((t or "").encode()) == r["n_bytes"]), "") or ""
+        ends = [k for k in range(len(t) + 1) if count(t[:k]) <= 30] if len(t) < 400 else []
+        assert r["cut_tokens"] <= 30 and count(t.encode()[: r["cut_bytes"]].decode()) == r["cut_tokens"]
+        assert not ends or len(t[: ends[-1]].encode()) == r["cut_bytes"]
 
 
 def test_licenses(spark, docs, empty):
@@ -223,6 +249,47 @@ def test_licenses(spark, docs, empty):
     assert got[4]["labels"] == "" and got[5]["labels"] == "cc-by-nc" and got[6]["n_words"] == got[7]["n_words"] == 0 and got[6]["first_word"] is None
     plain = licenses.license_labels(docs)
     assert plain.where("labels <> ''").count() == 0 and plain.count() == len(ROWS) and licenses.license_labels(empty).count() == 0
+    # The same words in another order are no license.
+    mixed = notice.split()
+    random.Random(2).shuffle(mixed)
+    assert licenses.license_labels(spark.createDataFrame([(1, " ".join(mixed))], "doc_id long, text string")).first()["labels"] == ""
+
+
+def test_license_phrases_and_spans_against_brute_force(spark):
+    rng = random.Random(15)
+    bits = [" ".join(p.split()[:k]) for p in licenses.PHRASES for k in (1, 2, 5)] + ["Under the MIT License", "apache license, version 2", "CC BY-NC", "x", "é", "7"]
+    templates = {"one": ["a b c d e f g h i j", "k l m n"], "two": ["a b c x y z u v w q"]}
+    rows = [(i, " ".join(rng.choice(bits) for _ in range(rng.randrange(12)))) for i in range(200)]
+    got = {r["doc_id"]: r for r in licenses.phrase_scan(spark.createDataFrame(rows, "doc_id long, text string")).withColumnRenamed("_id", "doc_id").collect()}
+    for i, t in rows:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(LOWER))
+        at = [(k, label) for p, label in licenses.PHRASES.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
+        assert (got[i]["n_words"], got[i]["n_base"], got[i]["first_word"], got[i]["last_word"]) == (len(w), len(at), min((k for k, _ in at), default=None), max((k for k, _ in at), default=None))
+        assert got[i]["base"] == sorted({x for _, x in at})
+    # Spans: texts of template words in order, with words put in and left out; a plain longest common chain decides.
+    rows = []
+    for i in range(150):
+        w = [x for x in rng.choice(rng.choice(list(templates.values()))).split() if rng.random() > 0.08]
+        for _ in range(rng.randrange(2)):
+            w.insert(rng.randrange(len(w) + 1), "zz")
+        rows.append((i, " ".join(["pre"] * rng.randrange(3) + w + ["post"] * rng.randrange(3))))
+    grams = licenses.gram_scan(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = {(r["_id"], r["template"]): r["score"] for r in licenses.spans(grams, licenses.template_table(spark, templates), 0.7).collect()}
+    want = {}
+    for i, t in rows:
+        w = t.split()
+        mine = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+        for label, texts in templates.items():
+            for n, x in enumerate(texts):
+                x = x.split()
+                theirs = [tuple(x[k : k + 3]) for k in range(len(x) - 2)]
+                best = [[0] * (len(theirs) + 1) for _ in range(len(mine) + 1)]
+                for a in range(len(mine)):
+                    for b in range(len(theirs)):
+                        best[a + 1][b + 1] = best[a][b] + 1 if mine[a] == theirs[b] else max(best[a][b + 1], best[a + 1][b])
+                if best[-1][-1] >= 0.7 * len(theirs):
+                    want[i, f"{label}/{n}"] = best[-1][-1] / len(theirs)
+    assert found == pytest.approx(want) and len(want) > 30
 
 
 def test_repeats(docs, empty, monkeypatch):
@@ -238,7 +305,7 @@ def test_repeats(docs, empty, monkeypatch):
         want[i, len(t), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), hashlib.sha256(kept).hexdigest()] += 1
     names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert table(suffix.dedup_repeats(docs), *names) == want
-    monkeypatch.setattr(suffix, "HOT", 1)  # every anchor is counted window by window
+    monkeypatch.setattr(suffix, "SHARD", 2)  # larger shards are parted by more content, down to single windows
     assert table(suffix.dedup_repeats(docs), *names) == want
     assert suffix.dedup_repeats(empty).count() == 0
 
@@ -254,37 +321,77 @@ def test_suffix_mergesort_orders_suffixes():
     assert order == sorted(range(len(bodies)), key=key)
 
 
+def plain_similarity(items, k, window):
+    """Weighted similarity of an item and a list of words, on word tuples."""
+    tuples = lambda w: Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+    sets = [tuples(x) for x in items]
+    weight = lambda q: math.log1p(len(items) / n) if (n := sum(q in s for s in sets)) else math.log1p(len(items))
+    a, b = sets[k], tuples(window)
+    return sum(weight(q) * min(a[q], b[q]) for q in a) / sum(weight(q) * max(a[q], b[q]) for q in a | b)
+
+
+def plain_leaks(items, text):
+    """Numbers of the items with a window of at least 0.8."""
+    w, out = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER)), set()
+    for k, mine in enumerate(items):
+        n = min(len(mine), len(w))
+        if n and any(w[s : s + n] == mine if len(mine) < 5 else plain_similarity(items, k, w[s : s + n]) >= 0.8 for s in range(len(w) - n + 1)):
+            out.add(k)
+    return out
+
+
 def test_leaks(spark, docs, empty):
     rng = random.Random(8)
-    items = [(k, prose(rng, 60)) for k in range(6)] + [(6, "four words stand here"), (7, None), (8, "")]
+    items = [(k, prose(rng, 60 - 5 * (k % 3))) for k in range(6)] + [(6, "four words stand here"), (7, None), (8, ""), (None, prose(rng, 40))]
     words = items[2][1].split()
     words[3] = "other"
     near, far = " ".join(words), " ".join(words[:12])
-    rows = [(1, prose(rng, 50) + " " + items[0][1].translate(UPPER) + ". " + prose(rng, 9)), (2, near), (3, far), (4, "so four words, stand here now"), (5, prose(rng, 200)), (6, None), (7, ""), (1, items[1][1])]
+    rows = [(1, prose(rng, 50) + " " + items[0][1].translate(UPPER) + ". " + prose(rng, 9)), (2, near), (3, far), (4, "so four words, stand here now"), (5, prose(rng, 200)), (6, None), (7, ""), (1, items[1][1]), (9, items[9][1])]
+    rows += [(10, items[3][1] + " " + prose(rng, 3000) + " " + items[4][1])]
     d = spark.createDataFrame([(*r, f"c{r[0]}") for r in rows], "doc_id long, text string, item_id string")
     bench = spark.createDataFrame(items, "item_id long, text string")
+    split = [(i, re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))) for i, t in items]
+    split = [(i, w) for i, w in split if w]
+    only = [w for _, w in split]
+    want = Counter((i, split[k][0]) for i, t in rows for k in plain_leaks(only, t if len(t or "") < 9000 else items[3][1] + " | " + items[4][1]))
     got = table(decontaminate.leaks(d, bench), "doc_id", "item_id")
-    index = decontaminate.Index([x for x in items if x[1]], 0.8)
-
-    def brute(text):
-        w, out = licenses.split_words((text or "").encode()), set()
-        for k, (i, t) in enumerate([x for x in items if x[1]]):
-            mine = licenses.split_words(t.encode())
-            n = min(len(mine), len(w))
-            for s in range(len(w) - n + 1):
-                ids = np.array([index.vocab.get(x, -1) for x in w[s : s + n]])
-                keys = decontaminate.shingle_keys(ids, min(decontaminate.WIDTH, len(mine)))
-                if len(keys) and index.similarity(Counter(keys.tolist()), k) >= 0.8 and (len(mine) >= 5 or n == len(mine)):
-                    out.add(i)
-        return out
-
-    assert got == Counter((i, k) for i, t in rows for k in brute(t))
-    assert {(1, 0), (2, 2), (4, 6)} <= set(got) and not any(i in (3, 5) for i, _ in got)
+    assert got == want and {(1, 0), (2, 2), (4, 6), (9, None), (10, 3), (10, 4)} <= set(got) and not any(i in (3, 5) for i, _ in got)
+    # Blocks of the benchmark give the same hits, as rarity is counted over all of it.
+    assert table(decontaminate.leaks(d, bench, limit=100), "doc_id", "item_id") == want
     kept = decontaminate.clean(d, bench)
-    assert kept.columns == d.columns and Counter(r["doc_id"] for r in kept.collect()) == Counter(i for i, t in rows if not brute(t))
+    bad = {i for i, _ in want}
+    assert kept.columns == d.columns and Counter(r["doc_id"] for r in kept.collect()) == Counter(i for i, t in rows if i not in bad or (i == 1 and not plain_leaks(only, t)))
     assert decontaminate.leaks(docs, bench.limit(0)).count() == 0 and decontaminate.clean(empty.select("doc_id", "text"), bench).count() == 0
 
 
+def test_leaks_at_all_degrees_of_change(spark):
+    """Windows with words changed at random: all whose exact similarity is 0.8 or more are found, so the radius loses none."""
+    rng = random.Random(16)
+    items = [prose(rng, 50).translate(LOWER).replace(".", "").split() for _ in range(12)]
+    rows = []
+    for k in range(240):
+        w = list(items[k % 12])
+        for at in rng.sample(range(len(w)), rng.randrange(3)):
+            w[at] = f"new{k}x{at}"
+        rows.append((k, " ".join(prose(rng, rng.randrange(20)).split() + w + prose(rng, rng.randrange(20)).split())))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    want = {(i, k) for i, t in rows for k in plain_leaks([items[i % 12]] + items[: i % 12] + items[i % 12 + 1 :], t) if k == 0}
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(d, bench).collect()}
+    assert {i for i, _ in got} == {i for i, _ in want} and all(k == i % 12 for i, k in got) and 100 < len(got) < 240
+
+
+def test_hamming_blocks_find_all_in_the_radius():
+    rng = np.random.default_rng(3)
+    seeds = rng.integers(0, 2**63, 4000).astype(np.uint64)
+    block = decontaminate.Block(np.arange(4000), seeds)
+    for n in range(0, 22, 3):
+        for k in range(20):
+            flips = np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, n, replace=False).astype(np.uint64)) if n else np.uint64(0)
+            value = seeds[k] ^ flips
+            assert sorted(block.near(value).tolist()) == np.flatnonzero(np.bitwise_count(seeds ^ value) <= decontaminate.RADIUS).tolist()
+
+
 def plain_spans(t):
     out = []
     for k, p in enumerate((r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")):
@@ -306,40 +413,134 @@ def test_personal_data(spark, empty):
     assert (got[1]["n_email"], got[1]["n_ip"], got[1]["n_card"], got[1]["n_phone"]) == (1, 1, 1, 1)
     base = got[1]["base"].split(",")
     assert set(base) <= set(got[1]["spans"].split(",")) and f"ssn:{text.index('123-45')}:{text.index('123-45') + 11}" in got[1]["spans"]
+    assert got[1]["n_spans"] == len(got[1]["spans"].split(",")) > 4
     assert got[2]["spans"] == got[3]["spans"] == got[4]["spans"] == "" and got[5]["base"] == "ip:5001:5008"
     assert pii.find_pii(empty).count() == 0
 
 
+def decoded(model, x):
+    steps, n = x.shape
+    hit, paths = model.decode(x, np.full(n, steps))
+    out = np.zeros((n, steps), np.int8)
+    out[hit] = paths
+    return out
+
+
 def test_tagger_on_held_out_examples():
-    x, y = pii.examples(300, 99)
-    p = pii.train().decode(x)
+    x, y = pii.examples(400, 99)
+    p, y = decoded(pii.fitted(), x), y.T
     assert (p == y)[y > 0].mean() > 0.9 and (p == y)[y == 0].mean() > 0.99
+    for k in range(len(pii.KINDS)):
+        of_kind = (y == 1 + 2 * k) | (y == 2 + 2 * k)
+        assert (p == y)[of_kind].mean() > 0.75, pii.KINDS[k]
     small = pii.Tagger(3)
     small.p = {k: v.astype(np.float64) for k, v in small.p.items()}
-    _, grad = small.gradients(x[:3], y[:3])
+    y = y.T
+    _, grad = small.gradients(x[:, :3], y[:, :3])
     for k in ("xf", "hb", "out", "move", "start"):
         at = tuple(np.array(small.p[k].shape) // 3)
         change = []
         for step in (1e-4, -2e-4):
             small.p[k][at] += step
-            change.append(small.gradients(x[:3], y[:3])[0])
+            change.append(small.gradients(x[:, :3], y[:, :3])[0])
         small.p[k][at] += 1e-4
-        assert (change[0] - change[1]) / 2e-4 * pii.WINDOW == pytest.approx(grad[k][at], rel=0.05, abs=1e-3)
+        assert (change[0] - change[1]) / 2e-4 * pii.CROP == pytest.approx(grad[k][at], rel=0.05, abs=1e-3)
+
+
+def test_training_and_decoding(monkeypatch):
+    monkeypatch.setattr(pii, "EXAMPLES", 200)
+    x, y = pii.examples(100, 5)
+    assert pii.train(steps=12, batch=32).gradients(x, y)[0] < 0.7 * pii.Tagger(7).gradients(x, y)[0]
+    # Paths are those of plain Viterbi over all moves, and shorter windows are tagged as alone.
+    model = pii.fitted()
+    e = model.emissions(x, np.full(pii.CROP, 100))
+    for k in range(0, 100, 7):
+        score, back = model.p["start"] + e[0, k], []
+        for t in range(1, pii.CROP):
+            moves = score[:, None] + model.p["move"]
+            back.append(moves.argmax(0))
+            score = moves.max(0) + e[t, k]
+        path = [int(score.argmax())]
+        for b in reversed(back):
+            path.append(int(b[path[-1]]))
+        assert path[::-1] == decoded(model, x)[k].tolist()
+    one = decoded(model, np.ascontiguousarray(x[:40, :1]))[0]
+    both, size = np.zeros((pii.CROP, 2), np.int16), np.array([pii.CROP, 40])
+    both[:, 0], both[:40, 1] = x[:, 1], x[:40, 0]
+    hit, paths = model.decode(both, size)
+    assert (paths[hit.tolist().index(1)][:40] if 1 in hit else np.zeros(40)).tolist() == one.tolist()
+
+
+def test_network_reads_whole_texts():
+    reader = pii.Reader(pii.fitted())
+    rng = random.Random(17)
+    planted = ['token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"', "write to jane.doe [at] mail [dot] com", "SSN 123-45-6789", "call (312) 555-0147"]
+    for n in (0, 500, 3000):
+        for x in planted:
+            text = prose(rng, n) + " " + x + " " + prose(rng, n)
+            base, extra = pii.all_spans(reader, [text])[0]
+            assert extra, x
+    assert all(not extra for _, extra in pii.all_spans(reader, [prose(rng, 2000) for _ in range(5)]))
+
+
+def plain_cuts(t):
+    """Chunk bounds by the cut rule, byte by byte."""
+    h, last, found = 0, -(10**9), []
+    for i, byte in enumerate(t):
+        h = 0
+        for j in range(max(0, i - 15), i + 1):
+            h = (2 * h + int(chunks.GEAR[t[j]])) % 2**16
+        if h >> (16 - chunks.BITS) == 0 and i + 1 < len(t) and t[i + 1] & 0xC0 != 0x80:
+            if i + 1 - last >= chunks.MIN and i + 1 >= chunks.MIN and len(t) - i - 1 >= chunks.MIN:
+                found.append(i + 1)
+            last = i + 1
+    out = [0]
+    for c in [*found, len(t)] if t else []:
+        while c - out[-1] > chunks.MAX:
+            p = min(out[-1] + chunks.MAX, c - chunks.MIN)
+            while p < c and t[p] & 0xC0 == 0x80:
+                p += 1
+            out.append(p)
+        out.append(c)
+    return out if t else []
 
 
 def test_chunks(docs, empty):
-    out = {(r["doc_id"], r["n_bytes"]): r for r in chunks.dedup_substrings(docs).collect()}
-    for (i, n), r in out.items():
-        assert len(r["kept"]) == n - r["n_removed"], i
-    size = {i: len((t or "").encode()) for i, t in ROWS}
-    assert out[5, size[5]]["n_removed"] > 0.7 * size[5]
-    assert out[8, size[8]]["n_shared"] > 0 and out[42, size[42]]["n_removed"] == 0
-    assert chunks.dedup_substrings(empty).count() == 0
+    data = [(i, (t or "").encode()) for i, t in ROWS if (i, t) != (9, dict(ROWS)[9])] + [(9, dict(ROWS)[9].encode())]  # a repeated row counts once
+    rank = lambda i: (i is not None, i or 0)
+    places = defaultdict(list)
+    for i, t in sorted(data, key=lambda r: rank(r[0])):
+        c = plain_cuts(t)
+        for a, z in zip(c, c[1:], strict=False):
+            places[t[a:z]].append((rank(i), t, a))
+    want = {}
+    for i, t in data:
+        c, stretch, marked = plain_cuts(t), [], []
+        for a, z in [*zip(c, c[1:], strict=False), (None, None)]:
+            if a is not None and len(places[t[a:z]]) > 1:
+                stretch.append((a, z))
+                continue
+            if stretch and (stretch[-1][1] - stretch[0][0] >= chunks.RUN or stretch[-1][1] - stretch[0][0] == len(t)):
+                marked += stretch
+            stretch = []
+        gone = [(a, z) for a, z in marked if min(p[0] for p in places[t[a:z]]) != rank(i) or places[t[a:z]][0][2] != a]
+        want[i, t] = (len(marked), sum(z - a for a, z in marked), sum(z - a for a, z in gone), b"".join(t[k : k + 1] for k in range(len(t)) if not any(a <= k < z for a, z in gone)))
+    got = {}
+    for r in chunks.dedup_substrings(docs).collect():
+        got.setdefault((r["doc_id"], r["n_bytes"]), (r["n_shared"], r["shared_bytes"], r["n_removed"], r["kept"]))
+    for (i, t), w in want.items():
+        if i is None:  # two texts with a null id: told apart by their hash
+            continue
+        assert got[i, len(t)] == w, i
+    assert chunks.dedup_substrings(docs).count() == len(ROWS) and chunks.dedup_substrings(empty).count() == 0
+    assert got[5, len(dict(ROWS)[5].encode())][2] == len(dict(ROWS)[5].encode()) and got[42, len(dict(ROWS)[42].encode())][2] == 0
+    rng = random.Random(18)
+    for _ in range(60):
+        t = bytes(rng.choice(b"ab\xc3\xa9 ") for _ in range(rng.randrange(900)))
+        assert chunks.cuts(t).tolist() == plain_cuts(t)
     text = dict(ROWS)[42].encode()
     a, b = chunks.cuts(text), chunks.cuts(b"inserted at the start " + text)
     assert len(set(a.tolist()) & set((b - 22).tolist())) > 0.9 * len(a)
-    assert a[0] == 0 and a[-1] == len(text) and np.diff(a).max() <= chunks.MAX + 3
-    assert b"".join(text[x:y] for x, y in zip(a, a[1:], strict=False)) == text
 
 
 def test_near_duplicate_stage(docs, empty):
