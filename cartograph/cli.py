@@ -27,7 +27,7 @@ def run(g: Graph, config: Config, args: argparse.Namespace, now: int) -> tuple[o
     """(result, exit code) of one command."""
     c, t = args.command, args.target
     frames = {
-        "deps": lambda: direct.deps_transitive(g.file_edges, t, args.depth, args.reverse).orderBy("distance", "place") if args.transitive else direct.deps(g.file_edges, g.imports, t, args.reverse).orderBy("path"),
+        "deps": lambda: direct.deps_transitive(g.file_edges, t, args.depth, args.reverse).orderBy("distance", "trail") if args.transitive else direct.deps(g.file_edges, g.imports, t, args.reverse).orderBy("path"),
         "symbols": lambda: direct.symbols_of(g.symbols, t).orderBy("start_line", "name"),
         "surface": lambda: direct.surface(g.symbols, t).orderBy("line", "qualname"),
         "impact": lambda: impact.impact(g.symbols, g.symbol_edges, g.file_edges, t, args.change_type, args.depth).orderBy("distance", "path", "qualname"),
@@ -37,9 +37,9 @@ def run(g: Graph, config: Config, args: argparse.Namespace, now: int) -> tuple[o
         "doctor": lambda: direct.doctor(g.files, g.imports, g.symbols, g.symbol_edges),
         "cycles": lambda: cycles.cycles(g.file_edges).orderBy("first_file"),
         "unused": lambda: metrics.unused(g.symbols, g.symbol_edges).orderBy("path", "line", "qualname"),
-        "stability": lambda: metrics.stability(g.file_edges, g.files).orderBy("path"),
+        "stability": lambda: metrics.stability(g.file_edges, g.files, sort=args.sort or "instability"),
         "risk": lambda: metrics.risk(g.file_edges, g.files, g.churn, now, top=args.top or 1 << 30),
-        "cochange": lambda: metrics.cochange(g.churn, t, now, top=args.top or 1 << 30),
+        "cochange": lambda: metrics.cochange(g.churn, t, now, top=args.top or 1 << 30, sort=args.sort or "score"),
         "entry": lambda: entry.entry_list(g.files, g.file_edges, config.entry_points).orderBy("file"),
         "cone": lambda: entry.entry_cone(g.file_edges, t).orderBy("distance", "file"),
         "unreachable": lambda: entry.unreachable(g.files, g.file_edges, g.symbols, now, config.entry_points).orderBy("file"),
@@ -82,6 +82,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("command")
     p.add_argument("target", nargs="?")
     p.add_argument("--to")
+    p.add_argument("--sort")
     p.add_argument("--depth", type=int)
     p.add_argument("--top", type=int)
     p.add_argument("--budget", type=int)

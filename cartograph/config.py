@@ -72,6 +72,9 @@ class Config:
         for what, found in (("layer", names), ("capability", [c.name for c in self.capabilities])):
             if twice := sorted({x for x in found if found.count(x) > 1}):
                 raise ValueError(f"duplicate {what} name: {twice[0]}")
+        for pattern in [*(x.pattern for x in self.layers), *self.entry_points, *self.test_patterns, *self.test_excludes, *(c.pattern for c in self.capabilities if c.pattern)]:
+            if not pattern or pattern.count("[") != pattern.count("]") or "***" in pattern:
+                raise ValueError(f"not a path pattern: {pattern!r}")
         for rule in self.rules:
             if unknown := [x for x in [rule.source, *rule.may_not_import] if x not in names]:
                 raise ValueError(f"rule names an unknown layer: {unknown[0]}")
@@ -109,6 +112,7 @@ def load_config(path: str) -> Config:
         return parse_config(f.read())
 
 
+# The messages of the usual rules.
 def usual_rules(layers: list[Layer]) -> list[Rule]:
     """Rules for the layers that are there, from outer to inner ones."""
     names = {x.name for x in layers}

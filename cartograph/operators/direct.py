@@ -18,9 +18,9 @@ def deps(file_edges: DataFrame, imports: DataFrame, path: str, reverse: bool = F
 
 
 def deps_transitive(file_edges: DataFrame, path: str, depth: int | None = None, reverse: bool = False) -> DataFrame:
-    """path, parent, distance, place: each reached file once; (distance, place) is the breadth-first order."""
+    """path, parent, distance, trail: each reached file once; (distance, trail) is the breadth-first order."""
     e = file_edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if reverse else file_edges.select("src", "dst")
-    return bfs_tree(e, path, depth).where(F.col("node") != path).select(F.col("node").alias("path"), "parent", "distance", "place")
+    return bfs_tree(e, path, depth).where(F.col("node") != path).select(F.col("node").alias("path"), "parent", "distance", "trail")
 
 
 def symbols_of(symbols: DataFrame, path: str | None = None, public_only: bool = False, kind: str | None = None) -> DataFrame:
@@ -36,6 +36,14 @@ def find_symbol(symbols: DataFrame, query: str) -> tuple[str, str] | None:
     return tuple(row) if row else None
 
 
+def find_symbols(symbols: DataFrame, queries: DataFrame) -> DataFrame:
+    """query, path, qualname: find_symbol() for every row of ``queries``; queries without a match are left out."""
+    asked = queries.select("query").distinct()
+    keyed = symbols.select("path", "qualname", F.explode(F.array_distinct(F.array("qualname", "name"))).alias("query"))
+    best = keyed.join(asked, "query").groupBy("query").agg(F.min(F.struct(F.col("qualname") != F.col("query"), "qualname", "path")).alias("x"))
+    return best.select("query", "x.path", "x.qualname")
+
+
 def call_ends(symbol_edges: DataFrame, reverse: bool) -> DataFrame:
     """src, dst node structs (path, qualname), certainty, call_line; from callee to caller if reversed."""
     a, b = F.struct(F.col("src_path").alias("path"), F.col("src").alias("qualname")), F.struct(F.col("dst_path").alias("path"), F.col("dst").alias("qualname"))
@@ -49,9 +57,11 @@ def calls(symbol_edges: DataFrame, path: str, qualname: str, reverse: bool = Fal
     return e.select(F.col("dst.path").alias("path"), F.col("dst.qualname").alias("qualname"), "certainty", "call_line", reason.alias("reason"), F.lit(1).alias("distance"))
 
 
-def surface(symbols: DataFrame, path: str | None = None) -> DataFrame:
-    """Exported symbols: path, name, qualname, kind, visibility, line."""
-    return symbols_of(symbols, path, public_only=True).select("path", "name", "qualname", "kind", "visibility", F.col("start_line").alias("line"))
+def surface(symbols: DataFrame, target: str | None = None) -> DataFrame:
+    """Exported symbols: path, name, qualname, kind, visibility, line; of all files, of a file, or of the file that has a symbol."""
+    if target is not None and "/" not in target and (found := find_symbol(symbols, target)):
+        target = found[0]
+    return symbols_of(symbols, target, public_only=True).select("path", "name", "qualname", "kind", "visibility", F.col("start_line").alias("line"))
 
 
 def doctor(files: DataFrame, imports: DataFrame, symbols: DataFrame, symbol_edges: DataFrame) -> DataFrame:

@@ -2,44 +2,77 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartograph.operators.direct import call_ends, find_symbol
-from cartograph.plans.kernels import bfs, bfs_tree, closure, emit_edges
+from cartograph.plans.kernels import bfs, bfs_tree, reach_counts
+from cartograph.schema import rank
 
 CALL_DEPTH = 100
 CHANGES = ("body", "signature", "rename", "delete", "visibility", "side-effect")
 COLUMNS = ["kind", "path", "qualname", "edge_kind", "certainty", "reason", "distance"]
 
+# What each kind of change traverses (edge kinds, importers, callers, bound on hops); facts for the reader, which traversals don't consult.
+RULES = [
+    ("body", "Reverse call graph only", ["call"], False, True, False, 1),
+    ("signature", "Reverse call graph plus importer/re-export expansion", ["call", "import", "export"], True, True, False, None),
+    ("rename", "Traverse all reference-bearing edges", ["call", "import", "export"], True, True, False, None),
+    ("delete", "Traverse all reverse dependencies and reference edges", ["call", "import", "export"], True, True, False, None),
+    ("visibility", "Inspect external import/call edges across the narrowed boundary", ["call", "import", "export"], True, True, True, None),
+    ("side-effect", "Reverse file-import graph only", ["import"], True, False, False, None),
+]
 
-def _seed(df: DataFrame, node) -> DataFrame:
-    return df.sparkSession.range(1).select(F.lit(0).alias("seed"), node.alias("node"))
 
+def impact_rules(spark: SparkSession) -> DataFrame:
+    """The rule table of change types."""
+    return spark.createDataFrame(RULES, "change_type string, traversal_strategy string, allowed_edge_kinds array<string>, include_importers boolean, include_callers boolean, include_visibility_boundary boolean, default_max_distance int")
 
-def call_traversal(symbol_edges: DataFrame, path: str, qualname: str, reverse: bool = True, max_depth: int = CALL_DEPTH) -> DataFrame:
-    """Every call edge met within max_depth hops, from the symbol to its callers (or callees)."""
-    e = call_ends(symbol_edges, reverse)
-    seed = _seed(symbol_edges, F.struct(F.lit(path).alias("path"), F.lit(qualname).alias("qualname")))
-    found = emit_edges(e, seed, max_depth)
-    verb = ("calls", "transitively calls") if reverse else ("called by", "transitively called by")
-    reason = F.concat(F.when(F.col("distance") == 1, verb[0]).otherwise(verb[1]), F.lit(f" {qualname}"))
-    return found.select(F.lit("symbol").alias("kind"), F.col("dst.path").alias("path"), F.col("dst.qualname").alias("qualname"), F.lit("call").alias("edge_kind"), "certainty", reason.alias("reason"), "distance")
 
+def label(x: str) -> Column:
+    """A symbol as one string that sorts by qualname, then path."""
+    return F.concat(F.col(f"{x}.qualname"), F.lit("\x01"), F.col(f"{x}.path"))
 
-def importer_traversal(file_edges: DataFrame, path: str, max_depth: int, change: str = "signature") -> DataFrame:
+
+def emitted(edges: DataFrame, start: str, max_depth: int) -> DataFrame:
+    """src, dst, distance, order and the edge's other columns: every edge out of a node nearer than max_depth.
+
+    Edges to nodes seen before count too, so a start in a cycle is reached again. order is the visiting order of src.
+    """
+    if max_depth < 1:
+        return edges.limit(0).withColumn("distance", F.lit(0)).withColumn("order", F.array("src"))
+    near = edges.sparkSession.createDataFrame([(start, 0, [start])], "src string, hops int, order array<string>")
+    if max_depth > 1:
+        far = bfs_tree(edges, start, max_depth - 1).where(F.col("node") != start)
+        near = near.unionByName(far.select(F.col("node").alias("src"), F.col("distance").alias("hops"), F.col("trail").alias("order")))
+    return edges.join(near, "src").withColumn("distance", F.col("hops") + 1).drop("hops")
+
+
+def call_traversal(symbol_edges: DataFrame, path: str, qualname: str, reverse: bool = True, max_depth: int = CALL_DEPTH, name: str | None = None) -> DataFrame:
+    """Every call edge met within max_depth hops, from the symbol to its callers (or callees); name: how reasons call it."""
+    tie = F.array(F.coalesce("call_line", F.lit(0)), rank(F.col("certainty")))
+    e = call_ends(symbol_edges, reverse).select(label("src").alias("src"), label("dst").alias("dst"), "certainty", tie.alias("tie"))
+    found = emitted(e, f"{qualname}\x01{path}", max_depth)
+    near, far = ("calls {} directly", "calls a symbol that reaches {}") if reverse else ("is called by {}", "is downstream of {} in the call graph")
+    reason = F.when(F.col("distance") == 1, near.format(name or qualname)).otherwise(far.format(name or qualname))
+    ends = F.split("dst", "\x01")
+    return found.select(F.lit("symbol").alias("kind"), ends[1].alias("path"), ends[0].alias("qualname"), F.lit("call").alias("edge_kind"), "certainty", reason.alias("reason"), "distance", "order", "tie")
+
+
+def importer_traversal(file_edges: DataFrame, path: str, max_depth: int, change: str = "signature", name: str | None = None) -> DataFrame:
     """Every import edge met within max_depth hops from the file to its importers."""
     e = file_edges.where("kind = 'import'").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "certainty")
-    found = emit_edges(e, _seed(file_edges, F.lit(path)), max_depth)
+    found = emitted(e, path, max_depth)
     near = F.col("distance") == 1 if change != "side-effect" else F.lit(True)
-    reason = F.concat(F.when(near, "imports ").otherwise("transitively imports "), F.lit(path))
-    return found.select(F.lit("file").alias("kind"), F.col("dst").alias("path"), F.lit(None).cast("string").alias("qualname"), F.lit("import").alias("edge_kind"), "certainty", reason.alias("reason"), "distance")
+    reason = F.when(near, f"imports {name or path}").otherwise(f"imports a file that reaches {name or path}")
+    tie = F.array(F.lit(0), rank(F.col("certainty")))
+    return found.select(F.lit("file").alias("kind"), F.col("dst").alias("path"), F.lit(None).cast("string").alias("qualname"), F.lit("import").alias("edge_kind"), "certainty", reason.alias("reason"), "distance", "order", tie.alias("tie"))
 
 
 def once(rows: DataFrame) -> DataFrame:
-    """One row per (kind, path, qualname, edge_kind, distance); the best certainty stands for the rest."""
+    """One row per (kind, path, qualname, edge_kind, distance): the first visited stands for the rest."""
     key = ["kind", "path", "qualname", "edge_kind", "distance"]
-    first = rows.groupBy(*key).agg(F.min(F.struct("certainty", "reason")).alias("x"))
+    first = rows.groupBy(*key).agg(F.min_by(F.struct("certainty", "reason"), F.struct("order", "tie")).alias("x"))
     return first.select("kind", "path", "qualname", "edge_kind", "x.certainty", "x.reason", "distance")
 
 
@@ -53,9 +86,9 @@ def impact(symbols: DataFrame, symbol_edges: DataFrame, file_edges: DataFrame, t
         return importer_traversal(file_edges, target, depth, change).select(*COLUMNS)
     parts = []
     if change != "side-effect":
-        parts.append(call_traversal(symbol_edges, *found, reverse=True, max_depth=depth))
+        parts.append(call_traversal(symbol_edges, *found, reverse=True, max_depth=depth, name=target))
     if change != "body":
-        parts.append(importer_traversal(file_edges, found[0], depth, change))
+        parts.append(importer_traversal(file_edges, found[0], depth, change, target))
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return once(rows).select(*COLUMNS)
 
@@ -71,9 +104,10 @@ def explain(symbols: DataFrame, symbol_edges: DataFrame, file_edges: DataFrame,
     """Callers, callees and importers of a symbol, or direct dependencies and importers of a file."""
     found = find_symbol(symbols, target)
     if found:
-        rows = call_traversal(symbol_edges, *found, True, depth).unionByName(call_traversal(symbol_edges, *found, False, depth)).unionByName(importer_traversal(file_edges, found[0], depth))
+        back, forth = (call_traversal(symbol_edges, *found, x, depth, target) for x in (True, False))
+        rows = back.unionByName(forth).unionByName(importer_traversal(file_edges, found[0], depth, name=target))
     else:
-        own = file_edges.where(F.col("src") == target).select(F.lit("file").alias("kind"), F.col("dst").alias("path"), F.lit(None).cast("string").alias("qualname"), F.col("kind").alias("edge_kind"), "certainty", F.lit(f"imported by {target}").alias("reason"), F.lit(1).alias("distance"))
+        own = file_edges.where(F.col("src") == target).select(F.lit("file").alias("kind"), F.col("dst").alias("path"), F.lit(None).cast("string").alias("qualname"), F.col("kind").alias("edge_kind"), "certainty", F.lit(f"depends on {target}").alias("reason"), F.lit(1).alias("distance"), F.array(F.lit("")).alias("order"), F.array(F.lit(0), rank(F.col("certainty"))).alias("tie"))
         rows = own.unionByName(importer_traversal(file_edges, target, depth))
     rows = once(rows)
     return (rows if to is None else rows.where((F.col("qualname") == to) | (F.col("path") == to))).select(*COLUMNS)
@@ -87,10 +121,10 @@ def why(symbols: DataFrame, symbol_edges: DataFrame, file_edges: DataFrame, star
     if a is None:
         e, source, goal = file_edges.where("kind = 'import'").select("src", "dst"), start, end
     else:
-        label = lambda x: F.concat(F.col(f"{x}.path"), F.lit("\x01"), F.col(f"{x}.qualname"))
-        e, source, goal = call_ends(symbol_edges, False).select(label("src").alias("src"), label("dst").alias("dst")), "\x01".join(a), "\x01".join(b)
-    trail = bfs_tree(e, source, depth).where((F.col("node") == goal) & F.lit(source != goal)).select(F.posexplode("trail").alias("step", "at"))
-    return trail.select("step", F.substring_index("at", "\x01", 1).alias("path"), F.when(F.instr("at", "\x01") > 0, F.substring_index("at", "\x01", -1)).alias("qualname"))
+        e = call_ends(symbol_edges, False).select(label("src").alias("src"), label("dst").alias("dst"))
+        source, goal = "\x01".join(a[::-1]), "\x01".join(b[::-1])
+    trail = bfs_tree(e, source, depth, goal).where((F.col("node") == goal) & F.lit(source != goal)).select(F.posexplode("trail").alias("step", "at"))
+    return trail.select("step", F.substring_index("at", "\x01", -1).alias("path"), F.when(F.instr("at", "\x01") > 0, F.substring_index("at", "\x01", 1)).alias("qualname"))
 
 
 def changed_closure(file_edges: DataFrame, changed: DataFrame) -> DataFrame:
@@ -109,4 +143,5 @@ def diff(file_edges: DataFrame, changed: DataFrame) -> tuple[DataFrame, DataFram
 
 def dependents(file_edges: DataFrame) -> DataFrame:
     """path, transitive: files that reach each file by any edges, itself included if it is in a cycle."""
-    return closure(file_edges).groupBy(F.col("dst").alias("path")).agg(F.count("*").alias("transitive"))
+    back = file_edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return reach_counts(back).select(F.col("node").alias("path"), F.col("reached").alias("transitive"))

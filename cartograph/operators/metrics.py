@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartograph.plans.kernels import closure
+from cartograph.plans.kernels import reach_counts
 
 
 def fans(file_edges: DataFrame, files: DataFrame) -> DataFrame:
@@ -16,8 +16,12 @@ def fans(file_edges: DataFrame, files: DataFrame) -> DataFrame:
     return files.select("path").join(n, "path", "left").na.fill(0, ["fan_in", "fan_out"])
 
 
-def stability(file_edges: DataFrame, files: DataFrame, flag_threshold: float | None = None) -> DataFrame:
-    """path, fan_in, fan_out, instability, category, flagged."""
+STABILITY_ORDER = {"instability": ["instability", "fan_in"], "fan-in": ["fan_in", "instability"], "fan-out": ["fan_out", "instability"], "path": []}
+COCHANGE_ORDER = {"score": ["score", "shared_commits"], "shared": ["shared_commits", "score"], "path": []}
+
+
+def stability(file_edges: DataFrame, files: DataFrame, flag_threshold: float | None = None, file: str | None = None, sort: str | None = None) -> DataFrame:
+    """path, fan_in, fan_out, instability, category, flagged; of one file, and in an order of STABILITY_ORDER, where asked."""
     t = flag_threshold if flag_threshold is not None else 0.5
     i, o = F.col("fan_in"), F.col("fan_out")
     n = fans(file_edges, files).withColumn("instability", F.when(i + o == 0, 0.0).otherwise(o / (i + o)))
@@ -27,7 +31,9 @@ def stability(file_edges: DataFrame, files: DataFrame, flag_threshold: float | N
         F.when((i == 0) & (o == 0), "isolated").when((x > 0.5) & (i > 10), "unstable_and_central").when((x < 0.2) & (i > 5), "stable_abstraction")
         .when((i == 0) & (x >= 0.95), "healthy_leaf").when(x.between(0.35, 0.65), "balanced").otherwise("stable")
     )
-    return n.withColumn("category", category).withColumn("flagged", flagged)
+    out = n.withColumn("category", category).withColumn("flagged", flagged)
+    out = out if file is None else out.where(F.col("path") == file)
+    return out if sort is None else out.orderBy(*[F.desc(c) for c in STABILITY_ORDER[sort]], "path")
 
 
 def stability_summary(rows: DataFrame) -> DataFrame:
@@ -44,7 +50,8 @@ def risk(file_edges: DataFrame, files: DataFrame, churn: DataFrame, now: int, da
     score: log2(transitive + 1) * log2(commits + 1), or log2(direct + 1) if no file has commits in the window.
     """
     direct = file_edges.select("src", "dst").distinct().groupBy(F.col("dst").alias("path")).agg(F.count("*").alias("direct_dependents"))
-    through = closure(file_edges).groupBy(F.col("dst").alias("path")).agg(F.count("*").alias("transitive_dependents"))
+    back = file_edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    through = reach_counts(back).select(F.col("node").alias("path"), F.col("reached").alias("transitive_dependents"))
     commits = in_window(churn, days, now).groupBy("path").agg(F.count_distinct("commit_sha").alias("churn_commits"))
     n = files.select("path").join(direct, "path", "left").join(through, "path", "left").join(commits, "path", "left").na.fill(0)
     # Two scalars, computed by aggregation and attached to each row, instead of a window over all files in one task.
@@ -60,7 +67,7 @@ def risk(file_edges: DataFrame, files: DataFrame, churn: DataFrame, now: int, da
     return n.orderBy(*[F.desc(c) for c in lead], "path").limit(top)
 
 
-def cochange(churn: DataFrame, target: str, now: int, days: int = 90, min_shared: int = 1, top: int | None = None) -> DataFrame:
+def cochange(churn: DataFrame, target: str, now: int, days: int = 90, min_shared: int = 1, top: int | None = None, sort: str = "score") -> DataFrame:
     """path, shared_commits, target_commits, candidate_commits, score, normalized_score."""
     c = in_window(churn, days, now).select("path", "commit_sha").distinct()
     own = c.where(F.col("path") == target).select("commit_sha")
@@ -70,7 +77,7 @@ def cochange(churn: DataFrame, target: str, now: int, days: int = 90, min_shared
     n = shared.join(all_of, "path").crossJoin(F.broadcast(total)).withColumn("score", F.col("shared_commits") / F.col("target_commits"))
     n = n.crossJoin(F.broadcast(n.agg(F.max("score").alias("highest"))))
     n = n.withColumn("normalized_score", F.round(100 * F.col("score") / F.col("highest")).cast("long")).drop("highest")
-    return n if top is None else n.orderBy(F.desc("score"), F.desc("shared_commits"), "path").limit(top)
+    return n if top is None else n.orderBy(*[F.desc(c) for c in COCHANGE_ORDER[sort]], "path").limit(top)
 
 
 def unused(symbols: DataFrame, symbol_edges: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from cartograph.operators.metrics import stability, unused
 from cartograph.plans.kernels import reach
 from cartograph.sources.dataset import Graph
 
+# Fixed values below: the weights of the health score, and the wording of gates and their outcomes.
 METRICS = (
     "total_files", "total_symbols", "total_imports", "unresolved_imports", "parse_errors", "layer_violations", "cycles", "max_file_fan_in",
     "unreachable_files", "unused_exports", "public_surface_removed",
@@ -134,6 +135,23 @@ def evaluate(gate: Gate, current: float, baseline: float | None, strict: bool) -
     return asdict(gate) | {"status": status, "current_value": current, "baseline_value": baseline, "delta": delta, "detail": "; ".join(why) or "metric satisfied configured thresholds"}
 
 
+def gate_table(values: DataFrame, gates: list[Gate] | None = None, strict: bool = False) -> DataFrame:
+    """The gates over many scopes at once: scope, metric, current, baseline (or null) in; scope, metric, status, delta, reasons (broken bounds) out."""
+    gates = [g for g in gates or default_gates(strict) if not g.skip]
+    out = None
+    for g in gates:
+        v = values.where(F.col("metric") == ("health_score" if g.metric == "health_score_delta" else g.metric))
+        delta = F.col("current") - F.col("baseline")
+        now = F.coalesce(delta, F.lit(0.0)) if g.metric == "health_score_delta" else F.col("current")
+        broken = [F.when(now < g.min, "min") if g.min is not None else None, F.when(now > g.max, "max") if g.max is not None else None]
+        broken += [F.when(delta.isNull() | (delta < g.min_delta), "min_delta") if g.min_delta is not None else None, F.when(delta.isNull() | (delta > g.max_delta), "max_delta") if g.max_delta is not None else None]
+        why = F.filter(F.array(*[b for b in broken if b is not None], F.lit(None).cast("string")), lambda x: x.isNotNull())
+        worst = "fail" if strict and g.severity == "error" else "warning"
+        rows = v.select("scope", F.lit(g.metric).alias("metric"), F.when(F.size(why) == 0, "pass").otherwise(worst).alias("status"), delta.alias("delta"), F.array_join(why, ",").alias("reasons"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def gate(metrics: dict, gates: list[Gate] | None = None, baseline: dict | None = None, strict: bool = False) -> list[dict]:
     """Outcomes of all gates for one report row (a dict); skipped gates are listed as such."""
     out = []

@@ -1,4 +1,4 @@
-"""Registry of the engine's queries over the driver's tables, and the same questions in DuckDB SQL.
+"""Registry of the engine's queries over the driver's tables, and the same questions in DuckDB SQL; catalog_sources and catalog_lang add to it.
 
 Each query runs one operator on the code-graph view of the tables (sources/dataset.py). The SQL shares only the projection of
 the tables; the operator itself is written anew.
@@ -11,31 +11,56 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartograph.config import Capability, Config, Layer, Rule
+from cartograph.config import Capability, parse_config
 from cartograph.operators import arch, compare, cycles, direct, entry, impact, metrics, report, similar
 from cartograph.plans import kernels
-from cartograph.sources.dataset import NOW, Graph, load, oracle_prefix
+from cartograph.sources.dataset import NOW, Graph, edge_keys, load, oracle_prefix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-CONFIG = Config(
-    layers=[Layer("economy", "src/economy*/**"), Layer("promo", "src/promo*/**"), Layer("standard", "src/standard*/**"), Layer("rest", "src/**")],
-    rules=[Rule("economy", ["promo", "standard"], None), Rule("promo", ["economy"], "promo stays apart from economy"), Rule("rest", ["standard"], None)],
-    entry_points=[], test_patterns=["src/**/brand_1*/**"], test_excludes=["**/*.ts"],
-)
-LAYER_CASE = "CASE WHEN {p} LIKE 'src/economy%/%' THEN 'economy' WHEN {p} LIKE 'src/promo%/%' THEN 'promo' WHEN {p} LIKE 'src/standard%/%' THEN 'standard' WHEN {p} LIKE 'src/%' THEN 'rest' END"
-TEST_SQL = "path LIKE 'src/%/brand#_1%/%' ESCAPE '#' AND path NOT LIKE '%.ts'"
-CAPABILITY = Capability("net", pattern="src/*/brand_2?/part_*0.rs", expected_callers=["src/economy*/**"])
-
-
-def query(name: str, sql: str | None = None, which: str = "g2", churn: bool = False):
+CONFIG = parse_config("""
+[[layer]]
+name = "urgent"
+pattern = "src/urgent/**"
+[[layer]]
+name = "high"
+pattern = "src/high/**"
+[[layer]]
+name = "low"
+pattern = "src/low/**"
+[[layer]]
+name = "rest"
+pattern = "src/**"
+[[layer]]
+name = "lib"
+pattern = "lib/**"
+[[rule]]
+from = "low"
+may_not_import = ["urgent", "high"]
+[[rule]]
+from = "urgent"
+may_not_import = ["low"]
+message = "urgent stays apart from low"
+[[rule]]
+from = "lib"
+may_not_import = ["rest"]
+[tests]
+patterns = ["src/low/**"]
+exclude_patterns = ["**/*.ts"]
+""")
+LAYER_CASE = "CASE WHEN {p} LIKE 'src/urgent/%' THEN 'urgent' WHEN {p} LIKE 'src/high/%' THEN 'high' WHEN {p} LIKE 'src/low/%' THEN 'low' WHEN {p} LIKE 'src/%' THEN 'rest' WHEN {p} LIKE 'lib/%' THEN 'lib' END"
+TEST_SQL = "path LIKE 'src/low/%' AND path NOT LIKE '%.ts'"
+CAPABILITY = Capability("net", pattern="lib/brand_2?/part_*0.rs", expected_callers=["src/urgent/**"])
+
+
+def query(name: str, sql: str | None = None):
     """Registers a function of a Graph as a query, and its SQL after the shared WITH clause."""
 
     def add(f: Callable[[Graph], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: f(load(spark, sf_dir, which))
+        QUERIES[name] = lambda spark, sf_dir: f(load(spark, sf_dir))
         if sql is not None:
-            ORACLES[name] = oracle_prefix(which, churn) + sql
+            ORACLES[name] = oracle_prefix() + sql
         return f
 
     return add
@@ -74,21 +99,30 @@ def _deps_reverse(g: Graph) -> DataFrame:
     return direct.deps(g.file_edges, g.imports, hub(g, "dst"), reverse=True)
 
 
-def _walk(start: str, a: str, b: str, depth: int) -> str:
-    return f", w(node, d) AS (SELECT p, 0 FROM {start} UNION SELECT e.{b}, w.d + 1 FROM w JOIN edges e ON e.{a} = w.node WHERE w.d < {depth}), lv AS (SELECT node, min(d) AS d FROM w GROUP BY 1)"
+def _walk(start: str, a: str, b: str, depth: int, edges: str = "edges", tag: str = "") -> str:
+    """SQL: lv{tag} (node, d), least hops from a start up to a depth, and tr{tag} (node, d, trail), its first trail in breadth-first order."""
+    w, lv, all_, tr = (f"{x}{tag}" for x in ("w", "lv", "alltr", "tr"))
+    return (
+        f", {w}(node, d) AS (SELECT p, 0 FROM {start} UNION SELECT e.{b}, {w}.d + 1 FROM {w} JOIN {edges} e ON e.{a} = {w}.node WHERE {w}.d < {depth}), {lv} AS (SELECT node, min(d) AS d FROM {w} GROUP BY 1)"
+        f", {all_}(node, d, trail) AS (SELECT p, 0, [p] FROM {start} UNION ALL SELECT e.{b}, {all_}.d + 1, list_append({all_}.trail, e.{b}) FROM {all_} JOIN (SELECT DISTINCT {a}, {b} FROM {edges}) e ON e.{a} = {all_}.node"
+        f" JOIN {lv} ON {lv}.node = e.{b} AND {lv}.d = {all_}.d + 1), {tr} AS (SELECT node, d, min(trail) AS trail FROM {all_} GROUP BY 1, 2)"
+    )
+
 
+TRAIL = " SELECT node AS path, trail[len(trail) - 1] AS parent, d AS distance, array_to_string(trail, ' > ') AS trail FROM tr WHERE d > 0"
 
-@query("deps_transitive", SRC_HUB + _walk("hub", "src", "dst", 6) + " SELECT node AS path, d AS distance FROM lv WHERE d > 0")
+
+@query("deps_transitive", SRC_HUB + _walk("hub", "src", "dst", 6) + TRAIL)
 def _deps_transitive(g: Graph) -> DataFrame:
-    return direct.deps_transitive(g.file_edges, hub(g), 6).select("path", "distance")
+    return direct.deps_transitive(g.file_edges, hub(g), 6).withColumn("trail", F.array_join("trail", " > "))
 
 
-@query("deps_reverse_transitive", DST_HUB + _walk("hub", "dst", "src", 5) + " SELECT node AS path, d AS distance FROM lv WHERE d > 0")
+@query("deps_reverse_transitive", DST_HUB + _walk("hub", "dst", "src", 5) + TRAIL)
 def _deps_reverse_transitive(g: Graph) -> DataFrame:
-    return direct.deps_transitive(g.file_edges, hub(g, "dst"), 5, reverse=True).select("path", "distance")
+    return direct.deps_transitive(g.file_edges, hub(g, "dst"), 5, reverse=True).withColumn("trail", F.array_join("trail", " > "))
 
 
-@query("file_edges", " SELECT src, dst, kind, certainty FROM edges", "g3")
+@query("file_edges", " SELECT src, dst, kind, certainty FROM edges")
 def _file_edges(g: Graph) -> DataFrame:
     return g.file_edges
 
@@ -113,56 +147,102 @@ def _calls(g: Graph) -> DataFrame:
     return direct.calls(g.symbol_edges, *busy_symbol(g, "src")).drop("reason")
 
 
-CALL_WALK = ", w(p, q, d) AS (SELECT p, q, 0 FROM busy UNION SELECT c.{b}_path, c.{b}, w.d + 1 FROM w JOIN calls c ON c.{a}_path = w.p AND c.{a} = w.q WHERE w.d < {depth}), lv AS (SELECT p, q, min(d) AS d FROM w GROUP BY 1, 2)"
-CALL_EMIT = " SELECT c.{b}_path AS path, c.{b} AS qualname, c.certainty, lv.d + 1 AS distance FROM lv JOIN calls c ON c.{a}_path = lv.p AND c.{a} = lv.q"
+# Symbols as one label each, so that trails of labels give the visiting order.
+LABELS = ", lab AS (SELECT src || chr(1) || src_path AS src, dst || chr(1) || dst_path AS dst, certainty, call_line FROM calls), start AS (SELECT q || chr(1) || p AS p FROM busy)"
+EMIT = " SELECT split_part(c.{b}, chr(1), 2) AS path, split_part(c.{b}, chr(1), 1) AS qualname, c.certainty, {tr}.d + 1 AS distance, {tr}.trail, c.call_line FROM {tr} JOIN lab c ON c.{a} = {tr}.node"
+IMP = ", imps AS (SELECT src, dst, certainty FROM edges WHERE kind = 'import')"
+EMIT_FILES = " SELECT c.src AS path, c.certainty, {tr}.d + 1 AS distance, {tr}.trail FROM {tr} JOIN imps c ON c.dst = {tr}.node"
+FIRST = "first(certainty ORDER BY trail, {line}{rank}) AS certainty"
 
 
-@query("callers_transitive", CALLEE + CALL_WALK.format(a="dst", b="src", depth=7) + CALL_EMIT.format(a="dst", b="src"))
+@query("callers_transitive", CALLEE + LABELS + _walk("start", "dst", "src", 7, "lab") + f" SELECT path, qualname, certainty, distance FROM ({EMIT.format(a='dst', b='src', tr='tr')})")
 def _callers_transitive(g: Graph) -> DataFrame:
     return impact.call_traversal(g.symbol_edges, *busy_symbol(g), True, 8).select("path", "qualname", "certainty", "distance")
 
 
-@query("calls_transitive", CALLER + CALL_WALK.format(a="src", b="dst", depth=7) + CALL_EMIT.format(a="src", b="dst"))
+@query("calls_transitive", CALLER + LABELS + _walk("start", "src", "dst", 7, "lab") + f" SELECT path, qualname, certainty, distance FROM ({EMIT.format(a='src', b='dst', tr='tr')})")
 def _calls_transitive(g: Graph) -> DataFrame:
     return impact.call_traversal(g.symbol_edges, *busy_symbol(g, "src"), False, 8).select("path", "qualname", "certainty", "distance")
 
 
-IMPORTERS = ", wf(node, d) AS (SELECT {start} UNION SELECT e.src, wf.d + 1 FROM wf JOIN edges e ON e.dst = wf.node AND e.kind = 'import' WHERE wf.d < 7), lf AS (SELECT node, min(d) AS d FROM wf GROUP BY 1), inc AS (SELECT e.src AS path, e.certainty, lf.d + 1 AS distance FROM lf JOIN edges e ON e.dst = lf.node AND e.kind = 'import')"
-CALL_INC = ", cc AS (" + CALL_EMIT.format(a="dst", b="src").strip() + ")"
+def _once(emit: str, key: str, line: str) -> str:
+    return f"SELECT {key}, distance, {FIRST.format(line=line, rank=RANK)} FROM ({emit}) GROUP BY {key}, distance"
 
 
-@query("impact", CALLEE + CALL_WALK.format(a="dst", b="src", depth=7) + CALL_INC + IMPORTERS.format(start="p, 0 FROM busy") + " SELECT 'symbol' AS kind, path, qualname, min(certainty) AS certainty, distance FROM cc GROUP BY ALL UNION ALL SELECT 'file', path, NULL, min(certainty), distance FROM inc GROUP BY ALL")
+@query("impact", CALLEE + LABELS + IMP + _walk("start", "dst", "src", 7, "lab", "c") + ", own AS (SELECT p FROM busy)" + _walk("own", "dst", "src", 7, "imps", "f")
+       + ", cc AS (" + _once(EMIT.format(a="dst", b="src", tr="trc"), "path, qualname", "call_line, ") + "), ff AS (" + _once(EMIT_FILES.format(tr="trf"), "path", "") + ")"
+       + " SELECT 'symbol' AS kind, path, qualname, certainty, distance, CASE distance WHEN 1 THEN 'calls ' || q || ' directly' ELSE 'calls a symbol that reaches ' || q END AS reason FROM cc, busy"
+       + " UNION ALL SELECT 'file', path, NULL, certainty, distance, CASE distance WHEN 1 THEN 'imports ' || q ELSE 'imports a file that reaches ' || q END FROM ff, busy")
 def _impact(g: Graph) -> DataFrame:
-    return impact.impact(g.symbols, g.symbol_edges, g.file_edges, busy_symbol(g)[1]).select("kind", "path", "qualname", "certainty", "distance")
+    return impact.impact(g.symbols, g.symbol_edges, g.file_edges, busy_symbol(g)[1]).select("kind", "path", "qualname", "certainty", "distance", "reason")
+
 
+@query("impact_file", DST_HUB + IMP + _walk("hub", "dst", "src", 7, "imps") + f" SELECT path, certainty, distance, 'imports ' || p AS reason FROM ({EMIT_FILES.format(tr='tr')}), hub")
+def _impact_file(g: Graph) -> DataFrame:
+    return impact.impact(g.symbols, g.symbol_edges, g.file_edges, hub(g, "dst"), "side-effect").select("path", "certainty", "distance", "reason")
 
-@query("impact_summary", DST_HUB + IMPORTERS.format(start="p, 0 FROM hub") + ", n AS (SELECT count(*) AS total, count(*) FILTER (certainty = 'exact') AS exact, count(*) FILTER (certainty = 'resolved') AS resolved, count(*) FILTER (certainty = 'heuristic') AS heuristic, count(*) FILTER (certainty = 'dynamic') AS dynamic FROM inc) SELECT *, CASE WHEN total = 0 THEN 'low' WHEN dynamic > 0 THEN 'high' WHEN heuristic > 0 THEN 'medium' ELSE 'low' END AS risk FROM n")
+
+@query("impact_body", CALLEE + f" SELECT 'symbol' AS kind, src_path AS path, src AS qualname, first(certainty ORDER BY call_line, {RANK}) AS certainty, 1 AS distance FROM calls JOIN busy ON dst_path = p AND dst = q GROUP BY 2, 3")
+def _impact_body(g: Graph) -> DataFrame:
+    return impact.impact(g.symbols, g.symbol_edges, g.file_edges, busy_symbol(g)[1], "body").select("kind", "path", "qualname", "certainty", "distance")
+
+
+@query("impact_summary", DST_HUB + IMP + _walk("hub", "dst", "src", 7, "imps") + f", inc AS ({EMIT_FILES.format(tr='tr')})" + ", n AS (SELECT count(*) AS total, count(*) FILTER (certainty = 'exact') AS exact, count(*) FILTER (certainty = 'resolved') AS resolved, count(*) FILTER (certainty = 'heuristic') AS heuristic, count(*) FILTER (certainty = 'dynamic') AS dynamic FROM inc) SELECT *, CASE WHEN total = 0 THEN 'low' WHEN dynamic > 0 THEN 'high' WHEN heuristic > 0 THEN 'medium' ELSE 'low' END AS risk FROM n")
 def _impact_summary(g: Graph) -> DataFrame:
     return impact.impact_summary(impact.impact(g.symbols, g.symbol_edges, g.file_edges, hub(g, "dst")))
 
 
-@query("explain", DST_HUB + IMPORTERS.format(start="p, 0 FROM hub") + " SELECT path, 'import' AS edge_kind, min(certainty) AS certainty, distance FROM inc GROUP BY ALL UNION SELECT dst, kind, certainty, 1 FROM edges WHERE src = (SELECT p FROM hub) AND (dst, kind) NOT IN (SELECT (path, 'import') FROM inc WHERE distance = 1)")
+QUERIES["impact_rules"] = lambda spark, d: impact.impact_rules(spark).withColumn("allowed_edge_kinds", F.array_join("allowed_edge_kinds", ","))
+ORACLES["impact_rules"] = """SELECT * FROM (VALUES
+('body', 'Reverse call graph only', 'call', false, true, false, 1), ('signature', 'Reverse call graph plus importer/re-export expansion', 'call,import,export', true, true, false, NULL),
+('rename', 'Traverse all reference-bearing edges', 'call,import,export', true, true, false, NULL), ('delete', 'Traverse all reverse dependencies and reference edges', 'call,import,export', true, true, false, NULL),
+('visibility', 'Inspect external import/call edges across the narrowed boundary', 'call,import,export', true, true, true, NULL), ('side-effect', 'Reverse file-import graph only', 'import', true, false, false, NULL))
+t(change_type, traversal_strategy, allowed_edge_kinds, include_importers, include_callers, include_visibility_boundary, default_max_distance)"""
+
+
+@query("explain", SRC_HUB + IMP + _walk("hub", "dst", "src", 7, "imps")
+       + f", own AS (SELECT dst AS path, kind AS edge_kind, certainty, 1 AS distance, [''] AS trail FROM edges WHERE src = (SELECT p FROM hub)), every AS (SELECT * FROM own UNION ALL SELECT path, 'import', certainty, distance, trail FROM ({EMIT_FILES.format(tr='tr')}))"
+       + f" SELECT path, edge_kind, distance, {FIRST.format(line='', rank=RANK)} FROM every GROUP BY path, edge_kind, distance")
 def _explain(g: Graph) -> DataFrame:
-    return impact.explain(g.symbols, g.symbol_edges, g.file_edges, hub(g, "dst")).select("path", "edge_kind", "certainty", "distance")
+    return impact.explain(g.symbols, g.symbol_edges, g.file_edges, hub(g)).select("path", "edge_kind", "certainty", "distance")
 
 
-WHY_END = " , ends AS (SELECT node FROM (SELECT node, min(d) AS d FROM wi GROUP BY 1) WHERE d = (SELECT max(d) FROM (SELECT node, min(d) AS d FROM wi GROUP BY 1)) ORDER BY node LIMIT 1)"
-WHY_WALK = ", wi(node, d) AS (SELECT p, 0 FROM hub UNION SELECT e.dst, wi.d + 1 FROM wi JOIN edges e ON e.src = wi.node AND e.kind = 'import' WHERE wi.d < 8)"
+WHY = IMP + _walk("hub", "src", "dst", 8, "imps") + ", far AS (SELECT trail FROM tr ORDER BY d DESC, node LIMIT 1)"
 
 
-@query("why_length", SRC_HUB + WHY_WALK + WHY_END + " SELECT (SELECT p FROM hub) AS first, (SELECT node FROM ends) AS last, min(d) AS hops FROM wi WHERE node = (SELECT node FROM ends)")
+@query("why", SRC_HUB + WHY + " SELECT unnest(range(len(trail))) AS step, unnest(trail) AS path FROM far")
 def _why(g: Graph) -> DataFrame:
     start = hub(g)
-    e = g.file_edges.where("kind = 'import'").select("src", "dst")
-    far = kernels.bfs_tree(e, start, 8).orderBy(F.desc("distance"), "node").first()
-    path = impact.why(g.symbols, g.symbol_edges, g.file_edges, start, far["node"] if far else start)
-    return path.agg(F.min_by("path", "step").alias("first"), F.max_by("path", "step").alias("last"), F.max("step").alias("hops"))
+    far = kernels.bfs_tree(g.file_edges.where("kind = 'import'"), start, 8).orderBy(F.desc("distance"), "node").first()
+    return impact.why(g.symbols, g.symbol_edges, g.file_edges, start, far["node"] if far else start).select(F.col("step").cast("long").alias("step"), "path")
+
+
+@query("why_symbols", CALLER + LABELS + _walk("start", "src", "dst", 8, "lab") + ", far AS (SELECT trail FROM tr ORDER BY d DESC, node LIMIT 1) SELECT step, split_part(x, chr(1), 2) AS path, split_part(x, chr(1), 1) AS qualname FROM (SELECT unnest(range(len(trail))) AS step, unnest(trail) AS x FROM far)")
+def _why_symbols(g: Graph) -> DataFrame:
+    start = busy_symbol(g, "src")
+    e = direct.call_ends(g.symbol_edges, False).select(impact.label("src").alias("src"), impact.label("dst").alias("dst"))
+    far = kernels.bfs_tree(e, "\x01".join(start[::-1]), 8).orderBy(F.desc("distance"), "node").first()
+    return impact.why(g.symbols, g.symbol_edges, g.file_edges, start[1], far["node"].split("\x01")[0]).withColumn("step", F.col("step").cast("long"))
+
+
+CHANGED = "path LIKE 'lib/brand_1%' AND path LIKE '%7.rs'"
+BACK = ", changed AS (SELECT path FROM files WHERE " + CHANGED + "), r(c, n) AS (SELECT c.path, e.src FROM changed c JOIN edges e ON e.dst = c.path UNION SELECT r.c, e.src FROM r JOIN edges e ON e.dst = r.n)"
+
+
+@query("reverse_closure", BACK + " SELECT DISTINCT n AS path FROM r WHERE n NOT IN (SELECT path FROM changed)")
+def _reverse_closure(g: Graph) -> DataFrame:
+    seeds = g.files.where(CHANGED).select(F.col("path").alias("node"))
+    return kernels.reverse_closure(g.file_edges, seeds).select(F.col("node").alias("path"))
+
+
+@query("diff_dependents", BACK + " SELECT path, count(DISTINCT n) FILTER (n <> path) AS dependents FROM changed LEFT JOIN r ON c = path GROUP BY path")
+def _diff_dependents(g: Graph) -> DataFrame:
+    return impact.diff(g.file_edges, g.files.where(CHANGED).select("path"))[0]
 
 
-@query("diff", ", changed AS (SELECT path FROM files WHERE path LIKE '%part_%7.rs' AND path LIKE 'src/e%'), r(c, n) AS (SELECT c.path, e.src FROM changed c JOIN edges e ON e.dst = c.path UNION SELECT r.c, e.src FROM r JOIN edges e ON e.dst = r.n) SELECT n AS path, array_to_string(list_sort(list(c)), ',') AS changed_roots FROM r WHERE n <> c GROUP BY n")
+@query("diff", BACK + " SELECT n AS path, array_to_string(list_sort(list(c)), ',') AS changed_roots FROM r WHERE n <> c GROUP BY n")
 def _diff(g: Graph) -> DataFrame:
-    changed = g.files.where("path like '%part_%7.rs' and path like 'src/e%'").select("path")
-    return impact.diff(g.file_edges, changed)[1].select("path", F.array_join("changed_roots", ",").alias("changed_roots"))
+    return impact.diff(g.file_edges, g.files.where(CHANGED).select("path"))[1].select("path", F.array_join("changed_roots", ",").alias("changed_roots"))
 
 
 @query("doctor", " SELECT 'files' AS metric, count(*) AS value, CASE WHEN count(*) = 0 THEN 'fail' ELSE 'ok' END AS status FROM files UNION ALL SELECT 'imports', count(*), 'ok' FROM imports UNION ALL SELECT 'unresolved', count(*), CASE WHEN count(*) > 0 THEN 'warn' ELSE 'ok' END FROM imports WHERE resolved_path IS NULL AND import_path_kind <> 'external' UNION ALL SELECT 'symbols', count(*), 'ok' FROM symbols UNION ALL SELECT 'call_edges', count(*), 'ok' FROM calls UNION ALL SELECT 'parse_ok', count(*), 'ok' FROM files WHERE parse_status = 'ok' UNION ALL SELECT 'parse_partial', count(*), CASE WHEN count(*) > 0 THEN 'warn' ELSE 'ok' END FROM files WHERE parse_status = 'partial' UNION ALL SELECT 'parse_error', count(*), CASE WHEN count(*) > 0 THEN 'fail' ELSE 'ok' END FROM files WHERE parse_status = 'error'")
@@ -176,15 +256,15 @@ def _tree(g: Graph) -> DataFrame:
 
 
 LAYERED = ", lay AS (SELECT src AS from_file, dst AS to_file, " + LAYER_CASE.format(p="src") + " AS from_layer, " + LAYER_CASE.format(p="dst") + " AS to_layer FROM edges)"
-VIOLATION = LAYERED + ", rule(f, t, m) AS (VALUES ('economy', 'promo', 'economy may not import promo'), ('economy', 'standard', 'economy may not import standard'), ('promo', 'economy', 'promo stays apart from economy'), ('rest', 'standard', 'rest may not import standard'))"
+VIOLATION = LAYERED + ", rule(f, t, m) AS (VALUES ('low', 'urgent', 'low may not import urgent'), ('low', 'high', 'low may not import high'), ('urgent', 'low', 'urgent stays apart from low'), ('lib', 'rest', 'lib may not import rest'))"
 
 
-@query("arch_check", VIOLATION + " SELECT from_file, to_file, from_layer, to_layer, m AS message FROM lay JOIN rule ON f = from_layer AND t = to_layer", "g3")
+@query("arch_check", VIOLATION + " SELECT from_file, to_file, from_layer, to_layer, m AS message FROM lay JOIN rule ON f = from_layer AND t = to_layer")
 def _arch_check(g: Graph) -> DataFrame:
     return arch.arch_check(g.file_edges, CONFIG)
 
 
-@query("arch_layers", LAYERED + " SELECT from_layer, to_layer, count(*) AS edges FROM lay WHERE from_layer IS NOT NULL AND to_layer IS NOT NULL GROUP BY ALL", "g3")
+@query("arch_layers", LAYERED + " SELECT from_layer, to_layer, count(*) AS edges FROM lay WHERE from_layer IS NOT NULL AND to_layer IS NOT NULL GROUP BY ALL")
 def _arch_layers(g: Graph) -> DataFrame:
     return arch.layered(g.file_edges, CONFIG).groupBy("from_layer", "to_layer").agg(F.count("*").alias("edges"))
 
@@ -206,12 +286,12 @@ def _entry_reaches(g: Graph) -> DataFrame:
     return entry.entry_reaches(g.files, g.file_edges, hub(g, "dst"))
 
 
-@query("entry_unreachable", ENTRY + f", s(n) AS (SELECT path FROM entries UNION SELECT e.dst FROM s JOIN imp e ON e.src = s.n), x AS (SELECT path, count(*) AS n FROM symbols WHERE exported GROUP BY path) SELECT f.path AS file, CASE WHEN mtime <= {NOW} THEN CAST(floor(({NOW} - mtime) / 86400.0) AS BIGINT) END AS last_modified_days_ago, coalesce(x.n, 0) AS exported_symbols, CASE WHEN language = 'rust' THEN 'resolved' ELSE 'heuristic' END AS certainty FROM files f LEFT JOIN x ON x.path = f.path WHERE f.path NOT IN (SELECT n FROM s)")
+@query("entry_unreachable", ENTRY + f", s(n) AS (SELECT path FROM entries UNION SELECT e.dst FROM s JOIN imp e ON e.src = s.n), x AS (SELECT path, count(*) AS n FROM symbols WHERE exported GROUP BY path) SELECT f.path AS file, CASE WHEN mtime <= {NOW} THEN CAST(floor(({NOW} - mtime) / 86400.0) AS BIGINT) END AS last_modified_days_ago, coalesce(x.n, 0) AS exported_symbols, CASE WHEN language = 'rust' THEN 'exact' ELSE 'heuristic' END AS certainty FROM files f LEFT JOIN x ON x.path = f.path WHERE f.path NOT IN (SELECT n FROM s)")
 def _entry_unreachable(g: Graph) -> DataFrame:
     return entry.unreachable(g.files, g.file_edges, g.symbols, NOW)
 
 
-@query("audit", ENTRY + ", seeds AS (SELECT path FROM files WHERE path LIKE 'src/%/brand#_2_/part#_%0.rs' ESCAPE '#'), back AS (SELECT dst AS src, src AS dst FROM imp), a(node, d) AS (SELECT path, 0 FROM seeds UNION SELECT b.dst, a.d + 1 FROM a JOIN back b ON b.src = a.node WHERE a.d < 40) SELECT node AS entry_point, min(d) AS distance, node LIKE 'src/economy%/%' AS expected FROM a WHERE node IN (SELECT path FROM entries) GROUP BY node")
+@query("audit", ENTRY + ", seeds AS (SELECT path FROM files WHERE path LIKE 'lib/brand#_2_/part#_%0.rs' ESCAPE '#'), back AS (SELECT dst AS src, src AS dst FROM imp), a(node, d) AS (SELECT path, 0 FROM seeds UNION SELECT b.dst, a.d + 1 FROM a JOIN back b ON b.src = a.node WHERE a.d < 40) SELECT node AS entry_point, min(d) AS distance, node LIKE 'src/urgent/%' AS expected FROM a WHERE node IN (SELECT path FROM entries) GROUP BY node")
 def _audit(g: Graph) -> DataFrame:
     return entry.audit(g.files, g.file_edges, g.symbols, CAPABILITY).drop("certainty")
 
@@ -219,12 +299,12 @@ def _audit(g: Graph) -> DataFrame:
 COVER = f", tests AS (SELECT path FROM files WHERE {TEST_SQL})" + CONE.format(seeds="tests", edges="edges", rank="0", depth=40)
 
 
-@query("test_map", COVER + " SELECT seed AS test, node AS path, d AS distance FROM best WHERE node NOT IN (SELECT path FROM tests)", "g1")
+@query("test_map", COVER + " SELECT seed AS test, node AS path, d AS distance FROM best WHERE node NOT IN (SELECT path FROM tests)")
 def _test_map(g: Graph) -> DataFrame:
     return entry.coverage(g.files, g.file_edges, CONFIG.test_patterns, CONFIG.test_excludes)
 
 
-@query("test_uncovered", COVER + " SELECT path, mtime FROM files WHERE path NOT IN (SELECT node FROM best) AND path NOT IN (SELECT path FROM tests)", "g1")
+@query("test_uncovered", COVER + " SELECT path, mtime FROM files WHERE path NOT IN (SELECT node FROM best) AND path NOT IN (SELECT path FROM tests)")
 def _test_uncovered(g: Graph) -> DataFrame:
     covered = entry.coverage(g.files, g.file_edges, CONFIG.test_patterns, CONFIG.test_excludes)
     return entry.uncovered(g.files, covered, CONFIG.test_patterns, CONFIG.test_excludes)
@@ -233,7 +313,7 @@ def _test_uncovered(g: Graph) -> DataFrame:
 SCC = ", imp AS (SELECT DISTINCT src, dst FROM edges WHERE kind = 'import'), r(a, b) AS (SELECT src, dst FROM imp UNION SELECT r.a, e.dst FROM r JOIN imp e ON e.src = r.b), m AS (SELECT x.a AS node, min(y.b) AS comp FROM r x JOIN r y ON y.a = x.a JOIN r z ON z.a = y.b AND z.b = x.a WHERE x.a = x.b GROUP BY x.a)"
 
 
-@query("cycles", SCC + ", c AS (SELECT comp, count(*) AS size FROM m GROUP BY comp), i AS (SELECT x.comp, count(*) AS n FROM imp JOIN m x ON x.node = src JOIN m y ON y.node = dst AND y.comp = x.comp GROUP BY 1), o AS (SELECT y.comp, count(DISTINCT src) AS n FROM imp JOIN m y ON y.node = dst LEFT JOIN m x ON x.node = src WHERE x.comp IS NULL OR x.comp <> y.comp GROUP BY 1) SELECT c.comp AS first_file, c.size, i.n AS edge_count, coalesce(o.n, 0) AS external_dependents, CASE WHEN size >= 4 OR coalesce(o.n, 0) >= 3 THEN 'high' WHEN size >= 3 OR coalesce(o.n, 0) >= 1 THEN 'medium' ELSE 'low' END AS severity FROM c JOIN i ON i.comp = c.comp LEFT JOIN o ON o.comp = c.comp", "g3")
+@query("cycles", SCC + ", c AS (SELECT comp, count(*) AS size FROM m GROUP BY comp), i AS (SELECT x.comp, count(*) AS n FROM imp JOIN m x ON x.node = src JOIN m y ON y.node = dst AND y.comp = x.comp GROUP BY 1), o AS (SELECT y.comp, count(DISTINCT src) AS n FROM imp JOIN m y ON y.node = dst LEFT JOIN m x ON x.node = src WHERE x.comp IS NULL OR x.comp <> y.comp GROUP BY 1) SELECT c.comp AS first_file, c.size, i.n AS edge_count, coalesce(o.n, 0) AS external_dependents, CASE WHEN size >= 4 OR coalesce(o.n, 0) >= 3 THEN 'high' WHEN size >= 3 OR coalesce(o.n, 0) >= 1 THEN 'medium' ELSE 'low' END AS severity FROM c JOIN i ON i.comp = c.comp LEFT JOIN o ON o.comp = c.comp")
 def _cycles(g: Graph) -> DataFrame:
     return cycles.cycles(g.file_edges).drop("files")
 
@@ -241,12 +321,12 @@ def _cycles(g: Graph) -> DataFrame:
 FANS = ", imp AS (SELECT DISTINCT src, dst FROM edges WHERE kind = 'import'), fan AS (SELECT f.path, f.language, (SELECT count(*) FROM imp WHERE dst = f.path) AS fan_in, (SELECT count(*) FROM imp WHERE src = f.path) AS fan_out FROM files f)"
 
 
-@query("stability", FANS + ", x AS (SELECT path, fan_in, fan_out, CASE WHEN fan_in + fan_out = 0 THEN 0.0 ELSE CAST(fan_out AS DOUBLE) / (fan_in + fan_out) END AS instability FROM fan) SELECT path, fan_in, fan_out, round(CAST(instability AS DOUBLE), 6) AS instability, CASE WHEN fan_in = 0 AND fan_out = 0 THEN 'isolated' WHEN instability > 0.5 AND fan_in > 10 THEN 'unstable_and_central' WHEN instability < 0.2 AND fan_in > 5 THEN 'stable_abstraction' WHEN fan_in = 0 AND instability >= 0.95 THEN 'healthy_leaf' WHEN instability BETWEEN 0.35 AND 0.65 THEN 'balanced' ELSE 'stable' END AS category, fan_in > 10 AND instability > 0.5 AS flagged FROM x", "g3")
+@query("stability", FANS + ", x AS (SELECT path, fan_in, fan_out, CASE WHEN fan_in + fan_out = 0 THEN 0.0 ELSE CAST(fan_out AS DOUBLE) / (fan_in + fan_out) END AS instability FROM fan) SELECT path, fan_in, fan_out, round(CAST(instability AS DOUBLE), 6) AS instability, CASE WHEN fan_in = 0 AND fan_out = 0 THEN 'isolated' WHEN instability > 0.5 AND fan_in > 10 THEN 'unstable_and_central' WHEN instability < 0.2 AND fan_in > 5 THEN 'stable_abstraction' WHEN fan_in = 0 AND instability >= 0.95 THEN 'healthy_leaf' WHEN instability BETWEEN 0.35 AND 0.65 THEN 'balanced' ELSE 'stable' END AS category, fan_in > 10 AND instability > 0.5 AS flagged FROM x")
 def _stability(g: Graph) -> DataFrame:
     return metrics.stability(g.file_edges, g.files).withColumn("instability", F.round("instability", 6))
 
 
-@query("risk", f", pairs AS (SELECT DISTINCT src, dst FROM edges), r(a, b) AS (SELECT src, dst FROM pairs UNION SELECT r.a, e.dst FROM r JOIN pairs e ON e.src = r.b), t AS (SELECT b AS path, count(*) AS n FROM r GROUP BY b), i AS (SELECT dst AS path, count(*) AS n FROM pairs GROUP BY dst), c AS (SELECT path, count(DISTINCT commit_sha) AS n FROM churn WHERE committed_at >= {NOW} - 90 * 86400 GROUP BY path), x AS (SELECT f.path, coalesce(i.n, 0) AS direct_dependents, coalesce(t.n, 0) AS transitive_dependents, coalesce(c.n, 0) AS churn_commits FROM files f LEFT JOIN i ON i.path = f.path LEFT JOIN t ON t.path = f.path LEFT JOIN c ON c.path = f.path), y AS (SELECT *, CASE WHEN (SELECT max(churn_commits) FROM x) > 0 THEN log2(transitive_dependents + 1) * log2(churn_commits + 1) ELSE log2(direct_dependents + 1) END AS s FROM x) SELECT path, direct_dependents, transitive_dependents, churn_commits, round(s, 6) AS score, CAST(CASE WHEN (SELECT max(s) FROM y) > 0 THEN round(100 * s / (SELECT max(s) FROM y)) ELSE 0 END AS BIGINT) AS normalized_score FROM y", churn=True)
+@query("risk", f", pairs AS (SELECT DISTINCT src, dst FROM edges), r(a, b) AS (SELECT src, dst FROM pairs UNION SELECT r.a, e.dst FROM r JOIN pairs e ON e.src = r.b), t AS (SELECT b AS path, count(*) AS n FROM r GROUP BY b), i AS (SELECT dst AS path, count(*) AS n FROM pairs GROUP BY dst), c AS (SELECT path, count(DISTINCT commit_sha) AS n FROM churn WHERE committed_at >= {NOW} - 90 * 86400 GROUP BY path), x AS (SELECT f.path, coalesce(i.n, 0) AS direct_dependents, coalesce(t.n, 0) AS transitive_dependents, coalesce(c.n, 0) AS churn_commits FROM files f LEFT JOIN i ON i.path = f.path LEFT JOIN t ON t.path = f.path LEFT JOIN c ON c.path = f.path), y AS (SELECT *, CASE WHEN (SELECT max(churn_commits) FROM x) > 0 THEN log2(transitive_dependents + 1) * log2(churn_commits + 1) ELSE log2(direct_dependents + 1) END AS s FROM x) SELECT path, direct_dependents, transitive_dependents, churn_commits, round(s, 6) AS score, CAST(CASE WHEN (SELECT max(s) FROM y) > 0 THEN round(100 * s / (SELECT max(s) FROM y)) ELSE 0 END AS BIGINT) AS normalized_score FROM y")
 def _risk(g: Graph) -> DataFrame:
     return metrics.risk(g.file_edges, g.files, g.churn, NOW).withColumn("score", F.round("score", 6))
 
@@ -256,7 +336,7 @@ def most_changed(g: Graph) -> str:
     return row[0] if row else ""
 
 
-@query("cochange", f", c AS (SELECT DISTINCT path, commit_sha FROM churn WHERE committed_at >= {NOW} - 365 * 86400), t AS (SELECT path AS p FROM c GROUP BY path ORDER BY count(*) DESC, path LIMIT 1), own AS (SELECT commit_sha FROM c WHERE path = (SELECT p FROM t)), s AS (SELECT path, count(*) AS n FROM c WHERE commit_sha IN (SELECT commit_sha FROM own) AND path <> (SELECT p FROM t) GROUP BY path), a AS (SELECT path, count(*) AS n FROM c GROUP BY path) SELECT s.path, s.n AS shared_commits, (SELECT count(*) FROM own) AS target_commits, a.n AS candidate_commits, round(s.n / (SELECT count(*) FROM own)::DOUBLE, 6) AS score, CAST(round(100 * s.n / (SELECT max(n) FROM s)::DOUBLE) AS BIGINT) AS normalized_score FROM s JOIN a ON a.path = s.path", churn=True)
+@query("cochange", f", c AS (SELECT DISTINCT path, commit_sha FROM churn WHERE committed_at >= {NOW} - 365 * 86400), t AS (SELECT path AS p FROM c GROUP BY path ORDER BY count(*) DESC, path LIMIT 1), own AS (SELECT commit_sha FROM c WHERE path = (SELECT p FROM t)), s AS (SELECT path, count(*) AS n FROM c WHERE commit_sha IN (SELECT commit_sha FROM own) AND path <> (SELECT p FROM t) GROUP BY path), a AS (SELECT path, count(*) AS n FROM c GROUP BY path) SELECT s.path, s.n AS shared_commits, (SELECT count(*) FROM own) AS target_commits, a.n AS candidate_commits, round(s.n / (SELECT count(*) FROM own)::DOUBLE, 6) AS score, CAST(round(100 * s.n / (SELECT max(n) FROM s)::DOUBLE) AS BIGINT) AS normalized_score FROM s JOIN a ON a.path = s.path")
 def _cochange(g: Graph) -> DataFrame:
     return metrics.cochange(g.churn, most_changed(g), NOW, 365).withColumn("score", F.round("score", 6))
 
@@ -272,9 +352,9 @@ def _mirror(g: Graph) -> DataFrame:
     return similar.mirror(g.files, i, g.symbols, g.file_edges, hub(g)).select("path", F.round("score", 6).alias("score"))
 
 
-@query("caller_profiles", ", busyfile AS (SELECT dst_path AS p FROM calls GROUP BY dst_path ORDER BY count(*) DESC, dst_path LIMIT 1) SELECT s.qualname, s.kind, s.start_line AS line, coalesce((SELECT array_to_string(list_sort(list(DISTINCT src_path)), ',') FROM calls c WHERE c.dst_path = s.path AND c.dst = s.qualname), '') AS callers FROM symbols s WHERE s.path = (SELECT p FROM busyfile)")
+@query("caller_profiles", ", busyfile AS (SELECT dst_path AS p FROM calls GROUP BY dst_path ORDER BY count(DISTINCT dst) DESC, dst_path LIMIT 1) SELECT s.qualname, s.kind, s.start_line AS line, coalesce((SELECT array_to_string(list_sort(list(DISTINCT src_path)), ',') FROM calls c WHERE c.dst_path = s.path AND c.dst = s.qualname), '') AS callers FROM symbols s WHERE s.path = (SELECT p FROM busyfile)")
 def _caller_profiles(g: Graph) -> DataFrame:
-    row = g.symbol_edges.groupBy("dst_path").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dst_path").first()
+    row = g.symbol_edges.groupBy("dst_path").agg(F.count_distinct("dst").alias("n")).orderBy(F.desc("n"), "dst_path").first()
     return similar.caller_profiles(g.symbols, g.symbol_edges, row[0] if row else "").select("qualname", "kind", "line", F.array_join("callers", ",").alias("callers"))
 
 
@@ -283,19 +363,18 @@ BEFORE = ", before AS (SELECT src, dst, kind, CASE WHEN (s + d) % 13 = 0 THEN 'd
 
 
 def two_states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    g = load(spark, sf_dir, "g3")
-    key = lambda c: F.regexp_extract(c, r"part_(\d+)\.", 1).cast("long")
-    e = g.file_edges.withColumn("s", key("src")).withColumn("d", key("dst"))
+    g = load(spark, sf_dir)
+    e = g.file_edges.withColumn("s", edge_keys("src")).withColumn("d", edge_keys("dst"))
     before = e.where("(s * 3 + d) % 7 <> 0").withColumn("certainty", F.when((F.col("s") + F.col("d")) % 13 == 0, "dynamic").otherwise(F.col("certainty")))
     return before.drop("s", "d"), e.where("(s + d * 5) % 11 <> 0").drop("s", "d")
 
 
 QUERIES["edge_diff"] = lambda spark, d: compare.edge_diff(*two_states(spark, d))
-ORACLES["edge_diff"] = oracle_prefix("g3") + BEFORE + " (SELECT *, 'added' AS change FROM (SELECT * FROM after EXCEPT SELECT * FROM before)) UNION ALL (SELECT *, 'removed' AS change FROM (SELECT * FROM before EXCEPT SELECT * FROM after))"
+ORACLES["edge_diff"] = oracle_prefix() + BEFORE + " (SELECT *, 'added' AS change FROM (SELECT * FROM after EXCEPT SELECT * FROM before)) UNION ALL (SELECT *, 'removed' AS change FROM (SELECT * FROM before EXCEPT SELECT * FROM after))"
 QUERIES["centrality_delta"] = lambda spark, d: compare.centrality_delta(*two_states(spark, d))
-ORACLES["centrality_delta"] = oracle_prefix("g3") + BEFORE + ", b AS (SELECT dst, count(*) AS n FROM before WHERE kind = 'import' GROUP BY dst), a AS (SELECT dst, count(*) AS n FROM after WHERE kind = 'import' GROUP BY dst) SELECT a.dst AS path, coalesce(b.n, 0) AS before_fan_in, a.n AS after_fan_in, a.n - coalesce(b.n, 0) AS delta FROM a LEFT JOIN b ON b.dst = a.dst WHERE a.n > coalesce(b.n, 0)"
+ORACLES["centrality_delta"] = oracle_prefix() + BEFORE + ", b AS (SELECT dst, count(*) AS n FROM before WHERE kind = 'import' GROUP BY dst), a AS (SELECT dst, count(*) AS n FROM after WHERE kind = 'import' GROUP BY dst) SELECT a.dst AS path, coalesce(b.n, 0) AS before_fan_in, a.n AS after_fan_in, a.n - coalesce(b.n, 0) AS delta FROM a LEFT JOIN b ON b.dst = a.dst WHERE a.n > coalesce(b.n, 0)"
 QUERIES["violation_diff"] = lambda spark, d: compare.added(*[arch.arch_check(x, CONFIG) for x in two_states(spark, d)], ["from_file", "to_file", "message"])
-ORACLES["violation_diff"] = oracle_prefix("g3") + BEFORE + VIOLATION.replace("FROM edges)", "FROM before)") + ", lay2 AS (SELECT src AS from_file, dst AS to_file, " + LAYER_CASE.format(p="src") + " AS from_layer, " + LAYER_CASE.format(p="dst") + " AS to_layer FROM after) SELECT from_file, to_file, m AS message FROM lay2 JOIN rule ON f = from_layer AND t = to_layer EXCEPT SELECT from_file, to_file, m FROM lay JOIN rule ON f = from_layer AND t = to_layer"
+ORACLES["violation_diff"] = oracle_prefix() + BEFORE + VIOLATION.replace("FROM edges)", "FROM before)") + ", lay2 AS (SELECT src AS from_file, dst AS to_file, " + LAYER_CASE.format(p="src") + " AS from_layer, " + LAYER_CASE.format(p="dst") + " AS to_layer FROM after) SELECT from_file, to_file, m AS message FROM lay2 JOIN rule ON f = from_layer AND t = to_layer EXCEPT SELECT from_file, to_file, m FROM lay JOIN rule ON f = from_layer AND t = to_layer"
 
 
 @query("surface_diff", ", b AS (SELECT kind || ':' || name AS identity, max((path, qualname, visibility, start_line)) AS x FROM symbols WHERE exported AND start_line % 7 <> 0 GROUP BY 1), a AS (SELECT kind || ':' || name AS identity, max((path, qualname, visibility, CASE WHEN start_line % 5 = 0 THEN start_line + 1 ELSE start_line END)) AS x FROM symbols WHERE exported AND start_line % 9 <> 0 GROUP BY 1) SELECT coalesce(a.identity, b.identity) AS identity, CASE WHEN b.identity IS NULL THEN 'added' WHEN a.identity IS NULL THEN 'removed' ELSE 'modified' END AS change FROM b FULL JOIN a ON a.identity = b.identity WHERE b.identity IS NULL OR a.identity IS NULL OR a.x <> b.x")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from cartograph.runtime import spool
+from cartograph.runtime import drop_spool, spool
 
 MERGE = 8  # levels kept apart before they are written as one table
 
@@ -42,10 +42,19 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> Dat
             break
         done.append(level)
         if len(done) > MERGE:
-            done = [spool(_union(done))]
+            merged = spool(_union(done))
+            for old in done[:-1]:  # the last level is still the frontier
+                drop_spool(old)
+            done = [merged]
     return _union(done)
 
 
+def reverse_closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """node: everything from which some seed can be reached, the seeds themselves left out."""
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return reach(back, seeds).join(seeds.select("node"), "node", "left_anti")
+
+
 def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """node: everything reachable from any seed, seeds included (one search, not one per seed)."""
     found = bfs(edges, seeds.select(F.lit(0).alias("seed"), F.col("node")))
@@ -78,27 +87,63 @@ def emit_edges(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
     return near.join(edges, near["node"] == edges["src"]).withColumn("distance", F.col("hops") + 1).drop("node", "hops")
 
 
-def bfs_tree(edges: DataFrame, start: str, max_depth: int | None = None) -> DataFrame:
-    """node, parent, distance, place, trail: breadth-first order with ties by name; the start is left out.
+def bfs_tree(edges: DataFrame, start: str, max_depth: int | None = None, goal: str | None = None) -> DataFrame:
+    """node, parent, distance, trail: breadth-first order with ties by name; the start is left out.
 
-    (distance, place) is the visiting order; trail is the path from the start. A node's parent is the first visited
-    among its possible parents, as a queue would have it. Places come from a distributed sort, so they rise but have gaps.
+    trail is the path from the start. A node's parent is the first visited among its possible parents, as a queue would have it: trails of one length
+    sort like the visiting order, so (distance, trail) is that order and no level has to be numbered. The search ends with the level that reaches the goal.
     """
     spark = edges.sparkSession
     edges = spool(edges.select("src", "dst").distinct())
-    level = spool(spark.createDataFrame([(start, None, 0, 0, [start])], "node string, parent string, distance int, place long, trail array<string>"))
+    level = spool(spark.createDataFrame([(start, None, 0, [start])], "node string, parent string, distance int, trail array<string>"))
     done, depth = [level], 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        step = level.join(edges, level["node"] == edges["src"]).groupBy(F.col("dst").alias("node")).agg(F.min(F.struct("place", F.col("node").alias("parent"), "trail")).alias("via"))
-        fresh = step.join(_union(done).select("node"), "node", "left_anti").orderBy("via.place", "node")
-        level = spool(fresh.select("node", F.col("via.parent").alias("parent"), F.lit(depth).alias("distance"), F.monotonically_increasing_id().alias("place"), F.concat(F.col("via.trail"), F.array("node")).alias("trail")))
+        step = level.join(edges, level["node"] == edges["src"]).groupBy("dst").agg(F.min("trail").alias("via"))
+        fresh = step.withColumnRenamed("dst", "node").join(_union(done).select("node"), "node", "left_anti")
+        level = spool(fresh.select("node", F.element_at("via", -1).alias("parent"), F.lit(depth).alias("distance"), F.concat("via", F.array("node")).alias("trail")))
         if level.isEmpty():
             break
         done.append(level)
+        if goal is not None and not level.where(F.col("node") == goal).isEmpty():
+            break
+        if len(done) > MERGE:
+            done = [spool(_union(done))]
     return _union(done).where("distance > 0")
 
 
+def reach_counts(edges: DataFrame, seeds_at_once: int = 1_000_000) -> DataFrame:
+    """node, reached: how many nodes a path of one edge or more leads to from each node that has an edge; a node in a cycle counts itself.
+
+    Seeds are taken in batches by hash, of about ``seeds_at_once``; a batch's pairs are counted and dropped before the next one.
+    """
+    edges = spool(edges.select("src", "dst").distinct())
+    seeds = spool(edges.select(F.col("src").alias("seed")).distinct())
+    batches = -(-seeds.count() // seeds_at_once)
+    parts = []
+    for i in range(batches):
+        own = seeds.where(F.pmod(F.xxhash64("seed"), F.lit(batches)) == i)
+        # The first hop is the seed's own, so that a seed is reached only around a cycle.
+        hop = own.join(edges, own["seed"] == edges["src"]).select("seed", F.col("dst").alias("node"))
+        found = bfs(edges, hop).select("seed", "node")
+        counted = spool(found.groupBy(F.col("seed").alias("node")).agg(F.count("*").alias("reached")))
+        drop_spool(found)
+        parts.append(counted)
+    return _union(parts) if parts else seeds.select(F.col("seed").alias("node"), F.lit(0).cast("long").alias("reached"))
+
+
+def ordinals(df: DataFrame, *order: str) -> DataFrame:
+    """Adds ordinal, 1 for the first row in order: a distributed sort, and the row counts of its partitions."""
+    placed = spool(df.orderBy(*order).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_id")))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("n"), F.min("_id").alias("first")).orderBy("_part").collect()  # one row a partition
+    before, offsets = 0, []
+    for r in sizes:
+        offsets.append((r["_part"], before - r["first"] + 1))
+        before += r["n"]
+    table = df.sparkSession.createDataFrame(offsets, "_part int, offset long")
+    return placed.join(F.broadcast(table), "_part").withColumn("ordinal", F.col("_id") + F.col("offset")).drop("_part", "_id", "offset")
+
+
 def spread(values: DataFrame, edges: DataFrame, hops: int = 6) -> DataFrame:
     """node, value: the least value among the nodes that reach each node, its own included.
 

@@ -1,7 +1,9 @@
 """The driver's star-schema tables seen as a code graph.
 
-Parts are files, consecutive lines of an order are import edges, orders are commits, and
-(part, supplier) pairs are symbols. The projections are plain SQL over named tables, so that a test oracle in another engine
+Orders and parts are files. An order depends on the next one of its customer, on the one after that if both have the same status, on the one before if both have the
+same priority (which closes cycles), and on the parts of its lines. Lines are symbols of their order that call the next line, the first line of the next order and
+the part's maker. An order is also the commit that touches its file and those of its parts. All rows of the tables take part.
+The projections are plain SQL over named tables, so that a test oracle in another engine
 can share them; every operator above them is written on DataFrames.
 """
 
@@ -15,33 +17,42 @@ from pyspark.sql import functions as F
 #: 2001-08-02, a fixed "now" for operators with a time window.
 NOW = 996_710_400
 
-FILE_SQL = """
-SELECT 'src/' || lower(p_type) || '/' || lower(replace(p_brand, '#', '_')) || '/part_' || CAST(p_partkey AS STRING)
-         || CASE WHEN p_size % 3 = 0 THEN '.ts' ELSE '.rs' END AS path,
-       CASE WHEN p_size % 3 = 0 THEN 'typescript_javascript' ELSE 'rust' END AS language,
-       CASE WHEN p_size % 19 = 0 THEN 'partial' ELSE 'ok' END AS parse_status,
-       CAST(p_size * 100 AS BIGINT) AS size_bytes, CAST(996710400 - p_size * 86400 * 7 AS BIGINT) AS mtime, p_partkey AS file_key
-FROM {part}
+#: Days since 1970 of a date column, in each engine's words.
+DAY = {"spark": "datediff(CAST(o_orderdate AS DATE), DATE '1970-01-01')", "oracle": "(CAST(o_orderdate AS DATE) - DATE '1970-01-01')"}
+
+ORDER_PATH = "'src/' || lower(replace(substring(o_orderpriority, 3), ' ', '_')) || '/c_' || CAST(o_custkey AS STRING) || '/o_' || CAST(o_orderkey AS STRING)"
+
+FILE_SQL = f"""
+SELECT {ORDER_PATH} || CASE WHEN o_orderkey % 3 = 0 THEN '.ts' ELSE '.rs' END AS path,
+       CASE WHEN o_orderkey % 3 = 0 THEN 'typescript_javascript' ELSE 'rust' END AS language,
+       CASE WHEN o_orderkey % 19 = 0 THEN 'partial' ELSE 'ok' END AS parse_status,
+       CAST(floor(o_totalprice) AS BIGINT) AS size_bytes, CAST({{day}} AS BIGINT) * 86400 AS mtime, o_orderkey * 2 AS file_key
+FROM {{orders}}
+UNION ALL
+SELECT 'lib/' || lower(replace(p_brand, '#', '_')) || '/part_' || CAST(p_partkey AS STRING) || CASE WHEN p_size % 3 = 0 THEN '.ts' ELSE '.rs' END,
+       CASE WHEN p_size % 3 = 0 THEN 'typescript_javascript' ELSE 'rust' END, 'ok', CAST(p_size * 100 AS BIGINT), CAST(996710400 - p_size * 86400 * 7 AS BIGINT), p_partkey * 2 + 1
+FROM {{part}}
+"""
+
+NEXT_SQL = """
+SELECT o_orderkey AS k, o_orderpriority AS pr, o_orderstatus AS st, lead(o_orderkey) OVER w AS k1, lead(o_orderpriority) OVER w AS pr1,
+       lead(o_orderkey, 2) OVER w AS k2, lead(o_orderstatus, 2) OVER w AS st2
+FROM {orders} WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)
 """
 
 RANKED_SQL = """
-SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber,
+SELECT l_orderkey, l_partkey, l_suppkey,
        row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS rn
-FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey WHERE {which}
+FROM {lineitem}
 """
 
-# Graphs by density: sparse, middle, dense (the last has large cycles).
-GRAPHS = {
-    "g1": "o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'",
-    "g2": "o_orderpriority = '1-URGENT' AND o_orderstatus IN ('P', 'O')",
-    "g3": "o_orderpriority = '1-URGENT'",
-}
-
 EDGE_SQL = """
 SELECT f.path AS src, t.path AS dst, CASE WHEN (s + d) % 5 = 0 THEN 'module' ELSE 'import' END AS kind,
        CASE (s * 7 + d) % 4 WHEN 0 THEN 'exact' WHEN 1 THEN 'resolved' WHEN 2 THEN 'heuristic' ELSE 'dynamic' END AS certainty, s, d
-FROM (SELECT DISTINCT a.l_partkey AS s, b.l_partkey AS d FROM {ranked} a JOIN {ranked} b ON a.l_orderkey = b.l_orderkey
-      WHERE a.rn = 1 AND b.rn = 2 AND a.l_partkey <> b.l_partkey) e
+FROM (SELECT k * 2 AS s, k1 * 2 AS d FROM {following} WHERE k1 IS NOT NULL
+      UNION SELECT k1 * 2, k * 2 FROM {following} WHERE pr1 = pr
+      UNION SELECT k * 2, k2 * 2 FROM {following} WHERE st2 = st
+      UNION SELECT l_orderkey * 2, l_partkey * 2 + 1 FROM {lineitem}) e
 JOIN {files} f ON f.file_key = s JOIN {files} t ON t.file_key = d
 """
 
@@ -50,24 +61,33 @@ SELECT src AS path, 'use ' || dst AS raw_text, CASE WHEN kind = 'import' THEN 'r
        CASE WHEN kind = 'import' OR (s + d) % 10 = 0 THEN dst END AS resolved_path, CAST((s * 3 + d) % 90 + 1 AS INT) AS start_line, certainty
 FROM {edges}
 UNION ALL SELECT src, 'pub use ' || dst, 'relative', dst, CAST((s * 3 + d) % 90 + 101 AS INT), certainty FROM {edges} WHERE (s + d) % 7 = 0
-UNION ALL SELECT path, 'use std', 'external', NULL, 1, 'exact' FROM {files} WHERE file_key % 3 = 0
+UNION ALL SELECT path, 'use std', 'external', NULL, 1, 'exact' FROM {files} WHERE parse_status = 'partial'
 """
 
-SYMBOL_SQL = """
-SELECT DISTINCT f.path, 'fn_' || CAST(l_suppkey AS STRING) AS name, 'm' || CAST(l_partkey AS STRING) || '::fn_' || CAST(l_suppkey AS STRING) AS qualname,
+LINE_NAME = "'o' || CAST({a}l_orderkey AS STRING) || '::fn_' || CAST({a}l_partkey AS STRING) || '_' || CAST({a}l_suppkey AS STRING)"
+
+SYMBOL_SQL = f"""
+SELECT DISTINCT f.path, 'fn_' || CAST(l_suppkey AS STRING) AS name, {LINE_NAME.format(a="")} AS qualname,
        CASE l_suppkey % 5 WHEN 0 THEN 'struct' WHEN 1 THEN 'constant' WHEN 2 THEN 'enum' ELSE 'function' END AS kind,
-       CASE WHEN l_suppkey % 2 = 0 THEN 'public' ELSE 'local' END AS visibility, l_suppkey % 2 = 0 AS exported,
-       CAST(l_suppkey % 97 + 1 AS INT) AS start_line
-FROM {ranked} JOIN {files} f ON f.file_key = l_partkey WHERE rn <= 3
+       CASE WHEN l_suppkey % 2 = 0 THEN 'public' ELSE 'local' END AS visibility, l_suppkey % 2 = 0 AS exported, CAST((l_partkey + l_suppkey) % 97 + 2 AS INT) AS start_line
+FROM {{ranked}} JOIN {{files}} f ON f.file_key = l_orderkey * 2
+UNION ALL SELECT path, 'make_' || CAST(file_key AS STRING), 'p' || CAST(file_key AS STRING) || '::make', 'function', 'public', true, 1 FROM {{files}} WHERE path LIKE 'lib/%'
+"""
+
+CALL_SQL = f"""
+SELECT DISTINCT src_path, src, dst_path, dst, CASE n % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'resolved' ELSE 'heuristic' END AS certainty, CAST(rn AS INT) AS call_line FROM (
+  SELECT f.path AS src_path, {LINE_NAME.format(a="a.")} AS src, t.path AS dst_path, 'p' || CAST(t.file_key AS STRING) || '::make' AS dst, a.l_partkey + a.l_suppkey AS n, a.rn
+  FROM {{ranked}} a JOIN {{files}} f ON f.file_key = a.l_orderkey * 2 JOIN {{files}} t ON t.file_key = a.l_partkey * 2 + 1
+  UNION ALL SELECT f.path, {LINE_NAME.format(a="a.")}, f.path, {LINE_NAME.format(a="b.")}, a.l_partkey + b.l_suppkey, a.rn
+  FROM {{ranked}} a JOIN {{ranked}} b ON b.l_orderkey = a.l_orderkey AND b.rn = a.rn + 1 JOIN {{files}} f ON f.file_key = a.l_orderkey * 2
+  UNION ALL SELECT f.path, {LINE_NAME.format(a="a.")}, t.path, {LINE_NAME.format(a="b.")}, a.l_suppkey + b.l_suppkey, 100
+  FROM {{following}} JOIN {{ranked}} a ON a.l_orderkey = k AND a.rn = 1 JOIN {{ranked}} b ON b.l_orderkey = k1 AND b.rn = 1
+  JOIN {{files}} f ON f.file_key = k * 2 JOIN {{files}} t ON t.file_key = k1 * 2) c
 """
 
-CALL_SQL = """
-SELECT DISTINCT f.path AS src_path, 'm' || CAST(a.l_partkey AS STRING) || '::fn_' || CAST(a.l_suppkey AS STRING) AS src,
-       t.path AS dst_path, 'm' || CAST(b.l_partkey AS STRING) || '::fn_' || CAST(b.l_suppkey AS STRING) AS dst,
-       CASE (a.l_partkey + b.l_suppkey) % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'resolved' ELSE 'heuristic' END AS certainty,
-       CAST(a.l_linenumber AS INT) AS call_line
-FROM {ranked} a JOIN {ranked} b ON a.l_orderkey = b.l_orderkey JOIN {files} f ON f.file_key = a.l_partkey JOIN {files} t ON t.file_key = b.l_partkey
-WHERE a.rn = 1 AND b.rn IN (2, 3)
+CHURN_SQL = """
+SELECT path, CAST(o_orderkey AS STRING) AS commit_sha, CAST(o_custkey AS STRING) AS author_email, CAST({day} AS BIGINT) * 86400 AS committed_at
+FROM (SELECT o_orderkey * 2 AS k, * FROM {orders} UNION SELECT l_partkey * 2 + 1, o.* FROM {orders} o JOIN {lineitem} ON l_orderkey = o_orderkey) c JOIN {files} ON file_key = k
 """
 
 
@@ -83,33 +103,33 @@ class Graph:
     churn: DataFrame
 
 
-def load(spark: SparkSession, sf_dir: str, which: str = "g2") -> Graph:
-    table = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    orders, lineitem = table("orders"), table("lineitem")
-    keyed = spark.sql(FILE_SQL, part=table("part"))
-    ranked = spark.sql(RANKED_SQL.replace("{which}", GRAPHS[which]), lineitem=lineitem, orders=orders)
-    edges = spark.sql(EDGE_SQL, ranked=ranked, files=keyed)
-    commits = lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(keyed.select("path", "file_key"), F.col("l_partkey") == F.col("file_key"))
-    churn = commits.select(
-        "path", F.col("l_orderkey").cast("string").alias("commit_sha"), F.col("o_custkey").cast("string").alias("author_email"),
-        (F.unix_date(F.to_date("o_orderdate")).cast("long") * 86400).alias("committed_at"),
-    ).distinct()
+def load(spark: SparkSession, sf_dir: str) -> Graph:
+    orders, lineitem, part = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("orders", "lineitem", "part"))
+
+    def run(sql: str, **tables: DataFrame) -> DataFrame:
+        return spark.sql(sql.replace("{day}", DAY["spark"]), **{k: v for k, v in tables.items() if "{" + k + "}" in sql})
+
+    keyed = run(FILE_SQL, orders=orders, part=part)
+    following, ranked = run(NEXT_SQL, orders=orders), run(RANKED_SQL, lineitem=lineitem)
+    edges = run(EDGE_SQL, following=following, lineitem=lineitem, files=keyed)
     return Graph(
         files=keyed.drop("file_key"),
-        imports=spark.sql(IMPORT_SQL, edges=edges, files=keyed),
+        imports=run(IMPORT_SQL, edges=edges, files=keyed),
         file_edges=edges.drop("s", "d"),
-        symbols=spark.sql(SYMBOL_SQL, ranked=ranked, files=keyed),
-        symbol_edges=spark.sql(CALL_SQL, ranked=ranked, files=keyed),
-        churn=churn,
+        symbols=run(SYMBOL_SQL, ranked=ranked, files=keyed),
+        symbol_edges=run(CALL_SQL, ranked=ranked, files=keyed, following=following),
+        churn=run(CHURN_SQL, orders=orders, lineitem=lineitem, files=keyed),
     )
 
 
-def oracle_prefix(which: str = "g2", churn: bool = False) -> str:
-    """The same tables as a WITH clause for the oracle engine."""
-    names = {n: n for n in ("part", "lineitem", "orders", "ranked", "files", "edges")}
-    fill = lambda s: s.format(which=GRAPHS[which], **names)
-    parts = {"files": FILE_SQL, "ranked": RANKED_SQL, "edges": EDGE_SQL, "imports": IMPORT_SQL, "symbols": SYMBOL_SQL, "calls": CALL_SQL}
-    if churn:
-        parts["churn"] = """SELECT DISTINCT path, CAST(l_orderkey AS STRING) AS commit_sha, CAST(CAST(o_orderdate AS DATE) - DATE '1970-01-01' AS BIGINT) * 86400 AS committed_at
-        FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN files ON file_key = l_partkey"""
-    return "WITH RECURSIVE " + ", ".join(f"{k} AS ({fill(v)})" for k, v in parts.items())
+def edge_keys(path: str):
+    """The numeric key of a file, as s and d of the edges have it."""
+    number = F.regexp_extract(path, r"_(\d+)\.", 1).cast("long")
+    return 2 * number + F.when(F.col(path).startswith("lib/"), 1).otherwise(0)
+
+
+def oracle_prefix(*also: str) -> str:
+    """The same tables as a WITH clause for the oracle engine; more tables by name and body."""
+    names = {n: n for n in ("part", "lineitem", "orders", "ranked", "files", "edges", "following")}
+    parts = {"files": FILE_SQL, "following": NEXT_SQL, "ranked": RANKED_SQL, "edges": EDGE_SQL, "imports": IMPORT_SQL, "symbols": SYMBOL_SQL, "calls": CALL_SQL, "churn": CHURN_SQL}
+    return "WITH RECURSIVE " + ", ".join([f"{k} AS ({v.format(day=DAY['oracle'], **names)})" for k, v in parts.items()] + list(also))

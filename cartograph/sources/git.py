@@ -4,21 +4,20 @@ from __future__ import annotations
 
 import subprocess
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartograph.schema import CHURN
 
-FORMAT = "%H|%ae|%ct"
+FORMAT = "%x00%H|%ae|%ct"  # a zero byte begins each record
 
 
-def parse_log(lines: DataFrame, files: DataFrame) -> DataFrame:
-    """Churn rows of ``n, line`` log lines: each path belongs to the header before it; only indexed paths are kept."""
-    header = F.when(F.col("line").rlike(r"^[0-9a-f]{40}\|"), F.col("line"))
-    w = Window.orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = lines.withColumn("h", F.last(header, ignorenulls=True).over(w)).where("line <> '' and (h is null or line <> h)")
-    part = F.split("h", r"\|")
-    rows = rows.select(F.col("line").alias("path"), part[0].alias("commit_sha"), part[1].alias("author_email"), F.try_to_number(part[2], F.lit("9999999999999")).cast("long").alias("committed_at"))
+def parse_log(records: DataFrame, files: DataFrame) -> DataFrame:
+    """Churn rows of log records, each a header line and the paths of its commit; only indexed paths are kept."""
+    part = F.split(F.substring_index("record", "\n", 1), r"\|")
+    rows = records.where("record <> ''").select(
+        F.explode(F.split("record", "\n")).alias("path"), part[0].alias("commit_sha"), F.get(part, 1).alias("author_email"), F.try_to_number(F.get(part, 2), F.lit("9999999999999")).cast("long").alias("committed_at")
+    )
     return rows.dropDuplicates(["path", "commit_sha"]).join(files.select("path"), "path", "left_semi")
 
 
@@ -27,8 +26,7 @@ def churn(spark: SparkSession, root: str, files: DataFrame, days: int = 90) -> D
     done = subprocess.run(["git", "-C", root, "log", f"--since={days} days ago", f"--format={FORMAT}", "--name-only"], capture_output=True, text=True, check=False)
     if done.returncode:
         return spark.createDataFrame([], CHURN)
-    lines = spark.createDataFrame(list(enumerate(done.stdout.split("\n"))), "n int, line string")
-    return parse_log(lines, files)
+    return parse_log(spark.createDataFrame([(r,) for r in done.stdout.split("\0")], "record string"), files)
 
 
 def changed(spark: SparkSession, root: str, ref: str) -> DataFrame:

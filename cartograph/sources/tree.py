@@ -10,13 +10,13 @@ from __future__ import annotations
 import json
 import os
 import re
+import subprocess
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cartograph.functions.glob import matches_any
 from cartograph.sources.dataset import Graph
 
 # Extensions by language, in the order in which import candidates are tried.
@@ -121,7 +121,7 @@ def parse_file(path: str, language: str, text: str, aliases: dict) -> list[dict]
         add = lambda record, **x: out.append({"record": record, **place, **x})  # noqa: B023, E731
         declared = None
         if script:
-            only_exports &= not t or t.startswith("export ")
+            only_exports &= not t or t.startswith(("//", "export "))
             if m := QUOTED.search(t):
                 spec = m["spec"]
                 if spec.startswith("."):
@@ -135,7 +135,11 @@ def parse_file(path: str, language: str, text: str, aliases: dict) -> list[dict]
                 name = m["first"].split(" as ")[-1].strip()
                 add("symbol", name=name, qualname=qualname(path, name), kind="function", visibility="public", exported=True)
             for name in commonjs_names(t):
-                add("symbol", name=name, qualname=qualname(path, name), kind="function", visibility="public", exported=True)
+                known = [r for r in out if r["record"] == "symbol" and r["qualname"] == qualname(path, name)]
+                for r in known:  # a symbol from above keeps its kind and place
+                    r.update(visibility="public", exported=True)
+                if not known:
+                    add("symbol", name=name, qualname=qualname(path, name), kind="function", visibility="public", exported=True)
         else:
             if m := RUST_MOD.match(t):
                 name = m["name"].strip()
@@ -179,29 +183,74 @@ def parse_file(path: str, language: str, text: str, aliases: dict) -> list[dict]
 
 
 def commonjs_names(t: str) -> list[str]:
-    if m := re.match(r"(?:module\.)?exports\.(\w+)\s*=", t, re.ASCII):
-        return [m.group(1)]
-    if m := re.match(r"module\.exports\s*=\s*\{([^}]*)\}?", t):
+    """Names that a line exports by assignment: the keys of an object on one line, or one name."""
+    if m := re.fullmatch(r"module\.exports = \s*\{(.*)\}\s*;*\s*", t):
         keys = [x.split(":")[0].strip() for x in m.group(1).split(",")]
-        return [x for x in keys if NAME.fullmatch(x)]
+        return [x for x in keys if re.fullmatch(r"\w+", x, re.ASCII)]
+    if m := re.match(r"exports\.\s*(\w+)\s*=", t, re.ASCII):
+        return [m.group(1)]
     return []
 
 
-def ignore_patterns(root: str, names: tuple[str, ...] = (".gitignore",)) -> list[str]:
-    """Globs of the ignore files at the root (plain patterns; negations are left out)."""
-    out = []
-    for name in names:
-        try:
-            with open(os.path.join(root, name), encoding="utf-8") as f:
-                found = [x.strip() for x in f if x.strip() and x[0] not in "#!"]
-        except OSError:
-            continue
-        for p in found:
-            p = p.lstrip("/") if p.startswith("/") else f"**/{p}"
-            out += [f"{p.rstrip('/')}/**"] if p.endswith("/") else [p, f"{p}/**"]
+#: Names of ignore files, in the order in which they count.
+IGNORE_FILES = (".gitignore", ".ignore")
+
+
+def ignore_rules(root: str, names: tuple[str, ...] = IGNORE_FILES) -> list[tuple[str, str]]:
+    """(folder, pattern) of all ignore files of a tree and of git's own lists, from weak to strong."""
+    out: list[tuple[str, str]] = []
+
+    def read(path: str, folder: str) -> None:
+        if os.path.isfile(path):
+            with open(path, encoding="utf-8", errors="replace") as f:
+                out.extend((folder, x.rstrip("\n")) for x in f if x.strip() and not x.startswith("#"))
+
+    done = subprocess.run(["git", "-C", root, "config", "--get", "core.excludesFile"], capture_output=True, text=True, check=False)
+    read(os.path.expanduser(done.stdout.strip() or "~/.config/git/ignore"), "")
+    read(os.path.join(root, ".git", "info", "exclude"), "")
+    for folder, below, _ in os.walk(root):
+        below[:] = sorted(x for x in below if x != ".git")
+        for name in names:
+            read(os.path.join(folder, name), os.path.relpath(folder, root).replace(os.sep, "/").removeprefix("."))
     return out
 
 
+def rule_regex(folder: str, pattern: str) -> tuple[str, bool, bool]:
+    """(regex for a whole path, negated, folders only) of an ignore pattern that stands in a folder; ``*`` and ``?`` stop at slashes."""
+    p = pattern.strip()
+    negated, p = p.startswith("!"), p.removeprefix("!")
+    folders, p = p.endswith("/"), p.rstrip("/")
+    anchored, p = "/" in p, p.removeprefix("/")
+    out, i = "", 0
+    while i < len(p):
+        if p.startswith("**/", i):
+            out, i = out + "(?:.*/)?", i + 3
+        elif p.startswith("**", i):
+            out, i = out + ".*", i + 2
+        else:
+            out, i = out + {"*": "[^/]*", "?": "[^/]"}.get(p[i], re.escape(p[i])), i + 1
+    base = re.escape(folder + "/") if folder else ""
+    return f"^{base}{'' if anchored else '(?:.*/)?'}{out}$", negated, folders
+
+
+def ignored(path: Column, rules: list[tuple[str, str]]) -> Column:
+    """Whether the rules leave a file out: the last rule that fits decides, and what lies below a folder left out stays out."""
+
+    def last(at: Column, folder: bool) -> Column:
+        choice = F.lit(False)
+        for base, pattern in rules:
+            regex, negated, folders = rule_regex(base, pattern)
+            if folder or not folders:
+                choice = F.when(at.rlike(regex), not negated).otherwise(choice)
+        return choice
+
+    if not rules:
+        return F.lit(False)
+    parts = F.split(path, "/")
+    above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    return ((F.size(parts) > 1) & F.exists(above, lambda x: last(x, True))) | last(path, False)
+
+
 def language_of(path: Column) -> Column:
     ext = F.substring_index(path, ".", -1)
     out = F.lit(None).cast("string")
@@ -210,7 +259,7 @@ def language_of(path: Column) -> Column:
     return out
 
 
-def scan(spark: SparkSession, root: str, include_hidden: bool = False, ignored: list[str] | None = None) -> DataFrame:
+def scan(spark: SparkSession, root: str, include_hidden: bool = False, rules: list[tuple[str, str]] | None = None) -> DataFrame:
     """path, language, text, mtime, size_bytes, content_hash of the indexable files below a folder."""
     root = os.path.abspath(root)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"file://{root}")
@@ -219,7 +268,7 @@ def scan(spark: SparkSession, root: str, include_hidden: bool = False, ignored:
     rows = rows.withColumn("language", language_of(F.col("path"))).where("language is not null")
     if not include_hidden:
         rows = rows.where(~F.col("path").rlike(r"(^|/)\."))
-    rows = rows.where(~matches_any(F.col("path"), ignored if ignored is not None else ignore_patterns(root)))
+    rows = rows.where(~ignored(F.col("path"), ignore_rules(root) if rules is None else rules))
     return rows.select("path", "language", F.decode("content", "UTF-8").alias("text"), "mtime", "size_bytes", F.sha2("content", 256).alias("content_hash"))
 
 
@@ -285,22 +334,41 @@ def build(files: DataFrame, aliases: dict | None = None, now: int = 0, churn: Da
     """The canonical tables of a scanned tree."""
     from cartograph.runtime import spool
 
-    spark = files.sparkSession
     files = spool(files)
-    rows = spool(extract(files, aliases))
-    state = rows.where("record = 'file'").select("path", F.col("kind").alias("parse_status"), F.col("exported").alias("is_barrel"))
-    table = files.drop("text").join(state, "path").withColumn("indexed_at", F.lit(now).cast("long"))
+    return resolve(files.drop("text"), spool(extract(files, aliases)), now, churn)
+
+
+def symbols_of(rows: DataFrame) -> DataFrame:
     sym = last_of(rows.where("record = 'symbol'"), "path", "qualname")
-    sym = sym.select("path", "name", "qualname", "kind", "visibility", "exported", F.col("start_byte").alias("span_start"), F.col("end_byte").alias("span_end"), F.col("line").alias("start_line"), F.col("line").alias("end_line"))
-    imp = pick(rows.where("record = 'import'"), table)
+    return sym.select("path", "name", "qualname", "kind", "visibility", "exported", F.col("start_byte").alias("span_start"), F.col("end_byte").alias("span_end"), F.col("line").alias("start_line"), F.col("line").alias("end_line"))
+
+
+def imports_of(rows: DataFrame, files: DataFrame) -> DataFrame:
+    imp = pick(rows.where("record = 'import'"), files)
     found = F.col("resolved_path").isNotNull()
     kind = F.when(found, "relative").when(F.col("spec_kind").isin("external", "alias"), "external").otherwise("unresolved")
-    imp = spool(imp.select("path", "raw_text", kind.alias("import_path_kind"), "resolved_path", F.when(~found, F.col("external_pkg")).alias("external_pkg"), F.col("start_byte").alias("span_start"), F.col("end_byte").alias("span_end"), F.col("line").alias("start_line"), F.when(found, "exact").otherwise("heuristic").alias("certainty")))
+    return imp.select(
+        "path", "raw_text", kind.alias("import_path_kind"), "resolved_path", F.when(~found, F.col("external_pkg")).alias("external_pkg"), F.col("start_byte").alias("span_start"), F.col("end_byte").alias("span_end"),
+        F.col("line").alias("start_line"), F.when(found, "exact").otherwise("heuristic").alias("certainty"),
+    )
+
+
+def file_states(rows: DataFrame, files: DataFrame, now: int = 0) -> DataFrame:
+    state = rows.where("record = 'file'").select("path", F.col("kind").alias("parse_status"), F.col("exported").alias("is_barrel"))
+    return files.join(state, "path").withColumn("indexed_at", F.lit(now).cast("long"))
+
+
+def resolve(files: DataFrame, rows: DataFrame, now: int = 0, churn: DataFrame | None = None) -> Graph:
+    """The canonical tables from all files and their extracted records."""
+    from cartograph.runtime import spool
+
+    table = spool(file_states(rows, files, now))
+    sym, imp = spool(symbols_of(rows)), spool(imports_of(rows, table))
     mod = pick(rows.where("record = 'module'"), table).where("resolved_path is not null").select(F.col("path").alias("src"), F.col("resolved_path").alias("dst"), F.lit("module").alias("kind"), F.lit("exact").alias("certainty")).distinct()
     edges = imp.where("resolved_path is not null").select(F.col("path").alias("src"), F.col("resolved_path").alias("dst"), F.lit("import").alias("kind"), "certainty").distinct().unionByName(mod)
-    calls = resolve_calls(rows.where("record = 'call'"), spool(sym), imp, mod, table)
-    empty = spark.createDataFrame([], "path string, commit_sha string, author_email string, committed_at long")
-    return Graph(spool(table), imp, spool(edges), spool(sym), spool(calls), churn if churn is not None else empty)
+    calls = resolve_calls(rows.where("record = 'call'"), sym, imp, mod, table)
+    empty = files.sparkSession.createDataFrame([], "path string, commit_sha string, author_email string, committed_at long")
+    return Graph(table, imp, spool(edges), sym, spool(calls), churn if churn is not None else empty)
 
 
 def changed_files(stored: DataFrame, scanned: DataFrame) -> DataFrame:
@@ -312,9 +380,7 @@ def changed_files(stored: DataFrame, scanned: DataFrame) -> DataFrame:
 
 def affected_files(file_edges: DataFrame, changed: DataFrame) -> DataFrame:
     """path: changed files and everything that depends on them, over the edges of the stored state."""
-    from cartograph.plans.kernels import reach
-
-    back = file_edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return reach(back, changed.select(F.col("path").alias("node"))).select(F.col("node").alias("path")).distinct()
-
+    from cartograph.plans.kernels import reverse_closure
 
+    seeds = changed.select(F.col("path").alias("node"))
+    return seeds.unionByName(reverse_closure(file_edges, seeds)).select(F.col("node").alias("path")).distinct()

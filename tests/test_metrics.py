@@ -7,7 +7,7 @@ import pytest
 
 from cartograph.config import Config, Layer, Rule
 from cartograph.operators import arch, compare, cycles, entry, impact, metrics, report, similar
-from cartograph.plans import catalog
+from cartograph.plans import catalog, catalog_lang, catalog_sources  # noqa: F401 - the last two add to the first
 from cartograph.sources.dataset import Graph
 
 SF = "/root/testdata/sf0.001"
@@ -80,7 +80,24 @@ def test_simulation_and_baseline(spark):
     assert report.recommendations(row)[0].startswith("1 cycles")
 
 
-@pytest.mark.parametrize("name", ["deps", "impact", "arch_check", "stability", "risk", "cochange", "surface_diff", "tree"])
+def test_first_visited_edge_stands_for_the_rest(spark):
+    """Of two calls at one distance the one met first counts, whatever its certainty is called."""
+    e = spark.createDataFrame([("b", "b::x", "a", "a::f", "exact", 1), ("c", "c::y", "a", "a::f", "exact", 2), ("d", "d::z", "b", "b::x", "resolved", 3), ("d", "d::z", "c", "c::y", "dynamic", 4)], "src_path string, src string, dst_path string, dst string, certainty string, call_line int")
+    symbols = spark.createDataFrame([("a", "f", "a::f")], "path string, name string, qualname string")
+    got = impact.impact(symbols, e, edges(spark, [("d", "a", "import", "exact")]), "f")
+    assert rows(got, "distance", "path", "certainty", "reason") == [(1, "b", "exact", "calls f directly"), (1, "c", "exact", "calls f directly"), (1, "d", "exact", "imports f"), (2, "d", "resolved", "calls a symbol that reaches f")]
+    assert impact.impact(symbols, e, edges(spark, [("d", "a", "import", "exact")]), "f", "body").count() == 2
+    assert rows(impact.why(symbols, e, edges(spark, [("q", "p", "import", "exact"), ("p", "o", "import", "exact"), ("q", "n", "import", "exact"), ("n", "o", "import", "exact")]), "q", "o"), "step", "path") == [(0, "q"), (1, "n"), (2, "o")]
+
+
+def test_ordinals_count_from_one(spark):
+    from cartograph.plans.kernels import ordinals
+
+    got = ordinals(spark.range(100, 0, -1).repartition(5), "id").collect()
+    assert all(r["id"] == r["ordinal"] for r in got) and len(got) == 100
+
+
+@pytest.mark.parametrize("name", ["deps", "impact", "deps_transitive", "why", "extract_symbols", "resolve_calls", "dsl_binding", "gate", "scan_rules", "delete_cascade", "arch_check", "stability", "risk", "cochange", "surface_diff", "tree"])
 def test_catalogue_against_duckdb(spark, name):
     db = duckdb.connect()
     for t in ("part", "orders", "lineitem"):

@@ -4,7 +4,7 @@ import pytest
 
 from cartograph.lang.dsl import QueryError, Session
 from cartograph.operators import context, direct, rename
-from cartograph.sources import git, snapshots, tree
+from cartograph.sources import git, index, snapshots, tree
 
 RUST = {
     "src/lib.rs": "pub mod parse;\npub mod fmt;\nuse crate::parse::run;\n\npub fn greet(x: &str) -> String {\n    let t = run(x);\n    fmt::show(t) // calls nothing(here)\n}\n",
@@ -96,6 +96,47 @@ def test_snapshots(g, spark, tmp_path):
 
 
 def test_git_log(spark, g):
-    log = ["a" * 40 + "|x@y|100", "", "src/lib.rs", "src/fmt.rs", "b" * 40 + "|z@y|200", "", "src/lib.rs", "other.md"]
-    got = git.parse_log(spark.createDataFrame(list(enumerate(log)), "n int, line string"), g.files)
+    log = ["", "a" * 40 + "|x@y|100\n\nsrc/lib.rs\nsrc/fmt.rs\n", "b" * 40 + "|z@y|200\n\nsrc/lib.rs\nother.md\n"]
+    got = git.parse_log(spark.createDataFrame([(x,) for x in log], "record string"), g.files)
     assert rows(got, "path", "committed_at") == [("src/fmt.rs", 100), ("src/lib.rs", 100), ("src/lib.rs", 200)]
+
+
+def test_ignore_rules(spark, tmp_path):
+    (tmp_path / "a/b").mkdir(parents=True)
+    (tmp_path / ".gitignore").write_text("*.log.ts\n/top.ts\nbuild/\n# a comment\n!keep.log.ts\n")
+    (tmp_path / "a/.ignore").write_text("inner.ts\nb/**/deep.ts\n!/b/x.log.ts\n")
+    paths = ["x.log.ts", "keep.log.ts", "top.ts", "a/top.ts", "build/keep.log.ts", "a/build/y.ts", "a/inner.ts", "a/b/inner.ts", "inner.ts", "a/b/c/deep.ts", "a/b/deep.ts", "a/b/x.log.ts", "a/z.ts"]
+    rules = [r for r in tree.ignore_rules(str(tmp_path))]
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    kept = {r["path"] for r in df.where(~tree.ignored(df["path"], rules)).collect()}
+    assert kept == {"keep.log.ts", "a/top.ts", "inner.ts", "a/b/x.log.ts", "a/z.ts"}
+
+
+def symbols(text):
+    return {r["name"]: (r["kind"], r["exported"], r["line"]) for r in tree.parse_file("web/x.js", "typescript_javascript", text, {}) if r["record"] == "symbol"}
+
+
+def test_barrels_and_commonjs_exports():
+    barrel = lambda t: tree.parse_file("web/x.ts", "typescript_javascript", t, {})[-1]["exported"]
+    assert barrel("// about\nexport { a } from './a';\n\nexport * from './b';\n") and not barrel("export { a } from './a';\nconst x = 1;\n")
+    assert symbols("class Foo {\n}\nmodule.exports = { Foo, bar: baz };\n") == {"Foo": ("class", True, 1), "bar": ("function", True, 3)}
+    assert symbols("exports.one = 1;\nmodule.exports.two = 2;\nmodule.exports = { ...rest };\n") == {"one": ("function", True, 1)}
+
+
+def test_incremental_index_equals_a_full_one(spark, root, tmp_path):
+    files = tree.scan(spark, str(root)).cache()
+    edited = {"src/fmt.rs": "pub fn show(x: u32) -> String {\n    helper(x)\n}\nfn helper(x: u32) -> String {\n    String::new()\n}\n", "web/new.ts": "import { b } from './other';\nexport const n = () => {\n  b();\n};\n"}
+    kept = files.where("path not in ('web/util.ts', 'src/fmt.rs')")
+    fresh = spark.createDataFrame([(p, tree.EXTENSIONS[p.rsplit(".", 1)[-1]], t, 5, len(t), t) for p, t in edited.items()], kept.schema)
+    second = kept.unionByName(fresh)
+    one, two = index.Index(spark, str(tmp_path / "one")), index.Index(spark, str(tmp_path / "two"))
+    assert one.run(files) == {"changed_files": 6, "deleted_files": 0, "affected_files": 6}
+    assert one.run(files) == {"changed_files": 0, "deleted_files": 0, "affected_files": 0}
+    # lib.rs depends on fmt.rs, index.ts on the deleted util.ts.
+    assert one.run(second) == {"changed_files": 2, "deleted_files": 1, "affected_files": 4} and one.version() == 3
+    two.run(second)
+    for t in snapshots.TABLES:
+        a, b = getattr(one.load(), t), getattr(two.load(), t)
+        assert a.columns == b.columns and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty(), t
+    left = index.without(two.load(), spark.createDataFrame([("web/other.ts",)], "path string"))
+    assert left.imports.where("path = 'web/new.ts' and resolved_path is null").count() == 1 and left.file_edges.where("dst = 'web/other.ts'").count() == 0
