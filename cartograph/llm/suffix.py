@@ -14,7 +14,7 @@ an anchor has several contexts, those are sorted with the others of its shard:
   pass over that byte, and so on to the left end of the contexts;
 - neighbours in an order with equal window hashes are repeats, and their bytes are compared before they count.
 
-No shard has over SHARD contexts: a larger one is parted by more content. Its windows begin 0 to REACH bytes before the anchor; those that begin in one half of this range
+No shard has over MOST contexts: a larger one is parted by more content. Its windows begin 0 to REACH bytes before the anchor; those that begin in one half of this range
 all hold certain bytes around the anchor, and so do those of the other half. Each context goes to a shard of either half by these bytes, and so on for what is still too
 large. Where the range is one offset, the windows are the bytes themselves, and Spark groups them.
 
@@ -43,7 +43,8 @@ from cartograph.runtime import spool
 LENGTH, GRAM = 200, 32
 REACH = LENGTH - GRAM  # bytes that a window may begin before its anchor
 PIECE = 1 << 19
-SHARD = 4096  # contexts sorted at once, and in one shard at most
+SHARD = 4096  # contexts of small shards sorted at once
+MOST = 20_000  # contexts in one shard, about 80 MB of a worker's memory
 ROOT = 0x9E3779B97F4A7C15 | 1
 
 
@@ -326,8 +327,8 @@ def sorted_spans(shown: DataFrame) -> DataFrame:
         return rows.drop("m").repartition(*SHARD_KEY).sortWithinPartitions(*SHARD_KEY).mapInPandas(sort_shards, SPANS)
 
     while True:
-        parts.append(dealt(todo.where(F.col("m") <= SHARD)))
-        big = todo.where(F.col("m") > SHARD).drop("m")
+        parts.append(dealt(todo.where(F.col("m") <= MOST)))
+        big = todo.where(F.col("m") > MOST).drop("m")
         if big.isEmpty():
             break
         parts.append(alike(big.where("low = high")))

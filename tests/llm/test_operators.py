@@ -305,7 +305,7 @@ def test_repeats(docs, empty, monkeypatch):
         want[i, len(t), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), hashlib.sha256(kept).hexdigest()] += 1
     names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert table(suffix.dedup_repeats(docs), *names) == want
-    monkeypatch.setattr(suffix, "SHARD", 2)  # larger shards are parted by more content, down to single windows
+    monkeypatch.setattr(suffix, "MOST", 2)  # larger shards are parted by more content, down to single windows
     assert table(suffix.dedup_repeats(docs), *names) == want
     assert suffix.dedup_repeats(empty).count() == 0
 
