@@ -61,13 +61,13 @@ def repeated_words(w: Column) -> Column:
     """Words that lie in windows of WINDOW words found at least twice in the text; equal hashes are compared word by word."""
 
     def marked(h: Column) -> Column:
-        order = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        order = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
 
         def starts(s: Column) -> Column:
             text = lambda x: F.slice(w, x["i"] + 1, WINDOW)
             same = lambda x, y: (x["h"] == y["h"]) & (text(x) == text(y))
             hit = lambda x, k: F.coalesce(same(x, F.get(s, k - 1)), F.lit(False)) | F.coalesce(same(x, F.get(s, k + 1)), F.lit(False))
-            return F.array_sort(F.transform(F.filter(s, hit), lambda x: x["i"]))
+            return F.sort_array(F.transform(F.filter(s, hit), lambda x: x["i"]))
 
         def covered(p: Column) -> Column:
             gap = F.transform(p, lambda x, k: F.least(F.lit(WINDOW), F.coalesce(F.get(p, k + 1) - x, F.lit(WINDOW))))
