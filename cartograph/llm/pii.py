@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-WINDOW, MARGIN, HIDDEN = 512, 32, 8
+WINDOW, MARGIN, HIDDEN = 1024, 32, 8
 BATCH = 1024  # windows decoded at once
 EXAMPLES, CROP = 6144, 96  # training windows and their characters
 KINDS = ("email", "ip", "card", "phone", "ssn", "secret", "iban", "address")
@@ -160,23 +160,23 @@ class Tagger:
         return out, kept
 
     def emissions(self, x: np.ndarray, active: np.ndarray) -> np.ndarray:
-        """Tag scores [time, window, tag] of both directions; at each time of the first active[t] windows, which have a character there.
+        """Tag scores [time, tag, window] of both directions; at each time of the first active[t] windows, which have a character there.
 
         The same steps as run(), written into a few buffers that stay in the processor's cache.
         """
         steps, n = x.shape
         H, kind = HIDDEN, self.p["out"].dtype
-        e = np.zeros((steps, n, TAGS), kind)
-        z, g, u, part = (np.empty((n, k), kind) for k in (4 * H, 4 * H, H, TAGS))
+        e = np.zeros((steps, TAGS, n), kind)
+        z, g, u = (np.empty((n, k), kind) for k in (4 * H, 4 * H, H))
         for d, times, out in (("f", range(steps), self.p["out"][:H]), ("b", range(steps - 1, -1, -1), self.p["out"][H:])):
-            own, move = self.p[f"x{d}"].copy(), self.p[f"h{d}"].copy()
+            own, move, out = self.p[f"x{d}"].copy(), self.p[f"h{d}"].copy(), np.ascontiguousarray(out.T)
             # One clip to [0, 1] serves all columns if the last ones, which go from -1 to 1, are halved and moved up.
             own[:, 3 * H :] = own[:, 3 * H :] / 2 + 0.5
             move[:, 3 * H :] /= 2
             h, c = np.zeros((n, H), kind), np.zeros((n, H), kind)
             for t in times:
                 m = int(active[t])
-                zm, gm, um, hm, cm, pm = z[:m], g[:m], u[:m], h[:m], c[:m], part[:m]
+                zm, gm, um, hm, cm = z[:m], g[:m], u[:m], h[:m], c[:m]
                 np.matmul(hm, move, out=zm)
                 np.take(own, x[t, :m], axis=0, out=gm, mode="clip")
                 zm += gm
@@ -188,9 +188,8 @@ class Tagger:
                 cm += um
                 np.clip(cm, -1, 1, out=cm)
                 np.multiply(cm, zm[:, 2 * H : 3 * H], out=hm)
-                np.matmul(hm, out, out=pm)
-                e[t, :m] += pm
-        e += self.p["bias"]
+                e[t, :, :m] += out @ hm.T
+        e += self.p["bias"][:, None]
         return e
 
     def decode(self, x: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -198,36 +197,39 @@ class Tagger:
         steps, n = x.shape
         p, active = self.p["move"], np.searchsorted(-size, -np.arange(steps), "left")
         e = self.emissions(x, active)
-        e[np.arange(steps)[:, None] >= size] = np.array([0] + [NEVER] * (TAGS - 1), e.dtype)  # behind the end
-        to_begin, stay, grow = p[0, 1::2], np.diag(p)[2::2], p[np.arange(1, TAGS, 2), np.arange(2, TAGS, 2)]
+        for t in range(int(size[-1]), steps):  # behind the end only the tag of none is possible
+            e[t, 0, active[t] :], e[t, 1:, active[t] :] = 0, NEVER
+        to_begin, stay, grow = p[0, 1::2, None], np.diag(p)[2::2, None], p[np.arange(1, TAGS, 2), np.arange(2, TAGS, 2)][:, None]
+        from_begin, from_inside = p[1::2, 0, None], p[2::2, 0, None]
         # Only the moves of allowed(): a kind begins from outside, goes on by itself, and ends outside.
-        first = self.p["start"] + e[0]
-        none, begin, inside = first[:, 0].copy(), first[:, 1::2].copy(), first[:, 2::2].copy()
-        trial, rows = np.empty((n, TAGS), e.dtype), np.arange(n)
-        came, begun = np.zeros((steps, n), np.int8), np.zeros((steps, n, len(KINDS)), bool)
+        first = self.p["start"][:, None] + e[0]
+        none, begin, inside = first[0].copy(), first[1::2].copy(), first[2::2].copy()
+        trial = np.empty((TAGS, n), e.dtype)
+        came, begun = np.zeros((steps, n), np.int8), np.zeros((steps, len(KINDS), n), bool)
         for t in range(1, steps):
-            np.add(none, p[0, 0], out=trial[:, 0])
-            np.add(begin, p[1::2, 0], out=trial[:, 1::2])
-            np.add(inside, p[2::2, 0], out=trial[:, 2::2])
-            best = trial.argmax(axis=1)
-            came[t] = best
+            np.add(none, p[0, 0], out=trial[0])
+            np.add(begin, from_begin, out=trial[1::2])
+            np.add(inside, from_inside, out=trial[2::2])
+            best = trial.max(axis=0)
+            if len(ended := np.flatnonzero(best > trial[0])):
+                came[t, ended] = trial[:, ended].argmax(axis=0)
             begin += grow
             inside += stay
             np.greater(begin, inside, out=begun[t])
             np.maximum(begin, inside, out=inside)
-            inside += e[t, :, 2::2]
-            np.add(none[:, None], to_begin, out=begin)
-            begin += e[t, :, 1::2]
-            none = trial[rows, best] + e[t, :, 0]
-        trial[:, 0], trial[:, 1::2], trial[:, 2::2] = none, begin, inside
+            inside += e[t, 2::2]
+            np.add(none, to_begin, out=begin)
+            begin += e[t, 1::2]
+            np.add(best, e[t, 0], out=none)
+        trial[0], trial[1::2], trial[2::2] = none, begin, inside
         path = np.zeros((steps, n), np.int8)
-        path[-1] = trial.argmax(axis=1)
+        path[-1] = trial.argmax(axis=0)
         for t in range(steps - 1, 0, -1):
             at = path[t]
             path[t - 1] = np.where(at == 0, came[t], 0)
             on = np.flatnonzero((at > 0) & (at % 2 == 0))
             if len(on):
-                path[t - 1, on] = at[on] - begun[t, on, at[on] // 2 - 1]
+                path[t - 1, on] = at[on] - begun[t, at[on] // 2 - 1, on]
         some = np.flatnonzero(path.any(axis=0))
         return some, path[:, some].T.copy()
 
@@ -534,7 +536,7 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
             at = 0
             while at < whole.num_rows:
                 # Some rows at a time, so that the states of a batch of windows are all that is held.
-                b = whole.slice(at, 256)
+                b = whole.slice(at, 512)
                 at += b.num_rows
                 found = all_spans(reader, [t or "" for t in b.column(1).to_pylist()])
                 n = [[sum(s[0] == k for s in x) for x, _ in found] for k in range(4)]

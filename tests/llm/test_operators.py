@@ -455,11 +455,11 @@ def test_training_and_decoding(monkeypatch):
     model = pii.fitted()
     e = model.emissions(x, np.full(pii.CROP, 100))
     for k in range(0, 100, 7):
-        score, back = model.p["start"] + e[0, k], []
+        score, back = model.p["start"] + e[0, :, k], []
         for t in range(1, pii.CROP):
             moves = score[:, None] + model.p["move"]
             back.append(moves.argmax(0))
-            score = moves.max(0) + e[t, k]
+            score = moves.max(0) + e[t, :, k]
         path = [int(score.argmax())]
         for b in reversed(back):
             path.append(int(b[path[-1]]))
