@@ -32,6 +32,7 @@ from cartograph.runtime import spool
 
 CACHE = 400_000
 HOLE = -128
+HOLES = [bytes([HOLE & 255]) * max(0, n - 1) for n in range(5)]
 # The Unicode white space characters and the pre-tokenizer's published pattern.
 SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
@@ -162,28 +163,33 @@ class Counter:
         k = self.blank.match(text).end()
         joined = not k or text[k - 1] == " "
         short = self.short.match(text, k) and (not k or not joined)
-        if k <= 1 and joined and not short and text.isascii():
-            c = self.prefixes(text.encode())
-            return bytes([(y - x) & 255 for x, y in zip(c, c[1:], strict=False)])
-        ends = np.cumsum([len(c.encode()) for c in text])
-        counts = np.zeros(len(text), np.int64)
-        data = text.encode()
-        lead = int(ends[k - 1]) if k else 0
-        if k:  # a prefix that ends in the white space has it as one piece
-            counts[:k] = np.array(self.prefixes(data[:lead]))[ends[:k]]
-        if k < len(text):
-            # Behind the white space its last character is a piece of its own, or a space before the word.
-            own = k - 1 if k else 0
-            at = int(ends[own - 1]) if own else 0
-            base = self.prefixes(data[:at])[-1] if at else 0
-            if not joined:
-                base += self.prefixes(data[at:lead])[-1]
-                at = lead
-            if short:  # a part of a contraction is none
-                counts[k:] = [base + self.plain(text[k : i + 1]) for i in range(k, len(text))]
-            else:
-                counts[k:] = base + np.array(self.prefixes(data[at:]))[ends[k:] - at]
-        return self.steps_of(counts, ends)
+        data, prefixes = text.encode(), self.prefixes
+        if k <= 1 and joined and not short:
+            c = prefixes(data)
+            if len(data) == len(text):
+                return bytes([(y - x) & 255 for x, y in zip(c, c[1:], strict=False)])
+        else:
+            lead = len(text[:k].encode())
+            c = prefixes(data[:lead])  # a prefix that ends in the white space has it as one piece
+            if k < len(text):
+                # Behind the white space its last character is a piece of its own, or a space before the word.
+                at = len(text[: k - 1].encode()) if k else 0
+                base = c[at]
+                if not joined:
+                    base += prefixes(data[at:lead])[-1]
+                    at = lead
+                if short:  # a part of a contraction is none
+                    c += [base + self.plain(text[k : i + 1]) for i in range(k, len(text))]
+                else:
+                    c += [base + n for n in prefixes(data[at:])[lead - at + 1 :]]
+        out, end, before = bytearray(), 0, 0
+        for ch in text:
+            size = 1 if ch < "\x80" else len(ch.encode())
+            end += size
+            out += HOLES[size]
+            out.append((c[end] - before) & 255)
+            before = c[end]
+        return bytes(out)
 
     @staticmethod
     def steps_of(counts: np.ndarray, ends: np.ndarray) -> bytes:
