@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartograph.llm import chunks, decontaminate, licenses, linededup, mixing, pii, quality, simhash, suffix, tokens
+from cartograph.llm import alignment, chunks, decontaminate, language, licenses, linededup, mixing, pii, quality, simhash, suffix, tokens, whitening
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,9 +63,27 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", sha256(F.col("kept_text")).alias("kept_sha256"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(documents(spark, sf_dir).select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score", "lead")
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    files = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    found = alignment.align_tokenizers(documents(spark, sf_dir).select("doc_id", "text"), *files)
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing, "op2_repeats": op2_repeats, "op3_simhash": op3_simhash, "op4_tokens": op4_tokens, "op5_licenses": op5_licenses,
     "op6_quality": op6_quality, "op7_leaks": op7_leaks, "op8_pii": op8_pii, "op9_chunks": op9_chunks, "op10_lines": op10_lines,
+    "op11_whitening": op11_whitening, "op12_language": op12_language, "op13_alignment": op13_alignment,
 }
 
 BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
