@@ -107,7 +107,7 @@ def orthonormal(block: np.ndarray, basis: np.ndarray) -> np.ndarray:
     return np.linalg.qr(q)[0] if q.shape[1] else q
 
 
-def leading(multiply: Callable[[np.ndarray], np.ndarray], d: int, k: int, width: int, blocks: int = 4) -> tuple[np.ndarray, np.ndarray, int, float]:
+def leading(multiply: Callable[[np.ndarray], np.ndarray], d: int, k: int, width: int, blocks: int = 8) -> tuple[np.ndarray, np.ndarray, int, float]:
     """The k largest eigenvalues and their vectors of a symmetric matrix known by its products; passes taken, worst residual.
 
     The basis holds at most ``blocks`` blocks of ``width`` vectors and starts anew from its leading Ritz vectors when full.
@@ -129,7 +129,8 @@ def leading(multiply: Callable[[np.ndarray], np.ndarray], d: int, k: int, width:
             block, basis, image = np.linalg.qr(moved)[0], np.zeros((d, 0)), np.zeros((d, 0))
             continue
         if basis.shape[1] + width > max(blocks, 2) * width:
-            basis, image = ritz, moved
+            lead = y[:, : width * max(1, blocks // 4)]
+            basis, image = basis @ lead, image @ lead
         block = orthonormal(left, basis)
         if not block.shape[1]:  # the span is closed under the matrix, up to rounding
             if worst > 1e-9 * theta[0]:
@@ -138,7 +139,7 @@ def leading(multiply: Callable[[np.ndarray], np.ndarray], d: int, k: int, width:
     raise RuntimeError(f"no {k} components after {PASSES} passes: residual {worst}")
 
 
-def fit(distinct: DataFrame, k: int = 16, width: int | None = None, blocks: int = 4) -> Fit | None:
+def fit(distinct: DataFrame, k: int = 16, width: int | None = None, blocks: int = 8) -> Fit | None:
     """Components of a table of distinct integer vectors x of one length; null if it is empty."""
     spark = distinct.sparkSession
     e = distinct.select(F.posexplode("x").alias("i", "c")).groupBy("i").agg(F.count("*").alias("n"), F.sum(F.col("c").cast("decimal(20,0)")).alias("s"), F.max(F.abs("c")).alias("m"))
@@ -184,7 +185,7 @@ def identity_error(distinct: DataFrame, found: Fit) -> float:
 RESULT = ["component", "n", "deviation", "whitened", "explained", "identity_error", "x"]
 
 
-def whiten(vectors: DataFrame, vector: str = "embedding", k: int = 16, width: int | None = None, blocks: int = 4) -> DataFrame:
+def whiten(vectors: DataFrame, vector: str = "embedding", k: int = 16, width: int | None = None, blocks: int = 8) -> DataFrame:
     """The input's other columns and component, n, deviation, whitened, explained, identity_error: one row a vector and component.
 
     deviation is decimal(38,0), exact for any count.
