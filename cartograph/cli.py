@@ -27,7 +27,7 @@ def run(g: Graph, config: Config, args: argparse.Namespace, now: int) -> tuple[o
     """(result, exit code) of one command."""
     c, t = args.command, args.target
     frames = {
-        "deps": lambda: direct.deps_transitive(g.file_edges, t, args.depth, args.reverse).orderBy("distance", "trail") if args.transitive else direct.deps(g.file_edges, g.imports, t, args.reverse).orderBy("path"),
+        "deps": lambda: direct.deps_transitive(g.file_edges, t, args.depth, args.reverse).orderBy("distance", "place").drop("place") if args.transitive else direct.deps(g.file_edges, g.imports, t, args.reverse).orderBy("path"),
         "symbols": lambda: direct.symbols_of(g.symbols, t).orderBy("start_line", "name"),
         "surface": lambda: direct.surface(g.symbols, t).orderBy("line", "qualname"),
         "impact": lambda: impact.impact(g.symbols, g.symbol_edges, g.file_edges, t, args.change_type, args.depth).orderBy("distance", "path", "qualname"),
@@ -38,13 +38,14 @@ def run(g: Graph, config: Config, args: argparse.Namespace, now: int) -> tuple[o
         "cycles": lambda: cycles.cycles(g.file_edges).orderBy("first_file"),
         "unused": lambda: metrics.unused(g.symbols, g.symbol_edges).orderBy("path", "line", "qualname"),
         "stability": lambda: metrics.stability(g.file_edges, g.files, sort=args.sort or "instability"),
-        "risk": lambda: metrics.risk(g.file_edges, g.files, g.churn, now, top=args.top or 1 << 30),
+        "risk": lambda: metrics.risk(g.file_edges, g.files, g.churn, now, top=args.top or 1 << 30, sort=args.sort or "score", file=t),
         "cochange": lambda: metrics.cochange(g.churn, t, now, top=args.top or 1 << 30, sort=args.sort or "score"),
         "entry": lambda: entry.entry_list(g.files, g.file_edges, config.entry_points).orderBy("file"),
         "cone": lambda: entry.entry_cone(g.file_edges, t).orderBy("distance", "file"),
         "unreachable": lambda: entry.unreachable(g.files, g.file_edges, g.symbols, now, config.entry_points).orderBy("file"),
         "coverage": lambda: entry.coverage(g.files, g.file_edges, config.test_patterns, config.test_excludes).orderBy("test", "distance", "path"),
         "mirror": lambda: similar.mirror(g.files, g.imports, g.symbols, g.file_edges, t, args.to, top=args.top or 1 << 30),
+        "split": lambda: similar.split(g.symbols, g.symbol_edges, t).orderBy("id", "member"),
         "arch": lambda: arch.arch_check(g.file_edges, config).orderBy("from_file", "to_file", "message"),
     }
     if c in frames:
@@ -66,8 +67,6 @@ def run(g: Graph, config: Config, args: argparse.Namespace, now: int) -> tuple[o
         return context.as_rows(context.context(g, t, args.change_type, args.budget)), 0
     if c == "pack":
         return context.pack(g, t, args.change_type, args.budget or 2000), 0
-    if c == "split":
-        return similar.split(g.symbols, g.symbol_edges, t), 0
     if c == "audit":
         found = {cap.name: envelope.rows(entry.audit(g.files, g.file_edges, g.symbols, cap, config.entry_points)) for cap in config.capabilities}
         return found, int(any(not r["expected"] for x in found.values() for r in x))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartograph.plans.kernels import bfs_tree
+from cartograph.plans.kernels import bfs_tree, trails
 
 
 def deps(file_edges: DataFrame, imports: DataFrame, path: str, reverse: bool = False) -> DataFrame:
@@ -18,9 +18,15 @@ def deps(file_edges: DataFrame, imports: DataFrame, path: str, reverse: bool = F
 
 
 def deps_transitive(file_edges: DataFrame, path: str, depth: int | None = None, reverse: bool = False) -> DataFrame:
-    """path, parent, distance, trail: each reached file once; (distance, trail) is the breadth-first order."""
+    """path, parent, distance, place: each reached file once; (distance, place) is the breadth-first order."""
     e = file_edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if reverse else file_edges.select("src", "dst")
-    return bfs_tree(e, path, depth).where(F.col("node") != path).select(F.col("node").alias("path"), "parent", "distance", "trail")
+    return bfs_tree(e, path, depth).select(F.col("node").alias("path"), "parent", "distance", "place")
+
+
+def with_trails(reached: DataFrame) -> DataFrame:
+    """Adds trail, the files on the way from the start, to the rows of deps_transitive()."""
+    ways = trails(reached.select(F.col("path").alias("node"), "parent"), reached.select(F.col("path").alias("target")))
+    return reached.join(ways.withColumnRenamed("target", "path"), "path")
 
 
 def symbols_of(symbols: DataFrame, path: str | None = None, public_only: bool = False, kind: str | None = None) -> DataFrame:

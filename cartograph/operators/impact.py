@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartograph.operators.direct import call_ends, find_symbol
-from cartograph.plans.kernels import bfs, bfs_tree, reach_counts
+from cartograph.plans.kernels import bfs, bfs_tree, trails
 from cartograph.schema import rank
 
 CALL_DEPTH = 100
@@ -37,14 +37,14 @@ def label(x: str) -> Column:
 def emitted(edges: DataFrame, start: str, max_depth: int) -> DataFrame:
     """src, dst, distance, order and the edge's other columns: every edge out of a node nearer than max_depth.
 
-    Edges to nodes seen before count too, so a start in a cycle is reached again. order is the visiting order of src.
+    Edges to nodes seen before count too, so a start in a cycle is reached again. order is the visiting order of src among those as far.
     """
     if max_depth < 1:
-        return edges.limit(0).withColumn("distance", F.lit(0)).withColumn("order", F.array("src"))
-    near = edges.sparkSession.createDataFrame([(start, 0, [start])], "src string, hops int, order array<string>")
+        return edges.limit(0).withColumn("distance", F.lit(0)).withColumn("order", F.lit(0).cast("long"))
+    near = edges.sparkSession.createDataFrame([(start, 0, 0)], "src string, hops int, order long")
     if max_depth > 1:
-        far = bfs_tree(edges, start, max_depth - 1).where(F.col("node") != start)
-        near = near.unionByName(far.select(F.col("node").alias("src"), F.col("distance").alias("hops"), F.col("trail").alias("order")))
+        far = bfs_tree(edges, start, max_depth - 1)
+        near = near.unionByName(far.select(F.col("node").alias("src"), F.col("distance").alias("hops"), F.col("place").alias("order")))
     return edges.join(near, "src").withColumn("distance", F.col("hops") + 1).drop("hops")
 
 
@@ -107,7 +107,7 @@ def explain(symbols: DataFrame, symbol_edges: DataFrame, file_edges: DataFrame,
         back, forth = (call_traversal(symbol_edges, *found, x, depth, target) for x in (True, False))
         rows = back.unionByName(forth).unionByName(importer_traversal(file_edges, found[0], depth, name=target))
     else:
-        own = file_edges.where(F.col("src") == target).select(F.lit("file").alias("kind"), F.col("dst").alias("path"), F.lit(None).cast("string").alias("qualname"), F.col("kind").alias("edge_kind"), "certainty", F.lit(f"depends on {target}").alias("reason"), F.lit(1).alias("distance"), F.array(F.lit("")).alias("order"), F.array(F.lit(0), rank(F.col("certainty"))).alias("tie"))
+        own = file_edges.where(F.col("src") == target).select(F.lit("file").alias("kind"), F.col("dst").alias("path"), F.lit(None).cast("string").alias("qualname"), F.col("kind").alias("edge_kind"), "certainty", F.lit(f"depends on {target}").alias("reason"), F.lit(1).alias("distance"), F.lit(-1).cast("long").alias("order"), F.array(F.lit(0), rank(F.col("certainty"))).alias("tie"))
         rows = own.unionByName(importer_traversal(file_edges, target, depth))
     rows = once(rows)
     return (rows if to is None else rows.where((F.col("qualname") == to) | (F.col("path") == to))).select(*COLUMNS)
@@ -123,7 +123,9 @@ def why(symbols: DataFrame, symbol_edges: DataFrame, file_edges: DataFrame, star
     else:
         e = call_ends(symbol_edges, False).select(label("src").alias("src"), label("dst").alias("dst"))
         source, goal = "\x01".join(a[::-1]), "\x01".join(b[::-1])
-    trail = bfs_tree(e, source, depth, goal).where((F.col("node") == goal) & F.lit(source != goal)).select(F.posexplode("trail").alias("step", "at"))
+    tree = bfs_tree(e, source, depth, goal)
+    ends = tree.sparkSession.createDataFrame([(goal,)], "target string").where(F.lit(source != goal)).join(tree.select(F.col("node").alias("target")), "target", "left_semi")
+    trail = trails(tree, ends).select(F.posexplode("trail").alias("step", "at"))
     return trail.select("step", F.substring_index("at", "\x01", -1).alias("path"), F.when(F.instr("at", "\x01") > 0, F.substring_index("at", "\x01", 1)).alias("qualname"))
 
 
@@ -139,9 +141,3 @@ def diff(file_edges: DataFrame, changed: DataFrame) -> tuple[DataFrame, DataFram
     pairs = changed_closure(file_edges, changed)
     size = changed.select("path").distinct().join(pairs.groupBy("path").agg(F.count("*").alias("dependents")), "path", "left").na.fill(0)
     return size, pairs.groupBy(F.col("affected").alias("path")).agg(F.array_sort(F.collect_set("path")).alias("changed_roots"))
-
-
-def dependents(file_edges: DataFrame) -> DataFrame:
-    """path, transitive: files that reach each file by any edges, itself included if it is in a cycle."""
-    back = file_edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return reach_counts(back).select(F.col("node").alias("path"), F.col("reached").alias("transitive"))

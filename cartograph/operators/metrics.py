@@ -17,6 +17,7 @@ def fans(file_edges: DataFrame, files: DataFrame) -> DataFrame:
 
 
 STABILITY_ORDER = {"instability": ["instability", "fan_in"], "fan-in": ["fan_in", "instability"], "fan-out": ["fan_out", "instability"], "path": []}
+RISK_ORDER = {"score": ["score", "transitive_dependents", "churn_commits"], "churn": ["churn_commits", "score"], "dependents": ["transitive_dependents", "score"], "path": []}
 COCHANGE_ORDER = {"score": ["score", "shared_commits"], "shared": ["shared_commits", "score"], "path": []}
 
 
@@ -44,27 +45,38 @@ def in_window(churn: DataFrame, days: int, now: int) -> DataFrame:
     return churn.where(F.col("committed_at").isNull() | (F.col("committed_at") >= now - days * 86400))
 
 
-def risk(file_edges: DataFrame, files: DataFrame, churn: DataFrame, now: int, days: int = 90, threshold: float = 0.0, top: int | None = None, sort: str = "score") -> DataFrame:
-    """path, direct_dependents, transitive_dependents, churn_commits, score, normalized_score.
+def risk(file_edges: DataFrame, files: DataFrame, churn: DataFrame, now: int, days: int = 90, threshold: float = 0.0, top: int | None = None, sort: str = "score", file: str | None = None) -> DataFrame:
+    """path, direct_dependents, transitive_dependents, churn_commits, score, normalized_score, reason, over import edges.
 
-    score: log2(transitive + 1) * log2(commits + 1), or log2(direct + 1) if no file has commits in the window.
+    score: log2(transitive + 1) * log2(commits + 1), or log2(direct + 1) if no file has commits in the window. Scores are normalized to the highest of the rows that are left
+    after the file filter and the threshold.
     """
-    direct = file_edges.select("src", "dst").distinct().groupBy(F.col("dst").alias("path")).agg(F.count("*").alias("direct_dependents"))
-    back = file_edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    through = reach_counts(back).select(F.col("node").alias("path"), F.col("reached").alias("transitive_dependents"))
+    e = file_edges.where("kind = 'import'").select("src", "dst").distinct()
+    direct = e.groupBy(F.col("dst").alias("path")).agg(F.count("*").alias("direct_dependents"))
+    through = reach_counts(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).select(F.col("node").alias("path"), F.col("reached").alias("transitive_dependents"))
     commits = in_window(churn, days, now).groupBy("path").agg(F.count_distinct("commit_sha").alias("churn_commits"))
     n = files.select("path").join(direct, "path", "left").join(through, "path", "left").join(commits, "path", "left").na.fill(0)
     # Two scalars, computed by aggregation and attached to each row, instead of a window over all files in one task.
     any_churn = n.agg(F.max("churn_commits").alias("most"))
     n = n.crossJoin(F.broadcast(any_churn))
-    score = F.when(F.col("most") > 0, F.log2(F.col("transitive_dependents") + 1) * F.log2(F.col("churn_commits") + 1)).otherwise(F.log2(F.col("direct_dependents") + 1))
-    n = n.withColumn("score", score).where(F.col("score") >= threshold).drop("most")
+    d, t, c = F.col("direct_dependents"), F.col("transitive_dependents"), F.col("churn_commits")
+    score = F.when(F.col("most") > 0, F.log2(t + 1) * F.log2(c + 1)).otherwise(F.log2(d + 1))
+    with_git = F.format_string(f"%d direct dependents, %d transitive dependents, %d churn commits in last {days} days", d, t, c)
+    without = F.format_string("git churn unavailable; score falls back to dependency-only blast radius (%d direct dependents, %d transitive dependents)", d, t)
+    n = n.withColumn("score", score).withColumn("reason", F.when(F.col("most") > 0, with_git).otherwise(without)).where(F.col("score") >= threshold).drop("most")
+    n = n if file is None else n.where(F.col("path") == file)
     n = n.crossJoin(F.broadcast(n.agg(F.max("score").alias("highest"))))
-    n = n.withColumn("normalized_score", F.when(F.col("highest") > 0, F.round(100 * F.col("score") / F.col("highest"))).otherwise(0).cast("long")).drop("highest")
+    share = F.when(F.col("highest") > 0, F.round(100 * F.col("score") / F.col("highest"))).otherwise(0).cast("long")
+    n = n.select("path", "direct_dependents", "transitive_dependents", "churn_commits", "score", share.alias("normalized_score"), "reason")
     if top is None:
         return n
-    lead = {"score": ["score", "transitive_dependents", "churn_commits"], "churn": ["churn_commits", "score"], "dependents": ["transitive_dependents", "score"], "path": []}[sort]
-    return n.orderBy(*[F.desc(c) for c in lead], "path").limit(top)
+    return n.orderBy(*[F.desc(c) for c in RISK_ORDER[sort]], "path").limit(top)
+
+
+def risk_summary(rows: DataFrame) -> DataFrame:
+    """git_available, scored_files, avg_score, max_score of the rows of risk()."""
+    some = F.coalesce(F.max("churn_commits") > 0, F.lit(False))
+    return rows.agg(some.alias("git_available"), F.count("*").alias("scored_files"), F.coalesce(F.avg("score"), F.lit(0.0)).alias("avg_score"), F.coalesce(F.max("score"), F.lit(0.0)).alias("max_score"))
 
 
 def cochange(churn: DataFrame, target: str, now: int, days: int = 90, min_shared: int = 1, top: int | None = None, sort: str = "score") -> DataFrame:

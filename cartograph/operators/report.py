@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartograph.config import Config, Gate
+from cartograph.functions.glob import matches_any
 from cartograph.operators.arch import arch_check
 from cartograph.operators.compare import surface_diff
 from cartograph.operators.cycles import cycles
@@ -46,26 +47,31 @@ def report(graph: Graph, config: Config, now: int, baseline_symbols: DataFrame |
     if removed is None:
         row = row.withColumn("public_surface_removed", F.lit(0).cast("long"))
     share = F.when(F.col("total_imports") == 0, 0.0).otherwise(100 * F.col("unresolved_imports") / F.col("total_imports"))
-    row = row.withColumn("imports_unresolved_pct", share).withColumn("imports_resolved_pct", F.when(F.col("total_imports") == 0, 0.0).otherwise(100 - share))
+    row = row.withColumn("imports_unresolved_pct", share).withColumn("imports_resolved_pct", 100 - share)
     return row.withColumn("health_score", health_score())
 
 
 def baseline(graph: Graph, config: Config) -> DataFrame:
     """The report row of a stored state, from its graph alone.
 
-    It differs from a live report on purpose: instability counts all edges, roots need no outgoing edge, unresolved means import
+    It differs from a live report on purpose: instability counts every edge of any kind, roots without configured entry points need no outgoing edge, unresolved means import
     edges that are not exact, and parse errors and removed surface are zero.
     """
     g = graph
     imports = g.file_edges.where("kind = 'import'")
-    roots = g.files.join(imports.select(F.col("dst").alias("path")), "path", "left_anti").select(F.col("path").alias("node"))
-    seen = reach(imports.select("src", "dst"), roots).select(F.col("node").alias("path"))
-    every = stability(g.file_edges.withColumn("kind", F.lit("import")), g.files)
+    if config.entry_points:
+        roots = g.files.where(matches_any(F.col("path"), config.entry_points))
+    else:
+        roots = g.files.join(imports.select(F.col("dst").alias("path")), "path", "left_anti")
+    seen = reach(imports.select("src", "dst"), roots.select(F.col("path").alias("node"))).select(F.col("node").alias("path"))
+    ends = g.file_edges.select(F.col("dst").alias("path"), F.lit(1).alias("i"), F.lit(0).alias("o")).unionByName(g.file_edges.select(F.col("src").alias("path"), F.lit(0).alias("i"), F.lit(1).alias("o")))
+    fan = g.files.select("path").join(ends.groupBy("path").agg(F.sum("i").alias("i"), F.sum("o").alias("o")), "path", "left").na.fill(0)
+    instability = F.when(F.col("i") + F.col("o") == 0, 0.0).otherwise(F.col("o") / (F.col("i") + F.col("o")))
     parts = [
         g.files.agg(F.count("*").alias("total_files")), g.symbols.agg(F.count("*").alias("total_symbols")),
         imports.agg(F.count("*").alias("total_imports"), F.count_if(F.col("certainty") != "exact").alias("unresolved_imports")),
         arch_check(g.file_edges, config).agg(F.count("*").alias("layer_violations")), cycles(g.file_edges).agg(F.count("*").alias("cycles")),
-        every.agg(F.avg("instability").alias("avg_instability")), stability(g.file_edges, g.files).agg(F.max("fan_in").alias("max_file_fan_in")),
+        fan.agg(F.avg(instability).alias("avg_instability")), stability(g.file_edges, g.files).agg(F.max("fan_in").alias("max_file_fan_in")),
         g.files.join(seen, "path", "left_anti").agg(F.count("*").alias("unreachable_files")), unused(g.symbols, g.symbol_edges).agg(F.count("*").alias("unused_exports")),
     ]
     row = parts[0]
@@ -74,7 +80,7 @@ def baseline(graph: Graph, config: Config) -> DataFrame:
     zero = F.lit(0).cast("long")
     share = F.when(F.col("total_imports") == 0, 0.0).otherwise(100 * F.col("unresolved_imports") / F.col("total_imports"))
     row = row.withColumns({"parse_errors": zero, "public_surface_removed": zero, "imports_unresolved_pct": share})
-    return row.withColumn("imports_resolved_pct", F.when(F.col("total_imports") == 0, 0.0).otherwise(100 - F.col("imports_unresolved_pct"))).withColumn("health_score", health_score())
+    return row.withColumn("imports_resolved_pct", 100 - F.col("imports_unresolved_pct")).withColumn("health_score", health_score())
 
 
 def comparison(current: dict, base: dict) -> dict:
@@ -136,7 +142,7 @@ def evaluate(gate: Gate, current: float, baseline: float | None, strict: bool) -
 
 
 def gate_table(values: DataFrame, gates: list[Gate] | None = None, strict: bool = False) -> DataFrame:
-    """The gates over many scopes at once: scope, metric, current, baseline (or null) in; scope, metric, status, delta, reasons (broken bounds) out."""
+    """The gates over many areas at once: area, metric, current, baseline (or null) in; area, metric, status, delta, reasons (broken bounds) out."""
     gates = [g for g in gates or default_gates(strict) if not g.skip]
     out = None
     for g in gates:
@@ -147,7 +153,7 @@ def gate_table(values: DataFrame, gates: list[Gate] | None = None, strict: bool
         broken += [F.when(delta.isNull() | (delta < g.min_delta), "min_delta") if g.min_delta is not None else None, F.when(delta.isNull() | (delta > g.max_delta), "max_delta") if g.max_delta is not None else None]
         why = F.filter(F.array(*[b for b in broken if b is not None], F.lit(None).cast("string")), lambda x: x.isNotNull())
         worst = "fail" if strict and g.severity == "error" else "warning"
-        rows = v.select("scope", F.lit(g.metric).alias("metric"), F.when(F.size(why) == 0, "pass").otherwise(worst).alias("status"), delta.alias("delta"), F.array_join(why, ",").alias("reasons"))
+        rows = v.select("area", F.lit(g.metric).alias("metric"), F.when(F.size(why) == 0, "pass").otherwise(worst).alias("status"), delta.alias("delta"), F.array_join(why, ",").alias("reasons"))
         out = rows if out is None else out.unionByName(rows)
     return out
 

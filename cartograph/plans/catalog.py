@@ -84,7 +84,7 @@ SRC_HUB, DST_HUB, CALLEE, CALLER = HUB.format(c="src"), HUB.format(c="dst"), BUS
 IMPORTS_OF = "imports i ON i.path = e.src AND i.resolved_path = e.dst"
 RANK = "CASE certainty WHEN 'exact' THEN 0 WHEN 'resolved' THEN 1 WHEN 'heuristic' THEN 2 ELSE 3 END"
 NAME_OF_RANK = "CASE {r} WHEN 0 THEN 'exact' WHEN 1 THEN 'resolved' WHEN 2 THEN 'heuristic' ELSE 'dynamic' END"
-ENTRY = ", imp AS (SELECT * FROM edges WHERE kind = 'import'), entries AS (SELECT path FROM files WHERE path IN (SELECT src FROM imp) AND path NOT IN (SELECT dst FROM imp))"
+ENTRY = ", imp AS (SELECT * FROM edges WHERE kind = 'import'), entries AS (SELECT path FROM files SEMI JOIN imp a ON a.src = path ANTI JOIN imp b ON b.dst = path)"
 # Least distance from each seed, by levels up to a bound that no shortest path of the graphs exceeds.
 CONE = ", cone(seed, node, d, r) AS (SELECT path, path, 0, 0 FROM {seeds} UNION SELECT c.seed, e.dst, c.d + 1, greatest(c.r, {rank}) FROM cone c JOIN {edges} e ON e.src = c.node WHERE c.d < {depth}), best AS (SELECT seed, node, min(d) AS d FROM cone GROUP BY 1, 2), label AS (SELECT c.seed, c.node, c.d, min(c.r) AS r FROM cone c JOIN best b ON b.seed = c.seed AND b.node = c.node AND b.d = c.d GROUP BY 1, 2, 3)"
 
@@ -114,12 +114,12 @@ TRAIL = " SELECT node AS path, trail[len(trail) - 1] AS parent, d AS distance, a
 
 @query("deps_transitive", SRC_HUB + _walk("hub", "src", "dst", 6) + TRAIL)
 def _deps_transitive(g: Graph) -> DataFrame:
-    return direct.deps_transitive(g.file_edges, hub(g), 6).withColumn("trail", F.array_join("trail", " > "))
+    return direct.with_trails(direct.deps_transitive(g.file_edges, hub(g), 6)).drop("place").withColumn("trail", F.array_join("trail", " > "))
 
 
 @query("deps_reverse_transitive", DST_HUB + _walk("hub", "dst", "src", 5) + TRAIL)
 def _deps_reverse_transitive(g: Graph) -> DataFrame:
-    return direct.deps_transitive(g.file_edges, hub(g, "dst"), 5, reverse=True).withColumn("trail", F.array_join("trail", " > "))
+    return direct.with_trails(direct.deps_transitive(g.file_edges, hub(g, "dst"), 5, reverse=True)).drop("place").withColumn("trail", F.array_join("trail", " > "))
 
 
 @query("file_edges", " SELECT src, dst, kind, certainty FROM edges")
@@ -192,14 +192,6 @@ def _impact_summary(g: Graph) -> DataFrame:
     return impact.impact_summary(impact.impact(g.symbols, g.symbol_edges, g.file_edges, hub(g, "dst")))
 
 
-QUERIES["impact_rules"] = lambda spark, d: impact.impact_rules(spark).withColumn("allowed_edge_kinds", F.array_join("allowed_edge_kinds", ","))
-ORACLES["impact_rules"] = """SELECT * FROM (VALUES
-('body', 'Reverse call graph only', 'call', false, true, false, 1), ('signature', 'Reverse call graph plus importer/re-export expansion', 'call,import,export', true, true, false, NULL),
-('rename', 'Traverse all reference-bearing edges', 'call,import,export', true, true, false, NULL), ('delete', 'Traverse all reverse dependencies and reference edges', 'call,import,export', true, true, false, NULL),
-('visibility', 'Inspect external import/call edges across the narrowed boundary', 'call,import,export', true, true, true, NULL), ('side-effect', 'Reverse file-import graph only', 'import', true, false, false, NULL))
-t(change_type, traversal_strategy, allowed_edge_kinds, include_importers, include_callers, include_visibility_boundary, default_max_distance)"""
-
-
 @query("explain", SRC_HUB + IMP + _walk("hub", "dst", "src", 7, "imps")
        + f", own AS (SELECT dst AS path, kind AS edge_kind, certainty, 1 AS distance, [''] AS trail FROM edges WHERE src = (SELECT p FROM hub)), every AS (SELECT * FROM own UNION ALL SELECT path, 'import', certainty, distance, trail FROM ({EMIT_FILES.format(tr='tr')}))"
        + f" SELECT path, edge_kind, distance, {FIRST.format(line='', rank=RANK)} FROM every GROUP BY path, edge_kind, distance")
@@ -291,9 +283,13 @@ def _entry_unreachable(g: Graph) -> DataFrame:
     return entry.unreachable(g.files, g.file_edges, g.symbols, NOW)
 
 
-@query("audit", ENTRY + ", seeds AS (SELECT path FROM files WHERE path LIKE 'lib/brand#_2_/part#_%0.rs' ESCAPE '#'), back AS (SELECT dst AS src, src AS dst FROM imp), a(node, d) AS (SELECT path, 0 FROM seeds UNION SELECT b.dst, a.d + 1 FROM a JOIN back b ON b.src = a.node WHERE a.d < 40) SELECT node AS entry_point, min(d) AS distance, node LIKE 'src/urgent/%' AS expected FROM a WHERE node IN (SELECT path FROM entries) GROUP BY node")
+@query("audit", ENTRY + f""", seeds AS (SELECT path FROM files WHERE path LIKE 'lib/brand#_2_/part#_%0.rs' ESCAPE '#'),
+ back(node, d) AS (SELECT path, 0 FROM seeds UNION SELECT e.src, back.d + 1 FROM back JOIN imp e ON e.dst = back.node WHERE back.d < 40), near AS (SELECT node, min(d) AS d FROM back GROUP BY node),
+ step AS (SELECT e.src, min(e.dst) AS nxt FROM imp e JOIN near a ON a.node = e.src JOIN near b ON b.node = e.dst AND b.d = a.d - 1 GROUP BY e.src),
+ way(entry, place, trail, r) AS (SELECT path, path, [path], 0 FROM entries JOIN near ON node = path UNION ALL SELECT way.entry, nxt, list_append(trail, nxt), greatest(r, (SELECT min({RANK}) FROM imp WHERE imp.src = way.place AND imp.dst = nxt)) FROM way JOIN step ON step.src = way.place)
+ SELECT entry AS entry_point, CAST(len(trail) - 1 AS INT) AS distance, {NAME_OF_RANK.format(r="r")} AS certainty, entry LIKE 'src/urgent/%' AS expected, array_to_string(trail, ' > ') AS path FROM way JOIN near ON node = place AND near.d = 0""")
 def _audit(g: Graph) -> DataFrame:
-    return entry.audit(g.files, g.file_edges, g.symbols, CAPABILITY).drop("certainty")
+    return entry.audit(g.files, g.file_edges, g.symbols, CAPABILITY).withColumn("path", F.array_join("path", " > "))
 
 
 COVER = f", tests AS (SELECT path FROM files WHERE {TEST_SQL})" + CONE.format(seeds="tests", edges="edges", rank="0", depth=40)
@@ -326,11 +322,19 @@ def _stability(g: Graph) -> DataFrame:
     return metrics.stability(g.file_edges, g.files).withColumn("instability", F.round("instability", 6))
 
 
-@query("risk", f", pairs AS (SELECT DISTINCT src, dst FROM edges), r(a, b) AS (SELECT src, dst FROM pairs UNION SELECT r.a, e.dst FROM r JOIN pairs e ON e.src = r.b), t AS (SELECT b AS path, count(*) AS n FROM r GROUP BY b), i AS (SELECT dst AS path, count(*) AS n FROM pairs GROUP BY dst), c AS (SELECT path, count(DISTINCT commit_sha) AS n FROM churn WHERE committed_at >= {NOW} - 90 * 86400 GROUP BY path), x AS (SELECT f.path, coalesce(i.n, 0) AS direct_dependents, coalesce(t.n, 0) AS transitive_dependents, coalesce(c.n, 0) AS churn_commits FROM files f LEFT JOIN i ON i.path = f.path LEFT JOIN t ON t.path = f.path LEFT JOIN c ON c.path = f.path), y AS (SELECT *, CASE WHEN (SELECT max(churn_commits) FROM x) > 0 THEN log2(transitive_dependents + 1) * log2(churn_commits + 1) ELSE log2(direct_dependents + 1) END AS s FROM x) SELECT path, direct_dependents, transitive_dependents, churn_commits, round(s, 6) AS score, CAST(CASE WHEN (SELECT max(s) FROM y) > 0 THEN round(100 * s / (SELECT max(s) FROM y)) ELSE 0 END AS BIGINT) AS normalized_score FROM y")
+RISK = f", pairs AS (SELECT DISTINCT src, dst FROM edges WHERE kind = 'import'), r(a, b) AS (SELECT src, dst FROM pairs UNION SELECT r.a, e.dst FROM r JOIN pairs e ON e.src = r.b), t AS (SELECT b AS path, count(*) AS n FROM r GROUP BY b), i AS (SELECT dst AS path, count(*) AS n FROM pairs GROUP BY dst), c AS (SELECT path, count(DISTINCT commit_sha) AS n FROM churn WHERE committed_at >= {NOW} - 90 * 86400 GROUP BY path), x AS (SELECT f.path, coalesce(i.n, 0) AS direct_dependents, coalesce(t.n, 0) AS transitive_dependents, coalesce(c.n, 0) AS churn_commits FROM files f LEFT JOIN i ON i.path = f.path LEFT JOIN t ON t.path = f.path LEFT JOIN c ON c.path = f.path), y AS (SELECT *, CASE WHEN (SELECT max(churn_commits) FROM x) > 0 THEN log2(transitive_dependents + 1) * log2(churn_commits + 1) ELSE log2(direct_dependents + 1) END AS s FROM x)"
+
+
+@query("risk", RISK + " SELECT path, direct_dependents, transitive_dependents, churn_commits, round(s, 6) AS score, CAST(CASE WHEN (SELECT max(s) FROM y) > 0 THEN round(100 * s / (SELECT max(s) FROM y)) ELSE 0 END AS BIGINT) AS normalized_score, CASE WHEN (SELECT max(churn_commits) FROM x) > 0 THEN direct_dependents || ' direct dependents, ' || transitive_dependents || ' transitive dependents, ' || churn_commits || ' churn commits in last 90 days' ELSE 'git churn unavailable; score falls back to dependency-only blast radius (' || direct_dependents || ' direct dependents, ' || transitive_dependents || ' transitive dependents)' END AS reason FROM y")
 def _risk(g: Graph) -> DataFrame:
     return metrics.risk(g.file_edges, g.files, g.churn, NOW).withColumn("score", F.round("score", 6))
 
 
+@query("risk_summary", RISK + " SELECT (SELECT max(churn_commits) FROM x) > 0 AS git_available, count(*) AS scored_files, round(avg(s), 6) AS avg_score, round(max(s), 6) AS max_score FROM y")
+def _risk_summary(g: Graph) -> DataFrame:
+    return metrics.risk_summary(metrics.risk(g.file_edges, g.files, g.churn, NOW)).withColumns({c: F.round(c, 6) for c in ("avg_score", "max_score")})
+
+
 def most_changed(g: Graph) -> str:
     row = metrics.in_window(g.churn, 365, NOW).groupBy("path").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "path").first()
     return row[0] if row else ""
@@ -358,6 +362,18 @@ def _caller_profiles(g: Graph) -> DataFrame:
     return similar.caller_profiles(g.symbols, g.symbol_edges, row[0] if row else "").select("qualname", "kind", "line", F.array_join("callers", ",").alias("callers"))
 
 
+@query("caller_sets", """, own AS (SELECT path, qualname FROM (SELECT s.*, count(*) FILTER (exported) OVER (PARTITION BY path) AS e FROM symbols s) WHERE (exported OR e < 2) AND kind <> 'module'),
+ sets AS (SELECT dst_path AS path, src_path, list_sort(list(DISTINCT dst)) AS used FROM calls SEMI JOIN own ON own.path = dst_path AND own.qualname = dst GROUP BY dst_path, src_path)
+ SELECT path, array_to_string(used, ',') AS used, count(*) AS files, min(src_path) AS first, list_sort(list(src_path))[2] AS second FROM sets GROUP BY path, used""")
+def _caller_sets(g: Graph) -> DataFrame:
+    return similar.usage(similar.split_rows(g.symbols), g.symbol_edges).withColumn("used", F.array_join("used", ","))
+
+
+@query("split")
+def _split(g: Graph) -> DataFrame:
+    return similar.split(g.symbols, g.symbol_edges)
+
+
 # Two states to compare: the dense graph without some edges and symbols, and with all of them.
 BEFORE = ", before AS (SELECT src, dst, kind, CASE WHEN (s + d) % 13 = 0 THEN 'dynamic' ELSE certainty END AS certainty FROM edges WHERE (s * 3 + d) % 7 <> 0), after AS (SELECT src, dst, kind, certainty FROM edges WHERE (s + d * 5) % 11 <> 0)"
 

@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartograph.config import Gate, parse_config
-from cartograph.lang.dsl import QueryError, Session, check, parse
+from cartograph.config import Gate
+from cartograph.lang.dsl import Session
 from cartograph.operators import arch, compare, context, direct, report
 from cartograph.plans.catalog import BEFORE, CALLEE, CALLER, CONFIG, DST_HUB, LAYER_CASE, ORACLES, QUERIES, SRC_HUB, VIOLATION, _walk, busy_symbol, hub, query, two_states
 from cartograph.runtime import shared_dir
@@ -94,53 +94,6 @@ def _count(g: Graph) -> DataFrame:
     return dsl(g, f'file "{hub(g)}" | .deps | .reverse | count')
 
 
-def failures(spark: SparkSession, texts: list[str]) -> DataFrame:
-    rows = []
-    for text in texts:
-        try:
-            q = parse(text)
-            check({"file": "files", "all-files": "files", "symbol": "symbols", "all-symbols": "symbols"}[q.source[0]], q.steps)
-            rows.append((text, "ok"))
-        except QueryError as e:
-            rows.append((text, str(e)))
-    return spark.createDataFrame(rows, "query string, outcome string")
-
-
-PARSE = {
-    "": "query expression cannot be empty", 'file "a" | ': "query expression contains an empty pipeline segment", 'file "a': "query expression contains an unterminated quoted string",
-    'file "a" | .deps_transitive(x)': "query step `.deps_transitive` expects an optional non-negative integer depth", "let = all-files": "let bindings must use `let <name> = <expr>`",
-    'file "a" | .symbols(public_only=true, public_only=true)': "query step `.symbols` received duplicate `public_only` arguments", 'file "a|b" | .deps | unique | count': "ok",
-}
-KINDS = {
-    'symbol "a" | .deps': "query step `.deps` cannot be applied to symbols", 'file "a" | .callers': "query step `.callers` cannot be applied to files", "all-files | count | .deps": "query step `.deps` cannot be applied to number",
-    "all-files | count | unique | count": "ok", 'symbol "a" | .callers | .deps': "ok", "all-symbols | .symbols": "query step `.symbols` cannot be applied to symbols",
-}
-for _name, _cases in (("dsl_parse_errors", PARSE), ("dsl_type_errors", KINDS)):
-    QUERIES[_name] = lambda spark, d, cases=_cases: failures(spark, list(cases))
-    ORACLES[_name] = "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _cases.items()) + ") t(query, outcome)"
-
-CONFIGS = {
-    '[[layer]]\nname = "a"\npattern = "x"\n[[layer]]\nname = "a"\npattern = "y"': "duplicate layer name: a", '[[layer]]\nname = "a"\npattern = "x"\n[[rule]]\nfrom = "a"\nmay_not_import = ["b"]': "rule names an unknown layer: b",
-    '[[gate]]\nmetric = "cycles"': "gate cycles has no bound", '[[gate]]\nmetric = "speed"\nmax = 1.0': "unknown gate metric: speed", '[[gate]]\nmetric = "cycles"\nmin = 2.0\nmax = 1.0': "gate cycles has min above max",
-    '[[capability]]\nname = "c"': "capability c needs a pattern or symbols", '[[layer]]\nname = "a"\npattern = "x[y"': "not a path pattern: 'x[y'", '[[entry_point]]\npattern = "src/**"': "ok",
-}
-
-
-def config_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = []
-    for text in CONFIGS:
-        try:
-            parse_config(text)
-            rows.append((text, "ok"))
-        except ValueError as e:
-            rows.append((text, str(e)))
-    return spark.createDataFrame(rows, "config string, outcome string")
-
-
-QUERIES["config_validation"] = config_outcomes
-ORACLES["config_validation"] = "SELECT * FROM (VALUES " + ", ".join(f"(replace('{a}', '\\n', chr(10)), '{b.replace(chr(39), chr(39) * 2)}')".replace("\n", "\\n") for a, b in CONFIGS.items()) + ") t(config, outcome)"
-
-
 @query("symbol_lookup", ", asked AS (SELECT name AS query FROM symbols UNION SELECT qualname FROM symbols WHERE start_line < 20), hit AS (SELECT query, path, qualname, row_number() OVER (PARTITION BY query ORDER BY qualname <> query, qualname, path) AS n FROM asked JOIN symbols ON qualname = query OR name = query) SELECT query, path, qualname FROM hit WHERE n = 1")
 def _lookup(g: Graph) -> DataFrame:
     asked = g.symbols.select(F.col("name").alias("query")).unionByName(g.symbols.where("start_line < 20").select(F.col("qualname").alias("query")))
@@ -168,34 +121,34 @@ def _arch_explain(g: Graph) -> DataFrame:
     return arch.arch_explain(g.file_edges, CONFIG, hub(g)).distinct()
 
 
-# Measures of each top folder as a scope of its own, with those of another time as baseline.
-SCOPE = "split_part(path, '/', 2)"
-SCOPED = f", m AS (SELECT {SCOPE} AS scope, CAST(count(*) FILTER (parse_status = 'partial') AS DOUBLE) AS parse_errors, CAST(count(*) AS DOUBLE) AS cycles, 100.0 - count(*) % 60 AS health_score FROM files GROUP BY 1), long AS (SELECT scope, 'parse_errors' AS metric, parse_errors AS current, parse_errors + 1 AS baseline FROM m UNION ALL SELECT scope, 'cycles', cycles, NULL FROM m UNION ALL SELECT scope, 'health_score', CAST(health_score AS DOUBLE), CAST(80.0 AS DOUBLE) FROM m)"
+# Measures of each top folder as an area of its own, with those of another time as baseline.
+AREA = "split_part(path, '/', 2)"
+BY_AREA = f", m AS (SELECT {AREA} AS area, CAST(count(*) FILTER (parse_status = 'partial') AS DOUBLE) AS parse_errors, CAST(count(*) AS DOUBLE) AS cycles, 100.0 - count(*) % 60 AS health_score FROM files GROUP BY 1), long AS (SELECT area, 'parse_errors' AS metric, parse_errors AS current, parse_errors + 1 AS baseline FROM m UNION ALL SELECT area, 'cycles', cycles, NULL FROM m UNION ALL SELECT area, 'health_score', CAST(health_score AS DOUBLE), CAST(80.0 AS DOUBLE) FROM m)"
 GATES = [Gate("parse_errors", max=0.0), Gate("parse_errors", max_delta=-2.0, severity="warning"), Gate("cycles", max=90.0, max_delta=3.0), Gate("health_score", min=75.0), Gate("health_score_delta", min=-5.0), Gate("cycles", max=0.0, skip=True)]
 
 
-@query("gate", SCOPED + """ SELECT scope, metric, CASE WHEN parse_errors_max THEN 'fail' ELSE 'pass' END AS status, delta, CASE WHEN parse_errors_max THEN 'max' ELSE '' END AS reasons FROM (SELECT scope, metric, current > 0 AS parse_errors_max, current - baseline AS delta FROM long WHERE metric = 'parse_errors')
- UNION ALL SELECT scope, metric, CASE WHEN current - baseline > -2 THEN 'warning' ELSE 'pass' END, current - baseline, CASE WHEN current - baseline > -2 THEN 'max_delta' ELSE '' END FROM long WHERE metric = 'parse_errors'
- UNION ALL SELECT scope, metric, 'fail', NULL, CASE WHEN current > 90 THEN 'max,max_delta' ELSE 'max_delta' END FROM long WHERE metric = 'cycles'
- UNION ALL SELECT scope, metric, CASE WHEN current < 75 THEN 'fail' ELSE 'pass' END, current - baseline, CASE WHEN current < 75 THEN 'min' ELSE '' END FROM long WHERE metric = 'health_score'
- UNION ALL SELECT scope, 'health_score_delta', CASE WHEN current - baseline < -5 THEN 'fail' ELSE 'pass' END, current - baseline, CASE WHEN current - baseline < -5 THEN 'min' ELSE '' END FROM long WHERE metric = 'health_score'""")
+@query("gate", BY_AREA + """ SELECT area, metric, CASE WHEN parse_errors_max THEN 'fail' ELSE 'pass' END AS status, delta, CASE WHEN parse_errors_max THEN 'max' ELSE '' END AS reasons FROM (SELECT area, metric, current > 0 AS parse_errors_max, current - baseline AS delta FROM long WHERE metric = 'parse_errors')
+ UNION ALL SELECT area, metric, CASE WHEN current - baseline > -2 THEN 'warning' ELSE 'pass' END, current - baseline, CASE WHEN current - baseline > -2 THEN 'max_delta' ELSE '' END FROM long WHERE metric = 'parse_errors'
+ UNION ALL SELECT area, metric, 'fail', NULL, CASE WHEN current > 90 THEN 'max,max_delta' ELSE 'max_delta' END FROM long WHERE metric = 'cycles'
+ UNION ALL SELECT area, metric, CASE WHEN current < 75 THEN 'fail' ELSE 'pass' END, current - baseline, CASE WHEN current < 75 THEN 'min' ELSE '' END FROM long WHERE metric = 'health_score'
+ UNION ALL SELECT area, 'health_score_delta', CASE WHEN current - baseline < -5 THEN 'fail' ELSE 'pass' END, current - baseline, CASE WHEN current - baseline < -5 THEN 'min' ELSE '' END FROM long WHERE metric = 'health_score'""")
 def _gate(g: Graph) -> DataFrame:
-    m = g.files.groupBy(F.split_part("path", F.lit("/"), F.lit(2)).alias("scope")).agg(F.count_if(F.col("parse_status") == "partial").cast("double").alias("parse_errors"), F.count("*").cast("double").alias("cycles"))
+    m = g.files.groupBy(F.split_part("path", F.lit("/"), F.lit(2)).alias("area")).agg(F.count_if(F.col("parse_status") == "partial").cast("double").alias("parse_errors"), F.count("*").cast("double").alias("cycles"))
     m = m.withColumn("health_score", 100 - F.col("cycles") % 60)
     none = F.lit(None).cast("double")
     rows = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("current"), b.alias("baseline")) for n, b in (("parse_errors", F.col("parse_errors") + 1), ("cycles", none), ("health_score", F.lit(80.0)))])
-    return report.gate_table(m.select("scope", F.explode(rows).alias("x")).select("scope", "x.*"), GATES, strict=True)
+    return report.gate_table(m.select("area", F.explode(rows).alias("x")).select("area", "x.*"), GATES, strict=True)
 
 
-@query("health_score", f""", m AS (SELECT {SCOPE} AS scope, count(*) FILTER (parse_status = 'partial') % 4 AS parse_errors, count(*) % 3 AS layer_violations, count(*) % 2 AS cycles, count(*) % 7 AS unreachable_files, count(*) % 11 AS unused_exports, count(*) % 5 * 10.0 AS pct, count(*) % 2 AS removed FROM files GROUP BY 1)
- SELECT scope, CAST(greatest(0.0, least(100.0, 100 - 12 * parse_errors - 8 * layer_violations - 8 * cycles - 2 * unreachable_files - unused_exports - 0.5 * pct - 5 * removed)) AS DOUBLE) AS health_score FROM m""")
+@query("health_score", f""", m AS (SELECT {AREA} AS area, count(*) FILTER (parse_status = 'partial') % 4 AS parse_errors, count(*) % 3 AS layer_violations, count(*) % 2 AS cycles, count(*) % 7 AS unreachable_files, count(*) % 11 AS unused_exports, count(*) % 5 * 10.0 AS pct, count(*) % 2 AS removed FROM files GROUP BY 1)
+ SELECT area, CAST(greatest(0.0, least(100.0, 100 - 12 * parse_errors - 8 * layer_violations - 8 * cycles - 2 * unreachable_files - unused_exports - 0.5 * pct - 5 * removed)) AS DOUBLE) AS health_score FROM m""")
 def _health(g: Graph) -> DataFrame:
     n = F.count("*")
-    m = g.files.groupBy(F.split_part("path", F.lit("/"), F.lit(2)).alias("scope")).agg(
+    m = g.files.groupBy(F.split_part("path", F.lit("/"), F.lit(2)).alias("area")).agg(
         (F.count_if(F.col("parse_status") == "partial") % 4).alias("parse_errors"), (n % 3).alias("layer_violations"), (n % 2).alias("cycles"), (n % 7).alias("unreachable_files"), (n % 11).alias("unused_exports"),
         (n % 5 * 10.0).alias("imports_unresolved_pct"), (n % 2).alias("public_surface_removed"),
     )
-    return m.select("scope", report.health_score().alias("health_score"))
+    return m.select("area", report.health_score().alias("health_score"))
 
 
 @query("context_candidates", CALLEE + """, own AS (SELECT p AS path, 200 AS score, 0 AS distance, 0 AS r FROM busy UNION ALL SELECT p, 180, 0, 0 FROM busy),
@@ -217,7 +170,7 @@ def _simulate(g: Graph) -> DataFrame:
 @query("baseline", VIOLATION + """, imp AS (SELECT DISTINCT src, dst FROM edges WHERE kind = 'import'), seen(n) AS (SELECT path FROM files WHERE path NOT IN (SELECT dst FROM imp) UNION SELECT e.dst FROM seen JOIN imp e ON e.src = seen.n)
  SELECT (SELECT count(*) FROM files) AS total_files, (SELECT count(*) FROM symbols) AS total_symbols, (SELECT count(*) FROM edges WHERE kind = 'import') AS total_imports, (SELECT count(*) FROM edges WHERE kind = 'import' AND certainty <> 'exact') AS unresolved_imports,
  (SELECT count(*) FROM lay JOIN rule ON f = from_layer AND t = to_layer) AS layer_violations, (SELECT count(*) FROM files WHERE path NOT IN (SELECT n FROM seen)) AS unreachable_files,
- (SELECT round(avg(CASE WHEN i + o = 0 THEN 0.0 ELSE o / CAST(i + o AS DOUBLE) END), 6) FROM (SELECT path, (SELECT count(*) FROM (SELECT DISTINCT src, dst FROM edges) e WHERE e.dst = path) AS i, (SELECT count(*) FROM (SELECT DISTINCT src, dst FROM edges) e WHERE e.src = path) AS o FROM files) x) AS avg_instability""")
+ (SELECT round(avg(CASE WHEN i + o = 0 THEN 0.0 ELSE o / CAST(i + o AS DOUBLE) END), 6) FROM (SELECT path, (SELECT count(*) FROM edges e WHERE e.dst = path) AS i, (SELECT count(*) FROM edges e WHERE e.src = path) AS o FROM files) x) AS avg_instability""")
 def _baseline(g: Graph) -> DataFrame:
     names = ["total_files", "total_symbols", "total_imports", "unresolved_imports", "layer_violations", "unreachable_files"]
     return report.baseline(g, CONFIG).select(*names, F.round("avg_instability", 6).alias("avg_instability"))

@@ -11,9 +11,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
-from cartograph.runtime import drop_spool, spool
+from cartograph.runtime import drop_spool, spool, spool_sorted
 
 MERGE = 8  # levels kept apart before they are written as one table
 
@@ -22,30 +22,38 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def by_source(edges: DataFrame) -> DataFrame:
+    """Edges in buckets by src, so that a level's join moves the frontier only."""
+    return spool_sorted(edges, "src")
+
+
 def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """seed, node, distance, rank: least hops from each seed, seeds themselves at 0.
 
     edges: src, dst, optionally rank; seeds: seed, node. rank is the worst edge on a path, the least among the
-    shortest paths (0 for seeds).
+    shortest paths (0 for seeds). What has been seen lies in buckets by (seed, node), as a level's own rows do after they were grouped, so the anti-joins move nothing.
     """
     if "rank" not in edges.columns:
         edges = edges.withColumn("rank", F.lit(0))
-    edges = spool(edges.select("src", "dst", F.col("rank").alias("erank")).distinct())
-    level = spool(seeds.select("seed", "node", F.lit(0).alias("distance"), F.lit(0).alias("rank")).distinct())
+    edges = by_source(edges.select("src", "dst", F.col("rank").alias("erank")).distinct())
+    level = spool_sorted(seeds.select("seed", "node", F.lit(0).alias("distance"), F.lit(0).alias("rank")).distinct(), "seed", "node")
     done, depth = [level], 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        reached = level.join(edges, level["node"] == edges["src"]).groupBy("seed", F.col("dst").alias("node")).agg(F.min(F.greatest("rank", "erank")).alias("rank"))
-        fresh = reached.join(_union(done).select("seed", "node"), ["seed", "node"], "left_anti")
-        level = spool(fresh.select("seed", "node", F.lit(depth).alias("distance"), "rank"))
+        fresh = level.join(edges, level["node"] == edges["src"]).groupBy("seed", F.col("dst").alias("node")).agg(F.min(F.greatest("rank", "erank")).alias("rank"))
+        for seen in done:
+            fresh = fresh.join(seen.select("seed", "node"), ["seed", "node"], "left_anti")
+        level = spool_sorted(fresh.select("seed", "node", F.lit(depth).alias("distance"), "rank"), "seed", "node")
         if level.isEmpty():
+            drop_spool(level)
             break
         done.append(level)
         if len(done) > MERGE:
-            merged = spool(_union(done))
+            merged = spool_sorted(_union(done[:-1]), "seed", "node")
             for old in done[:-1]:  # the last level is still the frontier
                 drop_spool(old)
-            done = [merged]
+            done = [merged, level]
+    drop_spool(edges)
     return _union(done)
 
 
@@ -88,48 +96,141 @@ def emit_edges(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
 
 
 def bfs_tree(edges: DataFrame, start: str, max_depth: int | None = None, goal: str | None = None) -> DataFrame:
-    """node, parent, distance, trail: breadth-first order with ties by name; the start is left out.
+    """node, parent, distance, place: breadth-first order with ties by name; the start is left out.
 
-    trail is the path from the start. A node's parent is the first visited among its possible parents, as a queue would have it: trails of one length
-    sort like the visiting order, so (distance, trail) is that order and no level has to be numbered. The search ends with the level that reaches the goal.
+    place rises in visiting order within a distance. A queue visits children in the order of their parents, then by name, so each level is sorted by (its parent's place,
+    name) and numbered by the sort. A node's parent is the first visited of those that reach it. No row holds a path;
+    paths() puts them together. The search ends with the level that reaches the goal.
     """
     spark = edges.sparkSession
-    edges = spool(edges.select("src", "dst").distinct())
-    level = spool(spark.createDataFrame([(start, None, 0, [start])], "node string, parent string, distance int, trail array<string>"))
+    edges = by_source(edges.select("src", "dst").distinct())
+    level = spool(spark.createDataFrame([(start, None, 0, 0)], "node string, parent string, distance int, place long"))
     done, depth = [level], 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        step = level.join(edges, level["node"] == edges["src"]).groupBy("dst").agg(F.min("trail").alias("via"))
-        fresh = step.withColumnRenamed("dst", "node").join(_union(done).select("node"), "node", "left_anti")
-        level = spool(fresh.select("node", F.element_at("via", -1).alias("parent"), F.lit(depth).alias("distance"), F.concat("via", F.array("node")).alias("trail")))
+        step = level.join(edges, level["node"] == edges["src"]).groupBy(F.col("dst").alias("node")).agg(F.min(F.struct("place", F.col("src").alias("parent"))).alias("via"))
+        for seen in done:
+            step = step.join(seen.select("node"), "node", "left_anti")
+        # Numbers given after a global sort rise with it: the partition is their leading part.
+        placed = step.orderBy("via.place", "node").select("node", "via.parent", F.lit(depth).alias("distance"), F.monotonically_increasing_id().alias("place"))
+        level = spool(placed)
         if level.isEmpty():
+            drop_spool(level)
             break
         done.append(level)
         if goal is not None and not level.where(F.col("node") == goal).isEmpty():
             break
         if len(done) > MERGE:
-            done = [spool(_union(done))]
+            merged = spool(_union(done[:-1]))
+            for old in done[:-1]:
+                drop_spool(old)
+            done = [merged, level]
+    drop_spool(edges)
     return _union(done).where("distance > 0")
 
 
-def reach_counts(edges: DataFrame, seeds_at_once: int = 1_000_000) -> DataFrame:
+def paths(parents: DataFrame, targets: DataFrame) -> DataFrame:
+    """target, up, node: the way from each target to its root, up hops above it (0 for the target itself).
+
+    parents: node, parent, without cycles; targets: target. Ways grow by doubling: the part known is followed by itself, seen from its upper end,
+    over jumps of twice the length, so rounds are logarithmic in the longest way.
+    """
+    jump = spool_sorted(parents.select("node", "parent"), "node")
+    known = spool(targets.select("target", F.lit(0).alias("up"), F.col("target").alias("node")))
+    hops = 1
+    while True:
+        more = spool(known.join(jump, "node").select("target", (F.col("up") + hops).alias("up"), F.col("parent").alias("node")))
+        if more.isEmpty():
+            drop_spool(more)
+            drop_spool(jump)
+            return known
+        grown = spool(known.unionByName(more))
+        drop_spool(known)
+        drop_spool(more)
+        upper = jump.select(F.col("node").alias("parent"), F.col("parent").alias("far"))
+        longer = spool_sorted(jump.join(upper, "parent").select("node", F.col("far").alias("parent")), "node")
+        drop_spool(jump)
+        known, jump, hops = grown, longer, 2 * hops
+
+
+def trails(parents: DataFrame, targets: DataFrame) -> DataFrame:
+    """target, trail: the nodes from the root down to each target."""
+    steps = paths(parents, targets).groupBy("target").agg(F.sort_array(F.collect_list(F.struct("up", "node")), asc=False).alias("s"))
+    return steps.select("target", F.col("s.node").alias("trail"))
+
+
+def nearest(edges: DataFrame, goals: DataFrame) -> DataFrame:
+    """node, distance, rank, next: hops from each node to the nearest goal, and the least by name of the neighbours from which it is one hop less.
+
+    edges: src, dst, rank; goals: node. rank is the worst edge on the way by next. Following next gives the first of the shortest ways, in the order in which a search from the node
+    would visit them; goals have distance 0 and no next.
+    """
+    back = spool_sorted(edges.groupBy("src", "dst").agg(F.min("rank").alias("erank")), "dst")
+    kind = edges.schema["src"].dataType.simpleString()
+    level = spool_sorted(goals.select("node").distinct().select("node", F.lit(0).alias("distance"), F.lit(0).alias("rank"), F.lit(None).cast(kind).alias("next")), "node")
+    done, depth = [level], 0
+    while True:
+        depth += 1
+        met = level.select(F.col("node").alias("dst"), "rank").join(back, "dst")
+        step = met.groupBy(F.col("src").alias("node")).agg(F.min(F.struct("dst", F.greatest("rank", "erank").alias("r"))).alias("x"))
+        for seen in done:
+            step = step.join(seen.select("node"), "node", "left_anti")
+        level = spool_sorted(step.select("node", F.lit(depth).alias("distance"), F.col("x.r").alias("rank"), F.col("x.dst").alias("next")), "node")
+        if level.isEmpty():
+            drop_spool(level)
+            drop_spool(back)
+            return _union(done)
+        done.append(level)
+        if len(done) > MERGE:
+            merged = spool_sorted(_union(done[:-1]), "node")
+            for old in done[:-1]:
+                drop_spool(old)
+            done = [merged, level]
+
+
+WORD = 64  # nodes a mask counts
+
+
+def reach_counts(edges: DataFrame, words_at_once: int = 1 << 16, hops: int = 6) -> DataFrame:
     """node, reached: how many nodes a path of one edge or more leads to from each node that has an edge; a node in a cycle counts itself.
 
-    Seeds are taken in batches by hash, of about ``seeds_at_once``; a batch's pairs are counted and dropped before the next one.
+    All nodes are reached at once, 64 in a mask: a row (node, word, mask) says which of the word's nodes can be reached. A hop passes masks from
+    the ends of edges to their starts and joins them by OR; ``hops`` of them are planned at once until no bit is new. Numbers follow what nodes have in
+    common (the least node that reaches them in a few hops), so a node's reach falls into few words. Words are taken in batches of
+    ``words_at_once``, whose bits are counted and dropped before the next batch. No row is a pair of nodes.
     """
-    edges = spool(edges.select("src", "dst").distinct())
-    seeds = spool(edges.select(F.col("src").alias("seed")).distinct())
-    batches = -(-seeds.count() // seeds_at_once)
+    pairs = spool(edges.select("src", "dst").distinct())
+    ends = spool(pairs.select(F.col("dst").alias("node")).distinct())
+    kin = spread(ends.withColumn("value", F.col("node")), pairs.join(ends.withColumnRenamed("node", "src"), "src", "left_semi"), hops, rounds=1)
+    numbered = spool(ordinals(kin, "value", "node").select(F.col("node").alias("dst"), (F.col("ordinal") - 1).alias("at")))
+    words = -(-numbered.count() // WORD)
+    bit = F.expr(f"shiftleft(1L, CAST(at % {WORD} AS INT))")
+    first = spool(pairs.join(numbered, "dst").groupBy(F.col("src").alias("node"), F.floor(F.col("at") / WORD).alias("word")).agg(F.bit_or(bit).alias("mask")))
+    inner = pairs.join(pairs.select("src").distinct().withColumnRenamed("src", "dst"), "dst", "left_semi")  # the other ends have nothing to pass on
+    starts = pairs.select("src").distinct()
+    back = spool_sorted(inner.unionByName(starts.select(F.col("src").alias("dst"), "src")).distinct(), "dst")
     parts = []
-    for i in range(batches):
-        own = seeds.where(F.pmod(F.xxhash64("seed"), F.lit(batches)) == i)
-        # The first hop is the seed's own, so that a seed is reached only around a cycle.
-        hop = own.join(edges, own["seed"] == edges["src"]).select("seed", F.col("dst").alias("node"))
-        found = bfs(edges, hop).select("seed", "node")
-        counted = spool(found.groupBy(F.col("seed").alias("node")).agg(F.count("*").alias("reached")))
-        drop_spool(found)
-        parts.append(counted)
-    return _union(parts) if parts else seeds.select(F.col("seed").alias("node"), F.lit(0).cast("long").alias("reached"))
+    for low in range(0, words, words_at_once):
+        state = first.where(F.col("word").between(low, low + words_at_once - 1))
+        bits = -1
+        while True:
+            for _ in range(hops):
+                state = state.join(back, state["node"] == back["dst"]).groupBy(F.col("src").alias("node"), "word").agg(F.bit_or("mask").alias("mask"))
+            new = spool(state)
+            now = new.agg(F.sum(F.bit_count("mask"))).first()[0] or 0
+            if bits >= 0:
+                drop_spool(old)
+            old = state = new
+            if now == bits:
+                break
+            bits = now
+        parts.append(spool(state.groupBy("node").agg(F.sum(F.bit_count("mask")).alias("reached"))))
+        drop_spool(state)
+    for table in (pairs, ends, numbered, first, back):
+        drop_spool(table)
+    if not parts:
+        return edges.sparkSession.createDataFrame([], StructType([StructField("node", edges.schema["src"].dataType), StructField("reached", LongType())]))
+    return _union(parts).groupBy("node").agg(F.sum("reached").alias("reached")) if len(parts) > 1 else parts[0]
 
 
 def ordinals(df: DataFrame, *order: str) -> DataFrame:
@@ -144,22 +245,26 @@ def ordinals(df: DataFrame, *order: str) -> DataFrame:
     return placed.join(F.broadcast(table), "_part").withColumn("ordinal", F.col("_id") + F.col("offset")).drop("_part", "_id", "offset")
 
 
-def spread(values: DataFrame, edges: DataFrame, hops: int = 6) -> DataFrame:
+def spread(values: DataFrame, edges: DataFrame, hops: int = 6, rounds: int | None = None) -> DataFrame:
     """node, value: the least value among the nodes that reach each node, its own included.
 
     ``hops`` joins are planned at once, so a fixed point takes a sixth of the tables that single levels would. Every node
-    has an edge to itself for the time, so that a hop uses the last one's result only once.
+    has an edge to itself for the time, so that a hop uses the last one's result only once. ``rounds`` ends it before the fixed point.
     """
     values = spool(values)
-    edges = spool(edges.select("src", "dst").unionByName(values.select(F.col("node").alias("src"), F.col("node").alias("dst"))))
+    edges = by_source(edges.select("src", "dst").unionByName(values.select(F.col("node").alias("src"), F.col("node").alias("dst"))))
+    done = 0
     while True:
         new = values
         for _ in range(hops):
             new = new.join(edges, new["node"] == edges["src"]).groupBy(F.col("dst").alias("node")).agg(F.min("value").alias("value"))
         new = spool(new)
-        same = new.withColumnRenamed("value", "v2").join(values, "node").where("v2 < value").isEmpty()
+        done += 1
+        same = done == rounds or new.withColumnRenamed("value", "v2").join(values, "node").where("v2 < value").isEmpty()
+        drop_spool(values)
         values = new
         if same:
+            drop_spool(edges)
             return values
 
 

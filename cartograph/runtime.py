@@ -93,3 +93,9 @@ def drop_spool(df: DataFrame) -> None:
     """Deletes a table written by spool() once nothing lazy reads it any more."""
     if path := getattr(df, "_spool_path", None):
         remove(df.sparkSession, path)
+
+
+def spooled(df: DataFrame) -> bool:
+    """Whether a table written by spool() still lies where it was written."""
+    target, fs = _file_system(df.sparkSession, df._spool_path)
+    return fs.exists(target)

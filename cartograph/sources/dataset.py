@@ -9,11 +9,14 @@ can share them; every operator above them is written on DataFrames.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cartograph.runtime import spool, spooled
+
 #: 2001-08-02, a fixed "now" for operators with a time window.
 NOW = 996_710_400
 
@@ -103,23 +106,67 @@ class Graph:
     churn: DataFrame
 
 
+class Stored(Graph):
+    """A graph whose tables are computed when first asked for, written once in the shared folder, and read from there after that."""
+
+    def __init__(self, makers: dict[str, Callable[[], DataFrame]]) -> None:
+        self.__dict__["_makers"] = makers
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("__") or name not in self.__dict__.get("_makers", {}):
+            raise AttributeError(name)
+        self.__dict__[name] = found = spool(self._makers[name]())
+        return found
+
+    @property
+    def files(self) -> DataFrame:
+        return self.keyed.drop("file_key")
+
+    @property
+    def file_edges(self) -> DataFrame:
+        return self.edges.drop("s", "d")
+
+
+_STORED: dict[tuple, Stored] = {}
+
+
+def stamps(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, sizes and times of the files that a graph is made of."""
+    found = []
+    for name in ("orders", "lineitem", "part"):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        one = fs.getFileStatus(path)
+        each = fs.listStatus(path) if one.isDirectory() else [one]
+        found += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in each]
+    return tuple(found)
+
+
 def load(spark: SparkSession, sf_dir: str) -> Graph:
+    """The code graph of the tables in a folder, indexed once a session and kept as long as the tables don't change."""
+    key = (spark.sparkContext.applicationId, sf_dir, stamps(spark, sf_dir))
+    if key not in _STORED or not all(spooled(df) for df in vars(_STORED[key]).values() if isinstance(df, DataFrame)):
+        _STORED[key] = build(spark, sf_dir)
+    return _STORED[key]
+
+
+def build(spark: SparkSession, sf_dir: str) -> Graph:
     orders, lineitem, part = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("orders", "lineitem", "part"))
 
     def run(sql: str, **tables: DataFrame) -> DataFrame:
         return spark.sql(sql.replace("{day}", DAY["spark"]), **{k: v for k, v in tables.items() if "{" + k + "}" in sql})
 
-    keyed = run(FILE_SQL, orders=orders, part=part)
-    following, ranked = run(NEXT_SQL, orders=orders), run(RANKED_SQL, lineitem=lineitem)
-    edges = run(EDGE_SQL, following=following, lineitem=lineitem, files=keyed)
-    return Graph(
-        files=keyed.drop("file_key"),
-        imports=run(IMPORT_SQL, edges=edges, files=keyed),
-        file_edges=edges.drop("s", "d"),
-        symbols=run(SYMBOL_SQL, ranked=ranked, files=keyed),
-        symbol_edges=run(CALL_SQL, ranked=ranked, files=keyed, following=following),
-        churn=run(CHURN_SQL, orders=orders, lineitem=lineitem, files=keyed),
-    )
+    own = Stored({
+        "keyed": lambda: run(FILE_SQL, orders=orders, part=part),
+        "following": lambda: run(NEXT_SQL, orders=orders),
+        "ranked": lambda: run(RANKED_SQL, lineitem=lineitem),
+        "edges": lambda: run(EDGE_SQL, following=own.following, lineitem=lineitem, files=own.keyed),
+        "imports": lambda: run(IMPORT_SQL, edges=own.edges, files=own.keyed),
+        "symbols": lambda: run(SYMBOL_SQL, ranked=own.ranked, files=own.keyed),
+        "symbol_edges": lambda: run(CALL_SQL, ranked=own.ranked, files=own.keyed, following=own.following),
+        "churn": lambda: run(CHURN_SQL, orders=orders, lineitem=lineitem, files=own.keyed),
+    })
+    return own
 
 
 def edge_keys(path: str):
