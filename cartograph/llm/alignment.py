@@ -1,7 +1,7 @@
 """Alignment of two tokenizers over a corpus: which tokens of one stand where tokens of the other do.
 
 Each text is tokenized by both. A string with one label a byte says what ends there: nothing, a token of A, one of B, or both. A
-regular expression cuts that string after each both-label; the labels of a span count the tokens of its group, and as groups are in order, the counts alone
+regular expression cuts that string after each both-label (runs of these are runs of groups with one token each); the labels of a span count the tokens of its group, and as groups are in order, the counts alone
 tell which tokens they are. All pairs of an A and a B token of one group are linked.
 
 A document's distinct linked id pairs, with how many links each has, are written once. Counting them gives the number of documents that hold a
@@ -17,6 +17,7 @@ distinct pairs, not its token pairs. Other columns of the input are carried alon
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from cartograph.llm.expr import carried
-from cartograph.llm.tokens import byte_names
+from cartograph.llm.tokens import PIECES, byte_names
 from cartograph.runtime import spool
 
 PIECE = 1 << 16  # characters of a text from which it is cut
@@ -37,7 +38,9 @@ SAFE = re.compile(r"(?<=[!-~]) (?=[!-~])")
 BROADCAST = 2_000_000  # pairs up to which their counts are broadcast: 20 bytes each
 WIDE = 1 << 14  # token pairs in a group from which they are made of distinct ids
 NONE, A_END, B_END, BOTH = b"nabx"
-GROUP = re.compile(rb"[^x]*x")
+GROUP = re.compile(rb"x+|[^x]+x")  # over the labels of token ends: a run of groups of one token each, or one larger group
+#: Where the fast encoder isn't trusted to cut texts as the library does: scripts that still gain letters, and very long blanks.
+LATE = re.compile("[\u0530-\U0010ffff]|\\s{1000}")
 RESULT = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 
 
@@ -53,6 +56,7 @@ class Pair:
         self.a.encode_special_tokens = True
         self.a.no_truncation()
         self.a.no_padding()
+        self.fast = ranked(a_file)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_file)
         alphabet = byte_names()
         size = self.a.get_vocab_size(with_added_tokens=True)
@@ -66,8 +70,9 @@ class Pair:
             self.b_bytes.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
         self.a_len = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_len = np.array([len(x) for x in self.b_bytes], np.int64)
-        self.a_text = [str(i) for i in range(size)]
-        self.b_text = [str(i) for i in range(len(self.b_bytes))]
+        #: The ids in decimal, each followed by what may follow it: first all A ids in a group, then its last A id, then the same for B.
+        ids = [range(size), range(size), range(len(self.b_bytes)), range(len(self.b_bytes))]
+        self.text = [f"{i}{mark}" for part, mark in zip(ids, ",|,;", strict=True) for i in part]
         #: Pieces may be cut before a space only if no entry of B runs across one.
         self.cuts = not any(b" " in x.lstrip(b" ") for x in self.b_bytes)
 
@@ -85,9 +90,28 @@ class Pair:
         return [*out, text[at:]]
 
     def encode(self, parts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        a = [np.array(e.ids, np.int64) for e in self.a.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)]
-        b = [np.array(ids, np.int64) for ids in self.b.encode(parts, num_threads=1)]
-        return a, b
+        a: list = [None if self.fast is None or LATE.search(p) else self.fast.encode_ordinary(" " + p) for p in parts]
+        late = [i for i, ids in enumerate(a) if ids is None]
+        for i, e in zip(late, self.a.encode_batch_fast([" " + parts[i] for i in late], add_special_tokens=False), strict=True):
+            a[i] = e.ids
+        b = self.b.encode(parts, num_threads=1)
+        return [np.array(ids, np.int64) for ids in a], [np.array(ids, np.int64) for ids in b]
+
+
+def ranked(a_file: str):
+    """A faster encoder of the same vocabulary, or null where the file says more than ids in order of merging."""
+    import tiktoken
+
+    with open(a_file, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, cut = spec["model"], spec["pre_tokenizer"] or {}
+    plain = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False, "ignore_merges": False}
+    whole = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex") and spec["normalizer"] is None
+    merged = [model["vocab"].get("".join(m.split(" ") if isinstance(m, str) else m)) for m in model["merges"]]
+    if not whole or any(model.get(k, v) != v for k, v in plain.items()) or merged != list(range(256, 256 + len(merged))) or len(model["vocab"]) != 256 + len(merged):
+        return None
+    alphabet = byte_names()
+    return tiktoken.Encoding("ranked", pat_str=PIECES, mergeable_ranks={bytes(alphabet[c] for c in entry): i for entry, i in model["vocab"].items()}, special_tokens={})
 
 
 @lru_cache(maxsize=2)
@@ -95,25 +119,15 @@ def pair(a_file: str, b_file: str) -> Pair:
     return Pair(a_file, b_file)
 
 
-class SpanCounts(dict):
-    """Label string of a span to its numbers of A and B tokens."""
-
-    def __missing__(self, span: bytes) -> tuple[int, int]:
-        found = span.count(b"a") + 1, span.count(b"b") + 1
-        if len(span) < 32:
-            self[span] = found
-        return found
-
-
-def groups(a_len: np.ndarray, b_len: np.ndarray, seen: SpanCounts) -> tuple[np.ndarray, np.ndarray]:
+def groups(a_len: np.ndarray, b_len: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The numbers of A and B tokens of each group, from the lengths in bytes of a text's tokens."""
     labels = np.full(int(a_len.sum()), NONE, np.uint8)
     labels[np.cumsum(a_len) - 1] = A_END
     ends = np.cumsum(b_len) - 1
     labels[ends] = np.where(labels[ends] == A_END, BOTH, B_END)
-    spans = [seen[s] for s in GROUP.findall(labels.tobytes())]
-    counts = np.array(spans, np.int64)
-    return counts[:, 0], counts[:, 1]
+    spans = GROUP.findall(labels.tobytes().translate(None, b"n"))
+    counts = np.array([(len(s), 1, 1) if s[0] == BOTH else (1, s.count(b"a") + 1, s.count(b"b") + 1) for s in spans], np.int64)
+    return np.repeat(counts[:, 1], counts[:, 0]), np.repeat(counts[:, 2], counts[:, 0])
 
 
 def links(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,20 +157,20 @@ def links(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple
     return found, count
 
 
-def digest(a: list[str], b: list[str], na: np.ndarray, nb: np.ndarray) -> str:
+def digest(ia: np.ndarray, ib: np.ndarray, na: np.ndarray, nb: np.ndarray, p: Pair) -> str:
     """SHA-256 of the groups' ids, A before B, in order."""
-    out, i, j = [], 0, 0
-    for x, y in zip(na.tolist(), nb.tolist(), strict=True):
-        if x == 1 == y:
-            out.append(f"{a[i]}|{b[j]}")
-        else:
-            out.append(f"{','.join(a[i : i + x])}|{','.join(b[j : j + y])}")
-        i += x
-        j += y
-    return hashlib.sha256(";".join(out).encode()).hexdigest()
-
-
-def align(texts: list[str | None], p: Pair, seen: SpanCounts) -> list[tuple]:
+    ends_a, ends_b = np.cumsum(na), np.cumsum(nb)
+    last_a, last_b = np.zeros(len(ia), np.int64), np.zeros(len(ib), np.int64)
+    last_a[ends_a - 1] = len(p.a_bytes)
+    last_b[ends_b - 1] = len(p.b_bytes)
+    order = np.empty(len(ia) + len(ib), np.int64)
+    order[np.arange(len(ia)) + np.repeat(ends_b - nb, na)] = ia + last_a
+    order[np.arange(len(ib)) + np.repeat(ends_a, nb)] = ib + last_b + 2 * len(p.a_bytes)
+    text = p.text
+    return hashlib.sha256("".join([text[i] for i in order.tolist()])[:-1].encode()).hexdigest()
+
+
+def align(texts: list[str | None], p: Pair) -> list[tuple]:
     """(n_a, n_b, n_groups, n_links, pairs, times, sha256) of each text."""
     parts = [p.pieces(t) if t else [] for t in texts]
     a, b = p.encode([x for ps in parts for x in ps]) if any(parts) else ([], [])
@@ -168,9 +182,9 @@ def align(texts: list[str | None], p: Pair, seen: SpanCounts) -> list[tuple]:
         if text:
             ia, ib, whole = np.concatenate(own_a), np.concatenate(own_b), (" " + text).encode()
             if b"".join([p.a_bytes[i] for i in ia.tolist()]) == whole == b"".join([p.b_bytes[i] for i in ib.tolist()]):
-                na, nb = groups(p.a_len[ia], p.b_len[ib], seen)
+                na, nb = groups(p.a_len[ia], p.b_len[ib])
                 keys, times = links(ia, ib, na, nb)
-                sha = digest([p.a_text[i] for i in ia.tolist()], [p.b_text[i] for i in ib.tolist()], na, nb)
+                sha = digest(ia, ib, na, nb, p)
                 out.append((len(ia), len(ib), len(na), int((na * nb).sum()), keys, times, sha))
                 continue
         out.append((0, 0, 0, 0, none, none, ""))
@@ -186,11 +200,11 @@ def aligned(docs: DataFrame, text: str, a_file: str, b_file: str) -> DataFrame:
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, seen = pair(a_file, b_file), SpanCounts()
+        p = pair(a_file, b_file)
         for batch in batches:
             for at, length in slices(batch.column("__text")):
                 part = batch.slice(at, length)
-                found = align(part.column("__text").to_pylist(), p, seen)
+                found = align(part.column("__text").to_pylist(), p)
                 offsets = np.zeros(len(found) + 1, np.int32)
                 np.cumsum([len(x[4]) for x in found], out=offsets[1:])
                 lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([x[i] for x in found]))) for i in (4, 5)]

@@ -232,11 +232,11 @@ def test_alignment_equals_plain_groups(spark, monkeypatch, piece, wide, broadcas
     monkeypatch.setattr(alignment, "BROADCAST", broadcast)
     rows = alignment_rows()
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, n_a string").repartition(3)
-    p, seen = alignment.pair(A_FILE, B_FILE), alignment.SpanCounts()
+    p = alignment.pair(A_FILE, B_FILE)
     monkeypatch.setattr(alignment, "PIECE", piece)
     monkeypatch.setattr(alignment, "WIDE", wide)
     want = expected_alignment(rows)
-    local = alignment.align([t for _, t in rows], p, seen)  # with the lowered bounds, which Python workers don't see
+    local = alignment.align([t for _, t in rows], p)  # with the lowered bounds, which Python workers don't see
     assert [(x[0], x[1], x[2], x[3], x[6]) for x in local] == [(w[1], w[2], w[3], w[4], w[7]) for w in want]
     assert all(sum(x[5].tolist()) == x[3] for x in local)
     out = alignment.align_tokenizers(df, A_FILE, B_FILE)
@@ -248,3 +248,14 @@ def test_alignment_of_an_empty_table(spark):
     assert alignment.align_tokenizers(spark.createDataFrame([], "doc_id string, text string"), A_FILE, B_FILE).count() == 0
     ids = alignment.align_tokenizers(spark.createDataFrame([("a", "x y"), (None, None)], "doc_id string, text string"), A_FILE, B_FILE).orderBy(F.desc("doc_id")).collect()
     assert ids[0]["doc_id"] == "a" and ids[0]["n_groups"] == 2 and ids[1]["n_a"] == 0
+
+
+def test_the_fast_encoder_cuts_like_the_library():
+    from tokenizers import Tokenizer
+
+    a, p = Tokenizer.from_file(A_FILE), alignment.pair(A_FILE, B_FILE)
+    a.encode_special_tokens = True
+    rng = random.Random(3)
+    early = [chr(i) for i in range(0x530)]
+    texts = ["".join(early)] + ["".join(rng.choice(early + [" "] * 300 + ["'s", "\n"] * 60) for _ in range(200)) for _ in range(60)] + [" " * 3000, "x" * 3000, "\n \t" * 5000, "日本 " * 50]
+    assert p.fast is not None and [x.tolist() for x in p.encode(texts)[0]] == [a.encode(" " + t, add_special_tokens=False).ids for t in texts]
