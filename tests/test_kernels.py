@@ -1,5 +1,9 @@
 import random
 
+import pytest
+
+from pyspark.sql import functions as F
+
 from cartograph.plans import kernels
 
 
@@ -63,5 +67,58 @@ def test_closure_and_scc_against_plain_search(spark):
 
 def test_tree_parents_follow_visiting_order(spark):
     e = graph(spark, [("a", "c"), ("a", "b"), ("b", "d"), ("c", "d"), ("d", "a")])
-    got = {r["node"]: (r["parent"], r["distance"], r["trail"]) for r in kernels.bfs_tree(e, "a").collect()}
-    assert got == {"b": ("a", 1, ["a", "b"]), "c": ("a", 1, ["a", "c"]), "d": ("b", 2, ["a", "b", "d"])}
+    tree = kernels.bfs_tree(e, "a")
+    got = {r["node"]: (r["parent"], r["distance"]) for r in tree.collect()}
+    assert got == {"b": ("a", 1), "c": ("a", 1), "d": ("b", 2)}
+    ways = {r["target"]: r["trail"] for r in kernels.trails(tree, tree.select(F.col("node").alias("target"))).collect()}
+    assert ways == {"b": ["a", "b"], "c": ["a", "c"], "d": ["a", "b", "d"]}
+
+
+def plain_tree(pairs, start):
+    """First trails in the order of a queue with children by name."""
+    trail, queue = {start: [start]}, [start]
+    for x in queue:
+        for b in sorted({b for a, b in pairs if a == x}):
+            if b not in trail:
+                trail[b] = [*trail[x], b]
+                queue.append(b)
+    return trail, queue
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_trails_and_visiting_order_of_a_long_graph(spark, seed):
+    pairs = random_pairs(60, 75, seed) + [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(0, 50, 2)]
+    want, queue = plain_tree(pairs, "n00")
+    tree = kernels.bfs_tree(graph(spark, pairs), "n00")
+    rows = tree.collect()
+    assert [r["node"] for r in sorted(rows, key=lambda r: (r["distance"], r["place"]))] == queue[1:]
+    ways = {r["target"]: r["trail"] for r in kernels.trails(tree, tree.select(F.col("node").alias("target"))).collect()}
+    assert ways == {k: v for k, v in want.items() if k != "n00"} and max(map(len, ways.values())) > 5
+
+
+def test_next_steps_to_the_nearest_goal(spark):
+    pairs = random_pairs(40, 70, 6)
+    rank = {p: i % 4 for i, p in enumerate(pairs)}
+    e = spark.createDataFrame([(a, b, rank[a, b]) for a, b in pairs], "src string, dst string, rank int")
+    goals = ["n03", "n17"]
+    found = kernels.nearest(e, spark.createDataFrame([(x,) for x in goals], "node string"))
+    got = {r["node"]: r for r in found.collect()}
+    ways = {r["target"]: [x["node"] for x in sorted(r["s"])] for r in kernels.paths(found.where("next is not null").select("node", F.col("next").alias("parent")), found.select(F.col("node").alias("target"))).groupBy("target").agg(F.collect_list(F.struct("up", "node")).alias("s")).collect()}
+    for start in sorted({x for p in pairs for x in p}):
+        trail, _ = plain_tree(pairs, start)
+        first = next(([*trail[g]] for g in plain_tree(pairs, start)[1] if g in goals), None)
+        if first is None:
+            assert start not in got
+            continue
+        assert (ways[start], got[start]["distance"]) == (first, len(first) - 1)
+        assert got[start]["rank"] == max([rank[p] for p in zip(first, first[1:])], default=0)
+
+
+@pytest.mark.parametrize("words", [1, 1 << 16])
+def test_reach_counts_by_masks(spark, words):
+    pairs = random_pairs(99, 130, 7) + [(f"chain{i:03d}", f"chain{i + 1:03d}") for i in range(80)]
+    names = {x for p in pairs for x in p}
+    after = {a: {m for b in {y for x, y in pairs if x == a} for m in plain_bfs(pairs, b)} for a in names}
+    got = {r["node"]: r["reached"] for r in kernels.reach_counts(graph(spark, pairs), words).collect()}
+    assert got == {a: len(s) for a, s in after.items() if s}
+    assert kernels.reach_counts(graph(spark, pairs).limit(0)).count() == 0

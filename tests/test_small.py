@@ -88,3 +88,38 @@ def test_names_and_candidates():
     assert tree.rust_candidates("src/a.rs", "serde::Serialize") == ("external", [], "serde")
     assert "src/x/index.ts" in tree.alias_targets("@/x", {"baseUrl": ".", "paths": {"@/*": ["src/*"]}})
     assert tree.commonjs_names("module.exports = {a, b: c}") == ["a", "b"]
+
+
+# Expected messages of the pipe language and of the configuration.
+QUERIES = {
+    "": "query expression cannot be empty", 'file "a" | ': "query expression contains an empty pipeline segment", 'file "a': "query expression contains an unterminated quoted string",
+    'file "a" | .deps_transitive(x)': "query step `.deps_transitive` expects an optional non-negative integer depth", "let = all-files": "let bindings must use `let <name> = <expr>`",
+    'file "a" | .symbols(public_only=true, public_only=true)': "query step `.symbols` received duplicate `public_only` arguments", 'file "a|b" | .deps | unique | count': "ok",
+    'symbol "a" | .deps': "query step `.deps` cannot be applied to symbols", 'file "a" | .callers': "query step `.callers` cannot be applied to files", "all-files | count | .deps": "query step `.deps` cannot be applied to number",
+    "all-files | count | unique | count": "ok", 'symbol "a" | .callers | .deps': "ok", "all-symbols | .symbols": "query step `.symbols` cannot be applied to symbols",
+}
+CONFIGS = {
+    '[[layer]]\nname = "a"\npattern = "x"\n[[layer]]\nname = "a"\npattern = "y"': "duplicate layer name: a", '[[layer]]\nname = "a"\npattern = "x"\n[[rule]]\nfrom = "a"\nmay_not_import = ["b"]': "rule names an unknown layer: b",
+    '[[gate]]\nmetric = "cycles"': "gate cycles has no bound", '[[gate]]\nmetric = "speed"\nmax = 1.0': "unknown gate metric: speed", '[[gate]]\nmetric = "cycles"\nmin = 2.0\nmax = 1.0': "gate cycles has min above max",
+    '[[capability]]\nname = "c"': "capability c needs a pattern or symbols", '[[layer]]\nname = "a"\npattern = "x[y"': "not a path pattern: 'x[y'", '[[entry_point]]\npattern = "src/**"': "ok",
+}
+
+
+@pytest.mark.parametrize(("text", "outcome"), QUERIES.items())
+def test_messages_of_the_pipe_language(text, outcome):
+    kinds = {"file": "files", "all-files": "files", "symbol": "symbols", "all-symbols": "symbols"}
+    try:
+        q = dsl.parse(text)
+        dsl.check(kinds[q.source[0]], q.steps)
+        assert outcome == "ok"
+    except dsl.QueryError as e:
+        assert str(e) == outcome
+
+
+@pytest.mark.parametrize(("text", "outcome"), CONFIGS.items())
+def test_messages_of_the_configuration(text, outcome):
+    try:
+        parse_config(text)
+        assert outcome == "ok"
+    except ValueError as e:
+        assert str(e) == outcome
