@@ -11,7 +11,9 @@ is verified by the exact Jaccard similarity of the word 5-shingle sets. Texts th
    that no other document has come first and meet nobody; documents that hold too many have no prefix left. What remains are short lists of rare shingles, with the number of shingles behind each.
 3. Rounds of stars: each document is compared with the centre of the group of its rarest shingle, and what is verified is merged. The first round's centres are the documents with the fewest
    shingles of their own, which in a group of edited copies is the text they stem from; later rounds draw them by hash.
-4. All pairs of unlike components that share a prefix shingle and pass the bounds on sizes and places, without a cap: per shingle, documents outside its largest component against all.
+4. All pairs of unlike components that share a prefix shingle and pass the bounds on sizes, places and parities, without a cap: per shingle, documents outside its largest component against all.
+   A parity bitmap has a bit for how many shingles fall on it, modulo two; two bitmaps differ in at most as many bits as the sets differ in shingles, so a count of differing bits refutes a pair exactly. 512 bits are compared
+   inside the join, where refuted pairs cost no row; wider ones, of at least 1.25 bits a shingle, before any text is fetched. What is left is verified on texts.
 
 Rows of the table stay in the order of their group: the least (doc_id, then text hash) document of each component stays, null ids first. Null and blank texts are copies of one another. Repeated rows are copies:
 one stays. Very long texts cost time and memory in proportion to their length; an empty table gives an empty table; all columns pass through, whatever their names.
@@ -162,6 +164,56 @@ def relabelled(nodes: DataFrame, found: DataFrame) -> DataFrame:
     return out
 
 
+NARROW, WIDEST = 512, 1 << 16  # bits of the parity bitmaps
+PARITY = [f"p{i}" for i in range(NARROW // 64)]
+
+
+def fold(bitmap: np.ndarray, size: int) -> np.ndarray:
+    """A parity bitmap (bytes) of fewer bits, both powers of two."""
+    return np.bitwise_xor.reduce(bitmap.reshape(-1, size // 8), axis=0)
+
+
+def parity(keys: np.ndarray) -> np.ndarray:
+    """Bytes of the parity bitmap of distinct shingle hashes; its size follows their number."""
+    bits = NARROW
+    while bits < min(1.25 * len(keys), WIDEST):
+        bits *= 2
+    return np.packbits((np.bincount((keys & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little")
+
+
+def parities(texts: DataFrame) -> DataFrame:
+    """node, size (shingles), p0 to p7 (512 bits), wide."""
+    kind = texts.schema["node"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t) for t in unpack(b.column(1))]
+            wide = [parity(s) for s in sets]
+            narrow = np.array([fold(w, NARROW).view(np.int64) for w in wide]).reshape(-1, len(PARITY))
+            columns = [pa.array(narrow[:, i].copy()) for i in range(len(PARITY))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int32()), *columns, pa.array([w.tobytes() for w in wide], pa.binary())], ["node", "size", *PARITY, "wide"])
+
+    return texts.select("node", "t").mapInArrow(run, f"node {kind}, size int, " + ", ".join(f"{c} long" for c in PARITY) + ", wide binary")
+
+
+def unrefuted(pairs: DataFrame, bitmaps: DataFrame, threshold: float) -> DataFrame:
+    """The pairs a, b whose wide bitmaps don't show them to be less similar than the threshold."""
+    kind = bitmaps.schema["node"].dataType.simpleString()
+    share = threshold / (1 + threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for m, n, x, y in zip(*(b.column(c).to_pylist() for c in ("ma", "mb", "wa", "wb")), strict=True):
+                size = 8 * min(len(x), len(y))
+                differ = fold(np.frombuffer(x, np.uint8), size) ^ fold(np.frombuffer(y, np.uint8), size)
+                keep.append(int(np.bitwise_count(differ).sum()) <= (m + n) * (1 - 2 * share) + 1e-6)
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    ends = [bitmaps.select(F.col("node").alias(x), F.col("size").alias(f"m{x}"), F.col("wide").alias(f"w{x}")) for x in "ab"]
+    return pairs.join(ends[0], "a").join(ends[1], "b").select("a", "b", "ma", "mb", "wa", "wb").mapInArrow(run, f"a {kind}, b {kind}")
+
+
 def alike(x: str, y: str, threshold: float):
     """Whether sets of x and y shingles can be as similar as the threshold."""
     return F.least(x, y) >= threshold * F.greatest(x, y) - 1e-9
@@ -177,24 +229,32 @@ def stars(rows: DataFrame, nodes: DataFrame, number: int, threshold: float) -> D
     return best.select(F.col("node").alias("a"), F.col("best.centre").alias("b"))
 
 
-def remaining(rows: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+def remaining(rows: DataFrame, nodes: DataFrame, bitmaps: DataFrame, threshold: float) -> DataFrame:
     """a, b: all pairs of nodes of unlike components that may be as similar as the threshold."""
     live = spool(rows.join(nodes, "node"))
     size = live.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("largest"), F.count("*").alias("roots")).where("roots > 1")
-    live = spool(live.join(size.select("key", "largest"), "key"))
+    open_rows = spool(live.join(size.select("key", "largest"), "key").join(bitmaps.select("node", *PARITY), "node"))
+    drop_spool(live)
     share = threshold / (1 + threshold)
-    a, b = (live.select("key", "largest", F.col("node").alias(x), F.col("root").alias(f"r{x}"), F.col("m").alias(f"m{x}"), F.col("rest").alias(f"s{x}")) for x in "ab")
-    may = alike("ma", "mb", threshold) & (F.least("sa", "sb") >= share * (F.col("ma") + F.col("mb")) - 1e-6) & (F.col("ra") != F.col("rb"))
+    a, b = (open_rows.select("key", "largest", F.col("node").alias(x), F.col("root").alias(f"r{x}"), F.col("m").alias(f"m{x}"), F.col("rest").alias(f"s{x}"), *[F.col(c).alias(c + x) for c in PARITY]) for x in "ab")
+    both = F.col("ma") + F.col("mb")
+    differ = functools.reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{c}a").bitwiseXOR(F.col(f"{c}b"))) for c in PARITY])
+    may = alike("ma", "mb", threshold) & (F.least("sa", "sb") >= share * both - 1e-6) & (F.col("ra") != F.col("rb")) & (differ <= both * (1 - 2 * share) + 1e-6)
     met = a.where("ra <> largest").drop("largest").join(b.drop("largest"), "key").where(may)
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = spool(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    drop_spool(open_rows)
+    return found
+
 
+def near_groups(docs: DataFrame, text: str = "text", threshold: float = 0.8, sample: bool = True) -> DataFrame:
+    """_id, _tx, keep, copies: the row key of each document's group's least document, and how many rows share its key.
 
-def near_groups(docs: DataFrame, text: str = "text", threshold: float = 0.8) -> DataFrame:
-    """_id, _tx, keep, copies: the row key of each document's group's least document, and how many rows share its key."""
+    Without ``sample`` no document is left out by the sample of step 1: the exact way, for several times the cost.
+    """
     marks = spool(mark(docs, text, threshold))
     classes = spool(marks.groupBy("d1", "d2").agg(F.min(F.struct("_id", "_tx")).alias("node"), F.first("fp").alias("fp"), F.first("m").alias("m"), F.first("own").alias("own"), F.first("more").alias("more")))
     full = classes.where("m > 0")
-    live = spool(seen_elsewhere(full))
+    live = spool(seen_elsewhere(full) if sample else full.select("node"))
     texts = spool(attach(packed(docs, text), live.select("node._id", "node._tx"), "left_semi", "shuffle_hash").select(F.struct("_id", "_tx").alias("node"), "t").dropDuplicates(["node"]))
 
     # Nodes of one fingerprint, and of fingerprints within the radius.
@@ -211,12 +271,16 @@ def near_groups(docs: DataFrame, text: str = "text", threshold: float = 0.8) ->
         if new.isEmpty():
             break
         nodes = relabelled(nodes, new)
-    new = spool(verified(texts, spool(remaining(rows, nodes, threshold)), threshold))
+        drop_spool(new)
+    bitmaps = spool(parities(texts))
+    pairs = remaining(rows, nodes, bitmaps, threshold)
+    left = spool(unrefuted(pairs, bitmaps, threshold))
+    new = spool(verified(texts, left, threshold))
     if not new.isEmpty():
         nodes = relabelled(nodes, new)
     group = classes.join(nodes.withColumnRenamed("node", "r"), F.col("node") == F.col("r"), "left").select("d1", "d2", F.coalesce("root", "node").alias("keep"))
     out = spool(marks.select("_id", "_tx", "d1", "d2").join(group, ["d1", "d2"]).groupBy("_id", "_tx").agg(F.min("keep").alias("keep"), F.count("*").alias("copies")))
-    for table in (marks, classes, texts, rows):
+    for table in (marks, classes, texts, rows, live, points, found, bitmaps, pairs, left, new, nodes):
         drop_spool(table)
     return out
 
