@@ -253,9 +253,22 @@ def spans(grams: DataFrame, templates: DataFrame, least: float = 0.8) -> DataFra
     return held.select(*doc, "hits").mapInArrow(verify, f"_id {kind}, _tx long, label string, template string, first_word int, last_word int, score double")
 
 
+def best_of_places(found: DataFrame) -> DataFrame:
+    """The spans that are the best, by score, then length, on at least half of their words.
+
+    Templates that differ in a version number match one place together; only the nearest one names its license. Equals stay.
+    """
+    span = ["_id", "_tx", "label", "template", "first_word", "last_word", "score"]
+    worth = F.struct("score", (F.col("last_word") - F.col("first_word")).alias("length"))
+    at = found.select(*span, worth.alias("worth"), F.explode(F.sequence("first_word", "last_word")).alias("at"))
+    best = at.withColumn("best", F.max("worth").over(Window.partitionBy("_id", "_tx", "at")))
+    won = best.groupBy(*span).agg(F.count_if(F.col("worth") == F.col("best")).alias("won"), F.count("*").alias("all"))
+    return won.where("2 * won >= all").select(*span)
+
+
 def license_labels(docs: DataFrame, text: str = "text", least: float = 0.8) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    verified = spans(gram_scan(docs, text), template_table(docs.sparkSession), least)
+    verified = best_of_places(spans(gram_scan(docs, text), template_table(docs.sparkSession), least))
     voted = verified.groupBy("_id", "_tx").agg(F.collect_set("label").alias("voted"), F.max("score").alias("top"))
     joined = attach(phrase_scan(docs, text), voted)
     labels = F.array_sort(F.array_distinct(F.concat(F.col("base"), F.coalesce(F.col("voted"), F.array().cast("array<string>")))))
