@@ -139,8 +139,8 @@ def settled(cells: DataFrame, wanted: DataFrame, passes: int = 64) -> DataFrame:
         drop_spool(cells)
         cells = new
         if not cells.agg(F.sum("changed")).first()[0]:
-            break
-    return cells
+            return cells
+    raise RuntimeError(f"copies still change after {passes} passes")
 
 
 def swapped(cells: DataFrame, wanted: DataFrame, reach: int = 8) -> DataFrame:
