@@ -40,7 +40,7 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.quality(documents(spark, sf_dir).select("doc_id", "text"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lost_lines", "lost_chars")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lost_lines", "lost_chars", sha256(F.col("kept_text")).alias("kept_sha256"))
 
 
 def op7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,14 +101,15 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(t
 g AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d)),
 r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS c FROM g) WHERE c > 1),
 rep AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM r, range(0, 8) x(j) GROUP BY doc_id),
-l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
-full_lines AS (SELECT doc_id, line, length(line) AS n, length(regexp_replace(line, '[^A-Z]', '', 'g')) AS up, length(regexp_replace(line, '[^a-z]', '', 'g')) AS low FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS pos FROM d),
+full_lines AS (SELECT doc_id, pos, line, length(line) AS n, length(regexp_replace(line, '[^A-Z]', '', 'g')) AS up, length(regexp_replace(line, '[^a-z]', '', 'g')) AS low FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
 t_lines AS (SELECT *, trim(line, {BLANKS}) AS t, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS nw, length(regexp_replace(line, '[^{quality.MARKS}]', '', 'g')) AS marks FROM full_lines),
 judged AS (SELECT *, 100 * {SYMBOL_COUNT.format(x="line")} > 10 * n OR length(regexp_replace(line, '[^{quality.SEPARATORS}]', '', 'g')) >= 3 OR (up + low >= 20 AND 100 * up > 70 * (up + low))
   OR regexp_matches(lower(line), '{"|".join(quality.BOILERPLATE)}')
   OR (NOT regexp_matches(t, '{quality.ENDS.replace("'", "''")}') AND ((nw >= 4 AND nw > 50 * marks) OR (length(t) <= 200 AND regexp_matches(lower(t), '{quality.BAR}')))) AS bad FROM t_lines),
 lost AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dup, count(*) FILTER (bad) AS n, coalesce(sum(length(regexp_replace(line, '[\\x20\\x09-\\x0D]', '', 'g'))) FILTER (bad), 0) AS c FROM judged GROUP BY doc_id),
-m AS (SELECT d.doc_id, len(w) AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars, {SYMBOL_COUNT.format(x="t")} AS n_symbols, coalesce(dup, 0) AS n_dup_lines,
-  coalesce(rep.n, 0) AS n_repeat_words, coalesce(lost.n, 0) AS n_lost_lines, CAST(coalesce(lost.c, 0) AS BIGINT) AS lost_chars FROM d LEFT JOIN rep ON rep.doc_id = d.doc_id LEFT JOIN lost ON lost.doc_id = d.doc_id)
+rest AS (SELECT l.doc_id, sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (NOT coalesce(bad, false)), '')) AS kept_sha256 FROM l LEFT JOIN judged j ON j.doc_id = l.doc_id AND j.pos = l.pos GROUP BY l.doc_id),
+m AS (SELECT d.doc_id, kept_sha256, len(w) AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars, {SYMBOL_COUNT.format(x="t")} AS n_symbols, coalesce(dup, 0) AS n_dup_lines,
+  coalesce(rep.n, 0) AS n_repeat_words, coalesce(lost.n, 0) AS n_lost_lines, CAST(coalesce(lost.c, 0) AS BIGINT) AS lost_chars FROM d LEFT JOIN rep ON rep.doc_id = d.doc_id LEFT JOIN lost ON lost.doc_id = d.doc_id LEFT JOIN rest ON rest.doc_id = d.doc_id)
 SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 100 * lost_chars <= 30 * word_chars AS kept FROM m""",
 }

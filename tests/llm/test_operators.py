@@ -629,3 +629,74 @@ def test_copies_lose_all_their_bytes(spark):
     for seed in range(20):
         b = chunks.cuts(prose(random.Random(seed), 100).encode())
         assert np.diff(b).min() >= chunks.MIN
+
+
+def plain_groups(rows):
+    """The least id of each group of documents linked at 0.8 or more on word 5-shingles."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for _, t in rows)]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    return {rows[find(i)][0] for i in range(len(rows))}
+
+
+def edits_of_one_base(n, edits, seed):
+    """Copies of a base that isn't among them, with so many words changed that pairs are at about 0.68."""
+    rng = random.Random(seed)
+    fresh = (f"w{k}" for k in range(10**6))
+    base = [next(fresh) for _ in range(400)]
+    out = []
+    for i in range(n):
+        w = list(base)
+        for at in rng.sample(range(3, 397, 6), edits):
+            w[at] = next(fresh)
+        out.append((i, " ".join(w)))
+    return out
+
+
+def test_unlike_copies_of_one_base_cost_no_texts(spark, monkeypatch):
+    seen = []
+    real = neardup.verified
+    monkeypatch.setattr(neardup, "verified", lambda t, p, s: seen.append(p.count()) or real(t, p, s))
+    for n in (40, 80):
+        rows = edits_of_one_base(n, 8, 3)
+        assert near_dups(spark, rows) == plain_groups(rows)
+    half = len(seen) // 2
+    # Pairs grow fourfold; what is verified doesn't: star rounds compare each document once, and the bitmaps refute the rest.
+    assert sum(seen[half:]) <= 2.5 * max(sum(seen[:half]), 40) and sum(seen[half:]) < 80 * 79 / 2 / 4
+
+
+def test_bitmaps_refute_no_similar_pair():
+    rng = np.random.default_rng(5)
+    for m in (3, 50, 700, 9000):
+        a = np.unique(rng.integers(0, 2**63, m, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: int(0.9 * len(a))], rng.integers(0, 2**63, max(1, m // 12), dtype=np.uint64)]))
+        apart = len(np.setxor1d(a, b))
+        x, y = neardup.parity(a), neardup.parity(b)
+        size = 8 * min(len(x), len(y))
+        differ = np.bitwise_count(neardup.fold(x, size) ^ neardup.fold(y, size)).sum()
+        narrow = np.bitwise_count(neardup.fold(x, 512) ^ neardup.fold(y, 512)).sum()
+        assert narrow <= differ <= apart and (apart - differ) % 2 == 0
+
+
+def test_the_sample_leaves_out_no_partner(spark):
+    rows = edits_of_one_base(30, 3, 8) + [(100 + i, t) for i, t in edits_of_one_base(30, 7, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    with_sample, without = (Counter(r["keep"]["_id"] for r in neardup.near_groups(df, sample=x).collect()) for x in (True, False))
+    assert with_sample == without and set(with_sample) == plain_groups(rows)
+
+
+def test_licenses_that_differ_in_a_number_stay_apart(spark):
+    texts = {v: f"Some words before it. This work is licensed under the GNU General Public License, version {v}. And some words after it." for v in (2, 3)}
+    texts[9] = texts[2] + " " + texts[3]
+    texts[8] = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    got = {r["doc_id"]: r["labels"] for r in licenses.license_labels(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == {2: "gpl-2", 3: "gpl-3", 9: "gpl-2,gpl-3", 8: "gpl-3"}
