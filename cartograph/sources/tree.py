@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cartograph.runtime import drop_spool, spool
 from cartograph.sources.dataset import Graph
 
 # Extensions by language, in the order in which import candidates are tried.
@@ -302,6 +303,7 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame, modu
     fn = symbols.where("kind = 'function'").select(F.col("path").alias("f"), F.col("name").alias("fname"), F.col("qualname").alias("fq"))
     c = calls.where(~F.col("is_method") & F.col("caller").isNotNull()).withColumn("id", F.struct("path", "start_byte", "line", "name", "callee"))
     c = c.join(symbols.select("path", F.col("qualname").alias("caller")).distinct(), ["path", "caller"], "left_semi").select("id", "path", "caller", "name", "callee", "line").distinct()
+    c = spool(c)
     imported = imports.where("resolved_path is not null").select(F.col("path").alias("ip"), "resolved_path", "raw_text")
     word = F.regexp_extract(F.regexp_replace("raw_text", r";$", ""), r"(\w+)$", 1)
 
@@ -309,15 +311,16 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame, modu
     same = bare.select("id", F.lit(0).alias("rule"), F.col("path").alias("f"))
     named = bare.join(imported, F.col("path") == F.col("ip")).where(F.expr("contains(raw_text, name)")).select("id", F.lit(2).alias("rule"), F.col("resolved_path").alias("f"))
     through = named.join(imported.where("raw_text like 'export %'").select(F.col("ip").alias("f"), F.col("resolved_path").alias("far")), "f").select("id", "rule", F.col("far").alias("f"))
-    named = named.unionByName(through)
+    named = spool(named.unionByName(through))
     rest = bare.join(imported, F.col("path") == F.col("ip")).select("id", F.lit(3).alias("rule"), F.col("resolved_path").alias("f"))
     rest = rest.join(named.select("id").distinct(), "id", "left_anti")
 
     q = c.where("callee is not null").withColumn("m", F.element_at(F.split("callee", "::"), -2))
     by_import = q.join(imported.withColumn("w", word), (F.col("path") == F.col("ip")) & (F.col("w") == F.col("m"))).select("id", F.lit(5).alias("rule"), F.col("resolved_path").alias("f"))
+    by_import = spool(by_import)
     stem = F.regexp_extract("dst", r"(\w+)(?:/mod)?\.rs$", 1)
     by_module = q.join(modules.select(F.col("src").alias("ip"), "dst", stem.alias("w")), (F.col("path") == F.col("ip")) & (F.col("w") == F.col("m"))).select("id", F.lit(6).alias("rule"), F.col("dst").alias("f"))
-    by_module = by_module.join(by_import.select("id").distinct(), "id", "left_anti")
+    by_module = spool(by_module.join(by_import.select("id").distinct(), "id", "left_anti"))
     anywhere = q.join(files.select(F.col("path").alias("f"), F.regexp_extract("path", r"/(\w+)(?:/mod)?\.rs$", 1).alias("w")), F.col("w") == F.col("m")).select("id", F.lit(7).alias("rule"), "f")
     anywhere = anywhere.join(by_import.unionByName(by_module).select("id").distinct(), "id", "left_anti")
 
@@ -327,13 +330,14 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame, modu
     exact = q.join(fn, F.col("callee") == F.col("fq")).groupBy("id").agg(F.min(F.struct("f", "fq")).alias("to")).select("id", F.lit(4).alias("rule"), "to")
     best = one.select("id", "rule", "to").unionByName(exact).groupBy("id").agg(F.min(F.struct("rule", "to")).alias("b"))
     out = c.join(best, "id").select(F.col("path").alias("src_path"), F.col("caller").alias("src"), F.col("b.to.f").alias("dst_path"), F.col("b.to.fq").alias("dst"), F.when(F.col("b.rule") == 0, "exact").otherwise("resolved").alias("certainty"), F.col("line").alias("call_line"))
-    return out.distinct()
+    found = spool(out.distinct())
+    for done in (c, named, by_import, by_module):
+        drop_spool(done)
+    return found
 
 
 def build(files: DataFrame, aliases: dict | None = None, now: int = 0, churn: DataFrame | None = None) -> Graph:
     """The canonical tables of a scanned tree."""
-    from cartograph.runtime import spool
-
     files = spool(files)
     return resolve(files.drop("text"), spool(extract(files, aliases)), now, churn)
 
@@ -358,29 +362,31 @@ def file_states(rows: DataFrame, files: DataFrame, now: int = 0) -> DataFrame:
     return files.join(state, "path").withColumn("indexed_at", F.lit(now).cast("long"))
 
 
-def resolve(files: DataFrame, rows: DataFrame, now: int = 0, churn: DataFrame | None = None) -> Graph:
-    """The canonical tables from all files and their extracted records."""
-    from cartograph.runtime import spool
+def edges_of(imports: DataFrame, modules: DataFrame) -> DataFrame:
+    own = imports.where("resolved_path is not null").select(F.col("path").alias("src"), F.col("resolved_path").alias("dst"), F.lit("import").alias("kind"), "certainty").distinct()
+    return own.unionByName(modules)
 
-    table = spool(file_states(rows, files, now))
-    sym, imp = spool(symbols_of(rows)), spool(imports_of(rows, table))
-    mod = pick(rows.where("record = 'module'"), table).where("resolved_path is not null").select(F.col("path").alias("src"), F.col("resolved_path").alias("dst"), F.lit("module").alias("kind"), F.lit("exact").alias("certainty")).distinct()
-    edges = imp.where("resolved_path is not null").select(F.col("path").alias("src"), F.col("resolved_path").alias("dst"), F.lit("import").alias("kind"), "certainty").distinct().unionByName(mod)
-    calls = resolve_calls(rows.where("record = 'call'"), sym, imp, mod, table)
-    empty = files.sparkSession.createDataFrame([], "path string, commit_sha string, author_email string, committed_at long")
-    return Graph(table, imp, spool(edges), sym, spool(calls), churn if churn is not None else empty)
 
+def modules_of(rows: DataFrame, files: DataFrame) -> DataFrame:
+    found = pick(rows.where("record = 'module'"), files).where("resolved_path is not null")
+    return found.select(F.col("path").alias("src"), F.col("resolved_path").alias("dst"), F.lit("module").alias("kind"), F.lit("exact").alias("certainty")).distinct()
 
-def changed_files(stored: DataFrame, scanned: DataFrame) -> DataFrame:
-    """path, change (new, changed or deleted) by content hash."""
-    both = stored.select("path", F.col("content_hash").alias("old")).join(scanned.select("path", F.col("content_hash").alias("new")), "path", "full_outer")
-    change = F.when(F.col("old").isNull(), "new").when(F.col("new").isNull(), "deleted").when(F.col("old") != F.col("new"), "changed")
-    return both.select("path", change.alias("change")).where("change is not null")
 
+def wants(rows: DataFrame) -> DataFrame:
+    """key, path: what each file's resolution asks for besides its own records.
 
-def affected_files(file_edges: DataFrame, changed: DataFrame) -> DataFrame:
-    """path: changed files and everything that depends on them, over the edges of the stored state."""
-    from cartograph.plans.kernels import reverse_closure
+    A key is a path that an import or module may mean, or the module and the function that a qualified call names.
+    """
+    paths = rows.where("record in ('import', 'module')").select(F.explode(F.transform("candidates", lambda c: F.concat(F.lit("file:"), c))).alias("key"), "path")
+    asked = rows.where("record = 'call' and callee is not null")
+    names = F.array(F.concat(F.lit("stem:"), F.element_at(F.split("callee", "::"), -2)), F.concat(F.lit("fn:"), "callee"))
+    return paths.unionByName(asked.select(F.explode(names).alias("key"), "path")).where("key is not null").distinct()
 
-    seeds = changed.select(F.col("path").alias("node"))
-    return seeds.unionByName(reverse_closure(file_edges, seeds)).select(F.col("node").alias("path")).distinct()
+
+def resolve(files: DataFrame, rows: DataFrame, now: int = 0, churn: DataFrame | None = None) -> Graph:
+    """The canonical tables from all files and their extracted records."""
+    table = spool(file_states(rows, files, now))
+    sym, imp, mod = spool(symbols_of(rows)), spool(imports_of(rows, table)), spool(modules_of(rows, table))
+    calls = resolve_calls(rows.where("record = 'call'"), sym, imp, mod, table)
+    empty = files.sparkSession.createDataFrame([], "path string, commit_sha string, author_email string, committed_at long")
+    return Graph(table, imp, spool(edges_of(imp, mod)), sym, calls, churn if churn is not None else empty)

@@ -1,5 +1,7 @@
 """A small Rust and a small script tree, written here, through scan, extraction, resolution and queries."""
 
+import random
+
 import pytest
 
 from cartograph.lang.dsl import QueryError, Session
@@ -76,13 +78,6 @@ def test_context_pack_and_rename(g, spark, root):
     assert (root / "src/parse.rs").read_text().startswith("pub fn parse_all(x")
 
 
-def test_change_detection(g, spark):
-    now = g.files.withColumnRenamed("content_hash", "h").selectExpr("path", "case when path = 'src/fmt.rs' then 'x' else h end as content_hash").where("path <> 'web/other.ts'")
-    changed = tree.changed_files(g.files, now)
-    assert rows(changed, "path", "change") == [("src/fmt.rs", "changed"), ("web/other.ts", "deleted")]
-    assert rows(tree.affected_files(g.file_edges, changed), "path") == [("src/fmt.rs",), ("src/lib.rs",), ("web/index.ts",), ("web/other.ts",), ("web/util.ts",)]
-
-
 def test_snapshots(g, spark, tmp_path):
     s = snapshots.Snapshots(spark, str(tmp_path / "snaps"))
     assert s.list().count() == 0
@@ -140,3 +135,66 @@ def test_incremental_index_equals_a_full_one(spark, root, tmp_path):
         assert a.columns == b.columns and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty(), t
     left = index.without(two.load(), spark.createDataFrame([("web/other.ts",)], "path string"))
     assert left.imports.where("path = 'web/new.ts' and resolved_path is null").count() == 1 and left.file_edges.where("dst = 'web/other.ts'").count() == 0
+
+
+SYLLABLES = ["one", "two", "six", "ten"]
+
+
+def random_tree(rng, n):
+    """Rust and script files that import, re-export and call one another; some of what they name doesn't exist."""
+    out = {}
+    for i in range(n):
+        if rng.random() < 0.5:
+            lines = [f"pub mod m{rng.randrange(n)};" for _ in range(rng.randrange(2))]
+            lines += [f"use crate::m{rng.randrange(n)}::{rng.choice(SYLLABLES)};" for _ in range(rng.randrange(3))]
+            lines += [f"pub fn {x}(v: u32) -> u32 {{\n    {rng.choice(SYLLABLES)}(v);\n    m{rng.randrange(n)}::{rng.choice(SYLLABLES)}(v)\n}}" for x in rng.sample(SYLLABLES, rng.randrange(1, 4))]
+            out[f"src/m{i}.rs"] = "\n".join(lines) + "\n"
+        else:
+            lines = [f"import {{ {rng.choice(SYLLABLES)} }} from './w{rng.randrange(n)}';" for _ in range(rng.randrange(3))]
+            lines += [f"export {{ {rng.choice(SYLLABLES)} }} from './w{rng.randrange(n)}';" for _ in range(rng.randrange(2))]
+            lines += [f"export function {x}(v) {{\n  {rng.choice(SYLLABLES)}(v);\n}}" for x in rng.sample(SYLLABLES, rng.randrange(1, 3))]
+            out[f"web/w{i}.ts"] = "\n".join(lines) + "\n"
+    return out
+
+
+def test_chains_of_changes_equal_full_indexes(spark, tmp_path, monkeypatch):
+    """Random changes, one version each, with a compaction among them; after each the tables are those of a new index, and few rows were written."""
+    rng = random.Random(12)
+    monkeypatch.setattr(index, "CHAIN", 3)
+    schema = "path string, language string, text string, mtime long, size_bytes long, content_hash string"
+    table = lambda texts, at: spark.createDataFrame([(p, tree.EXTENSIONS[p.rsplit(".", 1)[-1]], t, at, len(t), str(hash(t))) for p, t in sorted(texts.items())], schema)
+    texts = random_tree(rng, 30)
+    one = index.Index(spark, str(tmp_path / "one"))
+    one.run(table(texts, 1))
+    lengths = []
+    for step in range(4):
+        fresh = random_tree(rng, 30)
+        for path in rng.sample(sorted(texts), 2):
+            del texts[path]
+        for path in rng.sample(sorted(set(fresh) | set(texts)), 3):
+            texts[path] = fresh.get(path, texts.get(path, "") + "// more\n")
+        stats = one.run(table(texts, 2 + step))
+        lengths.append(len(one.pointer()["chain"]))
+        assert stats["deleted_files"] >= 1 and stats["affected_files"] >= stats["changed_files"]
+        two = index.Index(spark, str(tmp_path / f"full{step}"))
+        two.run(table(texts, 2 + step))
+        a, b = one.load(), two.load()
+        for t in ("files", "imports", "file_edges", "symbols", "symbol_edges"):
+            x, y = ([tuple(r) for r in getattr(g, t).select(*sorted(getattr(b, t).columns)).collect()] for g in (a, b))
+            assert sorted(x, key=str) == sorted(y, key=str), (step, t)
+    assert lengths == [2, 3, 1, 2] and b.symbol_edges.count() > 10
+    assert one.run(table(texts, 5), batch=4)["changed_files"] == 0 and one.run(table({}, 6), batch=4)["deleted_files"] == 0
+    assert one.load().files.count() == len(texts)
+
+
+def test_an_index_writes_what_changed(spark, tmp_path):
+    texts = {f"src/m{i}.rs": f"use crate::m{i + 1}::run;\npub fn run(v: u32) -> u32 {{\n    m{i + 1}::run(v)\n}}\n" for i in range(60)}
+    schema = "path string, language string, text string, mtime long, size_bytes long, content_hash string"
+    table = lambda: spark.createDataFrame([(p, "rust", t, 1, len(t), t) for p, t in texts.items()], schema)
+    one = index.Index(spark, str(tmp_path / "one"))
+    one.run(table())
+    texts["src/m30.rs"] += "pub fn more() {}\n"
+    assert one.run(table())["affected_files"] == 31  # all before it depend on it, by steps
+    last = one.pointer()["chain"][-1]
+    n = {t: spark.read.parquet(f"{tmp_path}/one/v{last}/{t}").count() for t in ("files", "records", "imports", "symbols")}
+    assert n["files"] == 1 and n["imports"] <= 5 and n["symbols"] == 2 and n["records"] <= 8
