@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartograph.plans.kernels import reach_counts
+from cartograph.runtime import spool
 
 
 def fans(file_edges: DataFrame, files: DataFrame) -> DataFrame:
@@ -92,6 +93,35 @@ def cochange(churn: DataFrame, target: str, now: int, days: int = 90, min_shared
     return n if top is None else n.orderBy(*[F.desc(c) for c in COCHANGE_ORDER[sort]], "path").limit(top)
 
 
+def frequent_pairs(churn: DataFrame, now: int, days: int = 90, min_shared: int = 2, large: int = 100, max_large: int = 10_000) -> DataFrame:
+    """path, other, shared_commits, score, of all pairs of files that at least min_shared commits of the window touch together; score: of the rarer file's commits.
+
+    A pair is as frequent as its rarer file at most, so files below the bound leave first. Commits of up to ``large`` files then list their pairs. A larger commit lists none: its files
+    carry the list of large commits that they are in, a pair known from small commits looks its lists up, and a pair that large commits alone make frequent meets
+    in one of the first of these lists. So one commit that touches everything costs its files, not their pairs. More than ``max_large`` such commits are an error.
+    """
+    c = in_window(churn, days, now).select("path", "commit_sha").distinct()
+    often = spool(c.groupBy("path").agg(F.count("*").alias("commits")).where(F.col("commits") >= min_shared))
+    kept = spool(c.join(often.select("path"), "path", "left_semi"))
+    size = kept.groupBy("commit_sha").agg(F.count("*").alias("files"))
+    sized = spool(kept.join(size, "commit_sha"))
+    small, big = sized.where(F.col("files") <= large), sized.where(F.col("files") > large)
+    if (n := big.select("commit_sha").distinct().count()) > max_large:
+        raise ValueError(f"{n} commits of over {large} files; raise the bound")
+    far = small.select("commit_sha", F.col("path").alias("other"))
+    few = small.join(far, "commit_sha").where("path < other").groupBy("path", "other").agg(F.count("*").alias("n_small"))
+    lists = spool(big.groupBy("path").agg(F.array_sort(F.collect_list("commit_sha")).alias("in_large")))
+    # Two lists that share min_shared commits share one of either's first, all but min_shared - 1 of them.
+    entry = lists.where(F.size("in_large") >= min_shared).withColumn("commit_sha", F.explode(F.slice("in_large", F.lit(1), F.size("in_large") - (min_shared - 1))))
+    a, b = entry.select("commit_sha", "path", "in_large"), entry.select("commit_sha", F.col("path").alias("other"), F.col("in_large").alias("in_other"))
+    alone = a.join(b, "commit_sha").where("path < other").where(F.size(F.array_intersect("in_large", "in_other")) >= min_shared).select("path", "other").distinct()
+    candidates = few.unionByName(alone.withColumn("n_small", F.lit(0).cast("long"))).groupBy("path", "other").agg(F.max("n_small").alias("n_small"))
+    with_lists = candidates.join(lists, "path", "left").join(lists.select(F.col("path").alias("other"), F.col("in_large").alias("in_other")), "other", "left")
+    shared = with_lists.withColumn("shared_commits", F.col("n_small") + F.coalesce(F.size(F.array_intersect("in_large", "in_other")), F.lit(0))).where(F.col("shared_commits") >= min_shared)
+    found = shared.join(often, "path").join(often.select(F.col("path").alias("other"), F.col("commits").alias("other_commits")), "other")
+    return found.select("path", "other", "shared_commits", (F.col("shared_commits") / F.least("commits", "other_commits")).alias("score"))
+
+
 def unused(symbols: DataFrame, symbol_edges: DataFrame) -> DataFrame:
     """Exported symbols that nothing calls."""
     called = symbol_edges.select(F.col("dst_path").alias("path"), F.col("dst").alias("qualname"))

@@ -345,6 +345,11 @@ def _cochange(g: Graph) -> DataFrame:
     return metrics.cochange(g.churn, most_changed(g), NOW, 365).withColumn("score", F.round("score", 6))
 
 
+@query("cochange_pairs", f", c AS (SELECT DISTINCT path, commit_sha FROM churn WHERE committed_at >= {NOW} - 1500 * 86400), n AS (SELECT path, count(*) AS n FROM c GROUP BY path) SELECT a.path, b.path AS other, count(*) AS shared_commits, round(count(*) / least(min(x.n), min(y.n))::DOUBLE, 6) AS score FROM c a JOIN c b ON b.commit_sha = a.commit_sha AND a.path < b.path JOIN n x ON x.path = a.path JOIN n y ON y.path = b.path GROUP BY a.path, b.path HAVING count(*) >= 2")
+def _cochange_pairs(g: Graph) -> DataFrame:
+    return metrics.frequent_pairs(g.churn, NOW, 1500).withColumn("score", F.round("score", 6))
+
+
 @query("unused", " SELECT path, name, qualname, kind, visibility, start_line AS line, CAST(0 AS BIGINT) AS inbound_references FROM symbols s WHERE exported AND NOT EXISTS (SELECT 1 FROM calls c WHERE c.dst_path = s.path AND c.dst = s.qualname)")
 def _unused(g: Graph) -> DataFrame:
     return metrics.unused(g.symbols, g.symbol_edges)

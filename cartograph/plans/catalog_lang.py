@@ -161,6 +161,27 @@ def _context(g: Graph) -> DataFrame:
     return context.candidates(g, busy_symbol(g)[1]).select("path", "score", "distance", "certainty", "estimated_tokens")
 
 
+BUDGET = 20_000
+AROUND = """, t AS (SELECT qualname AS target, path AS p, qualname AS q FROM symbols WHERE path LIKE 'lib/brand_1%'),
+ c1 AS (SELECT target, src_path AS path, src AS qualname, certainty FROM t JOIN calls ON dst_path = p AND dst = q), i1 AS (SELECT target, src AS path, certainty FROM t JOIN edges ON dst = p WHERE kind = 'import'),
+ far AS (SELECT target, path, certainty, 1 AS d, 120 AS base FROM c1 UNION ALL SELECT target, src_path, c.certainty, 2, 120 FROM (SELECT DISTINCT target, path, qualname FROM c1) a JOIN calls c ON c.dst_path = a.path AND c.dst = a.qualname
+  UNION ALL SELECT target, path, certainty, 1, 120 FROM i1 UNION ALL SELECT target, e.src, e.certainty, 2, 120 FROM (SELECT DISTINCT target, path FROM i1) a JOIN edges e ON e.dst = a.path AND e.kind = 'import' UNION ALL SELECT target, dst_path, certainty, 1, 100 FROM t JOIN calls ON src_path = p AND src = q),
+ scored AS (SELECT target, path, (base * CASE certainty WHEN 'exact' THEN 100 WHEN 'resolved' THEN 85 WHEN 'heuristic' THEN 50 ELSE 25 END // 100) // d AS score, d, false AS pinned FROM far UNION ALL SELECT target, p, 200, 0, true FROM t),
+ cand AS (SELECT target, s.path, max(score) AS score, min(d) AS d, bool_or(pinned) AS pinned, greatest(1, max(size_bytes) // 4) AS n FROM scored s JOIN files f ON f.path = s.path GROUP BY target, s.path),
+ placed AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY NOT pinned, -score, d, path) AS place FROM cand)"""
+
+
+@query("context", AROUND + f""", fold(target, place, must, should, verdict) AS (SELECT target, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), '' FROM t UNION ALL
+  SELECT target, place, must + CASE WHEN v = 'must' THEN n ELSE 0 END, should + CASE WHEN v IN ('demoted', 'should') THEN n ELSE 0 END, v FROM (
+   SELECT x.target, x.place, x.n, f.must, f.should, CASE WHEN x.d <= 1 AND (x.pinned OR f.must + x.n <= {BUDGET}) THEN 'must' WHEN x.d <= 1 THEN 'demoted' WHEN f.must + f.should + x.n <= {BUDGET} THEN 'should' ELSE 'skipped' END AS v
+   FROM fold f JOIN placed x ON x.target = f.target AND x.place = f.place + 1))
+ SELECT p.target, p.path, CAST(p.place AS INT) AS place, verdict, CAST(p.score AS INT) AS score, p.d AS distance, CAST(p.n AS INT) AS estimated_tokens FROM placed p JOIN fold f ON f.target = p.target AND f.place = p.place""")
+def _contexts(g: Graph) -> DataFrame:
+    targets = g.symbols.where("path like 'lib/brand_1%'").select(F.col("qualname").alias("target"), "path", "qualname")
+    found = context.chosen(context.candidates_of(g, targets), BUDGET)
+    return found.select("target", "path", "place", "verdict", "score", "distance", "estimated_tokens")
+
+
 @query("simulate_extract", CALLEE + ", users AS (SELECT src_path AS src FROM calls JOIN busy ON dst_path = p AND dst = q UNION SELECT src FROM edges JOIN busy ON dst = p WHERE kind = 'import') SELECT 'added' AS change, src, 'lib/new.rs' AS dst, 'import' AS kind, 'heuristic' AS certainty FROM users WHERE src <> (SELECT p FROM busy) UNION ALL SELECT 'added', p, 'lib/new.rs', 'import', 'exact' FROM busy")
 def _simulate(g: Graph) -> DataFrame:
     path, name = busy_symbol(g)

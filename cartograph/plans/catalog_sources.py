@@ -11,10 +11,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cartograph.operators import rename
 from cartograph.plans.catalog import ORACLES, QUERIES, query
 from cartograph.runtime import shared_dir, spool
 from cartograph.sources import git, index, tree
 from cartograph.sources.dataset import Graph, load, oracle_prefix
+from cartograph.streaming import watch
 
 # One row an order: its file, the next order of its customer, and the functions of its lines in order.
 UNIT_SQL = """
@@ -211,3 +213,30 @@ def _delete(g: Graph) -> DataFrame:
     for p in parts:
         out = out.unionByName(p)
     return out
+
+
+@text_query("rename_files", """, raw AS (SELECT path, next_path AS target, k1, CASE WHEN language = 'rust' THEN 'use crate::' || replace(regexp_replace(replace(next_path, 'src/', ''), '[.][a-z]+$', ''), '/', '::') || '::begin_' || k1 ELSE 'import { begin_' || k1 || ' } from ''../../' || regexp_replace(replace(next_path, 'src/', ''), '[.][a-z]+$', '') || '''' END AS t FROM units WHERE linked AND k1 % 3 = 0)
+ SELECT target, path, 'importer' AS role, 'import path resolves to target file ' || target AS reason, 'exact' AS certainty, 1 AS line, CAST(strpos(t, 'o_' || k1) - 1 AS INT) AS start_byte, CAST(strpos(t, 'o_' || k1) - 1 + length('o_' || k1) AS INT) AS end_byte, 'o_' || k1 AS before_text, 'moved_' || k1 AS after_text, true AS apply_safe FROM raw""")
+def _rename_files(files: DataFrame) -> DataFrame:
+    renames = files.where("k % 3 = 0").select(F.col("path").alias("target"), F.concat(F.lit("moved_"), F.col("k").cast("string")).alias("new_name"))
+    return rename.rename_files(tree.imports_of(tree.extract(files), files), renames)
+
+
+@text_query("rename_apply")
+def _rename_apply(files: DataFrame) -> DataFrame:
+    return rename.apply_edits(files, _rename_files(files)).select("path", F.sha2("text", 256).alias("content_hash"))
+
+
+@text_query("index_stream", f" SELECT DISTINCT src, dst, 'import' AS kind, 'exact' AS certainty FROM edge JOIN units a ON a.path = src JOIN units b ON b.path = dst WHERE a.{AFTER} AND b.{AFTER}")
+def _stream(files: DataFrame) -> DataFrame:
+    """The same files as events of two batches, by two runs of the stream: what is there first, then what changes."""
+    spark, files = files.sparkSession, spool(files)
+    home = f"{shared_dir(spark)}/watch-{uuid.uuid4().hex}"
+    gone = files.where(f"{BEFORE} AND NOT ({AFTER})").withColumns({"text": F.lit(None).cast("string"), "deleted": F.lit(True)})
+    changed = second_scan(files).where(f"NOT ({BEFORE}) OR k % 50 = 0").withColumn("deleted", F.lit(False))
+    found = index.Index(spark, f"{home}/index")
+    for n, part in enumerate((files.where(BEFORE).withColumn("deleted", F.lit(False)), changed.unionByName(gone))):
+        rows = part.withColumn("seq", F.lit(n).cast("long")).select(*[x.split(" ")[0] for x in watch.EVENTS.split(", ")])
+        rows.write.mode("append").parquet(f"{home}/events")
+        watch.watch(watch.events(spark, f"{home}/events", 1000), found, f"{home}/state").awaitTermination()
+    return found.load().file_edges
