@@ -11,15 +11,27 @@ from cartograph.config import Config, load_config
 from cartograph.lang.dsl import QueryError, Session
 from cartograph.operators import arch, context, cycles, direct, entry, impact, metrics, report, similar
 from cartograph.runtime import local_session
-from cartograph.sources import git, tree
+from cartograph.sources import git, snapshots, tree
 from cartograph.sources.dataset import Graph
 
 
-def markdown(row: dict, gates: list[dict]) -> str:
-    """A health report for people."""
-    out = ["# Health report", "", f"Score: {row['health_score']:.1f}", "", "| metric | value |", "| --- | --- |"]
-    out += [f"| {k} | {v} |" for k, v in sorted(row.items()) if k != "health_score"]
-    out += ["", "| gate | status | detail |", "| --- | --- | --- |"] + [f"| {g['metric']} | {g['status']} | {g.get('detail', '')} |" for g in gates]
+def markdown(row: dict, gates: list[dict], compared: dict | None = None, parts: dict[str, list[dict]] | None = None) -> str:
+    """A health report for people: numbers with what changed, gates, what stands behind the numbers, and advice."""
+    cell = lambda v: str(v).replace("|", "\\|")
+    score = f"Score: {row['health_score']:.1f}"
+    if compared:
+        score += f" ({compared['health_score_delta']:+.1f} since {compared['target']})"
+    out = ["# Health report", "", score, "", "| metric | value | change |", "| --- | --- | --- |"]
+    for k, v in sorted(row.items()):
+        if k != "health_score":
+            change = f"{compared[f'{k}_delta']:+g}" if compared and f"{k}_delta" in compared else ""
+            out.append(f"| {k} | {round(v, 3) if isinstance(v, float) else v} | {change} |")
+    out += ["", "| gate | status | detail |", "| --- | --- | --- |"] + [f"| {g['metric']} | {g['status']} | {cell(g.get('detail', ''))} |" for g in gates]
+    for title, rows in (parts or {}).items():
+        if rows:
+            out += ["", f"## {title.replace('_', ' ')}", "", "| " + " | ".join(rows[0]) + " |", "|" + " --- |" * len(rows[0])]
+            out += ["| " + " | ".join(cell(v) for v in r.values()) + " |" for r in rows]
+    out += ["", "## advice", ""] + [f"- {x}" for x in report.recommendations(row, compared)]
     return "\n".join(out) + "\n"
 
 
@@ -32,7 +44,7 @@ def run(g: Graph, config: Config, args: argparse.Namespace, now: int) -> tuple[o
         "surface": lambda: direct.surface(g.symbols, t).orderBy("line", "qualname"),
         "impact": lambda: impact.impact(g.symbols, g.symbol_edges, g.file_edges, t, args.change_type, args.depth).orderBy("distance", "path", "qualname"),
         "explain": lambda: impact.explain(g.symbols, g.symbol_edges, g.file_edges, t, args.to).orderBy("distance", "path", "qualname"),
-        "why": lambda: impact.why(g.symbols, g.symbol_edges, g.file_edges, t, args.to, args.depth or 8).orderBy("step"),
+        "why": lambda: impact.why(g.symbols, g.symbol_edges, g.file_edges, t, args.to, args.depth or 8).orderBy("distance"),
         "tree": lambda: direct.tree(g.file_edges, t, args.depth, args.reverse).orderBy("node_id"),
         "doctor": lambda: direct.doctor(g.files, g.imports, g.symbols, g.symbol_edges),
         "cycles": lambda: cycles.cycles(g.file_edges).orderBy("first_file"),
@@ -71,8 +83,18 @@ def run(g: Graph, config: Config, args: argparse.Namespace, now: int) -> tuple[o
         found = {cap.name: envelope.rows(entry.audit(g.files, g.file_edges, g.symbols, cap, config.entry_points)) for cap in config.capabilities}
         return found, int(any(not r["expected"] for x in found.values() for r in x))
     row = report.report(g, config, now).first().asDict()
-    gates = report.gate(row, config.gates or None, strict=args.strict)
-    return (markdown(row, gates) if args.markdown else {"metrics": row, "gates": gates}), int(c == "gate" and any(x["status"] == "fail" for x in gates))
+    compared = base = None
+    if args.compare:
+        base = report.baseline(snapshots.Snapshots(g.files.sparkSession, args.snapshots).load(args.compare), config).first().asDict()
+        compared = report.comparison(row, base, args.compare)
+    gates = report.gate(row, config.gates or None, base, strict=args.strict)
+    failed = int(c == "gate" and any(x["status"] == "fail" for x in gates))
+    if c == "gate":
+        return {"metrics": row, "gates": gates, "compare": compared}, failed
+    parts = {k: envelope.rows(df) for k, df in report.details(g, config, now).items()}
+    if args.markdown:
+        return markdown(row, gates, compared, parts), 0
+    return {"metrics": row, "gates": gates, "compare": compared, **parts, "recommendations": report.recommendations(row, compared)}, 0
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -87,6 +109,8 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--budget", type=int)
     p.add_argument("--change-type", default="signature")
     p.add_argument("--expr", action="append")
+    p.add_argument("--compare")
+    p.add_argument("--snapshots", default=".graph/snapshots")
     p.add_argument("--config", default=".graph/arch.toml")
     for flag in ("--transitive", "--reverse", "--compact", "--strict", "--markdown"):
         p.add_argument(flag, action="store_true")

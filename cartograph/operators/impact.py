@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cartograph.operators.direct import call_ends, find_symbol
 from cartograph.plans.kernels import bfs, bfs_tree, trails
+from cartograph.runtime import spool
 from cartograph.schema import rank
 
 CALL_DEPTH = 100
@@ -114,19 +115,28 @@ def explain(symbols: DataFrame, symbol_edges: DataFrame, file_edges: DataFrame,
 
 
 def why(symbols: DataFrame, symbol_edges: DataFrame, file_edges: DataFrame, start: str, end: str, depth: int = 8) -> DataFrame:
-    """step, path, qualname: one shortest path, ties by visiting order; empty if there is none or the ends are one."""
+    """kind, path, qualname, edge_kind, certainty, reason, distance: the steps of one shortest path, ties by visiting order; no row if there is none or the ends are one.
+
+    The start itself is left out. A step's certainty is that of its first call line, or of its import.
+    """
     a, b = find_symbol(symbols, start), find_symbol(symbols, end)
     if (a is None) != (b is None):
         raise ValueError("both ends must be symbols, or both files")
     if a is None:
-        e, source, goal = file_edges.where("kind = 'import'").select("src", "dst"), start, end
+        e, source, goal = file_edges.where("kind = 'import'").select("src", "dst", "certainty", F.lit(0).alias("line")), start, end
     else:
-        e = call_ends(symbol_edges, False).select(label("src").alias("src"), label("dst").alias("dst"))
+        e = call_ends(symbol_edges, False).select(label("src").alias("src"), label("dst").alias("dst"), "certainty", F.coalesce("call_line", F.lit(0)).alias("line"))
         source, goal = "\x01".join(a[::-1]), "\x01".join(b[::-1])
-    tree = bfs_tree(e, source, depth, goal)
+    tree = bfs_tree(e.select("src", "dst"), source, depth, goal)
     ends = tree.sparkSession.createDataFrame([(goal,)], "target string").where(F.lit(source != goal)).join(tree.select(F.col("node").alias("target")), "target", "left_semi")
-    trail = trails(tree, ends).select(F.posexplode("trail").alias("step", "at"))
-    return trail.select("step", F.substring_index("at", "\x01", -1).alias("path"), F.when(F.instr("at", "\x01") > 0, F.substring_index("at", "\x01", 1)).alias("qualname"))
+    steps = spool(trails(tree, ends).select(F.explode(F.arrays_zip(F.slice("trail", F.lit(1), F.size("trail") - 1).alias("src"), F.slice("trail", F.lit(2), F.size("trail")).alias("dst"), F.sequence(F.lit(1), F.size("trail") - 1).alias("distance"))).alias("s")).select("s.*"))
+    sure = e.join(F.broadcast(steps.select("src", "dst")), ["src", "dst"], "left_semi").groupBy("src", "dst").agg(F.min_by("certainty", F.struct("line", rank(F.col("certainty")))).alias("certainty"))
+    name = lambda c, part: F.when(F.instr(c, "\x01") > 0, F.substring_index(c, "\x01", part))
+    by = F.coalesce(name("src", 1), "src")
+    return steps.join(sure, ["src", "dst"]).select(
+        F.lit("file" if a is None else "symbol").alias("kind"), F.substring_index("dst", "\x01", -1).alias("path"), name("dst", 1).alias("qualname"), F.lit("import" if a is None else "call").alias("edge_kind"),
+        "certainty", F.concat(F.lit("imported by " if a is None else "called by "), by).alias("reason"), "distance",
+    )
 
 
 def changed_closure(file_edges: DataFrame, changed: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from cartograph.operators.arch import arch_check
 from cartograph.operators.compare import surface_diff
 from cartograph.operators.cycles import cycles
 from cartograph.operators.entry import unreachable
-from cartograph.operators.metrics import stability, unused
+from cartograph.operators.metrics import risk, stability, unused
 from cartograph.plans.kernels import reach
 from cartograph.sources.dataset import Graph
 
@@ -83,22 +83,48 @@ def baseline(graph: Graph, config: Config) -> DataFrame:
     return row.withColumn("imports_resolved_pct", 100 - F.col("imports_unresolved_pct")).withColumn("health_score", health_score())
 
 
-def comparison(current: dict, base: dict) -> dict:
+# The metrics that a comparison lists, the notes on certainty, and the wording of advice.
+COMPARED = (
+    "health_score", "layer_violations", "cycles", "unreachable_files", "public_surface_removed", "avg_instability", "max_file_fan_in", "parse_errors", "unresolved_imports", "unused_exports",
+)
+NOTES = {"exact": "Higher confidence — static imports are exhaustively detected.", "heuristic": "Dynamic imports may create edges not captured by static analysis."}
+ADVICE = {
+    "parse_errors": "reduce parse errors across {} indexed files before relying on deeper analysis",
+    "layer_violations": "resolve {} architecture layer violations to restore intended boundaries",
+    "cycles": "break {} dependency cycles to improve traversal clarity and change isolation",
+    "unreachable_files": "review {} unreachable files for dead code or missing entry-point declarations",
+    "public_surface_removed": "review {} removed public surface entries against the comparison snapshot before landing changes",
+}
+REGRESSED = "health score regressed by {:.1f} points versus {}"
+ALL_WELL = "health metrics are within expected bounds for the current indexed snapshot"
+UNUSED = "exported symbol `{}` has no indexed inbound call edges"
+
+
+def comparison(current: dict, base: dict, target: str = "baseline") -> dict:
     """What has changed since a baseline row, metric by metric."""
-    names = ("health_score", "layer_violations", "cycles", "unreachable_files", "public_surface_removed")
-    return {f"baseline_{n}": base[n] for n in names} | {f"{n}_delta": current[n] - base[n] for n in names}
+    return {"target": target} | {f"baseline_{n}": base[n] for n in COMPARED} | {f"{n}_delta": current[n] - base[n] for n in COMPARED}
 
 
 def recommendations(metrics: dict, compared: dict | None = None) -> list[str]:
     """Advice for the metrics that are off."""
-    texts = {
-        "parse_errors": "fix the parse errors before relying on deeper analysis", "layer_violations": "remove the imports that break layer rules", "cycles": "break the dependency cycles",
-        "unreachable_files": "look at the unreachable files for dead code or missing entry points", "public_surface_removed": "look at the removed public symbols before landing the change",
-    }
-    out = [f"{metrics[k]} {k}: {t}" for k, t in texts.items() if metrics[k] > 0]
+    out = [text.format(metrics[k]) for k, text in ADVICE.items() if metrics[k] > 0]
     if compared and compared["health_score_delta"] < 0:
-        out.append(f"health score fell by {-compared['health_score_delta']:.1f} points")
-    return out or ["all metrics are within their usual bounds"]
+        out.append(REGRESSED.format(-compared["health_score_delta"], compared["target"]))
+    return out or [ALL_WELL]
+
+
+def details(graph: Graph, config: Config, now: int, hotspots: int = 5) -> dict[str, DataFrame]:
+    """What stands behind a report's numbers: risk_hotspots, arch_violations, cycles_detail, unreachable_detail, unused_export_detail, each in its own order."""
+    g = graph
+    note = F.coalesce(*[F.when(F.col("certainty") == k, v) for k, v in NOTES.items()])
+    before, after = UNUSED.split("{}")
+    return {
+        "risk_hotspots": risk(g.file_edges, g.files, g.churn, now, top=hotspots),
+        "arch_violations": arch_check(g.file_edges, config).orderBy("from_file", "to_file", "message"),
+        "cycles_detail": cycles(g.file_edges).orderBy("first_file"),
+        "unreachable_detail": unreachable(g.files, g.file_edges, g.symbols, now, config.entry_points).withColumn("certainty_note", note).orderBy("file"),
+        "unused_export_detail": unused(g.symbols, g.symbol_edges).withColumn("reason", F.concat(F.lit(before), "qualname", F.lit(after))).orderBy("path", "line", "qualname"),
+    }
 
 
 def health_score():

@@ -202,19 +202,24 @@ def _explain(g: Graph) -> DataFrame:
 WHY = IMP + _walk("hub", "src", "dst", 8, "imps") + ", far AS (SELECT trail FROM tr ORDER BY d DESC, node LIMIT 1)"
 
 
-@query("why", SRC_HUB + WHY + " SELECT unnest(range(len(trail))) AS step, unnest(trail) AS path FROM far")
+STEPS = ", steps AS (SELECT trail[i] AS src, trail[i + 1] AS dst, CAST(i AS INT) AS distance FROM far, unnest(range(1, len(trail))) t(i))"
+
+
+@query("why", SRC_HUB + WHY + STEPS + " SELECT 'file' AS kind, s.dst AS path, CAST(NULL AS VARCHAR) AS qualname, 'import' AS edge_kind, certainty, 'imported by ' || s.src AS reason, distance FROM steps s JOIN imps i ON i.src = s.src AND i.dst = s.dst")
 def _why(g: Graph) -> DataFrame:
     start = hub(g)
     far = kernels.bfs_tree(g.file_edges.where("kind = 'import'"), start, 8).orderBy(F.desc("distance"), "node").first()
-    return impact.why(g.symbols, g.symbol_edges, g.file_edges, start, far["node"] if far else start).select(F.col("step").cast("long").alias("step"), "path")
+    return impact.why(g.symbols, g.symbol_edges, g.file_edges, start, far["node"] if far else start)
 
 
-@query("why_symbols", CALLER + LABELS + _walk("start", "src", "dst", 8, "lab") + ", far AS (SELECT trail FROM tr ORDER BY d DESC, node LIMIT 1) SELECT step, split_part(x, chr(1), 2) AS path, split_part(x, chr(1), 1) AS qualname FROM (SELECT unnest(range(len(trail))) AS step, unnest(trail) AS x FROM far)")
+@query("why_symbols", CALLER + LABELS + _walk("start", "src", "dst", 8, "lab") + ", far AS (SELECT trail FROM tr ORDER BY d DESC, node LIMIT 1)" + STEPS
+       + f", sure AS (SELECT src, dst, first(certainty ORDER BY call_line, {RANK}) AS certainty FROM lab GROUP BY src, dst)"
+       + " SELECT 'symbol' AS kind, split_part(s.dst, chr(1), 2) AS path, split_part(s.dst, chr(1), 1) AS qualname, 'call' AS edge_kind, certainty, 'called by ' || split_part(s.src, chr(1), 1) AS reason, distance FROM steps s JOIN sure c ON c.src = s.src AND c.dst = s.dst")
 def _why_symbols(g: Graph) -> DataFrame:
     start = busy_symbol(g, "src")
     e = direct.call_ends(g.symbol_edges, False).select(impact.label("src").alias("src"), impact.label("dst").alias("dst"))
     far = kernels.bfs_tree(e, "\x01".join(start[::-1]), 8).orderBy(F.desc("distance"), "node").first()
-    return impact.why(g.symbols, g.symbol_edges, g.file_edges, start[1], far["node"].split("\x01")[0]).withColumn("step", F.col("step").cast("long"))
+    return impact.why(g.symbols, g.symbol_edges, g.file_edges, start[1], far["node"].split("\x01")[0])
 
 
 CHANGED = "path LIKE 'lib/brand_1%' AND path LIKE '%7.rs'"
@@ -404,6 +409,12 @@ def _surface_diff(g: Graph) -> DataFrame:
     return compare.surface_diff(g.symbols.where("start_line % 7 <> 0"), after).select("identity", "change")
 
 
+@query("report_hotspots", RISK + ", z AS (SELECT path, direct_dependents, transitive_dependents, churn_commits, s FROM y ORDER BY s DESC, transitive_dependents DESC, churn_commits DESC, path LIMIT 5) SELECT path, direct_dependents, transitive_dependents, churn_commits, round(s, 6) AS score FROM z")
+def _hotspots(g: Graph) -> DataFrame:
+    found = report.details(g, CONFIG, NOW)["risk_hotspots"]
+    return found.select("path", "direct_dependents", "transitive_dependents", "churn_commits", F.round("score", 6).alias("score"))
+
+
 @query("closure", ", r(a, b) AS (SELECT src, dst FROM edges UNION SELECT r.a, e.dst FROM r JOIN edges e ON e.src = r.b) SELECT a AS src, b AS dst FROM r")
 def _closure(g: Graph) -> DataFrame:
     return kernels.closure(g.file_edges)

@@ -76,7 +76,7 @@ def test_simulation_and_baseline(spark):
     row = report.baseline(g, Config()).first().asDict()
     assert (row["cycles"], row["unreachable_files"], row["health_score"]) == (1, 2, 88.0)
     assert report.comparison({**row, "health_score": 80.0}, row)["health_score_delta"] == -8.0
-    assert report.recommendations(row)[0].startswith("1 cycles")
+    assert report.recommendations(row)[0].startswith("break 1 dependency cycles")
 
 
 def test_first_visited_edge_stands_for_the_rest(spark):
@@ -86,7 +86,7 @@ def test_first_visited_edge_stands_for_the_rest(spark):
     got = impact.impact(symbols, e, edges(spark, [("d", "a", "import", "exact")]), "f")
     assert rows(got, "distance", "path", "certainty", "reason") == [(1, "b", "exact", "calls f directly"), (1, "c", "exact", "calls f directly"), (1, "d", "exact", "imports f"), (2, "d", "resolved", "calls a symbol that reaches f")]
     assert impact.impact(symbols, e, edges(spark, [("d", "a", "import", "exact")]), "f", "body").count() == 2
-    assert rows(impact.why(symbols, e, edges(spark, [("q", "p", "import", "exact"), ("p", "o", "import", "exact"), ("q", "n", "import", "exact"), ("n", "o", "import", "exact")]), "q", "o"), "step", "path") == [(0, "q"), (1, "n"), (2, "o")]
+    assert rows(impact.why(symbols, e, edges(spark, [("q", "p", "import", "exact"), ("p", "o", "import", "exact"), ("q", "n", "import", "exact"), ("n", "o", "import", "exact")]), "q", "o"), "distance", "path", "reason") == [(1, "n", "imported by q"), (2, "o", "imported by n")]
 
 
 def test_ordinals_count_from_one(spark):

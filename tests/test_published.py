@@ -3,8 +3,11 @@
 import random
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
 from cartograph.config import Capability, Config, parse_config
-from cartograph.operators import entry, metrics, report, similar
+from cartograph import cli
+from cartograph.operators import entry, impact, metrics, report, similar
 from cartograph.sources.dataset import Graph
 from cartograph.schema import CHURN, FILE_EDGES, FILES, IMPORTS, SYMBOL_EDGES, SYMBOLS
 
@@ -121,3 +124,33 @@ def test_split_of_many_files_against_the_rule(spark):
             assert c[0]["rationale"] == (similar.SHARED.format(len(led), ", ".join(led)) if led else similar.ALONE)
             plural = [similar.PLURAL[kinds[q]] for q in names]
             assert c[0]["suggested_name"].endswith(max(plural, key=lambda k: (plural.count(k), k)))
+
+
+def test_steps_of_a_path_leave_the_start_out(spark):
+    g = small_rust(spark)
+    exact = g.symbol_edges.withColumn("certainty", F.when(F.col("dst") == "parser::tokenize", "exact").otherwise(F.col("certainty")))
+    rows = impact.why(g.symbols, exact, g.file_edges, "lib::greet", "parser::tokenize").orderBy("distance").collect()
+    assert [tuple(r) for r in rows] == [("symbol", "src/parser.rs", "parser::parse", "call", "resolved", "called by lib::greet", 1), ("symbol", "src/parser.rs", "parser::tokenize", "call", "exact", "called by parser::parse", 2)]
+    assert [tuple(r) for r in impact.why(g.symbols, g.symbol_edges, g.file_edges, "src/resolver.rs", "src/parser.rs").collect()] == [("file", "src/parser.rs", None, "import", "exact", "imported by src/resolver.rs", 1)]
+    assert impact.why(g.symbols, g.symbol_edges, g.file_edges, "src/parser.rs", "src/resolver.rs").count() == 0
+    assert impact.why(g.symbols, g.symbol_edges, g.file_edges, "src/parser.rs", "src/parser.rs").count() == 0
+
+
+def test_comparison_advice_and_details(spark):
+    g = small_rust(spark)
+    base = report.baseline(g, Config()).first().asDict()
+    now = report.report(g, Config(), 1000 + 3 * 86400).first().asDict() | {"health_score": 82.0, "unused_exports": 7, "public_surface_removed": 1}
+    c = report.comparison(now, base)
+    deltas = {"health_score": -12.0, "layer_violations": 0, "cycles": 0, "unreachable_files": 3, "public_surface_removed": 1, "max_file_fan_in": 0, "parse_errors": 0, "unresolved_imports": 0, "unused_exports": 1}
+    assert {k: c[f"{k}_delta"] for k in deltas} == deltas and abs(c["avg_instability_delta"] + 0.1) < 1e-9
+    assert report.recommendations(now, c) == [
+        "review 3 unreachable files for dead code or missing entry-point declarations",
+        "review 1 removed public surface entries against the comparison snapshot before landing changes", "health score regressed by 12.0 points versus baseline",
+    ]
+    assert report.recommendations(base) == [report.ALL_WELL]
+    parts = {k: [r.asDict() for r in df.collect()] for k, df in report.details(g, Config(), 1000 + 3 * 86400).items()}
+    assert [r["path"] for r in parts["risk_hotspots"]] == ["src/parser.rs", "src/lib.rs", "src/main.rs", "src/resolver.rs", "src/utils.rs"] and not parts["arch_violations"] and not parts["cycles_detail"]
+    assert [(r["file"], r["last_modified_days_ago"], r["exported_symbols"], r["certainty_note"][:6]) for r in parts["unreachable_detail"]] == [("src/lib.rs", 3, 5, "Higher"), ("src/main.rs", 3, 0, "Higher"), ("src/utils.rs", 3, 1, "Higher")]
+    assert parts["unused_export_detail"][0]["reason"] == "exported symbol `lib::parser` has no indexed inbound call edges" and len(parts["unused_export_detail"]) == 6
+    text = cli.markdown(now, report.gate(now), c, parts)
+    assert "Score: 82.0 (-12.0 since baseline)" in text and "| unreachable_files | 3 | +3 |" in text and "## risk hotspots" in text and text.endswith("versus baseline\n")
