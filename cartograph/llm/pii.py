@@ -439,6 +439,11 @@ def windows(n: int) -> list[tuple[int, int, int, int]]:
     return out
 
 
+#: A date or time with what may follow it, which is no secret; and what an address must name, as numbered lines of text don't.
+TIME = re.compile(r"\d{4}-\d\d-\d\d(?:[T_-]?\d\d[:.-]?\d\d)?")
+STREET = re.compile(r"\b(?:street|st|avenue|ave|road|rd|lane|ln|drive|dr|boulevard|blvd|court|ct|place|way|square)\b", re.IGNORECASE)
+
+
 def plausible(kind: int, s: str) -> bool:
     """Whether a span's characters can be of its kind."""
     d, letters, name = len(digits(s)), sum(c.isalpha() for c in s), KINDS[kind]
@@ -454,9 +459,9 @@ def plausible(kind: int, s: str) -> bool:
     if name == "ssn":
         return d == 9 and not letters
     if name == "secret":
-        return len(s) >= 16 and d >= 2 and letters >= 2 and not re.search(r"\s", s)
+        return len(s) >= 16 and d >= 2 and letters >= 2 and not re.search(r"\s", s) and not TIME.match(s)
     if name == "address":
-        return 1 <= d <= 5 and letters >= 5 and " " in s
+        return 1 <= d <= 5 and letters >= 5 and " " in s and STREET.search(s) is not None
     return letters >= 5 and bool(re.search(r"@|\bat\b", s)) and bool(re.search(r"\.|\bdot\b", s)) and s[0].isalnum() and s[-1].isalnum()
 
 
