@@ -268,6 +268,14 @@ def spread(values: DataFrame, edges: DataFrame, hops: int = 6, rounds: int | Non
             return values
 
 
+def walked(edges: DataFrame, start: str, end: str, hops: int = 4) -> DataFrame:
+    """The ends of walks of ``hops`` edges from column ``start`` to column ``end``: one plan for what single rounds of trimming would write each."""
+    found = edges.select(end).distinct()
+    for _ in range(hops - 1):
+        found = edges.join(found.withColumnRenamed(end, start), start, "left_semi").select(end).distinct()
+    return found
+
+
 def scc(edges: DataFrame) -> DataFrame:
     """node, component: strongly connected components by colouring; components of one node are left out.
 
@@ -282,16 +290,18 @@ def scc(edges: DataFrame) -> DataFrame:
     n = rest.count()
     while n:
         while True:  # trim
-            heads, tails = rest.select(F.col("dst").alias("src")).distinct(), rest.select(F.col("src").alias("dst")).distinct()
-            rest = spool(rest.join(heads, "src", "left_semi").join(tails, "dst", "left_semi").select("src", "dst"))
-            now = rest.count()
+            heads, tails = walked(rest, "src", "dst").withColumnRenamed("dst", "src"), walked(rest, "dst", "src").withColumnRenamed("src", "dst")
+            left = spool(rest.join(heads, "src", "left_semi").join(tails, "dst", "left_semi").select("src", "dst"))
+            drop_spool(rest)
+            rest, now = left, left.count()
             if now == n:
                 break
             n = now
         if not n:
             break
         nodes = rest.select(F.col("src").alias("node")).distinct()
-        colour = spread(nodes.withColumn("value", F.col("node")), rest).withColumnRenamed("value", "colour")
+        coloured = spread(nodes.withColumn("value", F.col("node")), rest)
+        colour = coloured.withColumnRenamed("value", "colour")
         a, b = colour.select(F.col("node").alias("src"), F.col("colour").alias("ca")), colour.select(F.col("node").alias("dst"), F.col("colour").alias("cb"))
         inner = rest.join(a, "src").join(b, "dst").where("ca = cb")
         back = spool(inner.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
@@ -300,6 +310,8 @@ def scc(edges: DataFrame) -> DataFrame:
         big = found.join(found.groupBy("component").agg(F.count("*").alias("size")).where("size > 1"), "component").select("node", "component")
         out.append(big)
         gone = found.select(F.col("node").alias("src"))
-        rest = spool(rest.join(gone, "src", "left_anti").join(gone.withColumnRenamed("src", "dst"), "dst", "left_anti").select("src", "dst"))
-        n = rest.count()
+        left = spool(rest.join(gone, "src", "left_anti").join(gone.withColumnRenamed("src", "dst"), "dst", "left_anti").select("src", "dst"))
+        for done in (rest, coloured, back, marked):
+            drop_spool(done)
+        rest, n = left, left.count()
     return _union(out)
