@@ -39,7 +39,7 @@ def test_risk_and_cochange(spark):
     e = edges(spark, [("r", "p", "import", "exact"), ("u", "p", "module", "exact")])
     churn = spark.createDataFrame([("p", "c1", 100), ("p", "c2", 200), ("u", "c2", 200), ("u", "c3", None)], "path string, commit_sha string, committed_at long")
     got = {r["path"]: r for r in metrics.risk(e, files(spark, "p", "r", "u"), churn, now=300).collect()}
-    assert got["p"]["score"] == pytest.approx(math.log2(3) * math.log2(3)) and got["p"]["normalized_score"] == 100 and got["u"]["score"] == 0
+    assert got["p"]["score"] == pytest.approx(math.log2(2) * math.log2(3)) and got["p"]["direct_dependents"] == 1 and got["p"]["normalized_score"] == 100 and got["u"]["score"] == 0
     assert rows(metrics.cochange(churn, "p", now=300), "path", "shared_commits", "target_commits", "score") == [("u", 1, 2, 0.5)]
 
 

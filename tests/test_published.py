@@ -3,11 +3,12 @@
 import random
 from itertools import combinations
 
+import pytest
 from pyspark.sql import functions as F
 
 from cartograph.config import Capability, Config, parse_config
 from cartograph import cli
-from cartograph.operators import entry, impact, metrics, report, similar
+from cartograph.operators import compare, entry, impact, metrics, report, similar
 from cartograph.sources.dataset import Graph
 from cartograph.schema import CHURN, FILE_EDGES, FILES, IMPORTS, SYMBOL_EDGES, SYMBOLS
 
@@ -154,3 +155,15 @@ def test_comparison_advice_and_details(spark):
     assert parts["unused_export_detail"][0]["reason"] == "exported symbol `lib::parser` has no indexed inbound call edges" and len(parts["unused_export_detail"]) == 6
     text = cli.markdown(now, report.gate(now), c, parts)
     assert "Score: 82.0 (-12.0 since baseline)" in text and "| unreachable_files | 3 | +3 |" in text and "## risk hotspots" in text and text.endswith("versus baseline\n")
+
+
+def test_what_a_simulated_extraction_refuses(spark):
+    g = small_rust(spark)
+    assert compare.source_of(g, [" parse ", "parser::tokenize"], "src/new.rs") == "src/parser.rs"
+    for names, into, text in (([], "n.rs", "needs symbols"), (["parse", " "], "n.rs", "blank"), (["parse", "parse "], "n.rs", "twice: parse"), (["parse", "nobody"], "n.rs", "unknown symbols: nobody"),
+                              (["parse", "greet"], "n.rs", "several files"), (["parse"], "src/parser.rs", "exists"), (["parse"], "src/lib.rs", "exists")):
+        with pytest.raises(ValueError, match=text):
+            compare.source_of(g, names, into)
+    with pytest.raises(ValueError, match="are in src/parser.rs"):
+        compare.simulate_extract(g, Config(), ["parse"], "src/lib.rs", "src/new.rs")
+    assert compare.simulate_extract(g, Config(), ["parse"], None, "src/new.rs")["cycles"] == (0, 0)
