@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from cartograph.config import Gate
 from cartograph.lang.dsl import Session
 from cartograph.operators import arch, compare, context, direct, report
-from cartograph.plans.catalog import BEFORE, CALLEE, CALLER, CONFIG, DST_HUB, LAYER_CASE, ORACLES, QUERIES, SRC_HUB, VIOLATION, _walk, busy_symbol, hub, query, two_states
+from cartograph.plans.catalog import BEFORE, CALLEE, CALLER, CONFIG, DST_HUB, LABELS, LAYER_CASE, NOW, ORACLES, QUERIES, RISK, SRC_HUB, VIOLATION, _walk, busy_symbol, hub, query, two_states
 from cartograph.runtime import shared_dir
 from cartograph.sources import snapshots
 from cartograph.sources.dataset import Graph, load, oracle_prefix
 
 
 def dsl(g: Graph, *texts: str) -> DataFrame:
-    s, value = Session(g), None
+    s, value = Session(g, NOW), None
     for text in texts:
         value = s.run(text)
     return value.df.drop("ord")
@@ -94,6 +94,38 @@ def _count(g: Graph) -> DataFrame:
     return dsl(g, f'file "{hub(g)}" | .deps | .reverse | count')
 
 
+@query("dsl_minus", SRC_HUB + _walk("hub", "src", "dst", 3) + " SELECT node AS path FROM lv WHERE d > 0 AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = (SELECT p FROM hub) AND e.dst = node)")
+def _minus(g: Graph) -> DataFrame:
+    return dsl(g, f'let near = file "{hub(g)}" | .deps', f'file "{hub(g)}" | .deps_transitive(3) | minus $near')
+
+
+@query("dsl_union", SRC_HUB + DST_HUB.replace("hub AS", "far AS") + _walk("hub", "src", "dst", 2) + " SELECT node AS path FROM lv WHERE d > 0 UNION SELECT src FROM edges WHERE dst = (SELECT p FROM far) AND src LIKE '%7.%'")
+def _union(g: Graph) -> DataFrame:
+    return dsl(g, f'file "{hub(g)}" | .deps_transitive(2) | union (file "{hub(g, "dst")}" | .reverse | filter file matches "*7.*")')
+
+
+@query("dsl_intersect", SRC_HUB + RISK + _walk("hub", "src", "dst", 4) + " SELECT node AS path FROM lv JOIN y ON y.path = node WHERE d > 0 AND round(100 * s / (SELECT max(s) FROM y)) >= 40")
+def _intersect(g: Graph) -> DataFrame:
+    return dsl(g, f'file "{hub(g)}" | .deps_transitive(4) | intersect (all-files | filter risk >= 40) | sort-by risk')
+
+
+@query("dsl_depth", SRC_HUB + _walk("hub", "src", "dst", 3) + " SELECT node AS path, d AS distance FROM lv WHERE d BETWEEN 2 AND 3")
+def _depth(g: Graph) -> DataFrame:
+    return dsl(g, f'let wide = file "{hub(g)}" | .depth 5 | .deps', "$wide | sort-by distance | filter distance < 4 | filter distance >= 2")
+
+
+@query("dsl_filter", CALLEE + LABELS + _walk("start", "dst", "src", 2, "lab") + """ SELECT DISTINCT split_part(c.src, chr(1), 2) AS path, split_part(c.src, chr(1), 1) AS qualname, lv.d + 1 AS distance FROM lv JOIN lab c ON c.dst = lv.node
+ JOIN symbols s ON s.path = split_part(c.src, chr(1), 2) AND s.qualname = split_part(c.src, chr(1), 1) WHERE c.certainty IN ('exact', 'resolved') AND s.kind = 'function'""")
+def _filter(g: Graph) -> DataFrame:
+    text = f'symbol "{busy_symbol(g)[1]}" | .callers_transitive | filter certainty >= resolved | filter kind = function | filter distance <= 3 | unique'
+    return dsl(g, text).select("path", "qualname", "distance")
+
+
+@query("dsl_visibility", " SELECT path, qualname FROM symbols WHERE path LIKE 'src/%' AND exported AND kind <> 'function'")
+def _visibility(g: Graph) -> DataFrame:
+    return dsl(g, 'all-files | filter file matches "src/**" | .symbols | filter visibility = public | filter kind != function')
+
+
 @query("symbol_lookup", ", asked AS (SELECT name AS query FROM symbols UNION SELECT qualname FROM symbols WHERE start_line < 20), hit AS (SELECT query, path, qualname, row_number() OVER (PARTITION BY query ORDER BY qualname <> query, qualname, path) AS n FROM asked JOIN symbols ON qualname = query OR name = query) SELECT query, path, qualname FROM hit WHERE n = 1")
 def _lookup(g: Graph) -> DataFrame:
     asked = g.symbols.select(F.col("name").alias("query")).unionByName(g.symbols.where("start_line < 20").select(F.col("qualname").alias("query")))
