@@ -122,3 +122,20 @@ def test_reach_counts_by_masks(spark, words):
     got = {r["node"]: r["reached"] for r in kernels.reach_counts(graph(spark, pairs), words).collect()}
     assert got == {a: len(s) for a, s in after.items() if s}
     assert kernels.reach_counts(graph(spark, pairs).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("part", [3, 20, 100_000])
+def test_components_of_small_and_large_parts(spark, part):
+    pairs = [(f"{tag}{a}", f"{tag}{b}") for tag, n, m in (("x", 18, 26), ("y", 14, 22), ("z", 4, 5)) for a, b in random_pairs(n, m, 8)]
+    after = {a: {m for b in {y for x, y in pairs if x == a} for m in plain_bfs(pairs, b)} for a, _ in pairs}
+    want = {n: min(same) for n in after if len(same := {m for m in after[n] if n in after.get(m, ())}) > 1}
+    assert want and {r["node"]: r["component"] for r in kernels.scc(graph(spark, pairs), part).collect()} == want
+    assert dict(kernels.strong(pairs)) == want
+
+
+def test_small_parts_are_searched_without_colouring(spark, monkeypatch):
+    calls, plain = [], kernels.spread
+    monkeypatch.setattr(kernels, "spread", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    chain = [(f"c{i:02d}{end}", f"c{i + j:02d}{far}") for i in range(6) for end, far, j in (("a", "b", 0), ("b", "a", 0), ("b", "a", 1))]
+    assert kernels.scc(graph(spark, chain)).count() == 12  # six pairs in a row: six rounds of colours before
+    assert len(calls) == 1
