@@ -139,3 +139,19 @@ def test_small_parts_are_searched_without_colouring(spark, monkeypatch):
     chain = [(f"c{i:02d}{end}", f"c{i + j:02d}{far}") for i in range(6) for end, far, j in (("a", "b", 0), ("b", "a", 0), ("b", "a", 1))]
     assert kernels.scc(graph(spark, chain)).count() == 12  # six pairs in a row: six rounds of colours before
     assert len(calls) == 1
+
+
+def test_ends_without_edges_stay_out_of_the_hops(spark, monkeypatch):
+    passed, plain = set(), kernels.spool
+
+    def noted(df, *by):
+        out = plain(df, *by)
+        if out.columns == ["node", "word", "mask"]:
+            passed.update(r["node"] for r in out.collect())
+        return out
+
+    monkeypatch.setattr(kernels, "spool", noted)
+    pairs = [(f"p{i}", f"o{i % 3}") for i in range(40)] + [("o0", "o1"), ("o1", "o2"), ("o2", "q")]
+    got = {r["node"]: r["reached"] for r in kernels.reach_counts(graph(spark, pairs)).collect()}
+    assert got == {"o0": 3, "o1": 2, "o2": 1} | {f"p{i}": 4 - i % 3 for i in range(40)}
+    assert passed == {"o0", "o1", "o2"}
