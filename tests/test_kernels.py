@@ -155,3 +155,14 @@ def test_ends_without_edges_stay_out_of_the_hops(spark, monkeypatch):
     got = {r["node"]: r["reached"] for r in kernels.reach_counts(graph(spark, pairs)).collect()}
     assert got == {"o0": 3, "o1": 2, "o2": 1} | {f"p{i}": 4 - i % 3 for i in range(40)}
     assert passed == {"o0", "o1", "o2"}
+
+
+@pytest.mark.parametrize("part", [2, 100])
+def test_closure_with_ends_without_edges(spark, monkeypatch, part):
+    doubled, plain = [], kernels._doubled
+    monkeypatch.setattr(kernels, "_doubled", lambda e: doubled.append(1) or plain(e))
+    pairs = [(f"o{i % 3}", f"p{i}") for i in range(9)] + [("o0", "o1"), ("o1", "o2"), ("o2", "o1")]
+    want = {(a, m) for a, _ in pairs for b in {y for x, y in pairs if x == a} for m in plain_bfs(pairs, b)}
+    found = kernels.closure(graph(spark, pairs), part).collect()
+    assert {(r["src"], r["dst"]) for r in found} == want and len(found) == len(want)
+    assert len(doubled) == (part == 2)  # small parts were doubled before
