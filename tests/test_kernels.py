@@ -166,3 +166,12 @@ def test_closure_with_ends_without_edges(spark, monkeypatch, part):
     found = kernels.closure(graph(spark, pairs), part).collect()
     assert {(r["src"], r["dst"]) for r in found} == want and len(found) == len(want)
     assert len(doubled) == (part == 2)  # small parts were doubled before
+
+
+def test_searches_write_edges_without_a_shuffle(spark, monkeypatch):
+    plans, plain = [], kernels.by_source
+    monkeypatch.setattr(kernels, "by_source", lambda e: plans.append(e._jdf.queryExecution().executedPlan().toString()) or plain(e))
+    pairs = [("a", "b"), ("a", "b"), ("b", "c"), ("b", "c"), ("a", "d")]
+    assert {r["node"]: r["parent"] for r in kernels.bfs_tree(graph(spark, pairs), "a").collect()} == {"b": "a", "c": "b", "d": "a"}
+    assert sorted((r["node"], r["distance"]) for r in kernels.bfs(graph(spark, pairs), seeds(spark, "a")).collect()) == [("a", 0), ("b", 1), ("c", 2), ("d", 1)]
+    assert len(plans) == 2 and not any("Exchange" in p for p in plans)
