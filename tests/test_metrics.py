@@ -107,3 +107,13 @@ def test_catalogue_against_duckdb(spark, name):
     assert sorted(got.columns) == cols
     flat = lambda d: sorted(map(tuple, d[cols].astype(object).where(d[cols].notna(), None).values.tolist()), key=str)
     assert flat(got) == flat(want)
+
+
+def test_edge_diff_groups_both_states_once(spark):
+    before = edges(spark, [("a", "b", "import", "exact"), ("a", "b", "import", "exact"), ("a", "c", "import", None), ("b", "c", "module", "exact")])
+    after = edges(spark, [("a", "c", "import", None), ("b", "c", "import", "exact"), ("b", "c", "import", "exact")])
+    found = compare.edge_diff(before, after)
+    assert rows(found, "src", "dst", "kind", "change") == [("a", "b", "import", "removed"), ("b", "c", "import", "added"), ("b", "c", "module", "removed")]
+    assert rows(compare.added(after, before, ["src", "kind"]), "src", "kind") == [("b", "module")]
+    plan = compare.edge_diff(before, after)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
