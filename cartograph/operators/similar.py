@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartograph.functions.glob import jaccard
@@ -70,8 +70,8 @@ def split_rows(symbols: DataFrame) -> DataFrame:
 
     A file with fewer than two exported symbols takes all of its own; modules are always left out.
     """
-    few = symbols.groupBy("path").agg((F.count_if("exported") < 2).alias("few"), F.count("*").alias("n"))
-    rows = symbols.join(few, "path").where(F.col("few") | F.col("exported")).where("kind <> 'module'")
+    of_file = Window.partitionBy("path")
+    rows = symbols.where("path IS NOT NULL").withColumns({"few": F.count_if("exported").over(of_file) < 2, "n": F.count("*").over(of_file)}).where(F.col("few") | F.col("exported")).where("kind <> 'module'")
     return rows.select("path", "qualname", "name", "kind", "exported", F.col("start_line").alias("line"), (F.col("few") & (F.col("n") >= 2)).alias("widened"))
 
 
@@ -79,14 +79,15 @@ def usage(rows: DataFrame, symbol_edges: DataFrame) -> DataFrame:
     """path, used (sorted qualnames), files, first, second: how many calling files use exactly these symbols of a file, and the least two of them.
 
     Callers that use the same symbols are alike for every comparison of symbol sets, so a file's group holds one row for each such set, however many callers a
-    symbol has.
+    symbol has. Calls and symbols move once, to the task of their file, which reads them sorted and in turn.
     """
-    calls = symbol_edges.select(F.col("dst_path").alias("path"), F.col("dst").alias("qualname"), "src_path").distinct()
-    own = calls.join(rows.select("path", "qualname").distinct(), ["path", "qualname"], "left_semi")
-    sets = own.groupBy("path", "src_path").agg(F.array_sort(F.collect_set("qualname")).alias("used"))
-    first = sets.groupBy("path", "used").agg(F.count("*").alias("files"), F.min("src_path").alias("first"))
-    later = sets.join(first, ["path", "used"]).where("src_path > first").groupBy("path", "used").agg(F.min("src_path").alias("second"))
-    return first.join(later, ["path", "used"], "left")
+    calls = symbol_edges.where("dst_path IS NOT NULL").select(F.col("dst_path").alias("path"), F.col("dst").alias("qualname"), "src_path", F.lit(False).alias("own")).repartition("path")
+    own = rows.where("qualname IS NOT NULL").select("path", "qualname", F.lit(None).cast("string").alias("src_path"), F.lit(True).alias("own"))
+    known = F.max("own").over(Window.partitionBy("path", "qualname"))
+    called = own.unionByName(calls).withColumn("known", known).where("known AND NOT own")
+    sets = called.groupBy("path", "src_path").agg(F.array_sort(F.collect_set("qualname")).alias("used"))
+    place = F.row_number().over(Window.partitionBy("path", "used").orderBy(F.asc_nulls_last("src_path")))
+    return sets.withColumn("place", place).groupBy("path", "used").agg(F.count("*").alias("files"), F.min("src_path").alias("first"), F.min(F.when(F.col("place") == 2, F.col("src_path"))).alias("second"))
 
 
 def merge_order(sets: list[int], counts: list[int], wanted: int) -> list[list[int]]:

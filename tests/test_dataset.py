@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from cartograph.operators import similar
 from cartograph.sources import dataset
 
 
@@ -42,3 +43,12 @@ def test_no_path_is_written_or_shuffled_to_make_symbols_and_calls(spark, tables)
         assert not hasattr(getattr(g, name), "_spool_path")
     for stored in (g.lines, g.steps, g.leads):
         assert {"path", "src", "dst", "qualname"}.isdisjoint(stored.columns)
+
+
+def test_caller_sets_move_each_call_once(spark):
+    symbols = spark.createDataFrame([("a", f"q{i}", f"q{i}", "function", i < 3, i) for i in range(4)] + [("b", "q0", "q0", "function", False, 1), (None, "q0", "q0", "function", True, 1)], "path string, qualname string, name string, kind string, exported boolean, start_line int")
+    calls = [("x", "a", "q0"), ("x", "a", "q1"), ("x", "a", "q0"), ("y", "a", "q1"), ("y", "a", "q0"), ("z", "a", "q0"), ("z", "a", "q3"), ("z", "a", "gone"), ("z", "b", "q0"), (None, "b", "q0"), ("w", None, "q0"), ("w", "a", None)]
+    edges = spark.createDataFrame(calls, "src_path string, dst_path string, dst string")
+    found = similar.usage(similar.split_rows(symbols), edges)
+    assert sorted(tuple(r) for r in found.collect()) == [("a", ["q0"], 1, "z", None), ("a", ["q0", "q1"], 2, "x", "y"), ("b", ["q0"], 2, "z", None)]
+    assert found._jdf.queryExecution().executedPlan().toString().split("Final Plan")[0].count("Exchange hashpartitioning") <= 2
