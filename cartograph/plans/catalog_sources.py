@@ -94,7 +94,7 @@ def text_query(name: str, sql: str | None = None):
 
 @text_query("extract_symbols", " SELECT s.path, name, q || name AS qualname, kind, visibility, exported, start_line FROM sym s JOIN names n ON n.path = s.path")
 def _symbols(files: DataFrame) -> DataFrame:
-    return tree.symbols_of(tree.extract(files)).select("path", "name", "qualname", "kind", "visibility", "exported", "start_line")
+    return tree.symbols_of(tree.extract(files, kinds=("symbol",))).select("path", "name", "qualname", "kind", "visibility", "exported", "start_line")
 
 
 # The first line and its feed come before a file's second line: spans count bytes.
@@ -102,22 +102,22 @@ def _symbols(files: DataFrame) -> DataFrame:
  FROM (SELECT *, CASE WHEN linked AND language = 'rust' THEN length('use crate::::begin_;') + length(regexp_replace(replace(next_path, 'src/', ''), '[.][a-z]+$', '')) + 2 + length(CAST(k1 AS STRING)) WHEN linked THEN length('import { begin_ } from ''../../'';') + length(regexp_replace(replace(next_path, 'src/', ''), '[.][a-z]+$', '')) + length(CAST(k1 AS STRING))
    WHEN language = 'rust' THEN length('use serde::Serialize;') ELSE length('import x from ''react'';') END AS len_1, CASE WHEN language = 'rust' THEN length('pub mod inner_ {') ELSE length('class Inner_ {') END + length(CAST(k AS STRING)) AS len_2 FROM units) u""")
 def _spans(files: DataFrame) -> DataFrame:
-    return tree.symbols_of(tree.extract(files)).where("name like 'begin%'").select("path", "name", F.col("span_start").cast("long").alias("span_start"), F.col("span_end").cast("long").alias("span_end"))
+    return tree.symbols_of(tree.extract(files, kinds=("symbol",))).where("name like 'begin%'").select("path", "name", F.col("span_start").cast("long").alias("span_start"), F.col("span_end").cast("long").alias("span_end"))
 
 
 @text_query("extract_imports", " SELECT path, CASE WHEN linked THEN 'relative' ELSE 'external' END AS import_path_kind, CASE WHEN linked THEN next_path END AS resolved_path, CASE WHEN linked THEN NULL WHEN language = 'rust' THEN 'serde' ELSE 'react' END AS external_pkg, 1 AS start_line, CASE WHEN linked THEN 'exact' ELSE 'heuristic' END AS certainty FROM units")
 def _imports(files: DataFrame) -> DataFrame:
-    return tree.imports_of(tree.extract(files), files).select("path", "import_path_kind", "resolved_path", "external_pkg", "start_line", "certainty")
+    return tree.imports_of(tree.extract(files, kinds=("import",)), files).select("path", "import_path_kind", "resolved_path", "external_pkg", "start_line", "certainty")
 
 
 @text_query("extract_files", " SELECT path, language, CASE WHEN language <> 'rust' AND k % 19 = 0 THEN 'partial' ELSE 'ok' END AS parse_status, false AS is_barrel FROM units")
 def _files(files: DataFrame) -> DataFrame:
-    return tree.file_states(tree.extract(files), files.drop("text")).select("path", "language", "parse_status", "is_barrel")
+    return tree.file_states(tree.extract(files, kinds=("file",)), files.drop("text")).select("path", "language", "parse_status", "is_barrel")
 
 
 @text_query("extract_calls", " SELECT path, 'begin_' || k AS caller, 'fn_' || part || '_' || supp AS callee, 5 AS line FROM items WHERE j = 0 UNION ALL SELECT path, 'begin_' || k, 'begin_' || k1, 6 FROM units WHERE linked UNION ALL SELECT path, 'fn_' || part || '_' || supp, 'fn_' || part1 || '_' || supp1, CAST(9 + 3 * j AS INT) FROM items WHERE part1 IS NOT NULL")
 def _call_sites(files: DataFrame) -> DataFrame:
-    found = tree.extract(files).where("record = 'call' and caller is not null and not is_method")
+    found = tree.extract(files, kinds=("call",)).where("record = 'call' and caller is not null and not is_method")
     return found.select("path", F.element_at(F.split("caller", "::"), -1).alias("caller"), F.col("name").alias("callee"), "line")
 
 
@@ -219,7 +219,7 @@ def _delete(g: Graph) -> DataFrame:
  SELECT target, path, 'importer' AS role, 'import path resolves to target file ' || target AS reason, 'exact' AS certainty, 1 AS line, CAST(strpos(t, 'o_' || k1) - 1 AS INT) AS start_byte, CAST(strpos(t, 'o_' || k1) - 1 + length('o_' || k1) AS INT) AS end_byte, 'o_' || k1 AS before_text, 'moved_' || k1 AS after_text, true AS apply_safe FROM raw""")
 def _rename_files(files: DataFrame) -> DataFrame:
     renames = files.where("k % 3 = 0").select(F.col("path").alias("target"), F.concat(F.lit("moved_"), F.col("k").cast("string")).alias("new_name"))
-    return rename.rename_files(tree.imports_of(tree.extract(files), files), renames)
+    return rename.rename_files(tree.imports_of(tree.extract(files, kinds=("import",)), files), renames)
 
 
 @text_query("rename_apply")

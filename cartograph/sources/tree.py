@@ -1,6 +1,6 @@
 """Source trees: scan, extraction of symbols, imports and calls, and their resolution.
 
-Files are read with Spark's binary reader. Lines are parsed by one mapInPandas pass (the brace depth that decides
+Files are read with Spark's binary reader. Lines are parsed by one mapInArrow pass (the brace depth that decides
 which function owns a line is a clamped running state that window functions can't express); everything that needs the
 set of files - which path an import means, which symbol a call means - is left to joins.
 """
@@ -11,9 +11,9 @@ import json
 import os
 import re
 import subprocess
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +43,9 @@ ROW = (
     "candidates array<string>, external_pkg string, start_byte int, end_byte int, line int, caller string, callee string, is_method boolean"
 )
 COLUMNS = [x.split()[0] for x in ROW.split(", ")]
+ARROW = [{"string": pa.string(), "boolean": pa.bool_(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}[x.split()[1]] for x in ROW.split(", ")]
+RECORDS = ("symbol", "import", "module", "call", "file")
+FILES_A_BATCH = 500  # files whose records are in memory at a time
 
 
 def qualname(path: str, name: str) -> str:
@@ -108,22 +111,25 @@ def load_tsconfig(root: str) -> dict:
     return d.get("compilerOptions") or d
 
 
-def parse_file(path: str, language: str, text: str, aliases: dict) -> list[dict]:
-    """The records of one file: symbols, imports, modules, calls and one file record."""
+def parse_file(path: str, language: str, text: str, aliases: dict, kinds: Collection[str] = RECORDS) -> list[dict]:
+    """The records of one file, of some kinds or of all: symbols, imports, modules, calls and one file record."""
     out: list[dict] = []
     script = language == "typescript_javascript"
+    symbols, imports, modules, calls, states = (x in kinds for x in RECORDS)
+    prefix, size = qualname(path, ""), len if text.isascii() else lambda x: len(x.encode())
+    qual = lambda name: prefix + name
     offset = depth = 0
     owner: str | None = None
     dynamic, only_exports = False, True
     for number, raw in enumerate(text.split("\n")[: None if not text.endswith("\n") else -1], 1):
         line = raw.removesuffix("\r")
-        t, code = line.strip(), line.split("//")[0]
-        place = {"path": path, "start_byte": offset, "end_byte": offset + len(line.encode()), "line": number}
-        add = lambda record, **x: out.append({"record": record, **place, **x})  # noqa: B023, E731
+        length = size(line)
+        t, code = line.strip(), line.split("//")[0] if "//" in line else line
+        add = lambda record, **x: out.append({"record": record, "path": path, "start_byte": offset, "end_byte": offset + length, "line": number, **x})  # noqa: B023, E731
         declared = None
         if script:
-            only_exports &= not t or t.startswith(("//", "export "))
-            if m := QUOTED.search(t):
+            only_exports = only_exports and (not t or t.startswith(("//", "export ")))
+            if imports and ("'" in t or '"' in t) and (m := QUOTED.search(t)):
                 spec = m["spec"]
                 if spec.startswith("."):
                     kind, files, package = "relative", script_candidates(os.path.normpath(os.path.join(os.path.dirname(path), spec))), None
@@ -131,55 +137,64 @@ def parse_file(path: str, language: str, text: str, aliases: dict) -> list[dict]
                     files = alias_targets(spec, aliases)
                     kind, package = ("alias", spec) if files else ("external", spec)
                 add("import", raw_text=t, spec_kind=kind, candidates=files, external_pkg=package)
-            dynamic |= bool(DYNAMIC.search(t))
-            if m := REEXPORT.match(t):
+            dynamic = dynamic or (states and "(" in t and bool(DYNAMIC.search(t)))
+            if symbols and (m := REEXPORT.match(t)):
                 name = m["first"].split(" as ")[-1].strip()
-                add("symbol", name=name, qualname=qualname(path, name), kind="function", visibility="public", exported=True)
-            for name in commonjs_names(t):
-                known = [r for r in out if r["record"] == "symbol" and r["qualname"] == qualname(path, name)]
+                add("symbol", name=name, qualname=qual(name), kind="function", visibility="public", exported=True)
+            for name in commonjs_names(t) if symbols and "exports" in t else ():
+                known = [r for r in out if r["record"] == "symbol" and r["qualname"] == qual(name)]
                 for r in known:  # a symbol from above keeps its kind and place
                     r.update(visibility="public", exported=True)
                 if not known:
-                    add("symbol", name=name, qualname=qualname(path, name), kind="function", visibility="public", exported=True)
+                    add("symbol", name=name, qualname=qual(name), kind="function", visibility="public", exported=True)
         else:
-            if m := RUST_MOD.match(t):
+            if (symbols or modules) and (m := RUST_MOD.match(t)):
                 name = m["name"].strip()
-                folder, file = os.path.split(path)
-                here = folder if file in ("mod.rs", "lib.rs", "main.rs") else f"{folder}/{file.removesuffix('.rs')}"
-                add("module", name=name, candidates=module_files(here, [name]) if m["end"] == ";" else [], external_pkg=None)
-                add("symbol", name=name, qualname=qualname(path, name), kind="module", visibility="public" if m["vis"] else "local", exported=bool(m["vis"]))
-            if m := RUST_USE.match(t):
+                if modules:
+                    folder, file = os.path.split(path)
+                    here = folder if file in ("mod.rs", "lib.rs", "main.rs") else f"{folder}/{file.removesuffix('.rs')}"
+                    add("module", name=name, candidates=module_files(here, [name]) if m["end"] == ";" else [], external_pkg=None)
+                if symbols:
+                    add("symbol", name=name, qualname=qual(name), kind="module", visibility="public" if m["vis"] else "local", exported=bool(m["vis"]))
+            if imports and (m := RUST_USE.match(t)):
                 kind, files, package = rust_candidates(path, m["path"].strip())
                 add("import", raw_text=t, spec_kind=kind, candidates=files, external_pkg=package)
-        own = DECLARED.match(t)
-        own_name = next((x for x in own.groups() if x), None) if own else None
-        for m in CALL.finditer(code):
-            word, start = m.group(1), m.start(1)
-            method = "." in word
-            callee = word.rsplit(".", 1)[-1] if method else word
-            segments = callee.split("::")
-            bad = not all(NAME.fullmatch(s) for s in segments) or callee in NOT_CALLS or callee == own_name
-            if bad or code[: start + len(word) - len(callee)].rstrip().endswith("!"):
-                continue
-            add("call", name=segments[-1], callee=callee if len(segments) > 1 else None, is_method=method, caller=owner)
-        if script and (m := SCRIPT_ITEM.match(t)):
+        if calls and "(" in code:
+            own = DECLARED.match(t)
+            own_name = next((x for x in own.groups() if x), None) if own else None
+            for m in CALL.finditer(code):
+                word, start = m.group(1), m.start(1)
+                method = "." in word
+                callee = word.rsplit(".", 1)[-1] if method else word
+                segments = callee.split("::")
+                bad = not all(NAME.fullmatch(s) for s in segments) or callee in NOT_CALLS or callee == own_name
+                if bad or code[: start + len(word) - len(callee)].rstrip().endswith("!"):
+                    continue
+                add("call", name=segments[-1], callee=callee if len(segments) > 1 else None, is_method=method, caller=owner)
+        if not (symbols or calls):
+            pass
+        elif script and (m := SCRIPT_ITEM.match(t)):
             name = "default" if m["anon"] else m["name"]
             kind = "function" if m["anon"] else SCRIPT_KINDS[m["word"]]
             if m["word"] not in ("const", "let") or "=>" in t:
                 shown = bool(m["export"])
-                add("symbol", name=name, qualname=qualname(path, name), kind=kind, visibility="public" if shown else "local", exported=shown)
-                declared = qualname(path, name) if kind == "function" else None
+                if symbols:
+                    add("symbol", name=name, qualname=qual(name), kind=kind, visibility="public" if shown else "local", exported=shown)
+                declared = qual(name) if kind == "function" else None
         elif not script and (m := RUST_ITEM.match(t)):
             visibility, shown = rust_visibility(m["vis"])
-            add("symbol", name=m["name"], qualname=qualname(path, m["name"]), kind=RUST_KINDS[m["word"]], visibility=visibility, exported=shown)
-            declared = qualname(path, m["name"]) if m["word"] == "fn" else None
-        opened, closed = code.count("{"), code.count("}")
-        if depth == 0 and owner is None and opened > closed:
-            owner = declared
-        depth = max(0, depth + opened - closed)
-        owner = owner if depth else None
-        offset += len(line.encode()) + 1
-    out.append({"record": "file", "path": path, "kind": "partial" if dynamic else "ok", "exported": script and only_exports})
+            if symbols:
+                add("symbol", name=m["name"], qualname=qual(m["name"]), kind=RUST_KINDS[m["word"]], visibility=visibility, exported=shown)
+            declared = qual(m["name"]) if m["word"] == "fn" else None
+        if calls and ("{" in code or "}" in code):
+            opened, closed = code.count("{"), code.count("}")
+            if depth == 0 and owner is None and opened > closed:
+                owner = declared
+            depth = max(0, depth + opened - closed)
+            owner = owner if depth else None
+        offset += length + 1
+    if states:
+        out.append({"record": "file", "path": path, "kind": "partial" if dynamic else "ok", "exported": script and only_exports})
     return out
 
 
@@ -273,15 +288,18 @@ def scan(spark: SparkSession, root: str, include_hidden: bool = False, rules: li
     return rows.select("path", "language", F.decode("content", "UTF-8").alias("text"), "mtime", "size_bytes", F.sha2("content", 256).alias("content_hash"))
 
 
-def extract(files: DataFrame, aliases: dict | None = None) -> DataFrame:
-    """All records of the files (ROW)."""
+def extract(files: DataFrame, aliases: dict | None = None, kinds: Collection[str] = RECORDS) -> DataFrame:
+    """The records of the files (ROW), of some kinds or of all; other kinds are not looked for."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [r for p, lang, t in zip(b["path"], b["language"], b["text"], strict=True) for r in parse_file(p, lang, t or "", aliases or {})]
-            yield pd.DataFrame(rows, columns=COLUMNS).astype(object).where(lambda x: x.notna(), None)
+            for i in range(0, b.num_rows, FILES_A_BATCH):
+                texts = zip(*(b.column(c).slice(i, FILES_A_BATCH).to_pylist() for c in ("path", "language", "text")), strict=True)
+                rows = [r for p, lang, t in texts for r in parse_file(p, lang, t or "", aliases or {}, kinds)]
+                filled = set().union(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], t) if c in filled else pa.nulls(len(rows), t) for c, t in zip(COLUMNS, ARROW, strict=True)], COLUMNS)
 
-    return files.select("path", "language", "text").mapInPandas(run, ROW)
+    return files.select("path", "language", "text").mapInArrow(run, ROW)
 
 
 def pick(rows: DataFrame, files: DataFrame) -> DataFrame:
