@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cartograph.operators import similar
-from cartograph.sources import dataset
+from cartograph.sources import dataset, tree
 
 
 @pytest.fixture(scope="module")
@@ -52,3 +52,21 @@ def test_caller_sets_move_each_call_once(spark):
     found = similar.usage(similar.split_rows(symbols), edges)
     assert sorted(tuple(r) for r in found.collect()) == [("a", ["q0"], 1, "z", None), ("a", ["q0", "q1"], 2, "x", "y"), ("b", ["q0"], 2, "z", None)]
     assert found._jdf.queryExecution().executedPlan().toString().split("Final Plan")[0].count("Exchange hashpartitioning") <= 2
+
+
+def test_extraction_looks_for_the_asked_records_only(spark):
+    text = "use crate::b::g;\npub mod m;\npub fn f() {\n    g();\n    é(1);\n}\n"
+    every = tree.parse_file("src/a.rs", "rust", text, {})
+    assert {r["record"] for r in every} == set(tree.RECORDS)
+    for kinds in [(x,) for x in tree.RECORDS] + [("import", "module"), ("symbol", "call")]:
+        assert tree.parse_file("src/a.rs", "rust", text, {}, kinds) == [r for r in every if r["record"] in kinds]
+
+
+def test_edges_need_no_calls_and_calls_no_texts(spark, monkeypatch):
+    files = spark.createDataFrame([("src/a.rs", "rust", "use crate::b::g;\npub fn f() {\n    g();\n}\n"), ("src/b.rs", "rust", "pub fn g() {\n}\n")], "path string, language string, text string")
+    found = tree.build(files)
+    calls = tree.resolve_calls
+    monkeypatch.setattr(tree, "resolve_calls", None)
+    assert [tuple(r) for r in found.file_edges.collect()] == [("src/a.rs", "src/b.rs", "import", "exact")]
+    monkeypatch.setattr(tree, "resolve_calls", calls)
+    assert [tuple(r) for r in found.symbol_edges.collect()] == [("src/a.rs", "a::f", "src/b.rs", "b::g", "resolved", 3)]
