@@ -198,3 +198,30 @@ def test_an_index_writes_what_changed(spark, tmp_path):
     last = one.pointer()["chain"][-1]
     n = {t: spark.read.parquet(f"{tmp_path}/one/v{last}/{t}").count() for t in ("files", "records", "imports", "symbols")}
     assert n["files"] == 1 and n["imports"] <= 5 and n["symbols"] == 2 and n["records"] <= 8
+
+
+def test_a_run_of_the_index_leaves_no_scratch_tables(spark, tmp_path, monkeypatch):
+    """Records and tables are written once, in the version; only texts, keys and paths are stored besides, and dropped."""
+    made, dropped = {}, set()
+    for module in (index, tree):
+        monkeypatch.setattr(module, "spool", lambda df, f=module.spool: made.setdefault((out := f(df))._spool_path, out))
+        monkeypatch.setattr(module, "drop_spool", lambda df, f=module.drop_spool: (dropped.add(getattr(df, "_spool_path", None)), f(df)))
+    monkeypatch.setattr(index, "FILES_A_BUCKET", 3)
+    schema = "path string, language string, text string, mtime long, size_bytes long, content_hash string"
+    texts = {f"src/m{i}.rs": f"use crate::m{i + 1}::run;\npub fn run() {{\n    help();\n    run{i}();\n}}\nfn help() {{\n}}\n" for i in range(9)}
+    one = index.Index(spark, str(tmp_path / "one"))
+    assert one.run(spark.createDataFrame([(p, "rust", t, 1, len(t), t) for p, t in texts.items()], schema))["changed_files"] == 9
+    assert set(made) <= dropped and not any("record" in df.columns for df in made.values())
+    assert one.pointer()["buckets"]["records"] == 3 and one.load().symbol_edges.count() == 9
+    texts["src/m4.rs"] += "fn more() {\n}\n"
+    two = spark.createDataFrame([(p, "rust", t, 1, len(t), t) for p, t in texts.items()], schema)
+    assert one.run(two)["affected_files"] == 5 and set(made) <= dropped
+    assert one.load().symbols.count() == 19 and one.load().symbol_edges.count() == 9
+
+
+def test_calls_meet_the_symbols_of_their_file_in_one_shuffle(spark):
+    symbols = spark.createDataFrame([("a", "f", "a::f", "function"), ("a", "g", "a::g", "struct"), ("b", "f", "b::f", "function"), ("b", "f", "b::x::f", "function")], "path string, name string, qualname string, kind string")
+    calls = [("a", "a::f", "f", None, False, 1), ("a", "a::f", "g", None, False, 2), ("a", "a::f", "f", "x::f", False, 3), ("a", "gone", "f", None, False, 4), ("a", None, "f", None, False, 5), ("a", "a::f", "f", None, True, 6), ("b", "b::f", "f", None, False, 7), ("a", "a::f", "f", None, False, 1)]
+    found = tree.call_sites(spark.createDataFrame(calls, "path string, caller string, name string, callee string, is_method boolean, line int"), symbols)
+    assert sorted(map(tuple, found.collect()), key=lambda r: r[4]) == [("a", "a::f", None, None, 1, "a::f"), ("a", "a::f", "g", None, 2, None), ("a", "a::f", "f", "x::f", 3, None), ("b", "b::f", "f", None, 7, None)]
+    assert found._jdf.queryExecution().executedPlan().toString().split("Final Plan")[0].count("Exchange hashpartitioning") <= 1
