@@ -70,3 +70,14 @@ def test_edges_need_no_calls_and_calls_no_texts(spark, monkeypatch):
     assert [tuple(r) for r in found.file_edges.collect()] == [("src/a.rs", "src/b.rs", "import", "exact")]
     monkeypatch.setattr(tree, "resolve_calls", calls)
     assert [tuple(r) for r in found.symbol_edges.collect()] == [("src/a.rs", "a::f", "src/b.rs", "b::g", "resolved", 3)]
+
+
+def test_leads_are_not_shuffled_to_be_distinct(spark, tables, tmp_path):
+    """Only repeated order keys need it: pairs of orders are distinct where they meet the next order's first line."""
+    lines = dataset.build(spark, tables).lines
+    following = spark.createDataFrame([(1, 4), (1, 4), (4, 7), (7, None), (None, 1)], "k long, k1 long")
+    shuffles = lambda df: df._jdf.queryExecution().executedPlan().toString().split("Final Plan")[0].count("Exchange hashpartitioning")
+    once, again = dataset.leads_of(following, lines), dataset.leads_of(following.union(spark.sql("SELECT 9L, 9L")), lines)
+    assert shuffles(once) < shuffles(again)
+    for found in (once, again):
+        assert sorted(map(repr, found.collect())) == sorted(map(repr, found.distinct().collect())) and found.count() > 1
