@@ -175,3 +175,15 @@ def test_searches_write_edges_without_a_shuffle(spark, monkeypatch):
     assert {r["node"]: r["parent"] for r in kernels.bfs_tree(graph(spark, pairs), "a").collect()} == {"b": "a", "c": "b", "d": "a"}
     assert sorted((r["node"], r["distance"]) for r in kernels.bfs(graph(spark, pairs), seeds(spark, "a")).collect()) == [("a", 0), ("b", 1), ("c", 2), ("d", 1)]
     assert len(plans) == 2 and not any("Exchange" in p for p in plans)
+
+
+def test_shallow_searches_write_no_edges(spark, monkeypatch):
+    edges = spark.createDataFrame([(1, 2, 1), (2, 3, 0), (1, 3, 2), (3, 4, 0), (4, 1, 0), (1, 2, 0)], "src int, dst int, rank int")
+    seeds = spark.createDataFrame([(1, 1), (3, 3)], "seed int, node int")
+    found = lambda: sorted(tuple(r) for r in kernels.bfs(edges, seeds, 2).select("seed", "node", "distance", "rank").collect())
+    want = [(1, 1, 0, 0), (1, 2, 1, 0), (1, 3, 1, 2), (1, 4, 2, 2), (3, 1, 2, 0), (3, 3, 0, 0), (3, 4, 1, 0)]
+    monkeypatch.setattr(kernels, "FEW", 1)
+    assert found() == want
+    monkeypatch.setattr(kernels, "FEW", 100)
+    monkeypatch.setattr(kernels, "by_source", None)
+    assert found() == want
